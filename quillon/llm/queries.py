@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe
+from . import bpe, chat, jaccard, mixing, quality, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +30,52 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives in the shared folder and read back from them."""
+    path = warc.archive_path(spark)
+    warc.write_archives(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    return warc.scan_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id")
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maximal conversations, rendered."""
+    return chat.render(_table(spark, sf_dir, "conversations"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every whole text: base counts and the digest of their spans, and all spans."""
+    found = secrets.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("secrets", lambda s: s["kind"].isin("assign", "access", "hex"))
+    return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles are alike to 0.85 or more."""
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=85)
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of every document."""
+    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of every whole text and whether the document is kept."""
+    judged = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_warc": op3_warc,
+    "op4_chat_format": op4_chat_format,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_jaccard_join": op6_jaccard_join,
+    "op8_source_mix": op8_source_mix,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
