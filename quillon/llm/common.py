@@ -80,6 +80,8 @@ _LOWER[65:91] += 32
 _BYTE_LOWER = _BYTE[_LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: ASCII bytes that are no letter, digit or apostrophe; bytes of other scripts count as letters.
+_MARK = np.array([b < 128 and not (chr(b).isalnum() or b == 0x27) for b in range(256)])
 _BASE = 0xB5297A4D3F84D5B5
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
@@ -101,15 +103,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def scan_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scan_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, rows, starts): a 64-bit hash of every word of the rows data[offsets[i]:offsets[i+1]], its row and its first byte.
 
-    A word's hash is a polynomial of its bytes modulo 2**64 taken from one prefix sum over all rows, then mixed.
+    marks: ASCII punctuation separates words too. A word's hash is a polynomial of its bytes modulo 2**64 taken from one prefix sum over all rows, then mixed.
     """
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    is_word = ~_SPACE[data]
+    is_word = ~(_MARK if marks else _SPACE)[data]
     edge = np.empty(n, bool)
     edge[0] = True
     np.logical_not(is_word[:-1], out=edge[1:])

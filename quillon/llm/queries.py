@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, jaccard, mixing, quality, secrets, warc
+from . import bpe, chat, html, jaccard, mixing, prefixhash, quality, secrets, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def rank_file() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by its host's wrapper."""
+    return html.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents, encoded and decoded again."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -56,12 +61,22 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=85)
 
 
+def op7_prefix_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, its edited text's, and how alike they and the next document's are."""
+    return prefixhash.neighbour_fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that the mix takes of every document."""
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score, learned from the labelled rows that are not held out."""
+    return toxicity.classify(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of every whole text and whether the document is kept."""
     judged = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), _table(spark, sf_dir, "labels"))
@@ -69,12 +84,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_main_text": op1_main_text,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_warc": op3_warc,
     "op4_chat_format": op4_chat_format,
     "op5_secret_scan": op5_secret_scan,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_prefix_fingerprint": op7_prefix_fingerprint,
     "op8_source_mix": op8_source_mix,
+    "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
 
