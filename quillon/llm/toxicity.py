@@ -2,7 +2,8 @@
 
 Words are hashed twice into embedding tables (the sum of two rows; a word collides with another only if both rows do), filters of
 several widths run over the words, each filter's strongest response in the text (max pooling) feeds a logistic unit. Trained by Adagrad on
-a bounded sample of labelled rows; embeddings start at zero, so words never seen add nothing. A threshold is set for each language
+a bounded sample of labelled rows; embeddings start at zero but for one dimension, which starts at the word's log odds in the
+sample, so words never seen add nothing. A threshold is set for each language
 on labelled rows kept out of training, and the score is moved so that 0.5 is the threshold. The language comes from the
 text's function words; labels, the language column, sources and ids are never inputs of a score.
 
@@ -91,6 +92,14 @@ class Network:
         self.rest = np.float32(-1.0)
         self.thresholds = np.zeros(len(LANGUAGES))
 
+    def start(self, first: np.ndarray, second: np.ndarray, evidence: np.ndarray) -> None:
+        """Half of each word's evidence goes into the first dimension of each of its rows, which the first filter reads."""
+        self.one[first, 0] = evidence / 2
+        self.two[second, 0] = evidence / 2
+        self.filters[:, 0] = 0
+        self.filters[0, 0] = self.out[0] = 1
+        self.rest = np.float32(-2.5)
+
     def windows(self, b: Batch) -> np.ndarray:
         word = self.one[b.first] + self.two[b.second]
         deep = max(WIDTHS)
@@ -103,7 +112,7 @@ class Network:
         pooled = np.maximum.reduceat(self.windows(b) @ self.filters, b.starts, axis=0)
         return np.maximum(pooled + self.bias, 0) @ self.out + self.rest
 
-    def train(self, b: Batch, labels: np.ndarray, memory: dict, rate: float = 0.1) -> None:
+    def train(self, b: Batch, labels: np.ndarray, memory: dict, rate: float = 0.03) -> None:
         x = self.windows(b)
         response = x @ self.filters + self.bias
         ends = np.append(b.starts[1:], len(b.first))
@@ -131,6 +140,19 @@ class Network:
             setattr(self, name, (getattr(self, name) - rate * grad / (np.sqrt(memory[name]) + 1e-6)).astype(np.float32))
 
 
+def word_evidence(parts: list[Batch], labels: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of the first table, rows of the second, evidence) of the words that are not rare: log odds ratios of the shares of
+    toxic and other texts with the word, shrunk where few texts have it."""
+    codes = [np.unique(p.first * (ROWS << 1) + p.second) for p in parts]
+    word, at = np.unique(np.concatenate(codes), return_inverse=True)
+    y = np.repeat(labels, [len(c) for c in codes])
+    bad, good = np.bincount(at[y == 1], minlength=len(word)), np.bincount(at[y == 0], minlength=len(word))
+    odds = np.log((bad + 0.5) / ((labels == 1).sum() + 1)) - np.log((good + 0.5) / ((labels == 0).sum() + 1))
+    first, second = word // (ROWS << 1), word % (ROWS << 1)
+    use = ~rare[first] & (first < ROWS)
+    return first[use], second[use], (odds * (bad + good) / (bad + good + 5))[use]
+
+
 def best_threshold(logits: np.ndarray, labels: np.ndarray) -> float:
     """The cut with the fewest errors, in the middle of its gap (the widest gap where several have as few)."""
     order = np.argsort(logits)
@@ -144,10 +166,10 @@ def best_threshold(logits: np.ndarray, labels: np.ndarray) -> float:
     return float((edges[k] + edges[k + 1]) / 2)
 
 
-def fit(texts: list[bytes], labels: np.ndarray, kept_out: np.ndarray, steps: int = 1000, batch: int = 32, seed: int = 5, least_texts: int = 4) -> Network | float:
+def fit(texts: list[bytes], labels: np.ndarray, kept_out: np.ndarray, steps: int = 100, batch: int = 32, seed: int = 5, least_texts: int = 4) -> Network | float:
     """The network trained on the rows not kept out, with thresholds by language on the others; one label: its share.
 
-    There are six rounds over the rows, and more where so few rows make fewer than `steps` steps. Words of fewer than `least_texts` training texts stay at zero: they could only be learned by heart.
+    There are three rounds over the rows, and more where so few rows make fewer than `steps` steps. Words of fewer than `least_texts` training texts stay at zero: they could only be learned by heart.
     """
     if not len(labels) or labels.min() == labels.max():
         return float(labels.mean()) if len(labels) else 0.0
@@ -163,7 +185,8 @@ def fit(texts: list[bytes], labels: np.ndarray, kept_out: np.ndarray, steps: int
     for i in rows:
         seen[np.unique(made([i]).first)] += 1
     rare = seen < least_texts
-    for _ in range(max(6, -(-steps * batch // max(1, len(rows))))):
+    net.start(*word_evidence([made([i]) for i in rows], labels[rows], rare))
+    for _ in range(max(3, -(-steps * batch // max(1, len(rows))))):
         rng.shuffle(rows)
         for k in range(0, len(rows), batch):
             part = rows[k : k + batch]
