@@ -142,8 +142,12 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", doc_id: str
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text", risk: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """The documents that the rules keep, all columns as they were. The counts are taken twice: the text does not move."""
+    """The documents that the rules keep, all columns as they were.
+
+    The counts are written with the rows: a filter on them would otherwise be pushed below them and take each several times.
+    """
     names = docs.columns
-    judged = persist(count_features(docs.select("doc_id", F.col(f"`{stratum}`").cast("string").alias(stratum), F.col(f"`{text}`")), text).drop(text), "quality")
-    cutoffs = persist(select_cutoffs(judged, labels, stratum, risk=risk, delta=delta), "cutoffs")
-    return verdicts(count_features(docs, text), cutoffs, stratum).where("kept").select(*names)
+    aside = {c: f"__own_{c}" for c in names if c in COUNTS or c in ("base_failed", "kept")}
+    counted = persist(count_features(docs.withColumnsRenamed(aside), text), "quality")
+    kept = verdicts(counted, select_cutoffs(counted, labels, stratum, risk=risk, delta=delta), stratum).where("kept")
+    return kept.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in names])
