@@ -40,7 +40,7 @@ def plural_folded(token: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """Distinct runs of n tokens, joined by a blank; none for shorter texts."""
+    """Distinct runs of n tokens, joined by a blank; none for shorter texts. tokens: a plain column, as it stands inside a lambda."""
     every = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
     return F.when(F.size(tokens) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 

@@ -9,7 +9,8 @@ from quillon.functions.text import ascii_tokens, ngrams
 
 def grams_of(items: DataFrame, key: list[str], text: str, n: int) -> DataFrame:
     """key and gram, one row a distinct n-gram."""
-    return items.select(*key, F.explode(ngrams(ascii_tokens(F.col(text)), n)).alias("gram"))
+    tokens = items.select(*key, ascii_tokens(F.col(text)).alias("__tokens"))  # a column: inside ngrams() the expression would run for each place
+    return tokens.select(*key, F.explode(ngrams(F.col("__tokens"), n)).alias("gram"))
 
 
 def union_novelty(grams: DataFrame, group: str, order: str) -> DataFrame:

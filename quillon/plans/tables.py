@@ -46,7 +46,8 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.functions.text import ascii_tokens
 
     def grams(df, key, only_first):
-        tokens = ascii_tokens(F.col("text"))
+        df = df.select(key, ascii_tokens(F.col("text")).alias("tokens"))  # a column: inside a lambda the expression would run for each element
+        tokens = F.col("tokens")
         every = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - 4, F.lit(1))), lambda i: F.xxhash64(F.slice(tokens, i, F.lit(5))))
         # A passage may begin or end inside a document's token: its second to sixth tokens are whole ones there too.
         inner = F.xxhash64(F.slice(tokens, 2, 5))
