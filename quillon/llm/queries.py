@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, html, jaccard, mixing, prefixhash, quality, secrets, toxicity, warc
+from . import bpe, chat, html, jaccard, mixing, oracle, prefixhash, quality, secrets, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +39,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives in the shared folder and read back from them."""
     path = warc.archive_path(spark)
     warc.write_archives(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    return warc.scan_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id")
+    return warc.scan_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,4 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": oracle.WARC,
+    "op4_chat_format": oracle.CHAT,
+    "op6_jaccard_join": oracle.JACCARD,
+    "op10_quality_rules": oracle.quality_sql(),
+}
