@@ -221,65 +221,97 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, pe
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different components within each tile (token, i, j) whose sizes and bitmaps allow a link.
+def differing(bits: dict[int, np.ndarray], place: np.ndarray, width: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of the bitmaps of rows x and y, on the narrower of the two widths. bits: width -> matrix of its rows."""
+    out = np.zeros(len(x), np.int64)
+    kinds = width[x] * (1 << 32) + width[y]
+    for kind in np.unique(kinds):
+        some = np.flatnonzero(kinds == kind)
+        least = int(min(kind >> 32, kind & 0xFFFFFFFF))
+        for k in range(0, len(some), 1 << 17):
+            part = some[k : k + (1 << 17)]
+            left, right = (fold(bits[int(w)][place[rows[part]]], least) for w, rows in ((kind >> 32, x), (kind & 0xFFFFFFFF, y)))
+            out[part] = np.bitwise_count(left ^ right).sum(axis=1)
+    return out
+
+
+def tile_pairs(rows: DataFrame, percent: int, most: int) -> DataFrame:
+    """a, b: pairs of nodes of different components of a tile whose sizes and bitmaps allow a link; of each two components in
+    a tile the `most` pairs with the greatest bounds. token: the tiles in which there are more (a and b are null then).
 
     rows: token, i, j, own (the row's block), n, node, root, bitmap; all rows of a tile in one partition, sorted by token, i,
-    j, n. Tiles hold two blocks of bounded size. Each row meets the later ones up to the size limit, by whole arrays.
+    j, n. Tiles hold two blocks of bounded size. Pairs are formed for all tiles of a batch together, by their distance in the
+    order, as long as the later set is small enough to link.
     """
 
-    def tile(part: pa.RecordBatch | pa.Table):
-        own, n, node, root = (np.array(part.column(c)) for c in ("own", "n", "node", "root"))
-        i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
+    def compare(part: pa.Table):
+        token, i, j, own, n, node, root = (np.array(part.column(c)) for c in ("token", "i", "j", "own", "n", "node", "root"))
+        tile = np.cumsum(np.concatenate([[0], ((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])).astype(np.int64)]))
+        live, left, right, d = np.arange(len(n) - 1), [], [], 1
+        while len(live):
+            live = live[live + d < len(n)]
+            later = live + d
+            live = live[(tile[live] == tile[later]) & (n[live] * 100 >= percent * n[later])]  # n ascends: what fails now fails further on
+            later = live + d
+            meet = (root[live] != root[later]) & ((i[live] == j[live]) | (own[live] != own[later]))
+            left.append(live[meet])
+            right.append(later[meet])
+            d += 1
+        x, y = np.concatenate(left), np.concatenate(right)
+        if not len(x):
+            return
         raw = part.column("bitmap").to_pylist()
-        width = np.array([len(x) // 8 for x in raw])
-        at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for w in np.unique(width):  # bitmaps of this width and of the next ones, folded to it
-            mine = np.flatnonzero((width >= w) & (width <= 4 * w))
-            full = np.empty((len(mine), w), np.uint64)
-            for x in np.unique(width[mine]):
-                some = width[mine] == x
-                full[some] = fold(np.frombuffer(b"".join(raw[k] for k in mine[some]), np.uint64).reshape(-1, x), int(w))
-            place = np.full(len(width), -1)
+        width = np.array([len(r) // 8 for r in raw])
+        used = np.zeros(len(n), bool)
+        used[x] = used[y] = True
+        place, bits = np.zeros(len(n), np.int64), {}
+        for w in np.unique(width[used]):
+            mine = np.flatnonzero(used & (width == w))
             place[mine] = np.arange(len(mine))
-            at[int(w)] = (full, place)
-        out_a, out_b = [], []
-        limit = np.searchsorted(n, (100 * n) // percent, "right")
-        for r in range(len(n)):
-            later = np.arange(r + 1, limit[r])
-            later = later[(root[later] != root[r]) & ((own[later] != own[r]) if i != j else True)]
-            if len(later):
-                full, place = at[int(width[r])]
-                differ = np.bitwise_count(full[place[later]] ^ full[place[r]]).sum(axis=1).astype(np.int64)
-                later = later[enough((n[r] + n[later] - differ) // 2, n[r], n[later], percent)]
-                out_a.append(np.full(len(later), node[r]))
-                out_b.append(node[later])
-        if out_a:
-            a, b = np.concatenate(out_a), np.concatenate(out_b)
-            for k in range(0, len(a), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[k : k + 50_000]), pa.array(np.maximum(a, b)[k : k + 50_000])], names=["a", "b"])
+            bits[int(w)] = np.frombuffer(b"".join(raw[k] for k in mine), np.uint64).reshape(-1, w)
+        bound = (n[x] + n[y] - differing(bits, place, width, x, y)) // 2
+        fits = enough(bound, n[x], n[y], percent)
+        x, y, bound = x[fits], y[fits], bound[fits]
+        if not len(x):
+            return
+        share = bound / (n[x] + n[y] - bound)
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        order = np.lexsort((node[y], node[x], -share, high, low, tile[x]))
+        x, y, low, high = x[order], y[order], low[order], high[order]
+        new = np.ones(len(x), bool)
+        new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (tile[x[1:]] != tile[x[:-1]])
+        rank = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+        more = np.unique(token[x[rank >= most]])
+        x, y = x[rank < most], y[rank < most]
+        a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+        for k in range(0, len(a), 50_000):
+            size = len(a[k : k + 50_000])
+            yield pa.RecordBatch.from_arrays([pa.array(a[k : k + 50_000]), pa.array(b[k : k + 50_000]), pa.nulls(size, pa.int64())], names=["a", "b", "token"])
+        if len(more):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(more), pa.int64()), pa.nulls(len(more), pa.int64()), pa.array(more)], names=["a", "b", "token"])
 
     def run(batches):
         held = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
-            keys = np.stack([np.array(table.column(c)) for c in ("token", "i", "j")])
-            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()]
-            for a, b in zip(cuts, cuts[1:]):
-                if b - a > 1:
-                    yield from tile(table.slice(a, b - a))
-            held = table.slice(cuts[-1])
+            last = [table.column(c)[-1].as_py() for c in ("token", "i", "j")]
+            same = np.logical_and.reduce([np.array(table.column(c)) == v for c, v in zip(("token", "i", "j"), last)])
+            cut = len(same) - int(same.sum())  # the last tile may go on
+            if cut > 1:
+                yield from compare(table.slice(0, cut))
+            held = table.slice(cut)
         if held is not None and held.num_rows > 1:
-            yield from tile(held.combine_chunks())
+            yield from compare(held.combine_chunks())
 
-    return rows.select("token", "i", "j", "own", "n", "node", "root", "bitmap").mapInArrow(run, "a bigint, b bigint")
+    return rows.select("token", "i", "j", "own", "n", "node", "root", "bitmap").mapInArrow(run, "a bigint, b bigint, token bigint")
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", buckets: int = 1 << 17, block: int = 1024) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", buckets: int = 1 << 17, block: int = 1024, salts: int = 2) -> DataFrame:
     """doc_id, n_shingles and component_id of every document.
 
     buckets: numbers of the sketch (a power of two; the size of what is broadcast). block: most rows of a tile's block.
+    salts: pairs of further centers of each tile in the second pass of stars.
     """
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(document_counts(docs, words, buckets, text))
@@ -298,20 +330,47 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, doc_i
         return pairs.join(left, "a").join(right, "b")
 
     tried = persist(bounded(signed_pairs(stars), percent), "tried")
-    first = persist(verified(tried, nodes, docs, words, percent, doc_id, text), "links")
-    known = persist(components(first), "known")
-
-    placed = tiles.select("token", "node", "n").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = persist(placed, "placed")
-    open_ = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y")
-    blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
-    dealt = placed.join(open_, "token").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", "node", "n", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    dealt = dealt.join(nodes.select("node", "bitmap"), "node")
-    dealt = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "node")
-    more = persist(tile_pairs(dealt, percent).distinct().join(tried, ["a", "b"], "left_anti"), "more")
-    second = verified(more, nodes, docs, words, percent, doc_id, text)
-    roots = components(first.unionByName(second))
+    links = persist(verified(tried, nodes, docs, words, percent, doc_id, text), "links")
+    known = persist(components(links), "known")
+
+    def placed() -> DataFrame:
+        return tiles.select("token", "node", "n").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def prove(pairs: DataFrame) -> None:
+        """Verifies pairs that no pass has tried, and contracts what links."""
+        nonlocal tried, links, known
+        new = persist(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
+        proven = persist(verified(new, nodes, docs, words, percent, doc_id, text), "links")
+        tried, links = tried.unionByName(new), links.unionByName(proven)
+        known = persist(components(links), "known")
+
+    # Further stars: a node's value under a fixed exclusive or orders the nodes anew, so each salt gives two more centers.
+    if salts:
+        mixed = [F.lit((turn * 0x5851F42D4C957F2D) % (1 << 63)) for turn in range(1, salts + 1)]
+        here = persist(placed(), "placed")
+        extremes = [f(F.col("node").bitwiseXOR(salt)).bitwiseXOR(salt) for salt in mixed for f in (F.min, F.max)]
+        ends = here.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.array(*extremes).alias("centers")).where("x <> y")
+        spokes = here.join(ends, "token").select("node", "root", F.explode(F.array_distinct("centers")).alias("center")).where("node <> center")
+        spokes = spokes.groupBy(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).agg(F.count("*")).select("a", "b")
+        roots = known.select(F.col("node").alias("v"), "root")
+        apart = spokes.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+        prove(bounded(signed_pairs(apart), percent))
+
+    most, again = 2, None
+    while True:
+        here = placed() if again is None else placed().join(again, "token", "left_semi")
+        here = persist(here, "placed")
+        open_ = here.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y")
+        dealt = here.join(open_, "token").withColumn("blocks", F.ceil(F.col("m") / F.lit(block)).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", "node", "n", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        dealt = dealt.join(nodes.select("node", "bitmap"), "node")
+        found = persist(tile_pairs(dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "node"), percent, most), "found")
+        prove(found.where("token is null").select("a", "b").distinct())
+        again = found.where("token is not null").select("token").distinct()
+        if again.isEmpty():
+            break
+        most *= 8
+    roots = known
 
     named = nodes.select("node", "min_doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = persist(named, "named")

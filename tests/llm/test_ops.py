@@ -1,0 +1,386 @@
+"""The training-data operators against brute force, with nulls, empty and long texts, ties, repeated rows and empty tables."""
+
+import base64
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillon.llm import bpe, chat, graph, html, jaccard, mixing, prefixhash, quality, secrets, toxicity, warc
+from quillon.llm.common import scratch_dir, scan_words
+from quillon.llm.queries import rank_file
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ODD_TEXTS = [None, "", " ", "\n\n", "a", "it's we'll  '' 's\n\n x", "Ünïcode – 漢字 ½ 😀", "b" * 3000, "　 x y", "one two one two one two one two one two one two"]
+
+
+def docs_of(spark, texts, **more):
+    rows = [(i, t, "en", "src0", len(t or ""), 7) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, ids int")  # ids clashes on purpose
+
+
+# --- 2: byte-level BPE ---
+
+
+def test_bpe_is_tiktoken(spark):
+    import public_tokenizers as P
+    import tiktoken
+
+    own = bpe.codec(rank_file())
+    theirs = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    rng = random.Random(1)
+    texts = ODD_TEXTS + ["".join(rng.choice("ab  \n\t'''stmdrevl1½.!é　́漢") for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    rows = bpe.encode(docs_of(spark, texts), rank_file(), decode_back=True).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r["doc_id"]] or ""
+        ids = np.frombuffer(bytes(r["ids"]), "<u4").tolist()
+        assert ids == theirs.encode_ordinary(text) and bytes(r["decoded"]) == text.encode()
+        ends = np.frombuffer(bytes(r["token_ends"]), "<u4").tolist()
+        assert ends == np.cumsum([len(theirs.decode_single_token_bytes(i)) for i in ids]).tolist()
+    again = bpe.decode(bpe.encode(docs_of(spark, texts), rank_file()), rank_file()).collect()
+    assert all(bytes(r["decoded"]) == (texts[r["doc_id"]] or "").encode() for r in again)
+    assert bpe.encode(docs_of(spark, []), rank_file()).count() == 0
+
+
+def test_bpe_cache_may_forget(spark):
+    own = bpe.Codec(rank_file())
+    texts = [f"word{i} other{i * 7}" for i in range(300)]
+    whole = own.encode(texts)
+    own.merger.most = 10
+    assert [own.encode([t])[0] for t in texts] == whole
+
+
+# --- 5: secrets ---
+
+
+def pem() -> str:
+    inner = b"\x02\x01\x00" + b"\x02\x20" + bytes(range(32)) + b"\x02\x03\x01\x00\x01"
+    raw = b"\x30" + bytes([len(inner)]) + inner
+    return base64.b64encode(raw).decode()
+
+
+def test_secrets_base_and_structure(spark):
+    jwt = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{"alg":"HS256","typ":"JWT"}', b'{"sub":"1"}', b"signature-bytes-here"))
+    ssh = base64.b64encode(b"\0\0\0\x0bssh-ed25519\0\0\0\x20" + bytes(32)).decode()
+    texts = [None, "", f"x {jwt} y", f"-----BEGIN PRIVATE KEY-----\n{pem()}\n-----END PRIVATE KEY-----", f"key {ssh}", "é password: token: abcdefghijklmnop", 'Token = "0123456789abcdef0123"', "AKIAABCDEFGHIJKLMN AKIASHORT", "deadbeef" * 40 + " cafe"]
+    rows = {r["doc_id"]: [(s["kind"], s["start"], s["end"], s["confirmed"]) for s in r["secrets"]] for r in secrets.scan_secrets(docs_of(spark, texts)).collect()}
+    assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+    for i, t in enumerate(texts):
+        t = t or ""
+        want = [("assign", m.start(), m.end()) for m in assign.finditer(t) if len(m[2]) >= 12] + [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18] + [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        assert sorted(s[:3] for s in rows[i] if s[0] in ("assign", "access", "hex")) == sorted(want)
+    assert ("token", 2, 2 + len(jwt), "token") in rows[2]
+    assert {s[0] for s in rows[3]} >= {"pem", "der"} and any(s[0] == "ssh" for s in rows[4])
+    assert secrets.structure(b"\x30\x80" + bytes(40)) is None and not secrets.is_signed_header("eyJub3QiOiJhbGcifQ")
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs_of(spark, texts)).collect()}
+    assert clean[0] is None and clean[1] == "" and jwt not in clean[2] and clean[2].startswith("x [secret]") and clean[8] == "[secret] cafe"
+
+
+# --- 6: Jaccard join ---
+
+
+def brute_components(texts, words, percent):
+    sets = []
+    for t in texts:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w)} if 0 < len(w) < words else {tuple(w[k : k + words]) for k in range(len(w) - words + 1)})
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: (len(s), find(i)) for i, s in enumerate(sets)}
+
+
+@pytest.mark.parametrize(("words", "percent", "block"), [(4, 85, 1024), (5, 80, 3)])
+def test_jaccard_against_brute_force(spark, words, percent, block):
+    rng = random.Random(words)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = list(ODD_TEXTS) + ["short", "SHORT", "two words", "two  Words"]
+    passage = [rng.choice(vocabulary) for _ in range(25)]
+    for _ in range(8):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(8, 90))] + passage * rng.randint(0, 1)
+        for _ in range(rng.randint(1, 9)):
+            copy = list(base)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            texts.append((" " * rng.randint(1, 2)).join(copy))
+    want = brute_components(texts, words, percent)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs_of(spark, texts), words, percent, block=block).collect()}
+    assert got == want
+
+
+def test_jaccard_edges(spark):
+    assert jaccard.jaccard_components(docs_of(spark, [])).count() == 0
+    same = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (None, "other words that stand quite alone here")], "doc_id bigint, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(same).collect()), key=repr)
+    assert got == sorted([(None, 3), (3, 3), (3, 3), (None, None)], key=repr)
+
+
+def test_bitmap_bounds_the_difference():
+    rng = np.random.default_rng(1)
+    for n in (3, 70, 900):
+        a = np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 1 << 60, 2 * n).astype(np.uint64)]))
+        x, y = (np.frombuffer(m, np.uint64)[None] for m in jaccard.bitmaps(np.concatenate([a, b]), np.array([len(a), len(a) + len(b)])))
+        w = min(x.shape[1], y.shape[1])
+        assert np.bitwise_count(jaccard.fold(x, w) ^ jaccard.fold(y, w)).sum() <= len(np.setxor1d(a & jaccard._LOW, b & jaccard._LOW))
+
+
+@pytest.mark.parametrize("bound", [0, 1 << 20])
+def test_components_against_union_find(spark, bound):
+    rng = random.Random(4)
+    links = [(rng.randint(0, 120), rng.randint(0, 120)) for _ in range(90)] + [(i, i + 1) for i in range(200, 240)] + [(300, 300)]
+    root = {x: x for e in links for x in e}
+    for _ in range(len(root)):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(links, "a bigint, b bigint"), bound=bound).collect()}
+    assert got == {k: v for k, v in root.items() if k != 300}
+
+
+# --- 7: fingerprints ---
+
+
+def test_fingerprints(spark):
+    texts = ODD_TEXTS[2:] + ["b" * 3000, "a", "x y " * 400]
+    rows = {r["doc_id"]: r for r in prefixhash.neighbour_fingerprints(docs_of(spark, texts)).collect()}
+    assert len(rows) == len(texts)
+    for i, t in enumerate(texts):
+        half = len(t) // 2
+        edited = t[: len(t) - half] + texts[(i + 1) % len(texts)][:half]
+        r = rows[i]
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 and (r["near_edited"] == 1) == (edited == t)
+        assert r["fingerprint"] == prefixhash.fingerprints([t])[0] and r["edited_fingerprint"] == prefixhash.fingerprints([edited])[0]
+    assert prefixhash.neighbour_fingerprints(docs_of(spark, [])).count() == 0
+    assert prefixhash.neighbour_fingerprints(docs_of(spark, ["only"])).first()["near_next"] == 1
+    twice = spark.createDataFrame([(1, "same"), (1, "same"), (None, "none"), (2, None)], "doc_id bigint, text string")
+    assert sorted(prefixhash.neighbour_fingerprints(twice).toPandas()["n_chars"]) == [0, 4, 4, 4]
+
+
+def test_spans_and_extensions():
+    rng = random.Random(5)
+    a, b = ("".join(rng.choice("ab") for _ in range(60)) for _ in range(2))
+    x, y = prefixhash.PrefixHashes(prefixhash.points_of(a)), prefixhash.PrefixHashes(prefixhash.points_of(b))
+    for _ in range(200):
+        i, j = rng.randrange(60), rng.randrange(60)
+        want = 0
+        while i + want < 60 and j + want < 60 and a[i + want] == b[j + want]:
+            want += 1
+        assert x.extension(i, y, j) == want
+
+
+# --- 8: mixing ---
+
+
+def test_mixing(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["a", "b", "c", "d", None]), " ".join(["w"] * rng.choice([0, 1, 5, 30, 80, 400]))) for i in range(900)] + [(5, "a", "w w w"), (5, "a", "w w w")]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    got = mixing.mix_sources(df, chunk=64).collect()
+    size = collections.Counter()
+    for _, s, t in rows:
+        size[s] += len(t.split())
+    order = sorted(s for s in size if s is not None) + [None]
+    weight, full, total = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}, {}, sum(size.values())
+    while True:
+        level = (total - sum(full.values())) / sum(weight[s] for s in order if s not in full)
+        over = [s for s in order if s not in full and level * weight[s] > 3 * size[s]]
+        if not over:
+            break
+        full |= {s: 3 * size[s] for s in over}
+    taken = collections.Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        assert r["target"] == pytest.approx(full.get(r["source"], level * weight[r["source"]])) and r["source_size"] == size[r["source"]]
+        assert r["taken"] == r["copies"] * r["size"] <= 3 * r["size"]
+    assert len(got) == len(rows)
+    for s in order:
+        assert abs(taken[s] - full.get(s, level * weight[s])) <= 400
+    again = mixing.mix_sources(df.repartition(7), chunk=64)
+    assert again.agg(F.sum("taken")).first()[0] > 0
+    assert mixing.mix_sources(df.limit(0)).count() == 0
+    assert mixing.mix_sources(spark.createDataFrame([(1, "a", None)], "doc_id bigint, source string, text string")).first()["taken"] == 0
+
+
+def test_pivots_keep_words_and_expectation():
+    rng = random.Random(7)
+    size = sorted((rng.randint(1, 50) for _ in range(40)), reverse=True)
+    mean = np.zeros(40)
+    for seed in range(400):
+        p, held = mixing.pivot_even(0.3, size, (seed,))
+        assert sum(a * b for a, b in zip(p, size)) == pytest.approx(0.3 * sum(size), abs=1e-6)
+        assert sum(0 < x < 1 for x in p) <= 1 and (held < 0 or 0 < p[held] < 1)
+        mean += np.array(p) / 400
+    assert abs(mean - 0.3).max() < 0.12
+    p, held = mixing.pivot([0.2, 0.9, 0.5, 0.4], [3, 5, 2, 9], (1,))
+    assert sum(a * b for a, b in zip(p, [3, 5, 2, 9])) == pytest.approx(0.2 * 3 + 0.9 * 5 + 1 + 3.6)
+
+
+# --- 10: quality ---
+
+
+def counts_of(t):
+    w = WORD.findall(t)
+    seen = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    covered = {i + k for i in range(len(w) - 4) if seen[tuple(w[i : i + 5])] > 1 for k in range(5)}
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_counts(spark):
+    rng = random.Random(8)
+    texts = ODD_TEXTS + ["\n".join(" ".join(rng.choice("abc#|") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 12))) for _ in range(150)]
+    rows = {r["doc_id"]: r for r in quality.count_features(docs_of(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        r = rows[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == counts_of(t or "")
+
+
+def test_quality_thresholds(spark):
+    clean, junk = "the quick brown fox jumps over a lazy dog near my old house now", "a # b # c # d # e # f # g # h # i # j # k"
+    rows = [(i, f"{clean} {i} {i + 1}", "en", 1) for i in range(2500)] + [(5000 + i, f"{junk} {i}", "en", 0) for i in range(50)] + [(9000, f"{junk} x", None, 1), (9001, None, "en", 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, quality int")
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(df.drop("quality"), df.select("doc_id", "quality")).collect()}
+    assert all(got[i] for i in range(2500)) and not any(got[5000 + i] for i in range(50)) and got[9000] and not got[9001]
+    without = quality.judge(df.drop("quality"), df.select("doc_id", "quality").limit(0))
+    assert without.where("not base_failed and not kept").count() == 0
+    assert quality.keep_good(df.limit(0), df.select("doc_id", "quality")).count() == 0
+
+
+def test_binomial_tail(spark):
+    from math import comb
+
+    rows = spark.createDataFrame([(0, 30), (2, 500), (7, 2000)], "k bigint, n bigint")
+    for r in rows.withColumn("p", quality.binomial_tail(F.col("k"), F.col("n"), 0.01)).collect():
+        assert r["p"] == pytest.approx(sum(comb(r["n"], j) * 0.01**j * 0.99 ** (r["n"] - j) for j in range(r["k"] + 1)), rel=1e-9)
+
+
+# --- 1: main text ---
+
+PAGE = '<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body><nav><a href=/>Home</a></nav>{ad}<article><h1>Title {i}</h1><p>First&nbsp;&amp; <b>bold<br>line {i}<p>Second\n\n line &eacute;{x}</article><footer>&copy; host</footer></body></html>'
+
+
+def test_main_text(spark):
+    pages = [(i, "http://h.example/x" if i % 3 else None, PAGE.format(ad='<div class="ad">Buy</div>', i=i, x="")) for i in range(12)] + [(90, "http://h.example/y", None), (91, None, ""), (92, "http://h.example/z", PAGE.format(ad="", i=5, x="")[:-40])]
+    got = {r["page_id"]: r for r in html.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string").withColumn("text", F.lit("clash"))).collect()}
+    assert len(got) == len(pages) and got[90]["text"] == "" and got[91]["text"] == ""
+    for i in range(12):
+        assert got[i]["text"] == f"Title {i}\nFirst & bold line {i}\nSecond line é" and got[i]["n_chars"] == len(got[i]["text"])
+    assert got[92]["text"].startswith("Title 5")
+    assert html.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_wrapper_finds_the_template():
+    page = "<div><div class=top>Same on all pages</div><div class=body><p>Text {i} of this page</p></div></div>"
+    whole = None
+    for i in range(8):
+        slot = html.skeleton(html.parse(page.format(i=i)))
+        whole = slot if whole is None else html.merge(whole, slot)
+    assert html.main_text(page.format(i=3), whole) == "Text 3 of this page"
+    assert html.main_text(page.format(i=3), None) == "Same on all pages\nText 3 of this page"
+    loaded = html.Slot.load(whole.dump())
+    assert loaded.dump() == whole.dump() and loaded.pages == 8
+
+
+# --- 3: WARC ---
+
+
+def test_warc_round_trip(spark, tmp_path):
+    pages = [(1, "http://a/1", "<p>x</p>"), (2, "http://a/2", "<p>x</p>"), (3, None, None), (4, "http://a/4", ""), (5, "http://a/\r\n5", "é" * 5000), (None, "http://a/6", "<p>x</p>"), (7, "u", "\r\n\r\nWARC/1.1\r\n")]
+    path = f"file://{tmp_path}/w"
+    index = warc.write_archives(spark.createDataFrame(pages, "page_id bigint, url string, html string"), path, frame_bytes=300, bundle_bytes=4000)
+    rows = {r["page_id"]: r for r in warc.scan_archives(spark, path).collect()}
+    assert len(rows) == len(pages) and index.count() == len(pages)
+    for page_id, _, text in pages:
+        raw = (text or "").encode()
+        r = rows[page_id]
+        assert r["payload_bytes"] == len(raw) and r["payload_digest"] == base64.b32encode(hashlib.sha1(raw).digest()).decode()
+    assert {k: (r["record_type"], r["refers_to"]) for k, r in rows.items()} == {1: ("revisit", 2), 2: ("response", None), 3: ("revisit", 4), 4: ("response", None), 5: ("response", None), None: ("revisit", 2), 7: ("response", None)}
+    some = warc.lookup(spark, path, index.where("page_id in (5, 7)").select("record_id")).collect()
+    assert {(r["page_id"], bytes(r["payload"]).decode()) for r in some} == {(5, "é" * 5000), (7, "\r\n\r\nWARC/1.1\r\n")}
+    import glob
+
+    import zstandard
+
+    whole = b"".join(zstandard.ZstdDecompressor().stream_reader(open(f, "rb"), read_across_frames=True).read() for f in sorted(glob.glob(f"{tmp_path}/w/bundles/*.zst")))
+    assert whole.count(b"WARC-Record-ID") == len(pages)
+
+
+def test_warc_empty(spark, tmp_path):
+    empty = spark.createDataFrame([], "page_id bigint, url string, html string")
+    warc.write_archives(empty, f"file://{tmp_path}/e")
+    assert warc.scan_archives(spark, f"file://{tmp_path}/e").count() == 0
+
+
+# --- 4: chat ---
+
+
+def test_chat_snapshots(spark):
+    long = [("user", "hi"), ("assistant", "yes"), ("user", None), ("assistant", "end")]
+    convs = {1: long[:2], 2: long, 3: long, 4: [("user", "hi"), ("assistant", "no")], 5: long[:1], 6: [(None, "")]}
+    rows = [(c, k, r, t) for c, turns in convs.items() for k, (r, t) in enumerate(turns)] + [(4, 0, "user", "hi")]
+    got = {r["conv_id"]: (r["n_turns"], r["copies"], r["rendered"]) for r in chat.render(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {2: (4, 2), 4: (2, 1), 6: (1, 1)}
+    assert got[4][2] == "<|user|>\nhi\n<|end|>\n<|assistant|>\nno\n<|end|>\n"
+    assert chat.render(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
+
+
+# --- 9: toxicity ---
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rng = random.Random(9)
+    vocabulary = ["w" + "".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(400)]
+    bad = ["grok", "snarl", "vile"]
+    texts, labels = [], []
+    for i in range(700):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(5, 80))]
+        toxic = i % 4 == 0
+        if toxic:
+            words[rng.randrange(len(words))] = rng.choice(bad)
+        texts.append(" ".join(words))
+        labels.append((i, int(toxic)))
+    texts += [None, ""]
+    df = docs_of(spark, texts).withColumn("score", F.lit(1))
+    got = {r["doc_id"]: r for r in toxicity.classify(df, spark.createDataFrame(labels, "doc_id bigint, toxic int")).collect()}
+    assert len(got) == len(texts)
+    held = [i for i in range(700) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(702))
+    assert sum(got[i]["predicted"] == labels[i][1] for i in held) / len(held) > 0.95
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got.values()) and got[700]["score"] == got[701]["score"]
+
+
+def test_toxicity_without_labels(spark):
+    none = spark.createDataFrame([], "doc_id bigint, toxic int")
+    assert {r["score"] for r in toxicity.classify(docs_of(spark, ["a", None]), none).collect()} == {0.0}
+    assert toxicity.classify(docs_of(spark, []), none).count() == 0
+
+
+# --- shared ---
+
+
+def test_words_of_rows():
+    parts = [b"", b"a b", b" ", b"b\ta\n", "é x".encode()]
+    offsets = np.cumsum([0, *map(len, parts)])
+    hashes, rows, _ = scan_words(np.frombuffer(b"".join(parts), np.uint8), offsets)
+    assert rows.tolist() == [1, 1, 3, 3, 4, 4] and hashes[0] == hashes[3] and hashes[1] == hashes[2] and len(set(hashes.tolist())) == 4
+
+
+def test_scratch_follows_the_session(spark):
+    assert scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir")
