@@ -320,16 +320,24 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, doc_i
     nodes = persist(filled.groupBy("node").agg(F.min("doc_id").alias("min_doc"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "nodes")
 
     rows = filled.select("node", "n", F.explode("prefix").alias("token"))
-    shared = rows.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    shared = rows.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
     tiles = persist(rows.join(shared, "token").dropDuplicates(["token", "node"]), "tiles")
-    stars = tiles.select("node", F.explode(F.array("low", "high")).alias("center")).where("node <> center").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
+
+    def stars(here: DataFrame, salts: list[int]) -> DataFrame:
+        """Pairs of each tile's nodes with its centers, of other components and of sizes that can link. A node's value under an
+        exclusive or with a salt orders the nodes; the first and the last are centers."""
+        order = lambda salt: F.struct(F.col("node").bitwiseXOR(F.lit(salt)).alias("o"), "node", "n", "root")
+        ends = here.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.array(*[f(order(salt)) for salt in salts for f in (F.min, F.max)]).alias("centers")).where("x <> y")
+        spokes = here.join(ends, "token").select("node", "n", "root", F.explode("centers").alias("c"))
+        alike = 100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")
+        return spokes.where((F.col("root") != F.col("c.root")) & alike).groupBy(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).agg(F.count("*")).select("a", "b")
 
     def signed_pairs(pairs: DataFrame) -> DataFrame:
         left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("bits_a"))
         right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("bits_b"))
         return pairs.join(left, "a").join(right, "b")
 
-    tried = persist(bounded(signed_pairs(stars), percent), "tried")
+    tried = persist(bounded(signed_pairs(stars(tiles.withColumn("root", F.col("node")), [0])), percent), "tried")
     links = persist(verified(tried, nodes, docs, words, percent, doc_id, text), "links")
     known = persist(components(links), "known")
 
@@ -344,19 +352,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, doc_i
         tried, links = tried.unionByName(new), links.unionByName(proven)
         known = persist(components(links), "known")
 
-    # Further stars: a node's value under a fixed exclusive or orders the nodes anew, so each salt gives two more centers.
-    if salts:
-        mixed = [F.lit((turn * 0x5851F42D4C957F2D) % (1 << 63)) for turn in range(1, salts + 1)]
-        here = persist(placed(), "placed")
-        extremes = [f(F.col("node").bitwiseXOR(salt)).bitwiseXOR(salt) for salt in mixed for f in (F.min, F.max)]
-        ends = here.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.array(*extremes).alias("centers")).where("x <> y")
-        spokes = here.join(ends, "token").select("node", "root", F.explode(F.array_distinct("centers")).alias("center")).where("node <> center")
-        spokes = spokes.groupBy(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).agg(F.count("*")).select("a", "b")
-        roots = known.select(F.col("node").alias("v"), "root")
-        apart = spokes.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-        prove(bounded(signed_pairs(apart), percent))
-
-    most, again = 2, None
+    if salts:  # further stars, with other centers
+        prove(bounded(signed_pairs(stars(persist(placed(), "placed"), [turn * 0x5851F42D4C957F2D % (1 << 63) for turn in range(1, salts + 1)])), percent))
+
+    most, again = 1, None
     while True:
         here = placed() if again is None else placed().join(again, "token", "left_semi")
         here = persist(here, "placed")
