@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 
@@ -74,7 +74,7 @@ def fingerprint(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def normalise(text: pd.Series) -> pd.Series:
     """NFKC, case-folded, accents stripped, everything but letters and digits to one blank."""
 

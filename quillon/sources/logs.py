@@ -11,10 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 TEXT_EXTENSIONS = ("md", "txt", "rst", "py", "json", "jsonl", "toml", "csv", "yaml")
 MOST_BYTES = 5 << 20
 
-EVENT = T.StructType.fromDDL(
-    "schema_version int, id string, operation string, kind string, title string, summary string, body string, tags array<string>, source_refs array<string>, "
-    "confidence string, status string, created_at string, valid_from string, claim_class string, supersedes string, supersession_kind string, supersession_reason string, related_ids array<string>"
-)
+_NAMES = "schema_version id operation kind title summary body tags source_refs confidence status created_at valid_from claim_class supersedes supersession_kind supersession_reason related_ids"
+_KINDS = {"schema_version": T.IntegerType(), "tags": T.ArrayType(T.StringType()), "source_refs": T.ArrayType(T.StringType()), "related_ids": T.ArrayType(T.StringType())}
+EVENT = T.StructType([T.StructField(name, _KINDS.get(name, T.StringType())) for name in _NAMES.split()])
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
