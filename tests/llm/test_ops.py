@@ -298,6 +298,28 @@ def test_wrapper_finds_the_template():
     assert loaded.dump() == whole.dump() and loaded.pages == 8
 
 
+def extracted(spark, pages, host="h.example"):
+    rows = spark.createDataFrame([(i, f"http://{host}/{i}", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
+    return [r["text"] for r in html.extract(rows).orderBy("page_id").collect()]
+
+
+def test_wrapper_counts_exactly(spark):
+    """Like siblings share a slot: none of their constant texts may be forgotten, however many texts vary beside them."""
+    menu = "".join(f"<div class=row>Entry {k}</div>" for k in range(7))
+    pages = [f"<div class=top>{menu}</div><div class=story><p>All rights are ours</p>{''.join(f'<p>Text {i} {k}' for k in range(6))}</div>" for i in range(100)]
+    want = ["\n".join(f"Text {i} {k}" for k in range(6)) for i in range(100)]
+    assert extracted(spark, pages) == want  # short texts, more than half of each page is template
+    whole = None
+    for page in pages:
+        slot = html.skeleton(html.parse(page))
+        whole = slot if whole is None else html.merge(whole, slot)
+    assert [html.main_text(page, whole) for page in pages] == want
+    rows = spark.createDataFrame([(f"http://h/{i}", p) for i, p in enumerate(pages + pages[:50])], "url string, html string")
+    assert set(html.induce(rows).first()["wrapper"].split(" ")) == html.template(whole)
+    assert extracted(spark, [pages[0]] * 20) == ["\n".join([*(f"Entry {k}" for k in range(7)), "All rights are ours", want[0]])] * 20  # copies of a page are no template
+    assert extracted(spark, [pages[0]] * 20 + pages[1:9]) == [want[0]] * 20 + want[1:9]
+
+
 # --- 3: WARC ---
 
 
