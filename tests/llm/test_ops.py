@@ -320,6 +320,16 @@ def test_wrapper_counts_exactly(spark):
     assert extracted(spark, [pages[0]] * 20 + pages[1:9]) == [want[0]] * 20 + want[1:9]
 
 
+def test_template_decides_inside_articles(spark):
+    page = "<article><h1>Title {i}</h1><p>Text {i}</p><p>A line that all share</p><p class=note>Follow our channel</p></article>"
+    assert extracted(spark, [page.format(i=i) for i in range(8)]) == [f"Title {i}\nText {i}\nA line that all share" for i in range(8)]
+    assert extracted(spark, [page.format(i=1)] * 8) == ["Title 1\nText 1\nA line that all share\nFollow our channel"] * 8
+    teaser = "<div class=story><p>The long text of page {i} stands beside an article</p></div><article>Next {i}</article>"
+    assert extracted(spark, [teaser.format(i=i) for i in range(8)]) == [f"The long text of page {i} stands beside an article\nNext {i}" for i in range(8)]
+    fixed = "<div class=story><p>The text of page {i}</p></div><article><p>See our long list of all other pages here</p></article>"
+    assert extracted(spark, [fixed.format(i=i) for i in range(8)]) == [f"The text of page {i}" for i in range(8)]
+
+
 # --- 3: WARC ---
 
 
