@@ -330,6 +330,15 @@ def test_template_decides_inside_articles(spark):
     assert extracted(spark, [fixed.format(i=i) for i in range(8)]) == [f"The text of page {i}" for i in range(8)]
 
 
+@pytest.mark.parametrize("tag", ["font", "span", "a", "div", "section"])
+def test_deep_pages_are_handled_whole(spark, tag):
+    words = [f"word{k}" for k in range(2000)]
+    page = "<body>" + "".join(f"<{tag}>{w} " for w in words)
+    assert html.main_text(page, None).split() == words
+    assert extracted(spark, [page, page + "more"])[1].split() == [*words[:-1], "word1999", "more"]
+    assert html.skeleton(html.parse(page)).pages == 1
+
+
 # --- 3: WARC ---
 
 
