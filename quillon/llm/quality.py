@@ -119,8 +119,9 @@ def select_cutoffs(features: DataFrame, labels: DataFrame, stratum: str = "lang"
     counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *[F.sum((F.col(rule) > cutoff).cast("bigint")).alias(f"k{i}") for i, (rule, cutoff) in enumerate(tests)])
     each = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(float(cutoff)).alias("cutoff"), F.col(f"k{i}").alias("k")) for i, (rule, cutoff) in enumerate(tests)])
     granted = risk / len(RULES)
-    strata = F.count("*").over(Window.partitionBy(F.lit(0)))  # one row a stratum
-    flat = counts.select("stratum", "n", strata.alias("strata"), F.explode(each).alias("test")).select("stratum", "n", "strata", "test.*")
+    strata = F.count("*").over(Window.partitionBy(F.lit(0)))  # one row a stratum; counted before the tests are exploded, which would count each stratum once a test
+    counts = counts.select("stratum", "n", strata.alias("strata"), each.alias("tests"))
+    flat = counts.select("stratum", "n", "strata", F.explode("tests").alias("test")).select("stratum", "n", "strata", "test.*")
     tail = F.when(F.col("k") < F.col("n") * granted, binomial_tail(F.col("k"), F.col("n"), granted)).otherwise(1.0)
     admissible = flat.where(tail <= F.lit(delta / len(tests)) / F.col("strata"))
     return admissible.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))

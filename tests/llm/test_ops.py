@@ -263,6 +263,15 @@ def test_quality_thresholds(spark):
     assert quality.keep_good(df.limit(0), df.select("doc_id", "quality")).count() == 0
 
 
+def test_quality_strata_count_once(spark):
+    """1,900 good documents suffice for a cutoff in 4 strata (1,853 do), not if each stratum counts once a test."""
+    clean, junk = "the quick brown fox jumps over a lazy dog near my old house now", "a # b # c # d # e # f # g # h # i # j # k"
+    rows = [(i, f"{clean} {i} {i + 1}", "en", 1) for i in range(1900)] + [(3000 + i, f"{clean} {i}", ("de", "es", "fr")[i % 3], 1) for i in range(30)] + [(5000 + i, f"{junk} {i}", "en", 0) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, quality int")
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(df.drop("quality"), df.select("doc_id", "quality")).collect()}
+    assert all(got[i] for i in [*range(1900), *range(3000, 3030)]) and not any(got[5000 + i] for i in range(50))
+
+
 def test_binomial_tail(spark):
     from math import comb
 
