@@ -3,7 +3,7 @@
 A text's code points give modular prefix arrays P[i] = sum of c[j] * B**j for j < i, modulo the prime 2**31 - 1, for two
 bases. The hash of any span follows from two entries, so any two spans are compared in constant time, and the longest
 common extension of two places is found by binary search. A fingerprint is the text's length and whole hash, its prefix
-hashes at a fixed geometric grid of places, and a bottom sketch of its spans of SPAN code points. Two fingerprints are as alike
+hashes at a fixed geometric grid of places, and a bottom sketch of all its spans of SPAN code points (of fewer in shorter texts). Two fingerprints are as alike
 as their common prefix (by binary search in the grid: prefixes agree up to some place and never after it) or their sketches
 say, whichever is more; equal texts have equal fingerprints, and likeness 1 means equal.
 
@@ -23,10 +23,10 @@ from pyspark.sql.functions import pandas_udf
 
 from .common import mix
 
-# The prime, the bases, the span of the sketch, its bins and the share of spans that enter it.
+# The prime, the bases, the span of the sketch, that of texts under SPAN code points (1 under 8) and the sketch's bins.
 PRIME = (1 << 31) - 1
 BASES = (1_103_515_245, 747_796_405)
-SPAN, BINS, SAMPLE = 24, 32, 8
+SPAN, SHORT, BINS = 24, 4, 32
 _P, _S = np.uint64(PRIME), np.uint64(31)
 
 
@@ -128,22 +128,17 @@ def _fingerprints(texts: list[str]) -> list[str]:
     at = np.concatenate([places[:c] for c in counts]) if len(rows) else np.zeros(0, np.int64)
     marks = (mix(hashes.spans(starts[rows], starts[rows] + at, 0) << _S | hashes.spans(starts[rows], starts[rows] + at, 1)) >> np.uint64(32)).astype(">u4").tobytes()
     stop = np.concatenate([[0], np.cumsum(counts)]) * 4
-    # The sketch: of the sampled spans, the least hash in each bin.
-    first = np.arange(max(0, hashes.n - SPAN + 1))
-    h = mix(hashes.spans(first, first + SPAN, 0)) if len(first) else np.zeros(0, np.uint64)
-    taken = np.flatnonzero(h & np.uint64(SAMPLE - 1) == 0)
-    owner = np.searchsorted(ends, taken, "right")
-    inside = taken + SPAN <= ends[owner] if len(taken) else taken.astype(bool)
-    taken, owner = taken[inside], owner[inside]
-    h = h[taken] >> np.uint64(8)
-    cell = owner * BINS + (h % np.uint64(BINS)).astype(np.int64)
-    value = (h >> np.uint64(16)) & np.uint64(0xFFFFFFFF)
-    order = np.lexsort((value, cell))
-    cell, value = cell[order], value[order]
-    lead = np.ones(len(cell), bool)
-    lead[1:] = cell[1:] != cell[:-1]
-    sketch = np.zeros(len(texts) * BINS, ">u2")
-    sketch[cell[lead]] = (value[lead] & np.uint64(0x7FFF)).astype(np.uint16) | np.uint16(0x8000)  # the high bit: the bin is not empty
+    # The sketch: of all spans, the least hash in each bin.
+    least = np.full(len(texts) * BINS, 1 << 32, np.uint64)
+    width = np.where(sizes >= SPAN, SPAN, np.where(sizes >= 8, SHORT, 1))
+    for w in (SPAN, SHORT, 1):
+        rows = np.flatnonzero((width == w) & (sizes >= w))
+        counts = sizes[rows] - w + 1
+        owner = np.repeat(rows, counts)
+        first = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[owner]
+        h = mix(hashes.spans(first, first + w, 0)) >> np.uint64(8)
+        np.minimum.at(least, owner * BINS + (h % np.uint64(BINS)).astype(np.int64), (h >> np.uint64(16)) & np.uint64(0xFFFFFFFF))
+    sketch = np.where(least < 1 << 32, (least & np.uint64(0x7FFF)) | np.uint64(0x8000), 0).astype(">u2")  # the high bit: the bin is not empty
     packed = sketch.tobytes()
     return [f"{n:x}.{int(a) << 31 | int(b):016x}.{marks[stop[k] : stop[k + 1]].hex()}.{packed[2 * BINS * k : 2 * BINS * (k + 1)].hex()}" for k, (n, a, b) in enumerate(zip(sizes.tolist(), *whole))]
 

@@ -173,6 +173,15 @@ def test_fingerprints(spark):
     assert sorted(prefixhash.neighbour_fingerprints(twice).toPandas()["n_chars"]) == [0, 4, 4, 4]
 
 
+def test_sketch_takes_all_spans():
+    rng = random.Random(6)
+    for n in (8, 12, 23, 30, 40, 200):  # at 25 the one common span may share a bin with a lesser one
+        for _ in range(50):
+            rest = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n - 1))
+            a, b = prefixhash.fingerprints(["1" + rest, "2" + rest])
+            assert 0 < prefixhash.likeness(a, b) < 1
+
+
 def test_spans_and_extensions():
     rng = random.Random(5)
     a, b = ("".join(rng.choice("ab") for _ in range(60)) for _ in range(2))
