@@ -14,9 +14,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where none is set, a session on the driver's machine alone
+    gets a temporary one; on a cluster that would be seen by no executor, so it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -31,14 +34,25 @@ def persist(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     schema = df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes tables of persist() that nothing reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, table._scratch_path)
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Deletes every scratch table of this application; results that still read them must have been written before."""
-    root = f"{scratch_dir(spark)}/quillon/{spark.sparkContext.applicationId}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{scratch_dir(spark)}/quillon/{spark.sparkContext.applicationId}")
 
 
 def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

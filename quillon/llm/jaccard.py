@@ -2,23 +2,27 @@
 
 A document's set are its distinct n-word shingles (as hashes). Two sets link when 100 * |A and B| >= percent * |A or B|.
 
-Candidates. Shingles are ordered by a corpus-wide sketch of their document counts, rare ones first, then by hash. Two
-linked sets share a shingle among the first |A| - ceil(t|A|) + 1 of each (the prefix filter), so every link lies in some tile:
-the sets whose prefix holds one shingle. In a tile only sets of nearby size bands meet.
+Candidates. Shingles are ordered by a corpus-wide sketch of their counts, rare ones first, then by hash. Two linked sets share
+a shingle among the first |A| - ceil(t|A|) + 1 of each (the prefix filter), so every link lies in some tile: the sets whose
+prefix holds one shingle. One exchange by shingle, sorted in its partitions, tells tiles of two sets or more; tiles with the
+same members are one. In a tile only sets of nearby sizes meet.
 Signatures. A set's bitmap holds the parity of its shingles' hashed places; its width follows the size band, and a wide
 bitmap folds onto a narrower one. The number of differing bits bounds the symmetric difference from below, hence the
 overlap from above; pairs whose bound is too small go.
 Verification. What is left is decided by intersecting the sorted shingle arrays of the two whole texts.
 
 Equal sets are one node from the start. A first pass tries each tile's nodes against the tile's least and greatest node only;
-what they verify is contracted. A second pass takes the tiles in which more than one component is left, and compares all
-nodes of different components in them, in blocks: tiles of any size are cut into block pairs, none is capped. The links found
-span the components of all links; links within a component already known need no proof.
+what links is contracted. Further passes take the tiles in which more than one component is left, compare their nodes of
+different components by their bitmaps, and send on a spanning forest of the components, best bounds first (then 8, 64, ...
+edge-disjoint ones in tiles where a pair that was sent did not link), so that what leaves a tile grows with its nodes, not
+with their pairs. Tiles of any size are cut into block pairs; none is capped. A tile is done when no pair is left that is
+untried, passes its bounds and joins two components. So the links found span the components of all links; links within a
+component already known need no proof.
 
 Defined results: null and empty texts, and texts without a word, have an empty set, size 0, and link with nothing; texts of
 fewer words than n have one shingle, the whole sequence; null ids are rows of their own whose component is the least
 non-null id reachable, else null; repeated rows are equal sets; other columns are dropped; an empty table gives an empty one.
-Hashes have 56 bits for shingles and 64 for sets: the chance of a wrong decision is below 1e-9 a pair.
+Hashes have 48 bits for intersections and 64 for sets: the chance of a wrong decision is below 1e-6 a pair of 10,000 words each.
 """
 
 from __future__ import annotations
@@ -27,20 +31,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import binary_parts, chunks, mix, persist, scan_words
-from .graph import components
+from .common import binary_parts, chunks, free, mix, persist, scan_words
+from .graph import components, forest
 
 _LOW = np.uint64((1 << 56) - 1)
+#: Bits of the widest bitmap. Sets of more shingles keep this width: their bound is weaker, and more of them are intersected.
+WIDEST = 1 << 16
+#: Rows of a shingle in one partition of the token exchange; by the sketch's counts, more frequent ones are dealt over several.
+SPLIT = 1 << 16
 
 
 class Shingles:
-    """Shingle sets of texts; `counts` is the sketch of document counts (or None: all alike)."""
+    """Shingle sets of texts; `ranks` is the sketch's rank (0 to 255) of each bucket (or None: all alike)."""
 
-    def __init__(self, words: int, counts: np.ndarray | None = None):
-        self.words = words
-        self.mask = np.uint64(len(counts) - 1) if counts is not None else None
-        # A count's rank: eight steps to a doubling, at most 255.
-        self.rank = np.minimum(255, np.round(8 * np.log2(np.maximum(counts, 1)))).astype(np.uint64) << np.uint64(56) if counts is not None else None
+    def __init__(self, words: int, ranks: np.ndarray | None = None):
+        self.words, self.ranks = words, ranks
+        self.mask = np.uint64(len(ranks) - 1) if ranks is not None else None
 
     def raw(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, rows) of all shingles of the rows, with repeats."""
@@ -72,8 +78,8 @@ class Shingles:
         """(keys, ends): each row's distinct shingles in the order of the join, and where each row's stop."""
         hashes, rows = self.raw(data, offsets)
         keys = hashes & _LOW
-        if self.rank is not None:
-            keys |= self.rank[(hashes & self.mask).astype(np.int64)]
+        if self.ranks is not None:
+            keys |= self.ranks[(hashes & self.mask).astype(np.int64)].astype(np.uint64) << np.uint64(56)
         order = np.lexsort((keys, rows))
         keys, rows = keys[order], rows[order]
         new = np.ones(len(keys), bool)
@@ -82,9 +88,17 @@ class Shingles:
         return keys, np.cumsum(np.bincount(rows, minlength=len(offsets) - 1))
 
 
+def nodes_of(keys: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The hash of every set, whatever the order of its keys; 0 for empty ones."""
+    node, some = np.zeros(len(n), np.uint64), n > 0
+    if len(keys):
+        node[some] = mix(np.add.reduceat(mix(keys & _LOW), starts[some]) + n[some].astype(np.uint64))
+    return node
+
+
 def width_of(n: np.ndarray) -> np.ndarray:
-    """Bits of the bitmap of a set of n shingles: a power of two, at least n and 64."""
-    return np.int64(1) << np.maximum(6, np.ceil(np.log2(np.maximum(n, 1)))).astype(np.int64)
+    """Bits of the bitmap of a set of n shingles: a power of two, four to eight times n, from 64 to WIDEST."""
+    return np.minimum(WIDEST, np.int64(4) << np.maximum(4, np.ceil(np.log2(np.maximum(n, 1)))).astype(np.int64))
 
 
 def bitmaps(keys: np.ndarray, ends: np.ndarray) -> list[bytes]:
@@ -111,8 +125,9 @@ def enough(overlap, a, b, percent: int):
     return (100 + percent) * overlap >= percent * (a + b)
 
 
-def document_counts(docs: DataFrame, words: int, buckets: int, text: str) -> np.ndarray:
-    """How many shingles (repeats in a text included) fall into each bucket, over all documents. Fixed size: `buckets` numbers."""
+def shingle_ranks(docs: DataFrame, words: int, buckets: int, text: str) -> np.ndarray:
+    """A rank, eight steps to a doubling and at most 255, of how many shingles (repeats in a text included) fall into each bucket,
+    over all documents. Fixed size: `buckets` bytes."""
 
     def run(batches):
         maker, total = Shingles(words), np.zeros(buckets, np.int64)
@@ -126,36 +141,114 @@ def document_counts(docs: DataFrame, words: int, buckets: int, text: str) -> np.
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 20_000], pa.int32()), pa.array(total[at[i : i + 20_000]], pa.int64())], names=["bucket", "n"])
 
     table = docs.select(F.col(f"`{text}`").cast("string").cast("binary").alias("t")).mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(buckets, np.int64)
+    out = np.ones(buckets)
     out[table["bucket"].to_numpy(np.int64)] = table["n"].to_numpy(np.int64)
-    return out
+    return np.minimum(255, np.round(8 * np.log2(out))).astype(np.uint8)
 
 
-def signatures(docs: DataFrame, words: int, percent: int, counts, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n, node (hash of the set), bitmap and prefix of every document. counts: broadcast sketch."""
+def signatures(docs: DataFrame, words: int, percent: int, ranks, doc_id: str, text: str) -> DataFrame:
+    """doc_id, n and node (hash of the set) of every document; bitmap and prefix of the first with its set in a task (else null:
+    a hot group of copies is one row a task). ranks: broadcast sketch."""
     source = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").cast("binary").alias("t"))
 
     def run(batches):
-        maker = Shingles(words, counts.value)
+        maker, seen = Shingles(words, ranks.value), set()
         for batch in batches:
             data, offsets = binary_parts(batch.column(1))
             for a, b in chunks(offsets):
                 keys, ends = maker.sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 starts = np.concatenate([[0], ends[:-1]])
                 n = ends - starts
-                node = np.zeros(b - a, np.uint64)
-                if len(keys):
-                    some = n > 0
-                    node[some] = mix(np.add.reduceat(mix(keys & _LOW), starts[some]) + n[some].astype(np.uint64))
-                take = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
+                node = nodes_of(keys, starts, n)
+                new = np.zeros(b - a, bool)
+                for i, x in enumerate(node.tolist()):
+                    if n[i] and x not in seen:
+                        seen.add(x)
+                        new[i] = True
+                take = np.where(new, n - (percent * n + 99) // 100 + 1, 0)
                 cuts = np.concatenate([[0], np.cumsum(take)])
                 at = np.repeat(starts - cuts[:-1], take) + np.arange(cuts[-1])
                 prefix = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(keys[at].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(node.view(np.int64)), pa.array(bitmaps(keys, ends), pa.binary()), prefix], names=["doc_id", "n", "node", "bitmap", "prefix"])
+                bits = pa.array([x if first else None for x, first in zip(bitmaps(keys, ends), new.tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(node.view(np.int64)), bits, prefix], names=["doc_id", "n", "node", "bitmap", "prefix"])
 
     return source.mapInArrow(run, "doc_id bigint, n bigint, node bigint, bitmap binary, prefix array<bigint>")
 
 
+TILES = "token bigint, node bigint, n bigint, mark bigint, m bigint, low bigint, low_n bigint, high bigint, high_n bigint"
+
+
+def shared_tokens(rows: DataFrame) -> DataFrame:
+    """Of token, part, node and n, dealt by token and part and sorted by both and node: the rows of tokens with two nodes or more (or of
+    several parts), each node once, and after them a row with null node: mark (a hash of the members), m (their number), the least and
+    the greatest node and their sizes. Holds one batch at a time, whatever a token's rows."""
+
+    def run(batches):
+        held = None  # the last token's, not ended: [token, part, last node, mark, m, low, low_n, high, high_n, whether its first row is out]
+        for batch in batches:
+            token, part, node, n = (np.array(batch.column(c)) for c in range(4))
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (part[1:] != part[:-1]) | (node[1:] != node[:-1])
+            if held is not None:
+                new[0] = [token[0], part[0], node[0]] != held[:3]
+            token, part, node, n = token[new], part[new], node[new], n[new]
+            if not len(token):
+                continue
+            hashes = mix(node.view(np.uint64)).view(np.int64)
+            edge = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (part[1:] != part[:-1])]))
+            ends = np.append(edge[1:], len(token))
+            goes_on = held is not None and [token[0], part[0]] == held[:2]
+            size = ends - edge
+            shown = np.repeat((size > 1) | (part[edge] >= 0), size)
+            marks, ends_ = [], []  # the summaries of the tokens that end here
+            early = []  # a held first row that turns out to be shared
+
+            def close(x):
+                if x[4] > 1 or x[1] >= 0:
+                    ends_.append([x[0], *x[3:9]])
+
+            if goes_on:
+                if not held[9]:
+                    early.append((held[0], held[5], held[6]))
+                shown[: size[0]] = True
+            elif held is not None:
+                close(held)
+            with np.errstate(over="ignore"):
+                marks = np.add.reduceat(hashes, edge)
+            first, last = edge, ends - 1
+            for k in [0, len(edge) - 1] if len(edge) > 1 else [0]:
+                x = [int(token[first[k]]), int(part[first[k]]), int(node[last[k]]), int(marks[k]), int(size[k]), int(node[first[k]]), int(n[first[k]]), int(node[last[k]]), int(n[last[k]]), bool(shown[first[k]])]
+                if k == 0 and goes_on:
+                    total = (x[3] + held[3] + (1 << 63)) % (1 << 64) - (1 << 63)
+                    x = [*x[:3], total, x[4] + held[4], held[5], held[6], x[7], x[8], True]
+                if k == len(edge) - 1:
+                    held = x
+                else:
+                    close(x)
+            middle = np.arange(1, len(edge) - 1)
+            middle = middle[(size[middle] > 1) | (part[edge[middle]] >= 0)]
+            tokens = np.concatenate([np.array([e[0] for e in early], np.int64), token[shown]])
+            nodes_ = np.concatenate([np.array([e[1] for e in early], np.int64), node[shown]])
+            sizes = np.concatenate([np.array([e[2] for e in early], np.int64), n[shown]])
+            if len(tokens):
+                blank = pa.nulls(len(tokens), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(nodes_), pa.array(sizes), *[blank] * 6], names=NAMES)
+            columns = [np.concatenate([np.array([e[i] for e in ends_], np.int64), v]) for i, v in enumerate((token[edge[middle]], marks[middle], size[middle], node[first[middle]], n[first[middle]], node[last[middle]], n[last[middle]]))]
+            yield from summaries(columns)
+        if held is not None and (held[4] > 1 or held[1] >= 0):
+            if not held[9]:
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (held[0], held[5], held[6])] + [pa.nulls(1, pa.int64())] * 6, names=NAMES)
+            yield from summaries([np.array([v], np.int64) for v in (held[0], *held[3:9])])
+
+    def summaries(columns):
+        if len(columns[0]):
+            blank = pa.nulls(len(columns[0]), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), blank, blank, *[pa.array(c) for c in columns[1:]]], names=NAMES)
+
+    NAMES = [x.split()[0] for x in TILES.split(", ")]
+    return rows.select("token", "part", "node", "n").mapInArrow(run, TILES)
+
+
 def bounded(pairs: DataFrame, percent: int) -> DataFrame:
     """a and b of the pairs (a, b, na, nb, bits_a, bits_b) whose sizes and bitmaps allow a link."""
 
@@ -174,51 +267,85 @@ def bounded(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """The pairs (a, b: nodes) whose sets, taken from the whole texts, link. A node's text is that of its least document."""
-    none = -(1 << 63)
-    key = lambda c: F.coalesce(c, F.lit(none))
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select("node", key(F.col("min_doc")).alias("k"))
-    texts = docs.select(key(F.col(f"`{doc_id}`").cast("bigint")).alias("k"), F.col(f"`{text}`").cast("string").cast("binary").alias("t")).join(wanted, "k").select("node", "t")
+def members(keys: DataFrame, bits: int = 1 << 24) -> np.ndarray:
+    """A bitmap of fixed size (`bits`, as 64-bit words) in which the place of every key's hash is set; keys: a column k."""
+    words = keys.select(F.pmod(F.xxhash64("k"), F.lit(bits)).alias("p")).select(F.expr("cast(p div 64 as int)").alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("b"))
+    table = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(bits // 64, np.uint64)
+    out[table["w"].to_numpy(np.int64)] = table["b"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def sets_of(nodes: DataFrame, docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
+    """node and keys (its sorted shingles, six bytes each) of the nodes (node, min_doc), from their least documents' whole texts; rows of
+    other nodes, and of one node several, may be among them.
 
-    def own(batches):
-        """Where ids repeat, only the row whose set is the node's."""
-        maker = Shingles(words)
+    Texts are not shuffled: a bitmap of the wanted ids, of fixed size, lets each task of a scan shingle those alone. Where the wanted
+    ids fill the bitmap more is shingled and written, but nothing is lost.
+    """
+    key = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
+    wanted = docs.sparkSession.sparkContext.broadcast(members(nodes.select(key(F.col("min_doc")).alias("k"))))
+    bits = len(wanted.value) * 64
+    source = docs.select(F.pmod(F.xxhash64(key(F.col(f"`{doc_id}`").cast("bigint"))), F.lit(bits)).alias("place"), F.col(f"`{text}`").cast("string").cast("binary").alias("t"))
+
+    def run(batches):
+        maker, seen, have = Shingles(words), set(), wanted.value
         for batch in batches:
+            place = np.array(batch.column(0))
+            batch = batch.filter(pa.array((have[place // 64] >> (place % 64).astype(np.uint64) & np.uint64(1)).astype(bool)))
+            if not batch.num_rows:
+                continue
             data, offsets = binary_parts(batch.column(1))
-            keep = np.zeros(batch.num_rows, bool)
-            nodes_ = np.array(batch.column(0)).view(np.uint64)
             for a, b in chunks(offsets):
                 keys, ends = maker.sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 starts = np.concatenate([[0], ends[:-1]])
-                n = ends - starts
-                some = np.flatnonzero(n > 0)
-                if len(some):
-                    found = mix(np.add.reduceat(mix(keys), starts[some]) + n[some].astype(np.uint64))
-                    keep[a + some] = found == nodes_[a + some]
-            yield batch.filter(pa.array(keep))
+                node = nodes_of(keys, starts, ends - starts)
+                out = []
+                for i in np.flatnonzero(ends > starts).tolist():
+                    if (x := int(node[i])) not in seen:
+                        seen.add(x)
+                        low = np.sort(keys[starts[i] : ends[i]] & np.uint64((1 << 48) - 1))
+                        out.append((i, low.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)[[i for i, _ in out]]), pa.array([k for _, k in out], pa.binary())], names=["node", "keys"])
 
-    texts = persist(texts.mapInArrow(own, "node bigint, t binary").dropDuplicates(["node"]), "texts")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
+    return source.mapInArrow(run, "node bigint, keys binary")
+
+
+def unpack(keys: bytes) -> np.ndarray:
+    """The sorted shingles of sets_of()."""
+    out = np.zeros((len(keys) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(keys, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64)[:, 0]
+
+
+def intersection(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted arrays share."""
+    if not len(x) or not len(y):
+        return 0
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int((y[at] == x).sum())
+
+
+def linking(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b: nodes) whose sets link; sets: node, keys."""
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("keys").alias("kb")), "b").join(sets.select(F.col("node").alias("a"), F.col("keys").alias("ka")), "a").select("a", "b", "ka", "kb")
 
     def run(batches):
-        maker = Shingles(words)
+        last, x = None, None
         for batch in batches:
-            da, oa = binary_parts(batch.column(2))
-            db, ob = binary_parts(batch.column(3))
             link = np.zeros(batch.num_rows, bool)
-            for p, q in chunks(oa + ob):
-                ka, ea = maker.sets(da[oa[p] : oa[q]], oa[p : q + 1] - oa[p])
-                kb, eb = maker.sets(db[ob[p] : ob[q]], ob[p : q + 1] - ob[p])
-                for i in range(q - p):
-                    x, y = ka[ea[i - 1] if i else 0 : ea[i]], kb[eb[i - 1] if i else 0 : eb[i]]
-                    if len(x) and len(y):  # the sorted intersection
-                        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                        link[p + i] = enough(int((y[at] == x).sum()), len(x), len(y), percent)
+            for i, a in enumerate(batch.column(0).to_pylist()):
+                if a != last:  # one center's pairs mostly stand together
+                    last, x = a, unpack(batch.column(2)[i].as_py())
+                y = unpack(batch.column(3)[i].as_py())
+                link[i] = enough(intersection(x, y), len(x), len(y), percent)
             kept = pa.array(link)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def differing(bits: dict[int, np.ndarray], place: np.ndarray, width: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -228,20 +355,52 @@ def differing(bits: dict[int, np.ndarray], place: np.ndarray, width: np.ndarray,
     for kind in np.unique(kinds):
         some = np.flatnonzero(kinds == kind)
         least = int(min(kind >> 32, kind & 0xFFFFFFFF))
-        for k in range(0, len(some), 1 << 17):
-            part = some[k : k + (1 << 17)]
+        step = max(1, (1 << 21) // least)
+        for k in range(0, len(some), step):
+            part = some[k : k + step]
             left, right = (fold(bits[int(w)][place[rows[part]]], least) for w, rows in ((kind >> 32, x), (kind & 0xFFFFFFFF, y)))
             out[part] = np.bitwise_count(left ^ right).sum(axis=1)
     return out
 
 
-def tile_pairs(rows: DataFrame, percent: int, most: int) -> DataFrame:
-    """a, b: pairs of nodes of different components of a tile whose sizes and bitmaps allow a link; of each two components in
-    a tile the `most` pairs with the greatest bounds. token: the tiles in which there are more (a and b are null then).
+def forests(x: np.ndarray, y: np.ndarray, n: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(chosen, left): edges, named by their place (earlier ones are better), of `most` edge-disjoint spanning forests of n
+    components, and those in none. x, y: the components of each edge.
+
+    In each step every component takes its best edge to another one, and what they join is one component in the next.
+    """
+    rest, chosen = np.arange(len(x)), []
+    for _ in range(most):
+        label, live, mine = np.arange(n), rest, []
+        while True:
+            cx, cy = label[x[live]], label[y[live]]
+            apart = cx != cy
+            live, cx, cy = live[apart], cx[apart], cy[apart]
+            if not len(live):
+                break
+            best = np.full(n, len(x))
+            np.minimum.at(best, cx, live)
+            np.minimum.at(best, cy, live)
+            pick = np.unique(best[best < len(x)])
+            mine.append(pick)
+            names, roots = forest(label[x[pick]], label[y[pick]])
+            new = np.arange(n)
+            new[names] = roots
+            label = new[label]
+        chosen += mine
+        rest = np.setdiff1d(rest, np.concatenate(mine), assume_unique=True)
+        if not len(rest):
+            break
+    return np.concatenate(chosen), rest
+
 
-    rows: token, i, j, own (the row's block), n, node, root, bitmap; all rows of a tile in one partition, sorted by token, i,
-    j, n. Tiles hold two blocks of bounded size. Pairs are formed for all tiles of a batch together, by their distance in the
-    order, as long as the later set is small enough to link.
+def tile_links(rows: DataFrame, percent: int, most: int) -> DataFrame:
+    """a, b: of each tile, pairs of nodes of different components whose sizes and bitmaps allow a link: `most` spanning forests of
+    its components, by the greatest bounds. token: the tiles in which there are more (a and b are null then).
+
+    rows: token, i, j, own (the row's block), n, node, root, bitmap; all rows of a token, i and j in one partition, sorted by
+    these and n. They hold two blocks of bounded size. Pairs are formed for all tiles of a batch together, by their distance
+    in the order, as long as the later set is small enough to link.
     """
 
     def compare(part: pa.Table):
@@ -274,15 +433,14 @@ def tile_pairs(rows: DataFrame, percent: int, most: int) -> DataFrame:
         x, y, bound = x[fits], y[fits], bound[fits]
         if not len(x):
             return
-        share = bound / (n[x] + n[y] - bound)
-        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
-        order = np.lexsort((node[y], node[x], -share, high, low, tile[x]))
-        x, y, low, high = x[order], y[order], low[order], high[order]
-        new = np.ones(len(x), bool)
-        new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (tile[x[1:]] != tile[x[:-1]])
-        rank = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
-        more = np.unique(token[x[rank >= most]])
-        x, y = x[rank < most], y[rank < most]
+        order = np.lexsort((node[y], node[x], -bound / (n[x] + n[y] - bound)))
+        x, y = x[order], y[order]
+        pairs = np.stack([np.concatenate([tile[x], tile[y]]), np.concatenate([root[x], root[y]])])
+        names, label = np.unique(pairs, axis=1, return_inverse=True)
+        label = label.reshape(-1)
+        chosen, rest = forests(label[: len(x)], label[len(x) :], names.shape[1], most)
+        more = np.unique(token[x[rest]])
+        x, y = x[chosen], y[chosen]
         a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
         for k in range(0, len(a), 50_000):
             size = len(a[k : k + 50_000])
@@ -307,73 +465,92 @@ def tile_pairs(rows: DataFrame, percent: int, most: int) -> DataFrame:
     return rows.select("token", "i", "j", "own", "n", "node", "root", "bitmap").mapInArrow(run, "a bigint, b bigint, token bigint")
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", buckets: int = 1 << 17, block: int = 1024, salts: int = 2) -> DataFrame:
+def dealt_blocks(here: DataFrame, block: int) -> DataFrame:
+    """here (token, node, n, root) without the tiles of one root, dealt into block pairs (own, i, j). In a tile of more than `block`
+    nodes those of its most frequent root are blocks of their own, which meet all other blocks but not each other."""
+    each = here.groupBy("token", "root").agg(F.count("*").alias("c"))
+    tiles = each.groupBy("token").agg(F.count("*").alias("roots"), F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("top")).where("roots > 1")
+    rows = here.join(tiles, "token").withColumn("main", (F.col("m") > block) & (F.col("root") == F.col("top.root")))
+    others = F.when(F.col("m") > block, F.ceil((F.col("m") - F.col("top.c")) / block)).otherwise(1).cast("int")
+    mains = F.when(F.col("m") > block, F.ceil(F.col("top.c") / block)).otherwise(0).cast("int")
+    rows = rows.withColumns({"others": others, "mains": mains, "h": F.xxhash64("node")})
+    own = F.when(F.col("main"), F.col("others") + F.pmod("h", "mains")).otherwise(F.pmod("h", "others")).cast("int")
+    meets = F.when(F.col("main"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1))
+    rows = rows.withColumns({"own": own, "other": F.explode(meets)})
+    return rows.select("token", "node", "n", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def sketch_size(rows: int) -> int:
+    """Buckets of the order's sketch: a power of two, one to eight documents, from 2**17 to 2**22 (a byte each is broadcast, and
+    twelve each reach the driver: 50 MB at most)."""
+    return 1 << min(22, max(17, (rows // 8).bit_length()))
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", buckets: int | None = None, block: int = 1024) -> DataFrame:
     """doc_id, n_shingles and component_id of every document.
 
-    buckets: numbers of the sketch (a power of two; the size of what is broadcast). block: most rows of a tile's block.
-    salts: pairs of further centers of each tile in the second pass of stars.
+    buckets: numbers of the sketch (a power of two; the default follows the number of rows). block: most rows of a tile's block.
     """
     spark = docs.sparkSession
-    counts = spark.sparkContext.broadcast(document_counts(docs, words, buckets, text))
-    signed = persist(signatures(docs, words, percent, counts, doc_id, text), "signatures")
+    ranks = spark.sparkContext.broadcast(shingle_ranks(docs, words, buckets or sketch_size(docs.count()), text))
+    signed = persist(signatures(docs, words, percent, ranks, doc_id, text), "signatures")
     filled = signed.where("n > 0")
-    nodes = persist(filled.groupBy("node").agg(F.min("doc_id").alias("min_doc"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "nodes")
+    nodes = persist(filled.groupBy("node").agg(F.min("doc_id").alias("min_doc"), F.first("n").alias("n"), F.first("bitmap", ignorenulls=True).alias("bitmap")), "nodes")
 
+    # A shingle whose bucket counts more than SPLIT is dealt by its nodes as well; part -1: all rows of the shingle are in one part.
     rows = filled.select("node", "n", F.explode("prefix").alias("token"))
-    shared = rows.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
-    tiles = persist(rows.join(shared, "token").dropDuplicates(["token", "node"]), "tiles")
-
-    def stars(here: DataFrame, salts: list[int]) -> DataFrame:
-        """Pairs of each tile's nodes with its centers, of other components and of sizes that can link. A node's value under an
-        exclusive or with a salt orders the nodes; the first and the last are centers."""
-        order = lambda salt: F.struct(F.col("node").bitwiseXOR(F.lit(salt)).alias("o"), "node", "n", "root")
-        ends = here.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.array(*[f(order(salt)) for salt in salts for f in (F.min, F.max)]).alias("centers")).where("x <> y")
-        spokes = here.join(ends, "token").select("node", "n", "root", F.explode("centers").alias("c"))
-        alike = 100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")
-        return spokes.where((F.col("root") != F.col("c.root")) & alike).groupBy(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).agg(F.count("*")).select("a", "b")
-
-    def signed_pairs(pairs: DataFrame) -> DataFrame:
-        left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("bits_a"))
-        right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("bits_b"))
-        return pairs.join(left, "a").join(right, "b")
-
-    tried = persist(bounded(signed_pairs(stars(tiles.withColumn("root", F.col("node")), [0])), percent), "tried")
-    links = persist(verified(tried, nodes, docs, words, percent, doc_id, text), "links")
-    known = persist(components(links), "known")
-
-    def placed() -> DataFrame:
-        return tiles.select("token", "node", "n").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rank = F.shiftrightunsigned("token", 56)
+    parts = F.when(rank > 8 * (SPLIT.bit_length() - 1), F.pow(F.lit(2.0), rank / 8 - (SPLIT.bit_length() - 1)).cast("int") + 1)
+    rows = rows.withColumn("part", F.coalesce(F.pmod(F.xxhash64("node"), parts), F.lit(-1)).cast("int"))
+    found = persist(shared_tokens(rows.repartition("token", "part").sortWithinPartitions("token", "part", "node")), "tokens")
+    ends = found.where("node is null").groupBy("token").agg(
+        F.sum(F.col("mark").cast("decimal(38,0)")).alias("mark"), F.sum("m").alias("m"), F.min(F.struct("low", "low_n")).alias("x"), F.max(F.struct("high", "high_n")).alias("y")
+    ).where("m > 1")
+    ends = ends.groupBy("m", F.expr("pmod(mark, 18446744073709551616)").alias("mark")).agg(F.min("token").alias("token"), F.first("x").alias("x"), F.first("y").alias("y"))
+    ends = persist(ends.select("token", "x", "y"), "ends")
+    tiles = persist(found.where("node is not null").select("token", "node", "n").join(ends.select("token"), "token"), "tiles")
+    free(found)
+
+    links = tried = known = None
 
     def prove(pairs: DataFrame) -> None:
         """Verifies pairs that no pass has tried, and contracts what links."""
-        nonlocal tried, links, known
-        new = persist(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
-        proven = persist(verified(new, nodes, docs, words, percent, doc_id, text), "links")
-        tried, links = tried.unionByName(new), links.unionByName(proven)
-        known = persist(components(links), "known")
-
-    if salts:  # further stars, with other centers
-        prove(bounded(signed_pairs(stars(persist(placed(), "placed"), [turn * 0x5851F42D4C957F2D % (1 << 63) for turn in range(1, salts + 1)])), percent))
+        nonlocal links, tried, known
+        new = persist(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "tried")
+        wanted = new.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "min_doc"), "node")
+        sets = persist(sets_of(wanted, docs, words, doc_id, text), "sets")
+        proven = persist(linking(new, sets, percent), "links")
+        free(sets)
+        links, tried = (proven, new) if links is None else (links.unionByName(proven), tried.unionByName(new))
+        before, known = known, persist(components(links), "known")
+        if before is not None:
+            free(before)
+
+    # Stars: each tile's nodes against its least and its greatest node.
+    spokes = tiles.join(ends, "token").select("node", "n", F.explode(F.array(F.struct(F.col("x.low").alias("c"), F.col("x.low_n").alias("cn")), F.struct(F.col("y.high").alias("c"), F.col("y.high_n").alias("cn")))).alias("e")).select("node", "n", "e.c", "e.cn")
+    alike = 100 * F.least("n", "cn") >= percent * F.greatest("n", "cn")
+    stars = spokes.where((F.col("node") != F.col("c")) & alike).groupBy(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).agg(F.count("*")).select("a", "b")
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("bits_a"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("bits_b"))
+    prove(bounded(stars.join(left, "a").join(right, "b"), percent))
 
     most, again = 1, None
     while True:
-        here = placed() if again is None else placed().join(again, "token", "left_semi")
-        here = persist(here, "placed")
-        open_ = here.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y")
-        dealt = here.join(open_, "token").withColumn("blocks", F.ceil(F.col("m") / F.lit(block)).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", "node", "n", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        dealt = dealt.join(nodes.select("node", "bitmap"), "node")
-        found = persist(tile_pairs(dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "node"), percent, most), "found")
-        prove(found.where("token is null").select("a", "b").distinct())
-        again = found.where("token is not null").select("token").distinct()
+        here = tiles if again is None else tiles.join(again, "token", "left_semi")
+        here = persist(here.join(known, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+        dealt = dealt_blocks(here, block).join(nodes.select("node", "bitmap"), "node")
+        sent = persist(tile_links(dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "node"), percent, most), "sent")
+        prove(sent.where("token is null").select("a", "b").distinct())
+        free(here)
+        before, again = again, persist(sent.where("token is not null").select("token").distinct(), "again")
+        free(sent, *([before] if before is not None else []))
         if again.isEmpty():
             break
         most *= 8
-    roots = known
 
-    named = nodes.select("node", "min_doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = persist(named, "named")
+    named = persist(nodes.select("node", "min_doc").join(known, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+    free(tiles, ends, nodes)
     least = named.groupBy("root").agg(F.min("min_doc").alias("component_id"))
-    found = named.join(least, "root").select("node", "component_id")
-    linked = signed.where("n > 0").select("doc_id", "n", "node").join(found, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    result = named.join(least, "root").select("node", "component_id")
+    linked = signed.where("n > 0").select("doc_id", "n", "node").join(result, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.unionByName(signed.where("n = 0").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id")))

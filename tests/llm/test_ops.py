@@ -124,6 +124,71 @@ def test_jaccard_against_brute_force(spark, words, percent, block):
     assert got == want
 
 
+def test_jaccard_of_a_large_group(spark, monkeypatch):
+    """A tile of thousands of near copies, of which only some link, in blocks, and shingles dealt over several parts."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(900)}" for _ in range(60)]
+    texts = []
+    for _ in range(2500):
+        copy = list(base)
+        for _ in range(rng.randint(0, 4)):
+            copy[rng.randrange(len(copy))] = f"w{rng.randrange(900)}"
+        texts.append(" ".join(copy))
+    monkeypatch.setattr(jaccard, "SPLIT", 256)
+    columns = {t: k for k, t in enumerate({tuple(t.split()[i : i + 4]) for t in texts for i in range(57)})}
+    bits = np.zeros((len(texts), len(columns)), np.float32)
+    for i, t in enumerate(texts):
+        w = t.split()
+        bits[i, [columns[tuple(w[k : k + 4])] for k in range(57)]] = 1
+    both, size = bits @ bits.T, bits.sum(axis=1)
+    link = 100 * both >= 85 * (size[:, None] + size[None] - both)
+    root = np.arange(len(texts))
+    while True:
+        new = np.array([root[row].min() for row in link])
+        if (new == root).all():
+            break
+        root = new
+    assert 2 < len(np.unique(root)) < len(texts)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs_of(spark, texts).repartition(5), 4, 85, block=300).collect()}
+    assert got == dict(enumerate(root.tolist()))
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_shared_tokens_whatever_the_batches(spark, size):
+    rng = random.Random(size)
+    rows = [(t, p, rng.randrange(9)) for t, p in ((rng.randrange(12), rng.choice([-1, -1, 0, 1])) for _ in range(90))]
+    rows = [(t if p < 0 else t + 100, p, v, 5 + v) for t, p, v in rows]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        dealt = spark.createDataFrame(rows, "token bigint, part int, node bigint, n bigint").repartition("token", "part").sortWithinPartitions("token", "part", "node")
+        got = [tuple(r) for r in jaccard.shared_tokens(dealt).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = collections.defaultdict(set)
+    for t, p, v, _ in rows:
+        groups[t, p].add(v)
+    shown = {k: v for k, v in groups.items() if len(v) > 1 or k[1] >= 0}
+    assert sorted(r[:3] for r in got if r[1] is not None) == sorted((t, v, 5 + v) for (t, _), m in shown.items() for v in m)
+    ends = sorted((r[0], r[4], r[5], r[6], r[7], r[8]) for r in got if r[1] is None)
+    assert ends == sorted((t, len(m), min(m), 5 + min(m), max(m), 5 + max(m)) for (t, _), m in shown.items())
+    marks = collections.defaultdict(set)
+    for (t, p), m in shown.items():
+        marks[frozenset(m)] |= {r[3] for r in got if r[1] is None and r[0] == t and r[4] == len(m) and r[5] == min(m) and r[7] == max(m)}
+    alone = [m for m in marks if sum(len(o) == len(m) and min(o) == min(m) and max(o) == max(m) for o in marks) == 1]
+    assert all(len(marks[m]) == 1 for m in alone)
+
+
+def test_forests_span_and_are_disjoint():
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 40, 400), rng.integers(0, 40, 400)
+    x, y = x[x != y], y[x != y]
+    chosen, rest = jaccard.forests(x, y, 40, 3)
+    assert sorted([*chosen, *rest]) == list(range(len(x))) and len(chosen) <= 3 * 39
+    first, _ = jaccard.forests(x, y, 40, 1)
+    _, roots = graph.forest(x[first], y[first])
+    assert len(np.unique(roots)) == len(np.unique(graph.forest(x, y)[1])) and len(first) == len(roots) - len(np.unique(roots))
+
+
 def test_jaccard_edges(spark):
     assert jaccard.jaccard_components(docs_of(spark, [])).count() == 0
     same = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (None, "other words that stand quite alone here")], "doc_id bigint, text string")
