@@ -12,7 +12,7 @@ overlap from above; pairs whose bound is too small go.
 Verification. What is left is decided by intersecting the sorted shingle arrays of the two whole texts.
 
 Equal sets are one node from the start. A first pass tries each tile's nodes against the tile's least and greatest node only;
-what links is contracted. Further passes take the tiles in which more than one component is left, compare their nodes of
+what links is contracted. Further passes take the tiles in which more than one component is left, compare their other nodes of
 different components by their bitmaps, and send on a spanning forest of the components, best bounds first (then 8, 64, ...
 edge-disjoint ones in tiles where a pair that was sent did not link), so that what leaves a tile grows with its nodes, not
 with their pairs. Tiles of any size are cut into block pairs; none is capped. A tile is done when no pair is left that is
@@ -97,8 +97,8 @@ def nodes_of(keys: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def width_of(n: np.ndarray) -> np.ndarray:
-    """Bits of the bitmap of a set of n shingles: a power of two, four to eight times n, from 64 to WIDEST."""
-    return np.minimum(WIDEST, np.int64(4) << np.maximum(4, np.ceil(np.log2(np.maximum(n, 1)))).astype(np.int64))
+    """Bits of the bitmap of a set of n shingles: a power of two, two to four times n, from 64 to WIDEST."""
+    return np.minimum(WIDEST, np.int64(2) << np.maximum(5, np.ceil(np.log2(np.maximum(n, 1)))).astype(np.int64))
 
 
 def bitmaps(keys: np.ndarray, ends: np.ndarray) -> list[bytes]:
@@ -507,7 +507,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, doc_i
         F.sum(F.col("mark").cast("decimal(38,0)")).alias("mark"), F.sum("m").alias("m"), F.min(F.struct("low", "low_n")).alias("x"), F.max(F.struct("high", "high_n")).alias("y")
     ).where("m > 1")
     ends = ends.groupBy("m", F.expr("pmod(mark, 18446744073709551616)").alias("mark")).agg(F.min("token").alias("token"), F.first("x").alias("x"), F.first("y").alias("y"))
-    ends = persist(ends.select("token", "x", "y"), "ends")
+    ends = persist(ends.select("token", "m", "x", "y"), "ends")
     tiles = persist(found.where("node is not null").select("token", "node", "n").join(ends.select("token"), "token"), "tiles")
     free(found)
 
@@ -533,10 +533,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, doc_i
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("bits_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("bits_b"))
     prove(bounded(stars.join(left, "a").join(right, "b"), percent))
+    # A center's pairs are decided: what is left are the other nodes of tiles of four nodes or more.
+    inner = persist(tiles.join(ends.where("m > 3"), "token").where("node <> x.low and node <> y.high").select("token", "node", "n"), "inner")
+    free(tiles, ends)
 
     most, again = 1, None
     while True:
-        here = tiles if again is None else tiles.join(again, "token", "left_semi")
+        here = inner if again is None else inner.join(again, "token", "left_semi")
         here = persist(here.join(known, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
         dealt = dealt_blocks(here, block).join(nodes.select("node", "bitmap"), "node")
         sent = persist(tile_links(dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "node"), percent, most), "sent")
@@ -549,7 +552,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, doc_i
         most *= 8
 
     named = persist(nodes.select("node", "min_doc").join(known, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
-    free(tiles, ends, nodes)
+    free(inner, nodes)
     least = named.groupBy("root").agg(F.min("min_doc").alias("component_id"))
     result = named.join(least, "root").select("node", "component_id")
     linked = signed.where("n > 0").select("doc_id", "n", "node").join(result, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
