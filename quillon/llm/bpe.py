@@ -19,16 +19,14 @@ import sys
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import binary_parts, chunks
 
-# States, symbols, and the code points of Unicode's White_Space property.
+# States and symbols.
 FREE, LETTERS, NUMBERS, OTHERS, SPACES, PREFIX, ONE_MORE, TWO_MORE = range(8)
 NONE = 1 << 40
 LETTER, NUMBER, OTHER, QUOTE_1, QUOTE_2, LAST_BLANK, LAST_SPACE, SPACE = range(8)
-WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
 
 def _step(state: int, symbol: int) -> tuple[int, bool]:
@@ -51,17 +49,24 @@ def _step(state: int, symbol: int) -> tuple[int, bool]:
     return SPACES, state != SPACES
 
 
+def kinds_of_points() -> np.ndarray:
+    """The kind of every code point by the tables that tiktoken itself has: an encoding of single bytes whose pattern is a class gives
+    ids for the text's members of the class and none for the rest. Once a process."""
+    import tiktoken
+
+    kinds = np.full(sys.maxunicode + 1, OTHER, np.uint8)
+    every = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
+        found = tiktoken.Encoding(f"class{kind}", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={}).encode_ordinary(every)
+        kinds[np.frombuffer(bytes(found).decode().encode("utf-32-le"), np.uint32)] = kind
+    return kinds
+
+
 class Scanner:
     """Finds the pieces of texts; one instance per process."""
 
     def __init__(self):
-        kinds = np.full(sys.maxunicode + 1, OTHER, np.uint8)
-        every = "".join(map(chr, range(sys.maxunicode + 1)))
-        for kind, property_ in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):  # once a process; the tables of this library are the newest here
-            for m in regex.finditer(property_, every):
-                kinds[m.start() : m.end()] = kind
-        kinds[list(WHITE_SPACE)] = SPACE
-        self.kinds = kinds
+        self.kinds = kinds_of_points()
         # Symbols 8..15 are 0..7 at the first character of a text: they forget the state before.
         functions = [tuple(_step(s, x)[0] for s in range(8)) for x in range(8)] + [(_step(FREE, x)[0],) * 8 for x in range(8)]
         self.opens = np.array([[_step(s, x)[1] for s in range(8)] for x in range(8)] + [[True] * 8] * 8, bool)
