@@ -27,13 +27,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from .common import new_path
+from .common import new_path, persist
 
 # Fixed values of the seekable format: magic numbers of the skippable frame and of the seek table's footer.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 WARC_DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+#: Packed bytes of frames that one task reads (several times as much when unpacked, but one frame at a time).
+TASK_BYTES = 4 << 20
+
 INDEX = "record_id string, page_id bigint, bundle string, frame int, frame_at bigint, frame_bytes bigint, record_at bigint, record_bytes bigint"
 RECORD = "record_id string, page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, payload binary"
 
@@ -287,16 +290,22 @@ def scan_archives(spark: SparkSession, path: str, check: bool = True) -> DataFra
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64()))], names=["bundle", "frame_at", "frame_bytes"])
 
-    listed = bundles.mapInArrow(frames, "bundle string, frame_at bigint, frame_bytes bigint")
-    spread = listed.repartition("bundle", "frame_at").sortWithinPartitions("bundle", "frame_at")
-    return _read(spread, path, False, check)
+    listed = persist(bundles.mapInArrow(frames, "bundle string, frame_at bigint, frame_bytes bigint"), "frames")
+    return _read(_spread(listed, TASK_BYTES).sortWithinPartitions("bundle", "frame_at"), path, False, check)
+
+
+def _spread(spots: DataFrame, task_bytes: int) -> DataFrame:
+    """The spots dealt by frame over as many tasks as their frames' packed bytes ask for. The number is given, so that Spark does not
+    coalesce what is a short list of much work."""
+    total = spots.select("bundle", "frame_at", "frame_bytes").distinct().agg(F.sum("frame_bytes")).first()[0] or 0
+    return spots.repartition(max(1, -(-total // task_bytes)), "bundle", "frame_at")
 
 
 def lookup(spark: SparkSession, path: str, record_ids: DataFrame, check: bool = True) -> DataFrame:
     """The records with the given ids (column record_id), each by its frame alone."""
     index = spark.read.schema(T.StructType.fromDDL(INDEX)).parquet(f"{path}/index")
-    spots = index.join(record_ids.select("record_id").distinct(), "record_id", "left_semi").select("bundle", "frame_at", "frame_bytes", "record_at")
-    return _read(spots.repartition("bundle", "frame_at").sortWithinPartitions("bundle", "frame_at", "record_at"), path, True, check)
+    spots = persist(index.join(record_ids.select("record_id").distinct(), "record_id", "left_semi").select("bundle", "frame_at", "frame_bytes", "record_at"), "spots")
+    return _read(_spread(spots, TASK_BYTES).sortWithinPartitions("bundle", "frame_at", "record_at"), path, True, check)
 
 
 def archive_path(spark: SparkSession) -> str:
