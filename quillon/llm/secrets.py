@@ -2,7 +2,8 @@
 
 Base spans are the leftmost non-overlapping matches of three patterns (assign, access, hex), each kept if long enough.
 Candidates of base64 and hex are then decoded, and what they hold is parsed before it is reported: nested DER lengths of
-keys and certificates, the length-prefixed strings of SSH keys, PEM bodies, and the JSON headers of signed tokens. Base
+keys and certificates, the length-prefixed strings of SSH keys, PEM bodies (whose headers may say that they are sealed: then the cipher's block
+size), base64 in either alphabet over one line or several, and the JSON headers of signed tokens. Base
 spans are never taken away; each says in `confirmed` what its value decodes to.
 
 Null texts count as empty and have no spans; texts are scanned whole; repeated rows give repeated results; equal spans of
@@ -30,10 +31,11 @@ LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 KINDS = ("assign", "access", "hex", "token", "pem", "der", "ssh")
 
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]*)-----END \1-----")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----\s*((?:[A-Za-z0-9-]{1,40}: [^\n]*\n)*)([A-Za-z0-9+/=\s]*)-----END \1-----")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
 HEX_ANY = re.compile(r"(?:[0-9a-f]{40,}|[0-9A-F]{40,})")
 SSH_TYPES = ("ssh-rsa", "ssh-dss", "ssh-ed25519", "ecdsa-sha2-nistp256", "ecdsa-sha2-nistp384", "ecdsa-sha2-nistp521")
+_SSH_NAMES = {x.encode() for x in SSH_TYPES}
 
 
 def unbase64(text: str) -> bytes | None:
@@ -101,11 +103,55 @@ def ssh_strings(raw: bytes) -> list[bytes] | None:
     return out
 
 
+def is_openssh_key(raw: bytes) -> bool:
+    """The private key format: cipher, derivation and its options as strings, a count, so many public keys and one private section,
+    each by its length, and nothing after them. The public keys hold strings, the first a type of key."""
+    at, magic = 0, b"openssh-key-v1\0"
+    if not raw.startswith(magic):
+        return False
+    at, parts, wanted = len(magic), [], 3
+    while len(parts) < wanted:
+        if len(parts) == 3 and wanted == 3 or at + 4 > len(raw):
+            return False
+        size = int.from_bytes(raw[at : at + 4])
+        if at + 4 + size > len(raw):
+            return False
+        parts.append(raw[at + 4 : at + 4 + size])
+        at += 4 + size
+        if len(parts) == 3:
+            keys = int.from_bytes(raw[at : at + 4])
+            if at + 4 > len(raw) or not 1 <= keys <= 64:
+                return False
+            at, wanted = at + 4, 3 + keys + 1
+    public = [ssh_strings(p) for p in parts[3:-1]]
+    return at == len(raw) and all(p and len(p) >= 2 and p[0] in _SSH_NAMES for p in public) and len(parts[-1]) >= 8
+
+
+def unwrapped(found: str) -> tuple[str, int] | None:
+    """(kind, characters) of a key that base64 over one line or several begins with. DER says its own length, so what follows it on
+    later lines is not taken; the others must fill the first line or all lines."""
+    body = "".join(found.split())
+    if (head := unbase64(body[:12])) and head[0] == 0x30 and (outer := der_length(head, 1)):
+        chars = -(-(outer[0] + outer[1]) * 4 // 3)
+        if chars <= len(body) and structure(unbase64(body[:chars])):
+            at = taken = 0
+            while taken < chars:
+                taken += not found[at].isspace()
+                at += 1
+            while at < len(found) and found[at] == "=":
+                at += 1
+            return "der", at
+    for part in dict.fromkeys((found, found.split("\n", 1)[0].rstrip("\r"))):
+        if what := structure(unbase64("".join(part.split()))):
+            return what, len(part)
+    return None
+
+
 def structure(raw: bytes | None) -> str | None:
     """What decoded bytes hold: der, ssh, or None."""
     if not raw:
         return None
-    if raw.startswith(b"openssh-key-v1\0") or ((parts := ssh_strings(raw)) and len(parts) >= 2 and parts[0] in [x.encode() for x in SSH_TYPES]):
+    if is_openssh_key(raw) or ((parts := ssh_strings(raw)) and len(parts) >= 2 and parts[0] in _SSH_NAMES):
         return "ssh"
     return "der" if is_key_der(raw) else None
 
@@ -148,11 +194,13 @@ def scan(text: str) -> list[tuple[str, int, int, str | None]]:
                 found["token", m.start(), m.end()] = "token"
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            if what := structure(unbase64("".join(m[2].split()))):
+            raw = unbase64("".join(m[3].split()))
+            sealed = "ENCRYPTED" in m[2] and "DEK-Info: " in m[2] and raw is not None and len(raw) >= 32 and len(raw) % 8 == 0
+            if what := "encrypted" if sealed else structure(raw):
                 found["pem", m.start(), m.end()] = what
     for m in BASE64.finditer(text):
-        if what := structure(unbase64(m[0])):
-            found[what, m.start(), m.end()] = what
+        if what := unwrapped(m[0]):
+            found[what[0], m.start(), m.start() + what[1]] = what[0]
     for m in HEX_ANY.finditer(text):
         if len(m[0]) % 2 == 0 and (what := structure(bytes.fromhex(m[0]))):
             found[what, m.start(), m.end()] = what
