@@ -4,14 +4,17 @@ Each source gets a target (words) by water-filling: the whole is shared by weigh
 size, and the excess is shared again by weight among the others. A document of a source with target r times its size is
 copied floor(r) times for sure and once more with probability r - floor(r). These fractional copies are rounded
 dependently: two sides exchange mass, measured in words, until one of them is whole (the pivotal step), so the source's
-words stay what they were and every copy keeps its probability. Documents are dealt in chunks of bounded size, in which
-each document, largest first, is paired with all smaller ones; a chunk leaves at most one fractional document, a small one, and those residuals are combined, chunk by chunk, in a tree of bounded
-fan-in until each source has one, which a coin rounds. A source's words miss its target by less than that document's size.
+words stay what they were and every copy keeps its probability. Documents are dealt in chunks of bounded size. In a chunk, where all
+start with one probability, each document, largest first, is paired with the pool of all smaller ones (which keep one common
+probability, so that a pair's step is one for the pool); a chunk leaves at most one fractional document, a small one. Those residuals
+are paired one with the next, chunk by chunk, in a tree of bounded fan-in until each source has one, which a coin rounds. A source's
+words miss its target by less than that document's size.
 
 Defined results: null and empty texts have size 0 and are never copied; a null source is a source of its own, last in
 order; repeated rows are documents of their own; a table without words has targets 0; an empty table gives an empty one;
-columns other than the id and the source are dropped, so clashing names do no harm. All draws are hashes of the seed, the
-source, the chunk and the step: reruns agree whatever the partitioning.
+columns other than the id, the source and those to carry are dropped, so clashing names do no harm. Documents are dealt and ordered by
+hashes of their id and text, and all draws are hashes of the seed, the source, the chunk and the step: reruns agree whatever the
+partitioning or the order of the rows. Rows equal in id and text are told apart by an ordinal only, so which of them is copied more often is open.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import WORD, persist
 
@@ -28,11 +31,12 @@ from .common import WORD, persist
 WEIGHTS = (5, 2, 1)
 
 
-def sizes(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """doc_id, source and size: the number of words of the whole text."""
+def sizes(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size (the number of words of the whole text), key (a hash of id and text) and the carried columns."""
+    body = F.col(f"`{text}`").cast("string")
     return docs.select(
         F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(f"`{text}`").cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
+        F.coalesce(F.regexp_count(body, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), F.xxhash64(f"`{doc_id}`", body).alias("key"), *[F.col(f"`{c}`") for c in carry],
     )
 
 
@@ -116,20 +120,18 @@ def pivot_even(p: float, size: list[int], seed: tuple) -> tuple[list[float], int
     return out, -1
 
 
-SETTLED = "doc_id {id}, source string, size bigint, row bigint, p double, done boolean"
-
-
 def round_copies(fractional: DataFrame, seed: int, chunk: int) -> DataFrame:
-    """fractional: doc_id, source, size > 0, row (unique in a source), p; returns the rows with p rounded to 0 or 1.
+    """fractional: source, size > 0, key, ordinal (unique with the key in a source), p and other columns; returns the rows with p
+    rounded to 0 or 1.
 
     Level 0 deals documents by their hash into chunks of about `chunk`; level n deals the residuals of level n - 1. The number
     of levels is the logarithm of the largest source's count, read as one number.
     """
-    kind = fractional.schema["doc_id"].dataType.simpleString()
+    schema = T.StructType([*fractional.schema.fields, T.StructField("done", T.BooleanType())])
 
     def settle(level: int, final: bool):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["size", "row"], ascending=[False, True], kind="stable").reset_index(drop=True)
+            pdf = pdf.sort_values(["size", "key", "ordinal"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
             key = (seed, level, str(pdf["source"].iloc[0]), int(pdf["part"].iloc[0]))
             p, held = pivot_even(float(pdf["p"].iloc[0]), pdf["size"].tolist(), key) if level == 0 else pivot(pdf["p"].tolist(), pdf["size"].tolist(), key)
             done = np.ones(len(pdf), bool)
@@ -138,20 +140,20 @@ def round_copies(fractional: DataFrame, seed: int, chunk: int) -> DataFrame:
                     p[held] = float(_draw(*key, "last") < p[held])
                 else:
                     done[held] = False
-            return pdf.assign(p=p, done=done)[["doc_id", "source", "size", "row", "p", "done"]]
+            return pdf.assign(p=p, done=done)[schema.names]
 
         return run
 
     largest = fractional.groupBy("source").count().agg(F.max("count")).first()[0] or 0
-    settled, rest, level = None, fractional.select("doc_id", "source", "size", "row", "p"), 0
+    settled, rest, level = None, fractional, 0
     while True:
         final = largest <= chunk
         parts = 1 if final else -(-largest // chunk)
         # A small source has one chunk as well as a large one: parts follow the source's own count.
         counts = rest.groupBy("source").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(chunk))).cast("bigint").alias("parts"))
         dealt = rest.join(counts, rest["source"].eqNullSafe(counts["source"])).select(rest["*"], "parts")
-        dealt = dealt.withColumn("part", F.pmod(F.xxhash64("row", F.lit(seed), F.lit(level)), "parts"))
-        done = persist(dealt.groupBy("source", "part").applyInPandas(settle(level, final), SETTLED.format(id=kind)), f"pivot-{level}")
+        dealt = dealt.withColumn("part", F.pmod(F.xxhash64("key", "ordinal", F.lit(seed), F.lit(level)), "parts"))
+        done = persist(dealt.groupBy("source", "part").applyInPandas(settle(level, final), schema), f"pivot-{level}")
         finished = done.where("done").drop("done")
         settled = finished if settled is None else settled.unionByName(finished)
         if final:
@@ -159,18 +161,20 @@ def round_copies(fractional: DataFrame, seed: int, chunk: int) -> DataFrame:
         rest, largest, level = done.where("not done").drop("done"), parts, level + 1
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 17, chunk: int = 4096, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """doc_id, source, size, row, source_size, target, copies and taken (copies * size) of every document.
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 17, chunk: int = 4096, doc_id: str = "doc_id", source: str = "source", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken (copies * size) and the carried columns of every document.
 
     chunk: most documents, and most residuals, that one task rounds together (its memory bound).
     """
-    rows = persist(sizes(docs, doc_id, source, text).withColumn("row", F.monotonically_increasing_id()), "sizes")
+    rows = persist(sizes(docs, doc_id, source, text, carry), "sizes")
     shares = targets(rows, weights, most)
     joined = rows.join(shares, rows["source"].eqNullSafe(shares["source"])).select(rows["*"], "source_size", "target")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = joined.withColumn("ratio", F.when(F.abs(ratio - F.round(ratio)) < 1e-9, F.round(ratio)).otherwise(ratio)).withColumn("sure", F.floor("ratio"))
-    planned = persist(joined.withColumn("p", F.when(F.col("size") > 0, F.col("ratio") - F.col("sure")).otherwise(0.0)), "planned")
-    rounded = round_copies(planned.where("p > 0").select("doc_id", "source", "size", "row", "p"), seed, chunk)
-    extra = rounded.where("p = 1").select("row", F.lit(1).alias("extra"))
-    copies = F.when(F.col("size") > 0, F.col("sure") + F.coalesce("extra", F.lit(0))).otherwise(0).cast("bigint")
-    return planned.join(extra, "row", "left").select("doc_id", "source", "size", "row", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    joined = joined.withColumn("p", F.when(F.col("size") > 0, F.col("ratio") - F.col("sure")).otherwise(0.0)).drop("ratio")
+    ordinal = F.row_number().over(Window.partitionBy("source", "key").orderBy("doc_id", *carry))
+    fractional = persist(joined.where("p > 0").withColumn("ordinal", ordinal).withColumn("doc_id", F.col("doc_id").cast("string")), "fractional")  # ids with nulls would be floats in pandas
+    rounded = round_copies(fractional, seed, chunk).drop("ordinal").withColumn("doc_id", F.col("doc_id").cast(joined.schema["doc_id"].dataType))
+    settled = rounded.unionByName(joined.where("p = 0"))
+    copies = F.when(F.col("size") > 0, F.col("sure") + F.col("p").cast("bigint")).otherwise(0).cast("bigint")
+    return settled.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *[F.col(f"`{c}`") for c in carry])
