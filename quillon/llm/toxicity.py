@@ -5,10 +5,10 @@ several widths run over the words, each filter's strongest response in the text
 a bounded sample of labelled rows; embeddings start at zero but for one dimension, which starts at the word's log odds in the
 sample, so words never seen add nothing. A threshold is set for each language
 on labelled rows kept out of training, and the score is moved so that 0.5 is the threshold. The language comes from the
-text's function words; labels, the language column, sources and ids are never inputs of a score.
+text's function words, and a text with none of them has the threshold of all; labels, the language column, sources and ids are never inputs of a score.
 
-Sample: at most `most` rows of each label, by the order of their ids' hashes (a documented bound of the fit alone: every row
-of the table is scored, over its whole text). Null texts count as empty; empty texts get the score of no evidence; where only one
+Sample: at most `most` rows and `most_bytes` bytes of whole texts of each label, by the order of their ids' hashes (a documented bound of
+the fit alone, and of what reaches the driver: every row of the table is scored, over its whole text). Null texts count as empty; empty texts get the score of no evidence; where only one
 label is known every score is that label's share; labels without a document or value are ignored, a document with several labels counts
 as toxic if one says so; repeated rows get equal scores; an empty table gives an empty one.
 """
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import binary_parts, chunks, scan_words
 
@@ -76,7 +76,7 @@ def prepare(data: np.ndarray, offsets: np.ndarray, speaks: np.ndarray) -> Batch:
     first[place] = (hashes & np.uint64(ROWS - 1)).astype(np.int64)
     second[place] = ((hashes * _SECOND) >> np.uint64(46)).astype(np.int64)
     votes = np.bincount(rows * 8 + speaks[first[place]], minlength=8 * n).reshape(n, 8)[:, 1 : 1 + len(LANGUAGES)] if n else np.zeros((0, len(LANGUAGES)))
-    return Batch(first, second, starts, votes.argmax(axis=1) if n else np.zeros(0, np.int64))
+    return Batch(first, second, starts, np.where(votes.max(axis=1, initial=0) > 0, votes.argmax(axis=1), len(LANGUAGES)) if n else np.zeros(0, np.int64))
 
 
 class Network:
@@ -90,7 +90,7 @@ class Network:
         self.bias = np.full(FILTERS * len(WIDTHS), 0.05, np.float32)
         self.out = rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32)
         self.rest = np.float32(-1.0)
-        self.thresholds = np.zeros(len(LANGUAGES))
+        self.thresholds = np.zeros(len(LANGUAGES) + 1)  # the last: texts without a vote for any language
 
     def start(self, first: np.ndarray, second: np.ndarray, evidence: np.ndarray) -> None:
         """Half of each word's evidence goes into the first dimension of each of its rows, which the first filter reads."""
@@ -109,13 +109,17 @@ class Network:
     def logits(self, b: Batch) -> np.ndarray:
         if not len(b.starts):
             return np.zeros(0)
-        pooled = np.maximum.reduceat(self.windows(b) @ self.filters, b.starts, axis=0)
+        response = self.windows(b) @ self.filters
+        ends = np.append(b.starts[1:], len(b.first))
+        for d in range(1, max(WIDTHS)):  # windows that begin at the last pads would reach into the next text
+            response[ends - d] = -np.inf
+        pooled = np.maximum.reduceat(response, b.starts, axis=0)
         return np.maximum(pooled + self.bias, 0) @ self.out + self.rest
 
     def train(self, b: Batch, labels: np.ndarray, memory: dict, rate: float = 0.03) -> None:
         x = self.windows(b)
         response = x @ self.filters + self.bias
-        ends = np.append(b.starts[1:], len(b.first))
+        ends = np.append(b.starts[1:], len(b.first)) - (max(WIDTHS) - 1)
         top = np.stack([s + response[s:e].argmax(axis=0) for s, e in zip(b.starts, ends)])  # text x filter
         columns = np.arange(response.shape[1])[None, :]
         pooled = np.maximum(response[top, columns], 0)
@@ -197,7 +201,7 @@ def fit(texts: list[bytes], labels: np.ndarray, kept_out: np.ndarray, steps: int
     held = np.flatnonzero(kept_out) if kept_out.any() else rows
     parts = [made(held[k : k + 64]) for k in range(0, len(held), 64)]
     logits, language = np.concatenate([net.logits(p) for p in parts]), np.concatenate([p.language for p in parts])
-    overall = best_threshold(logits, labels[held])
+    overall = net.thresholds[-1] = best_threshold(logits, labels[held])
     for k in range(len(LANGUAGES)):
         mine = language == k
         share = min(1.0, labels[held][mine].sum() / 50)  # few examples: lean on the threshold of all
@@ -205,11 +209,16 @@ def fit(texts: list[bytes], labels: np.ndarray, kept_out: np.ndarray, steps: int
     return net
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = 3000, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """id, label, kept_out and text of at most `most` labelled rows of each label, none of them held out."""
+def sample(docs: DataFrame, labels: DataFrame, most: int = 3000, most_bytes: int = 32 << 20, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """id, label, kept_out and text of at most `most` labelled rows of each label, none of them held out: the first by their ids'
+    hashes whose whole texts together have at most `most_bytes` bytes a label."""
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).alias("label")).where(~is_held_out(F.col("id")))
     chosen = known.where("label = 1").orderBy(F.xxhash64("id"), "id").limit(most).unionByName(known.where("label = 0").orderBy(F.xxhash64("id"), "id").limit(most))
-    return chosen.join(docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").cast("binary").alias("text")), "id").select("id", "label", (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4)) == 0).alias("kept_out"), "text")
+    found = chosen.join(docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").cast("binary").alias("text")), "id")
+    lengths = found.select("id", "label", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).groupBy("id", "label").agg(F.sum("bytes").alias("bytes"))
+    so_far = F.sum("bytes").over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))  # at most `most` rows a label
+    fits = lengths.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).select("id")
+    return found.join(fits, "id").select("id", "label", (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4)) == 0).alias("kept_out"), "text")
 
 
 def score(docs: DataFrame, model: Network | float, text: str = "text") -> DataFrame:
@@ -235,9 +244,9 @@ def score(docs: DataFrame, model: Network | float, text: str = "text") -> DataFr
     return source.mapInArrow(run, T.StructType([*[source.schema[c] for c in keep], T.StructField("score", T.DoubleType())]))
 
 
-def classify(docs: DataFrame, labels: DataFrame, most: int = 3000, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, most: int = 3000, most_bytes: int = 32 << 20, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    rows = sample(docs, labels, most, doc_id, text, label).toPandas().sort_values("id")
+    rows = sample(docs, labels, most, most_bytes, doc_id, text, label).toPandas().sort_values("id")
     model = fit([bytes(x) if x is not None else b"" for x in rows["text"]], rows["label"].to_numpy(np.int64), rows["kept_out"].to_numpy(bool))
     scored = score(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), model)
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
