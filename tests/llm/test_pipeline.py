@@ -35,3 +35,21 @@ def test_stages(spark, tmp_path):
     assert mixed.columns == docs.columns and mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
     final = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert len(final) == mixed.count() and all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) // 4 for r in final)
+
+
+def test_stages_of_odd_tables(spark, tmp_path):
+    """Empty tables, null and repeated ids, repeated rows and further columns: a row is a document."""
+    text = lambda seed: " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 500, 40))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (5, text(3)), (5, text(4)), (5, text(4)), (6, None), (7, text(5))]
+    docs = spark.createDataFrame([(i, t, None, "s", 0, 1, 2) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, row int, copies int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, 1, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    here = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = corpus_pipeline.quality_rules(spark, here, str(tmp_path))
+    assert kept.columns == docs.columns and kept.count() == 7
+    unique = corpus_pipeline.near_duplicates(spark, here, str(tmp_path))
+    assert sorted(r["text"] or "" for r in unique.collect()) == sorted([text(k) for k in range(1, 6)] + [""])
+    mixed = corpus_pipeline.mix(spark, here, str(tmp_path))
+    assert mixed.columns == docs.columns and mixed.count() == 7  # one source: its target is its size
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, here.limit(0), str(tmp_path)).count() == 0
