@@ -1,7 +1,9 @@
 """The corpus pipeline: quality rules, near duplicates, secrets, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of
-documents. Rows with a null id are documents like others; rows that share an id share the stages' decisions.
+documents. A row is a document, whatever its id: null and repeated ids are decided row by row, by the rows' numbers in the table that
+the stage reads. Null and empty texts and texts without words fail the base rules; an empty table gives an empty one; other columns
+of documents are kept as they are.
 """
 
 from __future__ import annotations
@@ -21,11 +23,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with `__row`, the row's number: the same in every scan of a written table."""
+    return docs.withColumn("__row", F.monotonically_increasing_id())
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays."""
-    groups = jaccard.jaccard_components(docs.select("doc_id", "text"), words=SHINGLE_WORDS, percent=LIKE_PERCENT)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti").select(*docs.columns)
+    """Of each group of near copies one document stays, the first in the table."""
+    rows = _numbered(docs)
+    groups = jaccard.jaccard_components(rows.select("__row", "text"), words=SHINGLE_WORDS, percent=LIKE_PERCENT, doc_id="__row")
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__row"))
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +44,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, none to three times."""
-    copies = mixing.mix_sources(docs.select("doc_id", "source", "text")).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("copies")).where("copies > 0")
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["mixed_id"])).select(*[docs[c] for c in docs.columns], "copies")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(*docs.columns)
+    rows = _numbered(docs)
+    copies = mixing.mix_sources(rows.select("doc_id", "source", "text", "__row"), carry=("__row",)).where("copies > 0").select("__row", F.col("copies").alias("__copies"))
+    taken = rows.join(copies, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies"))))
+    return taken.select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
