@@ -37,6 +37,8 @@ from .graph import components, forest
 _LOW = np.uint64((1 << 56) - 1)
 #: Bits of the widest bitmap. Sets of more shingles keep this width: their bound is weaker, and more of them are intersected.
 WIDEST = 1 << 16
+#: Bytes of texts that a task shingles at once (its arrays take some hundred times as much; a longer text is shingled alone).
+CHUNK = 1 << 18
 #: Rows of a shingle in one partition of the token exchange; by the sketch's counts, more frequent ones are dealt over several.
 SPLIT = 1 << 16
 
@@ -133,7 +135,7 @@ def shingle_ranks(docs: DataFrame, words: int, buckets: int, text: str) -> np.nd
         maker, total = Shingles(words), np.zeros(buckets, np.int64)
         for batch in batches:
             data, offsets = binary_parts(batch.column(0))
-            for a, b in chunks(offsets):
+            for a, b in chunks(offsets, CHUNK):
                 hashes, _ = maker.raw(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 total += np.bincount((hashes & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
         at = np.flatnonzero(total)
@@ -155,7 +157,7 @@ def signatures(docs: DataFrame, words: int, percent: int, ranks, doc_id: str, te
         maker, seen = Shingles(words, ranks.value), set()
         for batch in batches:
             data, offsets = binary_parts(batch.column(1))
-            for a, b in chunks(offsets):
+            for a, b in chunks(offsets, CHUNK):
                 keys, ends = maker.sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 starts = np.concatenate([[0], ends[:-1]])
                 n = ends - starts
@@ -296,7 +298,7 @@ def sets_of(nodes: DataFrame, docs: DataFrame, words: int, doc_id: str, text: st
             if not batch.num_rows:
                 continue
             data, offsets = binary_parts(batch.column(1))
-            for a, b in chunks(offsets):
+            for a, b in chunks(offsets, CHUNK):
                 keys, ends = maker.sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 starts = np.concatenate([[0], ends[:-1]])
                 node = nodes_of(keys, starts, ends - starts)
@@ -355,7 +357,7 @@ def differing(bits: dict[int, np.ndarray], place: np.ndarray, width: np.ndarray,
     for kind in np.unique(kinds):
         some = np.flatnonzero(kinds == kind)
         least = int(min(kind >> 32, kind & 0xFFFFFFFF))
-        step = max(1, (1 << 21) // least)
+        step = max(1, (1 << 19) // least)
         for k in range(0, len(some), step):
             part = some[k : k + step]
             left, right = (fold(bits[int(w)][place[rows[part]]], least) for w, rows in ((kind >> 32, x), (kind & 0xFFFFFFFF, y)))
