@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quillon.sources.index import Index, index_of
+
 from .measures import ratio
+from .ranking import best, top
 
 
-def term_weights(query_terms: DataFrame, posts: DataFrame, query: str, doc: str) -> DataFrame:
-    """query, doc, score: each query term that a document has weighs ln((n + 1) / (m + 1)) + 1 for m documents with it (a term scorer)."""
-    n = posts.agg(F.countDistinct(doc).alias("n"))
-    m = posts.groupBy("term").agg(F.count("*").alias("m"))
-    rows = query_terms.select(query, "term").distinct().join(m, "term").crossJoin(F.broadcast(n))  # one row
-    return rows.join(posts.select(doc, "term"), "term").groupBy(query, doc).agg(F.round(F.sum(F.log((F.col("n") + 1) / (F.col("m") + 1)) + 1), 6).alias("score"))
+def term_scorer(query_terms: DataFrame, posts: DataFrame | Index, query: str, doc: str, k: int) -> DataFrame:
+    """query, doc, score, rank: each query term that a document has weighs ln((n + 1) / (m + 1)) + 1 for m documents with it."""
+    ix = index_of(posts, doc)
+    rows = query_terms.select(query, "term").distinct().join(ix.terms, "term").crossJoin(F.broadcast(ix.stats))  # one row
+    weight = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
+    return top(best(rows.select(query, "term", weight.alias("w"), F.lit(1.0).alias("most")), ix.posts.select(doc, "term", F.lit(1.0).alias("impact")), query, doc, k), k, query, doc)
 
 
 def field_weighted(fields: dict[str, tuple[DataFrame, float]], query: str, doc: str) -> DataFrame:
@@ -164,3 +167,13 @@ def vocabulary_scan(df: DataFrame, key: str, text: str, aliases: dict[str, str])
             yield pdf.__class__(out, columns=[key, "start", "end", "value"])
 
     return df.select(key, text).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, start int, end int, value string")
+
+
+def factorial(arms: dict[str, DataFrame], in_scope: Column, query: str) -> DataFrame:
+    """arm, scoped, rows and items: every ranking with and without a scope."""
+    out = None
+    for name, ranked in arms.items():
+        for scoped in (False, True):
+            part = (ranked.where(in_scope) if scoped else ranked).select(F.lit(name).alias("arm"), F.lit(scoped).alias("scoped"), query)
+            out = part if out is None else out.unionByName(part)
+    return out.groupBy("arm", "scoped").agg(F.count("*").alias("rows"), F.countDistinct(query).alias("items"))

@@ -5,6 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def running(rows: DataFrame, order: str, sums: dict[str, Column], tie: str | None = None, descending: bool = False) -> DataFrame:
+    """Adds running sums over all rows in order, without one task that holds them all.
+
+    Rows are dealt by ranges of the order's value (equal values stay together), summed within their range, and moved by what the ranges
+    before hold. The driver holds the ranges' bounds, two to a shuffle partition; the ranges' sums are so many rows. Nulls come last.
+    """
+    spark = rows.sparkSession
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = rows.select(F.percentile_approx(order, [k / parts for k in range(1, parts)], 20 * parts)).first()[0] or []
+    cuts = F.array(*[F.lit(b).cast(rows.schema[order].dataType) for b in sorted(set(bounds))]) if bounds else F.array().cast(f"array<{rows.schema[order].dataType.simpleString()}>")
+    place = F.size(F.filter(cuts, lambda b: b < F.col(order)))
+    place = F.when(F.col(order).isNull(), parts).otherwise(-place if descending else place)
+    dealt = rows.withColumn("__place", place).withColumns({f"__{k}": c for k, c in sums.items()})
+    offsets = dealt.groupBy("__place").agg(*[F.sum(f"__{k}").alias(f"__all_{k}") for k in sums])
+    before = Window.partitionBy(F.lit(0)).orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    offsets = offsets.select("__place", *[F.coalesce(F.sum(f"__all_{k}").over(before), F.lit(0)).alias(f"__before_{k}") for k in sums])
+    by = F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_last()
+    within = Window.partitionBy("__place").orderBy(by, *([tie] if tie else []))
+    within = within.rowsBetween(Window.unboundedPreceding, Window.currentRow) if tie else within
+    joined = dealt.withColumns({f"__sum_{k}": F.sum(f"__{k}").over(within) for k in sums}).join(F.broadcast(offsets), "__place")  # one row a range
+    return joined.select(*rows.columns, *[(F.col(f"__sum_{k}") + F.col(f"__before_{k}")).alias(k) for k in sums])
+
+
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
@@ -40,11 +63,11 @@ def brier_ece(rows: DataFrame, score: str, label: str, bins: int = 10) -> DataFr
 def auroc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """One row: the share of (positive, negative) pairs in order, ties as half; null without both labels.
 
-    Equal scores are summed first, so that the one ordered window runs over distinct scores.
+    Equal scores are summed first; the distinct ones are summed up by ranges.
     """
     each = rows.groupBy(F.col(score).alias("s")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    summed = each.withColumn("w", F.col("p") * (below + F.col("n") / 2)).agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    upto = running(each, "s", {"upto": F.col("n")})
+    summed = upto.withColumn("w", F.col("p") * (F.col("upto") - F.col("n") / 2)).agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return summed.select(F.round(ratio(F.col("w"), F.col("p") * F.col("n")), 6).alias("auroc"))
 
 
@@ -76,8 +99,8 @@ def chi_square(rows: DataFrame, a: str, b: str) -> DataFrame:
 def midranks(rows: DataFrame, value: str, name: str) -> DataFrame:
     """Adds the mid-rank of a column: equal values share the mean of their places."""
     each = rows.groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
-    below = F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = each.select("__v", (below + (F.col("__n") + 1) / 2).alias(name))
+    upto = running(each, "__v", {"__upto": F.col("__n")})
+    ranks = upto.select("__v", (F.col("__upto") - (F.col("__n") - 1) / 2).alias(name))
     return rows.join(ranks, rows[value] == ranks["__v"]).drop("__v")
 
 
@@ -100,16 +123,57 @@ def percentiles(rows: DataFrame, group: str, value: str, p: float) -> DataFrame:
 def risk_coverage(rows: DataFrame, score: str, wrong: str) -> DataFrame:
     """threshold, coverage and risk at each distinct score, from the greatest down."""
     each = rows.groupBy(F.col(score).alias("threshold")).agg(F.count("*").alias("n"), F.sum(F.col(wrong).cast("int")).alias("bad"))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.col("threshold").desc())
-    cum = each.withColumns({"a": F.sum("n").over(w), "r": F.sum("bad").over(w), "t": F.sum("n").over(Window.partitionBy(F.lit(0)))})
+    cum = running(each, "threshold", {"a": F.col("n"), "r": F.col("bad")}, descending=True).crossJoin(F.broadcast(each.agg(F.sum("n").alias("t"))))  # one row
     return cum.select("threshold", F.round(F.col("a") / F.col("t"), 6).alias("coverage"), F.round(F.col("r") / F.col("a"), 6).alias("risk"))
 
 
 def area(curve: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: the trapezoid area under y over x."""
-    w = Window.partitionBy(F.lit(0)).orderBy(x)
-    steps = curve.withColumns({"__x": F.lag(x).over(w), "__y": F.lag(y).over(w)}).where(F.col("__x").isNotNull())
-    return steps.agg(F.round(F.coalesce(F.sum((F.col(x) - F.col("__x")) * (F.col(y) + F.col("__y")) / 2), F.lit(0.0)), 6).alias("area"))
+    """One row: the trapezoid area under y over x. Each point meets the one before it by its number in the order."""
+    numbered = running(curve.select(x, y), x, {"__i": F.lit(1)}, tie=y)
+    last = numbered.select((F.col("__i") + 1).alias("__i"), F.col(x).alias("__x"), F.col(y).alias("__y"))
+    return numbered.join(last, "__i").agg(F.round(F.coalesce(F.sum((F.col(x) - F.col("__x")) * (F.col(y) + F.col("__y")) / 2), F.lit(0.0)), 6).alias("area"))
+
+
+def log_area(points: DataFrame, group: str, x: str, y: str) -> DataFrame:
+    """group and area: the trapezoid area under y over log2 x, as a share of the width; null for fewer than two points."""
+    w = Window.partitionBy(group).orderBy(x)
+    steps = points.withColumns({"__x": F.lag(F.log2(x)).over(w), "__y": F.lag(y).over(w), "__l": F.log2(x)})
+    each = steps.groupBy(group).agg(F.sum((F.col("__l") - F.col("__x")) * (F.col(y) + F.col("__y")) / 2).alias("a"), (F.max("__l") - F.min("__l")).alias("w"))
+    return each.select(group, F.round(ratio(F.col("a"), F.col("w")), 6).alias("area"))
+
+
+def interaction(rows: DataFrame, arm: str, value: str) -> DataFrame:
+    """One row: s0, a, b, ab and contrast S(AB) - S(A) - S(B) + S0 of the arms none, a, b and ab, and its reading."""
+    mean = lambda name: F.avg(F.when(F.col(arm) == name, F.col(value)))
+    t = rows.agg(mean("none").alias("s0"), mean("a").alias("a"), mean("b").alias("b"), mean("ab").alias("ab"))
+    c = F.round(F.col("ab") - F.col("a") - F.col("b") + F.col("s0"), 6)
+    reading = F.when(c.isNull(), "unknown").when(c > 0, "synergy").when(c < 0, "interference").otherwise("additive")
+    return t.select(*[F.round(x, 6).alias(x) for x in ("s0", "a", "b", "ab")], c.alias("contrast"), reading.alias("reading"))
+
+
+def gap_closed(value: Column, floor: Column, ceiling: Column) -> Column:
+    """The share of the way from floor to ceiling; null where there is none."""
+    return F.round(ratio(value - floor, ceiling - floor), 6)
+
+
+def rank_shares(rows: DataFrame, value: str) -> DataFrame:
+    """Adds share (the mid-rank over the number of rows, 0 to 1), decile (0 to 9) and tercile (0 to 2)."""
+    known = rows.where(F.col(value).isNotNull())
+    ranked = midranks(known, value, "__r").crossJoin(F.broadcast(known.agg(F.count("*").alias("__n"))))  # one row
+    share = (F.col("__r") - 0.5) / F.col("__n")
+    bin_ = lambda k: F.least(F.lit(k - 1), F.floor(F.round(share * k, 9))).cast("int")
+    return ranked.select(*rows.columns, F.round(share, 6).alias("share"), bin_(10).alias("decile"), bin_(3).alias("tercile"))
+
+
+def conditional_rate(rows: DataFrame, by: list[str], event: Column, given: Column) -> DataFrame:
+    """by, given and rate: how often the event holds where the condition does; null where it never does."""
+    return rows.groupBy(*by).agg(F.sum(given.cast("bigint")).alias("given"), F.round(F.avg(F.when(given, event.cast("int"))), 6).alias("rate"))
+
+
+def confident_wrong(rows: DataFrame, by: str, confidence: str, correct: str, least: float) -> DataFrame:
+    """by, n and rate: the share of answers that are wrong though their confidence is at least `least`."""
+    sure_and_wrong = (F.col(confidence) >= least) & (F.col(correct) == 0)
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(sure_and_wrong.cast("int")), 6).alias("rate"))
 
 
 def icc(rows: DataFrame, group: str, value: str) -> DataFrame:

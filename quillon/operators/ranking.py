@@ -6,25 +6,22 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quillon.functions.text import ascii_tokens
+from quillon.sources.index import Index, index_of, postings  # noqa: F401
 
+from .measures import running
 
-def postings(docs: DataFrame, key: str, text: str = "text", tokens=ascii_tokens) -> DataFrame:
-    """key, term, tf."""
-    return docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
+def lengths(posts: DataFrame | Index, key: str) -> DataFrame:
+    return posts.docs if isinstance(posts, Index) else posts.groupBy(key).agg(F.sum("tf").alias("dl"))
 
-def lengths(posts: DataFrame, key: str) -> DataFrame:
-    return posts.groupBy(key).agg(F.sum("tf").alias("dl"))
 
-
-def statistics(posts: DataFrame, key: str) -> DataFrame:
+def statistics(posts: DataFrame | Index, key: str) -> DataFrame:
     """One row: n and avgdl over the documents that have a term."""
-    return lengths(posts, key).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return posts.stats if isinstance(posts, Index) else lengths(posts, key).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def frequencies(posts: DataFrame) -> DataFrame:
-    return posts.groupBy("term").agg(F.count("*").alias("df"))
+def frequencies(posts: DataFrame | Index) -> DataFrame:
+    return posts.terms if isinstance(posts, Index) else posts.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def top(scored: DataFrame, k: int, query: str, doc: str, positive: bool = True) -> DataFrame:
@@ -38,54 +35,131 @@ def _one_row(df: DataFrame, one: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(one))  # one row
 
 
-def bm25(query_terms: DataFrame, posts: DataFrame, query: str, doc: str, k1: float = 1.2, b: float = 0.75, cap: float | None = None, digits: int = 6) -> DataFrame:
-    """query, doc and score; idf is ln(1 + (n - df + .5) / (df + .5)). cap: document lengths count as at most cap * avgdl.
+def best(terms: DataFrame, impacts: DataFrame, query: str, doc: str, k: int, digits: int = 6, first: int = 4) -> DataFrame:
+    """query, doc and score of at least the k best documents of each query, by score and then id, in full.
 
-    The query's terms meet the postings on the term; terms of no query are gone before the lengths are joined.
+    terms: query, term, w and most (the greatest impact of the term); impacts: doc, term, impact. A document's score is the sum of
+    w * impact over the query's terms that it has. The rarest `first` terms give each query k documents and thereby a
+    score that the k-th best one has at least. Terms that together cannot reach it make no candidate: documents that hold nothing but
+    common words are never paired with a query. Candidates whose bound is too low go before the common terms are looked up for them.
     """
-    wanted = query_terms.select(query, "term").distinct()
-    hits = posts.join(wanted, "term")
-    stats = statistics(posts, doc)
-    asked = wanted.select("term").distinct()
-    df = frequencies(posts.join(asked, "term", "left_semi"))
-    rows = _one_row(hits.join(df, "term").join(lengths(posts, doc), doc), stats)
+    bound = F.col("w") * F.col("most")
+    by_bound = Window.partitionBy(query).orderBy(bound.desc(), "term")
+    placed = terms.select(query, "term", "w", bound.alias("bound"), F.row_number().over(by_bound).alias("i"), F.sum(bound).over(by_bound.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("tail"))
+    part = (F.col("w") * F.col("impact")).alias("part")
+    early = impacts.join(placed.where(F.col("i") <= first), "term").select(query, doc, part).groupBy(query, doc).agg(F.sum("part").alias("part"))
+    ranked = early.withColumn("r", F.row_number().over(Window.partitionBy(query).orderBy(F.col("part").desc()))).where(F.col("r") <= k)
+    floor = ranked.groupBy(query).agg(F.when(F.count("*") == k, F.min("part")).otherwise(0.0).alias("floor"))
+    slack = 10.0 ** -digits * 2  # scores are compared rounded
+    split = placed.join(floor, query, "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)) - slack).withColumn("leads", F.col("tail") >= F.col("floor"))
+    later = split.where("not leads")
+    rest = split.groupBy(query).agg(F.max(F.when(~F.col("leads"), F.col("tail"))).alias("rest"), F.first("floor").alias("floor"))
+    found = impacts.join(split.where("leads").select(query, "term", "w"), "term").select(query, doc, part).groupBy(query, doc).agg(F.sum("part").alias("part"))
+    live = found.join(rest, query).where(F.col("part") + F.coalesce("rest", F.lit(0.0)) >= F.col("floor")).select(query, doc, "part")
+    wanted = live.select(query, doc).join(later.select(query, "term", "w"), query)
+    more = wanted.join(impacts, [doc, "term"]).select(query, doc, part)
+    return live.unionByName(more).groupBy(query, doc).agg(F.round(F.sum("part"), digits).alias("score"))
+
+
+def _bm25_parts(query_terms: DataFrame, ix: Index, query: str, doc: str, k1: float, b: float, cap: float | None) -> tuple[DataFrame, DataFrame]:
+    """(terms, impacts) of BM25: a term weighs its idf ln(1 + (n - df + .5) / (df + .5)) times k1 + 1; its impact is below 1."""
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = _one_row(query_terms.select(query, "term").distinct().join(ix.terms, "term"), ix.stats)
     dl = F.col("dl") if cap is None else F.least(F.col("dl").cast("double"), cap * F.col("avgdl"))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * dl / F.col("avgdl")))
-    return rows.groupBy(query, doc).agg(F.round(F.sum(part), digits).alias("score"))
+    impact = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * dl / F.col("avgdl")))
+    return asked.select(query, "term", (idf * (k1 + 1)).alias("w"), F.lit(1.0).alias("most")), _one_row(ix.posts, ix.stats).select(doc, "term", impact.alias("impact"))
+
+
+def bm25(query_terms: DataFrame, posts: DataFrame | Index, query: str, doc: str, k1: float = 1.2, b: float = 0.75, cap: float | None = None, digits: int = 6) -> DataFrame:
+    """query, doc and score of every pair with a common term. cap: document lengths count as at most cap * avgdl."""
+    terms, impacts = _bm25_parts(query_terms, index_of(posts, doc), query, doc, k1, b, cap)
+    return impacts.join(terms, "term").groupBy(query, doc).agg(F.round(F.sum(F.col("w") * F.col("impact")), digits).alias("score"))
+
+
+def bm25_top(query_terms: DataFrame, posts: DataFrame | Index, query: str, doc: str, k: int, k1: float = 1.2, b: float = 0.75, cap: float | None = None, digits: int = 6) -> DataFrame:
+    """query, doc, score and rank: the k best of bm25(), without scoring the documents that cannot be among them."""
+    terms, impacts = _bm25_parts(query_terms, index_of(posts, doc), query, doc, k1, b, cap)
+    return top(best(terms, impacts, query, doc, k, digits), k, query, doc)
 
 
-def idf_coverage(query_terms: DataFrame, posts: DataFrame, query: str, doc: str) -> DataFrame:
+def _coverage_weights(query_terms: DataFrame, ix: Index, query: str) -> DataFrame:
+    """query, term and w: the share of each term in the idf mass of its query."""
+    df = F.coalesce("df", F.lit(0))
+    idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
+    weighted = _one_row(query_terms.select(query, "term").distinct().join(ix.terms, "term", "left"), ix.stats).select(query, "term", idf.alias("idf"))
+    return weighted.withColumn("w", F.col("idf") / F.sum("idf").over(Window.partitionBy(query)))
+
+
+def idf_coverage(query_terms: DataFrame, posts: DataFrame | Index, query: str, doc: str) -> DataFrame:
     """The idf mass of the query's terms found in the document, over that of all its terms."""
-    wanted = query_terms.select(query, "term").distinct()
-    stats = statistics(posts, doc)
-    df = frequencies(posts.join(wanted.select("term").distinct(), "term", "left_semi"))
-    weight = F.log(1 + (F.col("n") - F.coalesce("df", F.lit(0)) + 0.5) / (F.coalesce("df", F.lit(0)) + 0.5))
-    weighted = _one_row(wanted.join(df, "term", "left"), stats).select(query, "term", weight.alias("idf"))
-    mass = weighted.groupBy(query).agg(F.sum("idf").alias("mass"))
-    found = posts.join(weighted, "term").groupBy(query, doc).agg(F.sum("idf").alias("found"))
-    return found.join(mass, query).select(query, doc, F.round(F.col("found") / F.col("mass"), 6).alias("score"))
+    ix = index_of(posts, doc)
+    return ix.posts.join(_coverage_weights(query_terms, ix, query), "term").groupBy(query, doc).agg(F.round(F.sum("w"), 6).alias("score"))
+
+
+def idf_coverage_top(query_terms: DataFrame, posts: DataFrame | Index, query: str, doc: str, k: int) -> DataFrame:
+    ix = index_of(posts, doc)
+    terms = _coverage_weights(query_terms, ix, query).withColumn("most", F.lit(1.0))
+    return top(best(terms, ix.posts.select(doc, "term", F.lit(1.0).alias("impact")), query, doc, k), k, query, doc)
 
 
-def tfidf_cosine(query_terms: DataFrame, posts: DataFrame, query: str, doc: str) -> DataFrame:
+def _tfidf_parts(query_terms: DataFrame, ix: Index, query: str, doc: str) -> tuple[DataFrame, DataFrame]:
+    """(terms, impacts): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1) over the norm of its vector."""
+    weight = (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
+    unit = lambda rows, key: rows.withColumn("x", weight).withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") ** 2).over(Window.partitionBy(key))))
+    q = unit(_one_row(query_terms.join(ix.terms, "term"), ix.stats), query).select(query, "term", F.col("x").alias("w"))
+    weighed = _one_row(ix.posts, ix.stats).withColumn("x", weight)
+    norms = weighed.groupBy(doc).agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("norm"))
+    impacts = weighed.join(norms, doc).select(doc, "term", (F.col("x") / F.col("norm")).alias("impact"))
+    return q, impacts
+
+
+def tfidf_cosine(query_terms: DataFrame, posts: DataFrame | Index, query: str, doc: str) -> DataFrame:
     """Cosine of (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1) vectors."""
-    stats = statistics(posts, doc)
-    df = frequencies(posts)
-    weigh = lambda rows: _one_row(rows.join(df, "term"), stats).withColumn("w", (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    q, d = weigh(query_terms).select(query, "term", F.col("w").alias("qw")), weigh(posts).select(doc, "term", F.col("w").alias("dw"))
-    qn, dn = q.groupBy(query).agg(F.sqrt(F.sum(F.col("qw") ** 2)).alias("qn")), d.groupBy(doc).agg(F.sqrt(F.sum(F.col("dw") ** 2)).alias("dn"))
-    dots = q.join(d, "term").groupBy(query, doc).agg(F.sum(F.col("qw") * F.col("dw")).alias("dot"))
-    return dots.join(qn, query).join(dn, doc).select(query, doc, F.round(F.col("dot") / (F.col("qn") * F.col("dn")), 6).alias("score"))
+    q, impacts = _tfidf_parts(query_terms, index_of(posts, doc), query, doc)
+    return impacts.join(q, "term").groupBy(query, doc).agg(F.round(F.sum(F.col("w") * F.col("impact")), 6).alias("score"))
+
+
+def tfidf_top(query_terms: DataFrame, posts: DataFrame | Index, query: str, doc: str, k: int) -> DataFrame:
+    q, impacts = _tfidf_parts(query_terms, index_of(posts, doc), query, doc)
+    most = impacts.join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.max("impact").alias("most"))
+    return top(best(q.join(most, "term"), impacts, query, doc, k), k, query, doc)
 
 
-def jaccard(query_terms: DataFrame, posts: DataFrame, query: str, doc: str) -> DataFrame:
+def jaccard(query_terms: DataFrame, posts: DataFrame | Index, query: str, doc: str) -> DataFrame:
     """Set Jaccard of terms."""
-    q, d = query_terms.select(query, "term").distinct(), posts.select(doc, "term").distinct()
+    ix = index_of(posts, doc)
+    q, d = query_terms.select(query, "term").distinct(), ix.posts.select(doc, "term").distinct()
     both = q.join(d, "term").groupBy(query, doc).agg(F.count("*").alias("both"))
     qn, dn = q.groupBy(query).agg(F.count("*").alias("qn")), d.groupBy(doc).agg(F.count("*").alias("dn"))
     return both.join(qn, query).join(dn, doc).select(query, doc, F.round(F.col("both") / (F.col("qn") + F.col("dn") - F.col("both")), 6).alias("score"))
 
 
+def jaccard_top(query_terms: DataFrame, posts: DataFrame | Index, query: str, doc: str, k: int, first: int = 4) -> DataFrame:
+    """query, doc, score and rank: the k best of jaccard().
+
+    The documents that share the most of the `first` rarest terms give a likeness t that the k-th best has at least. A better one
+    has at most |q| / t terms and shares at least t * |q| of the query's, hence one of the |q| - ceil(t |q|) + 1 rarest.
+    """
+    ix = index_of(posts, doc)
+    q = query_terms.select(query, "term").distinct().join(ix.terms, "term", "left")
+    by_rarity = Window.partitionBy(query).orderBy(F.coalesce("df", F.lit(0)), "term")
+    q = q.select(query, "term", F.row_number().over(by_rarity).alias("i"), F.count("*").over(Window.partitionBy(query)).alias("qn"))
+    sizes = ix.posts.groupBy(doc).agg(F.count("*").alias("dn"))
+    posts_ = ix.posts.select(doc, "term")
+    share = F.col("both") / (F.col("qn") + F.col("dn") - F.col("both"))
+    early = posts_.join(q.where(F.col("i") <= first), "term").groupBy(query, doc).agg(F.count("*").alias("both"), F.first("qn").alias("qn")).join(sizes, doc).withColumn("low", share)
+    ranked = early.withColumn("r", F.row_number().over(Window.partitionBy(query).orderBy(F.col("low").desc()))).where(F.col("r") <= k)
+    floor = ranked.groupBy(query).agg(F.when(F.count("*") == k, F.min("low")).otherwise(0.0).alias("t"))
+    asked = q.join(floor, query, "left").withColumn("t", F.greatest(F.coalesce("t", F.lit(0.0)) - 2e-6, F.lit(0.0))).withColumn("leads", F.col("i") <= F.col("qn") - F.ceil(F.col("t") * F.col("qn")) + 1)
+    found = posts_.join(asked.where("leads").select(query, "term", "qn", "t"), "term").groupBy(query, doc).agg(F.count("*").alias("both"), F.first("qn").alias("qn"), F.first("t").alias("t"))
+    rest = asked.where("not leads").groupBy(query).agg(F.count("*").alias("rest"))
+    live = found.join(sizes, doc).join(rest, query, "left").withColumn("high", F.least(F.col("both") + F.coalesce("rest", F.lit(0)), "dn"))
+    live = live.where(F.col("high") >= F.col("t") * (F.col("qn") + F.col("dn") - F.col("high"))).select(query, doc, "both", "qn", "dn")
+    more = live.select(query, doc).join(asked.where("not leads").select(query, "term"), query).join(posts_, [doc, "term"]).groupBy(query, doc).agg(F.count("*").alias("more"))
+    full = live.join(more, [query, doc], "left").withColumn("both", F.col("both") + F.coalesce("more", F.lit(0)))
+    return top(full.select(query, doc, F.round(share, 6).alias("score")), k, query, doc)
+
+
 def dense_top(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, earlier_only: bool = False, block: int = 2048) -> DataFrame:
     """query, doc, score and rank: the k vectors of greatest cosine for each query, other than itself (earlier_only: with a lesser key).
 
@@ -142,7 +216,7 @@ def demoted(ranked: DataFrame, superseded: DataFrame, query: str, doc: str) -> D
 def fire_set(scores: DataFrame, key: str, q: float) -> DataFrame:
     """The ceil(q * n) rows of greatest score (ties by key); rows of score -infinity or null never fire."""
     total = scores.agg(F.count("*").alias("n"))
-    ranked = scores.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("score").desc_nulls_last(), key)))
+    ranked = running(scores, "score", {"place": F.lit(1)}, tie=key, descending=True)
     return _one_row(ranked, total).where((F.col("place") <= F.ceil(F.round(q * F.col("n"), 9))) & F.col("score").isNotNull() & (F.col("score") > float("-inf"))).drop("n")
 
 

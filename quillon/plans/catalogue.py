@@ -41,14 +41,14 @@ BM25_SQL = "scored AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) /
 @query(f"WITH {TOKENS_SQL}, {BM25_SQL.format(dl='dl')} {RANKED_SQL.format(k=5)}")
 def bm25_topk(spark, sf):
     asked, posts = lexical(spark, sf)
-    return ranking.top(ranking.bm25(asked, posts, "item_id", "doc_id"), 5, "item_id", "doc_id").select("item_id", "doc_id", "score", "rank")
+    return ranking.bm25_top(asked, posts, "item_id", "doc_id", 5).select("item_id", "doc_id", "score", "rank")
 
 
 @query(f"WITH {TOKENS_SQL}, {BM25_SQL.format(dl='least(dl, 3 * avgdl)')}, r AS ({RANKED_SQL.format(k=5)}), m AS (SELECT item_id, sum(idf) AS top10 FROM (SELECT item_id, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS idf, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(df, 0), term) AS i FROM qt LEFT JOIN df USING (term), st) WHERE i <= 10 GROUP BY 1) SELECT item_id, doc_id, rank, round(score / (2.2 * top10), 6) AS strength, round(score / (2.2 * top10), 6) >= 0.3 AS passes FROM r JOIN m USING (item_id)")
 def bm25_capped_gate(spark, sf):
     """BM25 with lengths capped at three times the mean, over the most that the ten rarest terms could give; a gate at 0.3."""
     asked, posts = lexical(spark, sf)
-    top = ranking.top(ranking.bm25(asked, posts, "item_id", "doc_id", cap=3.0), 5, "item_id", "doc_id")
+    top = ranking.bm25_top(asked, posts, "item_id", "doc_id", 5, cap=3.0)
     df = F.coalesce("df", F.lit(0))
     weighted = ranking._one_row(asked.join(ranking.frequencies(posts), "term", "left"), ranking.statistics(posts, "doc_id")).select("item_id", F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)).alias("idf"), F.row_number().over(Window.partitionBy("item_id").orderBy(df, "term")).alias("i"))
     mass = weighted.where("i <= 10").groupBy("item_id").agg(F.sum("idf").alias("top10"))
@@ -59,14 +59,14 @@ def bm25_capped_gate(spark, sf):
 @query(f"WITH {TOKENS_SQL}, w AS (SELECT item_id, term, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS idf FROM qt LEFT JOIN df USING (term), st), mass AS (SELECT item_id, sum(idf) AS mass FROM w GROUP BY 1), scored AS (SELECT item_id, doc_id, round(sum(idf) / any_value(mass), 6) AS score FROM w JOIN posts USING (term) JOIN mass USING (item_id) GROUP BY ALL) {RANKED_SQL.format(k=5)}")
 def idf_coverage(spark, sf):
     asked, posts = lexical(spark, sf)
-    return ranking.top(ranking.idf_coverage(asked, posts, "item_id", "doc_id"), 5, "item_id", "doc_id").select("item_id", "doc_id", "score", "rank")
+    return ranking.idf_coverage_top(asked, posts, "item_id", "doc_id", 5).select("item_id", "doc_id", "score", "rank")
 
 
 @query(f"WITH {TOKENS_SQL}, qtf AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark) GROUP BY ALL), q AS (SELECT item_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS qw FROM qtf JOIN df USING (term), st), d AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS dw FROM posts JOIN df USING (term), st), qn AS (SELECT item_id, sqrt(sum(qw * qw)) AS qn FROM q GROUP BY 1), dn AS (SELECT doc_id, sqrt(sum(dw * dw)) AS dn FROM d GROUP BY 1), scored AS (SELECT item_id, doc_id, round(sum(qw * dw) / any_value(qn * dn), 6) AS score FROM q JOIN d USING (term) JOIN qn USING (item_id) JOIN dn USING (doc_id) GROUP BY ALL) {RANKED_SQL.format(k=5)}")
 def tfidf_cosine(spark, sf):
     _, posts = lexical(spark, sf)
     asked = ranking.postings(table(spark, sf, "benchmark"), "item_id")
-    return ranking.top(ranking.tfidf_cosine(asked, posts, "item_id", "doc_id"), 5, "item_id", "doc_id").select("item_id", "doc_id", "score", "rank")
+    return ranking.tfidf_top(asked, posts, "item_id", "doc_id", 5).select("item_id", "doc_id", "score", "rank")
 
 
 JACCARD_SQL = "jn AS (SELECT item_id, doc_id, count(*) AS inter FROM qt JOIN posts USING (term) GROUP BY ALL), qs AS (SELECT item_id, count(*) AS qn FROM qt GROUP BY 1), ds AS (SELECT doc_id, count(*) AS dn FROM posts GROUP BY 1)"
@@ -75,7 +75,7 @@ JACCARD_SQL = "jn AS (SELECT item_id, doc_id, count(*) AS inter FROM qt JOIN pos
 @query(f"WITH {TOKENS_SQL}, {JACCARD_SQL}, scored AS (SELECT item_id, doc_id, round(inter / (qn + dn - inter), 6) AS score FROM jn JOIN qs USING (item_id) JOIN ds USING (doc_id)) {RANKED_SQL.format(k=5)}")
 def jaccard_topk(spark, sf):
     asked, posts = lexical(spark, sf)
-    return ranking.top(ranking.jaccard(asked, posts, "item_id", "doc_id"), 5, "item_id", "doc_id").select("item_id", "doc_id", "score", "rank")
+    return ranking.jaccard_top(asked, posts, "item_id", "doc_id", 5).select("item_id", "doc_id", "score", "rank")
 
 
 _TWO_LISTS = f"{TOKENS_SQL}, {JACCARD_SQL}, {BM25_SQL.format(dl='dl')}, a AS ({RANKED_SQL.format(k=20)}), js AS (SELECT item_id, doc_id, round(inter / (qn + dn - inter), 6) AS score FROM jn JOIN qs USING (item_id) JOIN ds USING (doc_id)), b AS ({RANKED_SQL.format(k=20).replace('FROM scored', 'FROM js')})"
@@ -83,7 +83,7 @@ _TWO_LISTS = f"{TOKENS_SQL}, {JACCARD_SQL}, {BM25_SQL.format(dl='dl')}, a AS ({R
 
 def _two_lists(spark, sf):
     asked, posts = lexical(spark, sf)
-    return ranking.top(ranking.bm25(asked, posts, "item_id", "doc_id"), 20, "item_id", "doc_id"), ranking.top(ranking.jaccard(asked, posts, "item_id", "doc_id"), 20, "item_id", "doc_id")
+    return ranking.bm25_top(asked, posts, "item_id", "doc_id", 20), ranking.jaccard_top(asked, posts, "item_id", "doc_id", 20)
 
 
 @query(f"WITH {_TWO_LISTS}, f AS (SELECT item_id, doc_id, round(sum(1 / (60 + rank)), 9) AS score FROM (SELECT item_id, doc_id, rank FROM a UNION ALL SELECT item_id, doc_id, rank FROM b) GROUP BY ALL) {RANKED_SQL.format(k=10).replace('FROM scored', 'FROM f')}")
@@ -116,20 +116,20 @@ def cosine_topk_earlier(spark, sf):
 @query(f"WITH {TOKENS_SQL}, {BM25_SQL.format(dl='dl')}, r AS ({RANKED_SQL.format(k=10)}), g AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0) SELECT item_id, doc_id, rank, g.doc_id IS NOT NULL AS late, row_number() OVER (PARTITION BY item_id ORDER BY g.doc_id IS NOT NULL, rank) AS new_rank FROM r LEFT JOIN g USING (doc_id)")
 def rank_demotion(spark, sf):
     asked, posts = lexical(spark, sf)
-    top = ranking.top(ranking.bm25(asked, posts, "item_id", "doc_id"), 10, "item_id", "doc_id")
+    top = ranking.bm25_top(asked, posts, "item_id", "doc_id", 10)
     return ranking.demoted(top, table(spark, sf, "labels").where("quality = 0"), "item_id", "doc_id").select("item_id", "doc_id", "rank", "late", "new_rank")
 
 
 @query(f"WITH {TOKENS_SQL}, {BM25_SQL.format(dl='dl')}, t AS (SELECT item_id, max(score) AS score FROM scored GROUP BY 1) SELECT item_id, score, place FROM (SELECT *, row_number() OVER (ORDER BY score DESC, item_id) AS place, count(*) OVER () AS n FROM t) WHERE place <= ceil(0.25 * n)")
 def fire_set(spark, sf):
     asked, posts = lexical(spark, sf)
-    best = ranking.bm25(asked, posts, "item_id", "doc_id").groupBy("item_id").agg(F.max("score").alias("score"))
+    best = ranking.bm25_top(asked, posts, "item_id", "doc_id", 1).select("item_id", "score")
     return ranking.fire_set(best, "item_id", 0.25).select("item_id", "score", "place")
 
 
 @query(f"WITH {TOKENS_SQL} SELECT doc_id, term, tf, count(*) OVER (PARTITION BY term ORDER BY doc_id RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS df_before FROM posts")
 def visible_document_counts(spark, sf):
-    return ranking.visible_bm25_counts(lexical(spark, sf)[1], "doc_id", "doc_id")
+    return ranking.visible_bm25_counts(lexical(spark, sf)[1].posts.select("doc_id", "term", "tf"), "doc_id", "doc_id")
 
 
 # --- Measures ------------------------------------------------------------------------------------------------------
@@ -329,7 +329,7 @@ _PACK = f"WITH {TOKENS_SQL}, {BM25_SQL.format(dl='dl')}, r AS ({RANKED_SQL.forma
 
 def _ranked_docs(spark, sf):
     asked, posts = lexical(spark, sf)
-    return ranking.top(ranking.bm25(asked, posts, "item_id", "doc_id"), 20, "item_id", "doc_id").join(table(spark, sf, "documents").select("doc_id", "text", "n_chars"), "doc_id")
+    return ranking.bm25_top(asked, posts, "item_id", "doc_id", 20).join(table(spark, sf, "documents").select("doc_id", "text", "n_chars"), "doc_id")
 
 
 @query(_PACK.format(cost="n_chars", budget=8000))
@@ -403,21 +403,6 @@ def complete_cases(spark, sf):
     return inference.complete_cases(rows, "unit", "o_orderstatus").groupBy("unit").agg(F.count("*").alias("n"))
 
 
-@query()
-def bootstrap_ci(spark, sf):
-    return inference.bootstrap(table(spark, sf, "events").select("event_type", "event_id", "value"), "event_type", "event_id", "value", 500)
-
-
-@query()
-def block_bootstrap(spark, sf):
-    return inference.bootstrap(table(spark, sf, "events").select("event_type", "event_id", "value"), "event_type", "event_id", "value", 500, block=24)
-
-
-@query()
-def sign_flip_test(spark, sf):
-    return inference.sign_flips(_arms(spark, sf), "unit")
-
-
 # --- Graphs ----------------------------------------------------------------------------------------------------------
 
 _EDGES = "l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), e AS (SELECT x.l_partkey AS a, y.l_partkey AS b, count(*) AS support FROM l x JOIN l y USING (l_orderkey) WHERE x.l_partkey < y.l_partkey GROUP BY ALL), w AS (SELECT a, b, support FROM e UNION ALL SELECT b, a, support FROM e)"

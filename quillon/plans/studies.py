@@ -13,7 +13,7 @@ from quillon.plans.tables import GOLD_SQL, TOKENS_SQL, gold, lexical, table
 @query(f"WITH {TOKENS_SQL}, nn AS (SELECT count(DISTINCT doc_id) AS n FROM posts), scored AS (SELECT item_id, doc_id, round(sum(ln((nn.n + 1) / (df + 1)) + 1), 6) AS score FROM qt JOIN posts USING (term) JOIN df USING (term), nn GROUP BY ALL) {RANKED_SQL.format(k=5)}")
 def term_scorer(spark, sf):
     asked, posts = lexical(spark, sf)
-    return ranking.top(controls.term_weights(asked, posts, "item_id", "doc_id"), 5, "item_id", "doc_id").select("item_id", "doc_id", "score", "rank")
+    return controls.term_scorer(asked, posts, "item_id", "doc_id", 5).select("item_id", "doc_id", "score", "rank")
 
 
 _HEAD = "ht AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(substr(text, 1, 200)), '[a-z0-9]+')) AS term FROM documents) GROUP BY ALL), hl AS (SELECT doc_id, sum(tf) AS dl FROM ht GROUP BY 1), hs AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM hl), hf AS (SELECT term, count(*) AS df FROM ht GROUP BY 1)"
@@ -46,7 +46,7 @@ def self_retrieval(spark, sf):
 @query(f"WITH {TOKENS_SQL}, {BM25_SQL.format(dl='dl')}, t AS (SELECT item_id, max(score) AS score FROM scored GROUP BY 1), c AS (SELECT quantile_disc(score, 0.75) AS threshold FROM t) SELECT threshold, CAST(sum(CASE WHEN score >= threshold THEN 1 ELSE 0 END) AS BIGINT) AS fires FROM t, c GROUP BY 1")
 def threshold_calibration(spark, sf):
     asked, posts = lexical(spark, sf)
-    best = ranking.bm25(asked, posts, "item_id", "doc_id").groupBy("item_id").agg(F.max("score").alias("score"))
+    best = ranking.bm25_top(asked, posts, "item_id", "doc_id", 1).select("item_id", "score")
     return controls.firing_threshold(best, "score", 0.25)
 
 

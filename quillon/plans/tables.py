@@ -29,13 +29,13 @@ df AS (SELECT term, count(*) AS df FROM posts GROUP BY 1)"""
 GOLD_SQL = "gold AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
-def lexical(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(query terms, postings): benchmark items ask, documents answer."""
+def lexical(spark: SparkSession, sf_dir: str):
+    """(query terms, index): benchmark items ask, documents answer. The index is written once and read by every lexical query."""
     from quillon.functions.text import ascii_tokens
-    from quillon.operators.ranking import postings
+    from quillon.sources.index import open_index
 
     asked = table(spark, sf_dir, "benchmark").select("item_id", F.explode(ascii_tokens(F.col("text"))).alias("term")).distinct()
-    return asked, postings(table(spark, sf_dir, "documents"), "doc_id")
+    return asked, open_index(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
