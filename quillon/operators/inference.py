@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -73,39 +72,185 @@ def splitmix(seed: int, n: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def linear_quantile(sorted_values: np.ndarray, q: float) -> float:
-    at = q * (len(sorted_values) - 1)
-    low = math.floor(at)
-    return float(sorted_values[low] + (at - low) * (sorted_values[min(low + 1, len(sorted_values) - 1)] - sorted_values[low]))
+#: The distribution function of a Poisson variable of mean 1 at 0, 1, 2, ...
+POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975, 0.99999887)
 
 
-def bootstrap(rows: DataFrame, group: str, order: str, value: str, draws: int = 1000, seed: int = 7, block: int = 1) -> DataFrame:
-    """group, n, mean, low and high: the 95 % interval of the mean by resampling; block > 1 draws runs of neighbours (moving blocks).
+def uniform(*parts: Column | str | int) -> Column:
+    """A number from 0 (inclusive) to 1 by the first eight hex digits of SHA-256 of the parts, joined by bars: the same in every run."""
+    joined = F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.conv(F.substring(F.sha2(joined, 256), 1, 8), 16, 10).cast("double") / 4294967296.0
 
-    One group's values are one task's (experiment results: thousands, not a corpus).
+
+def times(u: Column) -> Column:
+    """How often a resample takes a unit: Poisson of mean 1, from a uniform number."""
+    out = F.lit(0)
+    for t in POISSON:
+        out = out + (u >= t).cast("int")
+    return out
+
+
+def resampled(units: DataFrame, by: list[str], unit: str, num: Column, den: Column, draws: int, seed: int) -> DataFrame:
+    """by, draw and value: sum(times * num) / sum(times * den) of each draw.
+
+    Each unit decides by its own hash how often a draw takes it, so every task resamples its rows alone and sends on two sums a group and
+    draw; no group is gathered.
     """
+    rows = units.select(*by, F.col(unit).alias("__u"), num.alias("__n"), den.alias("__d")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    weighed = rows.withColumn("__t", times(uniform(seed, F.col("draw"), F.col("__u")))).where("__t > 0")
+    sums = weighed.groupBy(*by, "draw").agg(F.sum(F.col("__t") * F.col("__n")).alias("__n"), F.sum(F.col("__t") * F.col("__d")).alias("__d"))
+    return sums.select(*by, "draw", F.when(F.col("__d") != 0, F.col("__n") / F.col("__d")).alias("value"))
+
+
+def interval(values: DataFrame, by: list[str], level: float = 0.95) -> DataFrame:
+    """by, low and high: the middle `level` of the draws' values, by linear quantiles."""
+    tail = (1 - level) / 2
+    q = lambda p: F.round(F.expr(f"percentile(value, {p})"), 6)
+    return values.groupBy(*by).agg(q(tail).alias("low"), q(1 - tail).alias("high"))
+
+
+def bootstrap(rows: DataFrame, group: str, order: str, value: str, draws: int = 200, seed: int = 7, block: int = 1) -> DataFrame:
+    """group, n, mean, low and high: the 95 % interval of the mean by resampling rows, or runs of `block` neighbours in order (moving
+    blocks: the sums of every run are one window over the rows, and runs are what is drawn)."""
+    known = rows.where(F.col(value).isNotNull())
+    if block > 1:
+        run = Window.partitionBy(group).orderBy(order).rowsBetween(0, block - 1)
+        units = known.select(group, F.col(order).alias("__o"), F.sum(value).over(run).alias("__s"), F.count("*").over(run).alias("__c"))
+        draws_ = resampled(units, [group], "__o", F.col("__s"), F.col("__c"), draws, seed)
+    else:
+        draws_ = resampled(known, [group], order, F.col(value), F.lit(1), draws, seed)
+    means = known.groupBy(group).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"))
+    return means.join(interval(draws_, [group]), group, "left")
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[value].to_numpy(np.float64)
-        n = len(x)
-        pieces = -(-n // block)
-        starts = (splitmix(seed, draws * pieces) % np.uint64(max(1, n - block + 1))).astype(np.int64).reshape(draws, pieces)
-        index = (starts[:, :, None] + np.arange(min(block, n))).reshape(draws, -1)[:, :n]
-        means = np.sort(x[index].mean(axis=1))
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "n": [n], "mean": [round(float(x.mean()), 6)], "low": [round(linear_quantile(means, 0.025), 6)], "high": [round(linear_quantile(means, 0.975), 6)]})
+def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, draws: int = 200, seed: int = 11, pooled: bool = False) -> DataFrame:
+    """One row: clusters, mean, low and high of the mean of the clusters' means (pooled: of all rows), by resampling whole clusters."""
+    each = rows.where(F.col(value).isNotNull()).groupBy(cluster).agg(F.sum(value).alias("s"), F.count("*").alias("c"))
+    num, den = (F.col("s"), F.col("c")) if pooled else (F.col("s") / F.col("c"), F.lit(1))
+    values = resampled(each.withColumn("__all", F.lit(0)), ["__all"], cluster, num, den, draws, seed)
+    mean = each.agg(F.count("*").alias("clusters"), F.round(F.sum(num) / F.sum(den), 6).alias("mean"))
+    return mean.crossJoin(F.broadcast(interval(values, ["__all"]).drop("__all")))  # one row
 
-    kind = rows.schema[group].dataType.simpleString()
-    return rows.where(F.col(value).isNotNull()).groupBy(group).applyInPandas(run, f"{group} {kind}, n bigint, mean double, low double, high double")
+
+def stratified_bootstrap(pairs: DataFrame, stratum: str, unit: str, draws: int = 200, seed: int = 13) -> DataFrame:
+    """One row: diff, low and high of the mean over strata of the mean of b - a, by resampling inside each stratum."""
+    d = (F.col("b") - F.col("a")).cast("double")
+    values = resampled(pairs, [stratum], unit, d, F.lit(1), draws, seed).groupBy("draw").agg(F.avg("value").alias("value")).withColumn("__all", F.lit(0))
+    diff = pairs.groupBy(stratum).agg(F.avg(d).alias("m")).agg(F.round(F.avg("m"), 6).alias("diff"))
+    return diff.crossJoin(F.broadcast(interval(values, ["__all"]).drop("__all")))  # one row
+
+
+def fired_difference(scores: DataFrame, unit: str, a: str, b: str, hit: str, q: float, draws: int = 200, seed: int = 17) -> DataFrame:
+    """One row: diff, low and high of the hits of a's fired share q less those of b's, the fire sets being found anew in each resample: a
+    unit taken k times stands k times in the order."""
+    rows = scores.select(unit, a, b, F.col(hit).cast("int").alias("hit")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws))))
+    drawn = rows.withColumn("t", F.when(F.col("draw") == draws, 1).otherwise(times(uniform(seed, F.col("draw"), F.col(unit))))).where("t > 0")  # the last draw is the sample itself
+
+    def hits(score: str) -> DataFrame:
+        w = Window.partitionBy("draw").orderBy(F.col(score).desc(), unit)
+        placed = drawn.withColumns({"before": F.sum("t").over(w) - F.col("t"), "most": F.ceil(F.round(F.lit(q) * F.sum("t").over(Window.partitionBy("draw")), 9))})
+        fired = F.greatest(F.lit(0), F.least("t", F.col("most") - F.col("before")))
+        return placed.groupBy("draw").agg((F.sum(fired * F.col("hit")) / F.sum("t")).alias(f"hits_{score}"))
+
+    both = hits(a).join(hits(b), "draw").withColumn("value", F.col(f"hits_{a}") - F.col(f"hits_{b}")).withColumn("__all", F.lit(0))
+    diff = both.where(F.col("draw") == draws).select(F.round("value", 6).alias("diff"))
+    return diff.crossJoin(F.broadcast(interval(both.where(F.col("draw") < draws), ["__all"]).drop("__all")))  # one row
 
 
 def sign_flips(pairs: DataFrame, unit: str, draws: int = 2000, seed: int = 3) -> DataFrame:
     """One row: diff and p of the mean difference under random signs (two-sided, the sample counted)."""
+    d = (F.col("b") - F.col("a")).cast("double")
+    seen = pairs.agg(F.avg(d).alias("m"), F.count("*").alias("n"))
+    rows = pairs.select(F.col(unit).alias("__u"), d.alias("d")).where("d <> 0").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    flipped = rows.groupBy("draw").agg(F.sum(F.when(uniform(seed, F.col("draw"), F.col("__u")) < 0.5, F.col("d")).otherwise(-F.col("d"))).alias("s"))
+    extreme = flipped.crossJoin(F.broadcast(seen)).agg(F.sum((F.abs(F.col("s") / F.col("n")) >= F.abs("m") - 1e-12).cast("int")).alias("k"))  # one row
+    counted = seen.crossJoin(F.broadcast(extreme))  # one row
+    # Without any difference every draw is as extreme as the sample.
+    return counted.select(F.round("m", 6).alias("diff"), F.round((1 + F.coalesce("k", F.lit(draws))) / (draws + 1), 6).alias("p"))
+
+
+def log_choose(n: Column, k: Column) -> Column:
+    """ln of n over k, as a sum of logarithms."""
+    places = F.when(k > 0, F.sequence(F.lit(1).cast("bigint"), k.cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(places, F.lit(0.0), lambda acc, j: acc + F.log((n - k + j) / j))
+
+
+def binomial_tail(k: Column, n: Column, p: Column) -> Column:
+    """P(X <= k) for n trials of chance p (0 < p < 1), each term from the one before."""
+    step = lambda acc, j: F.struct((acc["t"] + F.log((n - j + 1) / j) + F.log(p / (1 - p))).alias("t"), (acc["s"] + F.exp(acc["t"] + F.log((n - j + 1) / j) + F.log(p / (1 - p)))).alias("s"))
+    start = n * F.log(1 - p)
+    places = F.when(k > 0, F.sequence(F.lit(1).cast("bigint"), k.cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(k < 0, 0.0).otherwise(F.aggregate(places, F.struct(start.alias("t"), F.exp(start).alias("s")), step, lambda acc: acc["s"]))
+
+
+def clopper_pearson(k: Column, n: Column, alpha: float = 0.05, steps: int = 40) -> Column:
+    """(low, high) of a share, exact: by halving, the chance at which k or more (k or fewer) successes have probability alpha / 2. Null for
+    n = 0; 0 without successes, 1 without failures."""
+    halve = lambda small: F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0.0).alias("l"), F.lit(1.0).alias("h")), lambda acc, _: F.when(small((acc["l"] + acc["h"]) / 2), F.struct(((acc["l"] + acc["h"]) / 2).alias("l"), acc["h"].alias("h"))).otherwise(F.struct(acc["l"].alias("l"), ((acc["l"] + acc["h"]) / 2).alias("h"))), lambda acc: (acc["l"] + acc["h"]) / 2)
+    low = F.when(k == 0, 0.0).otherwise(halve(lambda p: 1 - binomial_tail(k - 1, n, p) < alpha / 2))
+    high = F.when(k == n, 1.0).otherwise(halve(lambda p: binomial_tail(k, n, p) > alpha / 2))
+    return F.when(n > 0, F.struct(F.round(low, 6).alias("low"), F.round(high, 6).alias("high")))
+
+
+def zero_failure_bound(n: Column, alpha: float = 0.05) -> Column:
+    """The greatest failure rate that n trials without a failure leave possible."""
+    return F.when(n > 0, F.round(1 - F.pow(F.lit(alpha), 1 / n), 6))
+
+
+def least_discordant(alpha: float = 0.05) -> int:
+    """The fewest pairs, all discordant one way, that an exact two-sided sign test rejects."""
+    n = 1
+    while 2 * 0.5**n > alpha:
+        n += 1
+    return n
+
+
+def sign_test_power(n: int, p: float, alpha: float = 0.05) -> float:
+    """The chance that the exact two-sided sign test rejects with n discordant pairs of which each goes one way with chance p."""
+    tail = lambda k: sum(math.comb(n, j) for j in range(k + 1)) / 2**n
+    cut = max((k for k in range(n // 2 + 1) if 2 * tail(k) <= alpha), default=-1)
+    chance = lambda k: math.comb(n, k) * p**k * (1 - p) ** (n - k)
+    return round(sum(chance(k) + chance(n - k) for k in range(cut + 1)), 6) if cut >= 0 else 0.0
+
+
+def cluster_interval(rows: DataFrame, cluster: str, value: str, t: float = 1.96) -> DataFrame:
+    """One row: clusters, mean, se, low, high and design: the mean of the clusters' means with its standard error, and the design effect
+    1 + (size - 1) * icc that the rows' dependence amounts to."""
+    from .measures import icc
+
+    each = rows.groupBy(cluster).agg(F.avg(value).alias("m"), F.count(value).alias("c")).where("c > 0")
+    stats = each.agg(F.count("*").alias("clusters"), F.avg("m").alias("mean"), (F.stddev_samp("m") / F.sqrt(F.count("*"))).alias("se"), F.avg("c").alias("size"))
+    both = stats.crossJoin(F.broadcast(icc(rows, cluster, value)))  # one row
+    return both.select("clusters", F.round("mean", 6).alias("mean"), F.round("se", 6).alias("se"), F.round(F.col("mean") - t * F.col("se"), 6).alias("low"), F.round(F.col("mean") + t * F.col("se"), 6).alias("high"), F.round(1 + (F.col("size") - 1) * F.col("icc"), 6).alias("design"))
+
+
+def rolling_origin(rows: DataFrame, key: str, published: str, known: str, kind: str, outcome: str, shrink: float = 5.0) -> DataFrame:
+    """key, n, guess and error: each outcome predicted from those that were known when its row was published: their mean, moved towards the
+    mean of its kind by n / (n + shrink). Null guesses where nothing was known.
+
+    Outcomes and questions are one stream in time, summed by two windows; no row meets all earlier ones.
+    """
+    asks = rows.select(F.col(published).alias("__t"), F.lit(0).alias("__o"), kind, F.lit(0).alias("__c"), F.lit(0.0).alias("__v"), F.col(key).alias("key"), F.col(outcome).alias("outcome"))
+    facts = rows.where(F.col(outcome).isNotNull()).select(F.col(known).alias("__t"), F.lit(1).alias("__o"), kind, F.lit(1).alias("__c"), F.col(outcome).cast("double").alias("__v"), F.lit(None).cast(rows.schema[key].dataType).alias("key"), F.lit(None).cast("double").alias("outcome"))
+    every = asks.unionByName(facts)
+    # Each kind's running sums, then those of all kinds at the question's time as the sum of the kinds' increments by day.
+    own = Window.partitionBy(kind).orderBy("__t", "__o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = every.withColumns({"kn": F.sum("__c").over(own), "ks": F.sum("__v").over(own)})
+    steps = facts.groupBy("__t").agg(F.sum("__c").alias("c"), F.sum("__v").alias("v"))
+    times_ = steps.select("__t", F.lit(1).alias("__o"), "c", "v").unionByName(asks.select("__t", F.lit(0).alias("__o"), F.lit(0).alias("c"), F.lit(0.0).alias("v")).distinct())
+    whole = Window.partitionBy(F.lit(0)).orderBy("__t", "__o").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # distinct times alone
+    all_ = times_.withColumns({"n": F.sum("c").over(whole), "s": F.sum("v").over(whole)}).where("__o = 0").select("__t", "n", "s").distinct()
+    joined = summed.where("__o = 0").join(all_, "__t")
+    share = F.col("kn") / (F.col("kn") + shrink)
+    base = F.col("s") / F.col("n")
+    guess = F.when(F.col("n") > 0, F.when(F.col("kn") > 0, share * F.col("ks") / F.col("kn") + (1 - share) * base).otherwise(base))
+    return joined.select(F.col("key").alias(key), F.col("n").cast("bigint").alias("n"), F.round(guess, 6).alias("guess"), F.round(F.abs(guess - F.col("outcome")), 6).alias("error"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf.sort_values(unit)
-        d = (d["b"] - d["a"]).to_numpy(np.float64)
-        signs = 1 - 2 * ((splitmix(seed, draws * len(d)) >> np.uint64(63)).astype(np.int64).reshape(draws, len(d)))
-        seen = abs(d.mean())
-        return pd.DataFrame({"diff": [round(float(d.mean()), 6)], "p": [round(float((1 + (np.abs((signs * d).mean(axis=1)) >= seen - 1e-12).sum()) / (draws + 1)), 6)]})
 
-    return pairs.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(run, "diff double, p double")
+def simulate_rule(n_sims: DataFrame, clusters: int, size: int, base: float, effect: float, spread: float, rule, seed: int = 23) -> DataFrame:
+    """sim, successes and fires: simulated programs of `clusters` clusters of `size` trials whose chances are spread around base + effect,
+    and whether a rule (a Column of successes and trials) fires. n_sims: a column sim. Every number is a hash of its place."""
+    cells = n_sims.withColumn("cluster", F.explode(F.sequence(F.lit(0), F.lit(clusters - 1)))).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    chance = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(base + effect) + F.lit(spread) * (2 * uniform(seed, "c", F.col("sim"), F.col("cluster")) - 1)))
+    hits = cells.groupBy("sim").agg(F.sum((uniform(seed, "t", F.col("sim"), F.col("cluster"), F.col("trial")) < chance).cast("bigint")).alias("successes"))
+    return hits.withColumn("fires", rule(F.col("successes"), F.lit(clusters * size)))
