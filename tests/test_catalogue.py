@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from quillon.plans import catalogue, studies  # noqa: F401
+from quillon.plans import audits, catalogue, evidence, packs, studies  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver tables are not here")
