@@ -55,7 +55,7 @@ def date_of(text: Column) -> Column:
 def letter(text: Column, options: int = 4) -> Column:
     """The option letter an answer names: alone, in brackets, or after 'answer'; null if it names none or several."""
     last = "ABCDEFGHIJ"[options - 1]
-    found = F.array_distinct(F.regexp_extract_all(F.upper(F.trim(text)), F.lit(rf"(?:^|[(\[]|ANSWER(?: IS)?:?\s+)([A-{last}])(?=$|[)\].:,\s])"), F.lit(1)))
+    found = F.array_distinct(F.regexp_extract_all(F.upper(F.trim(text)), F.lit(rf"(?:^|[(\[]|ANSWER(?: IS)?:?\s+|\b(?:OR|AND)\s+)([A-{last}])(?=$|[)\].:,\s])"), F.lit(1)))
     return F.when(F.size(found) == 1, found[0])
 
 

@@ -30,13 +30,66 @@ def content_tokens(text: Column, stop_words: tuple[str, ...]) -> Column:
 
 
 def stem(token: Column) -> Column:
-    """A crude suffix stripper: the first of a few endings goes where three characters stay before it."""
-    return F.regexp_replace(token, r"^(.{3,}?)(?:ingly|edly|ings|ing|edes|ies|ed|es|ly|s)$", "$1")
+    """A crude stemmer: plural, then one of -ing, -ed, -ly where more than two letters stay, then a last -e."""
+    n = F.length
+    one = F.when((n(token) > 4) & token.endswith("ies"), F.regexp_replace(token, "ies$", "y")).when((n(token) > 3) & token.rlike("[^s]s$"), F.regexp_replace(token, "s$", "")).otherwise(token)
+    two = F.when((n(one) > 5) & one.endswith("ing"), F.regexp_replace(one, "ing$", "")).when((n(one) > 4) & one.endswith("ed"), F.regexp_replace(one, "ed$", "")).when((n(one) > 4) & one.endswith("ly"), F.regexp_replace(one, "ly$", "")).otherwise(one)
+    return F.when((n(two) > 3) & two.endswith("e"), F.regexp_replace(two, "e$", "")).otherwise(two)
+
+
+# Plurals without a rule, and singulars that end in s.
+IRREGULAR = {"men": "man", "women": "woman", "children": "child", "people": "person", "mice": "mouse", "feet": "foot", "teeth": "tooth", "geese": "goose", "lives": "life", "wives": "wife"}
+S_SINGULAR = ("this", "bus", "gas", "news", "bias", "always", "lens", "series", "species", "basis", "analysis", "status")
 
 
 def plural_folded(token: Column) -> Column:
-    """Regular plurals to singulars; 'ss' stays."""
-    return F.when(token.rlike("ies$") & (F.length(token) > 4), F.concat(F.expr("''"), F.regexp_replace(token, "ies$", "y"))).when(token.rlike("[^s]s$") & (F.length(token) > 3), F.regexp_replace(token, "s$", "")).otherwise(token)
+    """A lower-case plural to its singular: irregular ones by a list, then by their endings; singulars in s stay."""
+    cut = lambda k: F.substring(token, F.lit(1), F.length(token) - k)
+    known = None
+    for plural, single in IRREGULAR.items():
+        known = F.when(token == plural, single) if known is None else known.when(token == plural, single)
+    return (
+        known.when((F.length(token) < 4) | ~token.endswith("s") | token.isin(*S_SINGULAR) | token.rlike("(ss|ous)$"), token)
+        .when(token.endswith("ies"), F.when(F.length(token) > 4, F.concat(cut(3), F.lit("y"))).otherwise(cut(1)))
+        .when(token.rlike("(sses|shes|ches|xes|zzes)$"), cut(2)).when(token.endswith("ses") & cut(2).isin(*S_SINGULAR), cut(2)).otherwise(cut(1))
+    )
+
+
+def analysed(text: Column) -> Column:
+    """Of each word: its lower case, its stem, whether it is capitalised, and whether it is so inside a sentence (not after . ! ? or at the start)."""
+    words = F.regexp_extract_all(text, F.lit(r"([A-Za-z]+|[.!?])"), F.lit(1))
+    is_word = lambda x: x.rlike("^[A-Za-z]")
+    capital = lambda x: x.rlike("^[A-Z]")
+    start = F.struct(F.lit(True).alias("first"), F.array().cast("array<struct<lower:string,stem:string,capital:boolean,inside:boolean>>").alias("out"))
+
+    def step(acc, x):
+        row = F.struct(F.lower(x).alias("lower"), stem(F.lower(x)).alias("stem"), capital(x).alias("capital"), (capital(x) & ~acc["first"]).alias("inside"))
+        return F.when(is_word(x), F.struct(F.lit(False).alias("first"), F.concat(acc["out"], F.array(row)).alias("out"))).otherwise(F.struct(F.lit(True).alias("first"), acc["out"].alias("out")))
+
+    return F.aggregate(words, start, step, lambda acc: acc["out"])
+
+
+def letters_only(text: Column) -> Column:
+    """Lower-case runs of letters of any script."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
+
+
+def stemmed(text: Column, stop_words: tuple[str, ...] = ()) -> Column:
+    """Stems of the content tokens, repeats kept."""
+    return F.transform(F.filter(ascii_tokens(text), lambda t: ~t.isin(*stop_words) if stop_words else F.lit(True)), stem)
+
+
+def containment(a: Column, b: Column) -> Column:
+    """The share of a's distinct tokens that b has; null for an empty a."""
+    x = F.array_distinct(a)
+    return F.when(F.size(x) > 0, F.round(F.size(F.array_intersect(x, b)) / F.size(x), 6))
+
+
+def bag_cosine(a: Column, b: Column) -> Column:
+    """The cosine of two maps token -> weight; 0 where either is empty."""
+    dot = F.aggregate(F.map_keys(a), F.lit(0.0), lambda acc, k: acc + a[k] * F.coalesce(F.try_element_at(b, k), F.lit(0.0)))
+    norm = lambda m: F.sqrt(F.aggregate(F.map_values(m), F.lit(0.0), lambda acc, v: acc + v * v))
+    return F.when((norm(a) > 0) & (norm(b) > 0), F.round(dot / (norm(a) * norm(b)), 6)).otherwise(0.0)
 
 
 def ngrams(tokens: Column, n: int) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillon.sources.index import Index, index_of
@@ -30,7 +31,7 @@ def field_weighted(fields: dict[str, tuple[DataFrame, float]], query: str, doc:
 def max_ratio(a: DataFrame, b: DataFrame, query: str, doc: str, tau_a: float, tau_b: float) -> DataFrame:
     """query, doc, strength: the greater of two scores over their thresholds; 1 or more passes the gate."""
     both = a.select(query, doc, F.col("score").alias("a")).join(b.select(query, doc, F.col("score").alias("b")), [query, doc], "full_outer")
-    return both.select(query, doc, F.round(F.greatest(F.coalesce("a", F.lit(0.0)) / tau_a, F.coalesce("b", F.lit(0.0)) / tau_b), 5).alias("strength"))
+    return both.select(query, doc, F.round(F.greatest(F.coalesce("a", F.lit(0.0)) / tau_a, F.coalesce("b", F.lit(0.0)) / tau_b), 9).alias("strength"))
 
 
 def names(text: Column) -> Column:
@@ -119,38 +120,57 @@ def known_cost(rows: DataFrame, group: str, cost: str) -> DataFrame:
     return rows.groupBy(group).agg(F.round(F.sum(cost), 4).alias("total"), F.count("*").alias("rows"), F.when(known == F.count("*"), "known").when(known > 0, "lower bound").otherwise("unobserved").alias("state"))
 
 
-def text_windows(df: DataFrame, key: str, text: str, size: int = 1600, overlap: int = 160) -> DataFrame:
-    """key, window, char_start, char_end, byte_start, byte_end, text: windows of at most `size` UTF-8 bytes that overlap by about `overlap`, cut
-    at a line feed or blank in the last quarter where there is one, never within a character."""
-    schema = f"{key} {df.schema[key].dataType.simpleString()}, window int, char_start int, char_end int, byte_start int, byte_end int, text string"
+def _cuts(raw: bytes, size: int, overlap: int) -> list[tuple[int, int]]:
+    """Byte ranges of the windows of one UTF-8 text. Places where a character begins come from one pass over the bytes."""
+    data = np.frombuffer(raw, np.uint8)
+    starts = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(raw))
+    out, at = [], 0
+    while at < len(raw):
+        end = int(starts[np.searchsorted(starts, at + size, "right") - 1])  # the last character that fits whole
+        if end <= at:
+            end = int(starts[np.searchsorted(starts, at, "right")])
+        if end < len(raw):
+            first, last = np.searchsorted(starts, [at, end])
+            low = int(starts[first + 3 * (last - first) // 4])
+            for mark in (b"\n", b" "):
+                cut = raw.rfind(mark, low, end)
+                if cut > at:
+                    end = cut + 1
+                    break
+        out.append((at, end))
+        if end == len(raw):
+            break
+        back = int(starts[np.searchsorted(starts, max(end - overlap, at + 1))])
+        at = back if at < back < end else end
+    return out
 
-    def run(frames):
-        for pdf in frames:
-            out = []
-            for k, t in zip(pdf[key], pdf[text]):
-                at, byte, i = 0, 0, 0
-                while t and at < len(t):
-                    end, used = at, 0
-                    while end < len(t) and used + (w := len(t[end].encode())) <= size:
-                        used, end = used + w, end + 1
-                    end = max(end, at + 1)
-                    if end < len(t):
-                        for mark in ("\n", " "):
-                            cut = t.rfind(mark, at + 3 * (end - at) // 4, end)
-                            if cut > at:
-                                end = cut + 1
-                                break
-                    piece = t[at:end]
-                    out.append((k, i, at, end, byte, byte + len(piece.encode()), piece))
-                    if end == len(t):
-                        break
-                    back = end
-                    while back > at + 1 and len(t[back - 1 : end].encode()) <= overlap:
-                        back -= 1
-                    byte, at, i = byte + len(t[at:back].encode()), back, i + 1
-            yield pdf.__class__(out, columns=[key, "window", "char_start", "char_end", "byte_start", "byte_end", "text"])
-
-    return df.select(key, text).mapInPandas(run, schema)
+
+def text_windows(df: DataFrame, key: str, text: str, size: int = 1600, overlap: int = 160) -> DataFrame:
+    """key, window, char_start, char_end, byte_start, byte_end, text: windows of at most `size` UTF-8 bytes that overlap by at most `overlap`, cut
+    at a line feed or blank in the last quarter where there is one, never within a character. Works on the bytes, in Arrow batches."""
+    import pyarrow as pa
+
+    kind = df.schema[key].dataType.simpleString()
+    names = [key, "window", "char_start", "char_end", "byte_start", "byte_end", "text"]
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                rows, places = [], []
+                for i, raw in enumerate(part.column(1).to_pylist()):
+                    if not raw:
+                        continue
+                    chars = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
+                    for w, (a, b) in enumerate(_cuts(raw, size, overlap)):
+                        rows.append((w, int(chars[a]), int(chars[b]), a, b, raw[a:b].decode()))
+                        places.append(i)
+                if rows:
+                    ints = [pa.array(c, pa.int32()) for c in list(zip(*rows))[:5]]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(places)), *ints, pa.array([r[5] for r in rows])], names=names)
+
+    schema = f"`{key}` {kind}, window int, char_start int, char_end int, byte_start int, byte_end int, text string"
+    return df.select(key, F.col(text).cast("string").cast("binary").alias("__raw")).mapInArrow(run, schema)
 
 
 def vocabulary_scan(df: DataFrame, key: str, text: str, aliases: dict[str, str]) -> DataFrame:

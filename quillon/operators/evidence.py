@@ -63,15 +63,15 @@ def private_parts(rows: DataFrame, key: str, text: str, kinds: dict[str, str] =
 
 def snippets(pairs: DataFrame, query: str, doc: str, text: str, terms: str, width: int = 24) -> DataFrame:
     """query, doc, snippet and hits: the `width` tokens with the most of the query's terms (the first of equals), each found one in brackets."""
-    rows = pairs.select(query, doc, ascii_tokens(F.col(text)).alias("t"), F.col(terms).alias("q")).withColumn("h", F.transform("t", lambda x: F.array_contains("q", x).cast("int")))
+    rows = pairs.select(query, doc, ascii_tokens(F.col(text)).alias("__t"), F.col(terms).alias("__q")).withColumn("__h", F.transform("__t", lambda x: F.array_contains("__q", x).cast("int")))
     # hits of the window from i on: running sums differ by `width` places
-    sums = F.aggregate("h", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    rows = rows.withColumn("s", sums)
-    last = F.greatest(F.size("t") - width + 1, F.lit(1))
-    scored = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct((F.element_at(F.col("s"), F.least(i + width, F.size("s"))) - F.element_at(F.col("s"), i)).alias("n"), (-i).alias("i")))
-    rows = rows.withColumn("best", F.array_max(scored))
-    shown = F.transform(F.slice("t", -F.col("best.i"), F.lit(width)), lambda x: F.when(F.array_contains("q", x), F.concat(F.lit("["), x, F.lit("]"))).otherwise(x))
-    return rows.select(query, doc, F.array_join(shown, " ").alias("snippet"), F.col("best.n").cast("bigint").alias("hits"))
+    sums = F.aggregate("__h", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    rows = rows.withColumn("__s", sums)
+    last = F.greatest(F.size("__t") - width + 1, F.lit(1))
+    scored = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct((F.element_at(F.col("__s"), F.least(i + width, F.size("__s"))) - F.element_at(F.col("__s"), i)).alias("n"), (-i).alias("i")))
+    rows = rows.withColumn("__best", F.array_max(scored))
+    shown = F.transform(F.slice("__t", -F.col("__best.i"), F.lit(width)), lambda x: F.when(F.array_contains("__q", x), F.concat(F.lit("["), x, F.lit("]"))).otherwise(x))
+    return rows.select(query, doc, F.array_join(shown, " ").alias("snippet"), F.col("__best.n").cast("bigint").alias("hits"))
 
 
 def match_query(text: Column) -> Column:

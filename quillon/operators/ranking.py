@@ -189,6 +189,12 @@ def dense_top(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k:
     return top(pairs, k, "query", "doc", positive=False)
 
 
+def without(posts: DataFrame | Index, gone: DataFrame, doc: str) -> Index:
+    """The index without some documents; lengths, counts and statistics follow."""
+    ix = index_of(posts, doc)
+    return index_of(ix.posts.select(doc, "term", "tf").join(gone.select(doc).distinct(), doc, "left_anti"), doc)
+
+
 def reciprocal_rank_fusion(lists: list[DataFrame], query: str, doc: str, constant: int = 60, digits: int = 9) -> DataFrame:
     """Sum of 1 / (constant + rank) over the lists."""
     every = lists[0].select(query, doc, "rank")

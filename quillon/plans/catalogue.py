@@ -475,7 +475,7 @@ def prefix_counts(spark, sf):
 
 def _gate(policy):
     def run(spark, sf):
-        docs = table(spark, sf, "documents").select(F.abs(F.hash("source")).cast("bigint").alias("stream"), F.col("doc_id").alias("seq"), tx.word_count(F.col("text")).cast("bigint").alias("words"), (F.col("doc_id") * 37 % 101).alias("value"), F.abs(F.xxhash64("doc_id")).alias("draw"))
+        docs = table(spark, sf, "documents").select(F.abs(F.hash("source")).cast("bigint").alias("stream"), F.col("doc_id").alias("seq"), tx.word_count(F.col("text")).cast("bigint").alias("words"), (F.col("doc_id") * 37 % 101).alias("value"), F.abs(F.xxhash64("doc_id")).alias("draw"), (F.col("doc_id") % 7).alias("topic"), (F.col("doc_id") % 4 == 0).cast("int").alias("needed"))
         return streams.retained(docs, policy, 0.2)
 
     run.__name__ = f"retention_{policy}"

@@ -34,40 +34,58 @@ def late_rows(records: DataFrame, stream: str, order: str, ts: str) -> DataFrame
 
 
 class Gate:
-    """The store of one stream: holds floor(rate * words seen) words, gives up the row of least weight (oldest first among equals)."""
+    """The store of one stream: holds floor(rate * words seen) words, gives up the row of least weight (oldest first among equals).
+
+    Weights may change while a row is held (a re-mention): the heap keeps outdated entries, which are passed over when they come up.
+    """
 
     def __init__(self, rate: float):
-        self.rate, self.seen, self.held, self.heap, self.size = rate, 0, 0, [], {}
+        self.rate, self.seen, self.held, self.heap, self.size, self.weight, self.topics = rate, 0, 0, [], {}, {}, {}
 
-    def put(self, seq: int, words: int, weight: float) -> list[int]:
-        """Takes a row in; returns the rows given up."""
+    def put(self, seq: int, words: int, weight: float, topic: int | None = None) -> list[int]:
+        """Takes a row in; returns the rows given up. With a topic, held rows of the same topic gain the new row's weight."""
         self.seen += words
         self.held += words
-        self.size[seq] = words
+        if topic is not None:
+            group = self.topics.setdefault(topic, set())
+            for other in group:
+                self.weight[other] += weight
+                heapq.heappush(self.heap, (self.weight[other], other))
+            group.add(seq)
+        self.size[seq], self.weight[seq] = words, weight
         heapq.heappush(self.heap, (weight, seq))
         gone = []
         while self.held > int(self.rate * self.seen + 1e-9):
-            _, out = heapq.heappop(self.heap)
+            w, out = heapq.heappop(self.heap)
+            if self.weight.get(out) != w:
+                continue
             self.held -= self.size.pop(out)
+            del self.weight[out]
+            for group in self.topics.values() if topic is not None else ():
+                group.discard(out)
             gone.append(out)
         return gone
 
     def dump(self) -> tuple:
-        return (self.seen, self.held, [w for w, _ in self.heap], [s for _, s in self.heap], [self.size[s] for _, s in self.heap])
+        held = sorted(self.size)
+        return (self.seen, self.held, [self.weight[s] for s in held], held, [self.size[s] for s in held])
 
     @classmethod
     def load(cls, rate: float, state: tuple) -> "Gate":
         out = cls(rate)
         out.seen, out.held = state[0], state[1]
-        out.heap = list(zip(state[2], state[3]))
-        out.size = dict(zip(state[3], state[4]))
+        out.size, out.weight = dict(zip(state[3], state[4])), dict(zip(state[3], state[2]))
+        out.heap = [(w, s) for s, w in out.weight.items()]
+        heapq.heapify(out.heap)
         return out
 
 
-#: Weights of the retention policies, from a row's age rank, words, value and draw.
+#: Weights of the retention policies, from a row's age rank, words, value and draw. "mention" adds to what it holds of a topic when the topic
+#: comes again (column topic); "oracle" keeps what will be needed (column needed) before all else.
 POLICIES = {
     "recent": lambda r: float(r.seq), "first": lambda r: -float(r.seq), "long": lambda r: float(r.words), "short": lambda r: -float(r.words),
-    "value": lambda r: float(r.value), "low_value": lambda r: -float(r.value), "random": lambda r: float(r.draw), "dense": lambda r: float(r.value) / max(1, r.words), "all": None,
+    "value": lambda r: float(r.value), "low_value": lambda r: -float(r.value), "random": lambda r: float(r.draw), "dense": lambda r: float(r.value) / max(1, r.words),
+    "mention": lambda r: float(r.value), "oracle": lambda r: float(r.needed), "all": None,
 }
 
 KEPT = "stream bigint, seq bigint, words bigint"
@@ -76,20 +94,62 @@ KEPT = "stream bigint, seq bigint, words bigint"
 def retained(rows: DataFrame, policy: str, rate: float) -> DataFrame:
     """stream, seq and words of the rows that the gate still holds after the last row of each stream.
 
-    rows: stream, seq, words, value, draw. The gate's state depends on order, so a stream is one task; streams are many.
+    rows: stream, seq, words, value, draw (and topic or needed). The gate's state depends on order; streams come sorted, batch by batch, and
+    a task holds the store of the one stream that it reads: a share `rate` of its words, not the stream.
     """
     if policy == "all":
         return rows.select(F.col("stream").cast("bigint").alias("stream"), F.col("seq").cast("bigint").alias("seq"), F.col("words").cast("bigint").alias("words"))
     weigh = POLICIES[policy]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        gate = Gate(rate)
-        for r in pdf.sort_values("seq").itertuples():
-            gate.put(int(r.seq), int(r.words), weigh(r))
+    def left(stream: int, gate: Gate) -> pd.DataFrame:
         kept = sorted(gate.size.items())
-        return pd.DataFrame({"stream": [int(pdf["stream"].iloc[0])] * len(kept), "seq": [k for k, _ in kept], "words": [v for _, v in kept]}).astype("int64")
-
-    return rows.groupBy("stream").applyInPandas(run, KEPT)
+        return pd.DataFrame({"stream": [stream] * len(kept), "seq": [k for k, _ in kept], "words": [v for _, v in kept]}).astype("int64")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, gate = None, None
+        for pdf in frames:
+            for r in pdf.itertuples(index=False):
+                if r.stream != last:
+                    if gate is not None:
+                        yield left(last, gate)
+                    last, gate = int(r.stream), Gate(rate)
+                gate.put(int(r.seq), int(r.words), weigh(r), int(r.topic) if policy == "mention" else None)
+        if gate is not None:
+            yield left(last, gate)
+
+    return rows.repartition("stream").sortWithinPartitions("stream", "seq").mapInPandas(run, KEPT)
+
+
+def importance(uses: DataFrame, entry: str, at: str, now) -> DataFrame:
+    """entry, uses, last_used and importance: 1 + 0.5 for each use less 0.5 for each 30 days since the last, between 0 and 5."""
+    each = uses.groupBy(entry).agg(F.count("*").alias("uses"), F.max(at).alias("last_used"))
+    age = F.datediff(now, F.col("last_used").cast("date"))
+    return each.withColumn("importance", F.round(F.greatest(F.lit(0.0), F.least(F.lit(5.0), 1 + 0.5 * F.col("uses") - 0.5 * age / 30)), 6))
+
+
+def learned_shells(examples: DataFrame, text: str, value: str) -> DataFrame:
+    """prefix and suffix: what stands before and after the value in each example, once; an example without its value teaches nothing."""
+    at = f"locate(`{value}`, `{text}`)"
+    shells = examples.where(f"{at} > 0 and length(`{value}`) > 0").select(F.expr(f"left(`{text}`, {at} - 1)").alias("prefix"), F.expr(f"substring(`{text}`, {at} + length(`{value}`))").alias("suffix"))
+    return shells.where("length(prefix) + length(suffix) > 0").distinct()
+
+
+def replayed(sources: DataFrame, shells: DataFrame, key: str, text: str) -> DataFrame:
+    """key and value: what a learned shell finds in a later text; null where several shells find different values (ambiguous). Texts without a
+    shell give no row. Texts meet shells on the first word of both, not each with each."""
+    first = lambda c: F.regexp_extract(c, r"^(\S+)\s", 1)
+    s = shells.withColumn("__w", first(F.col("prefix")))
+    t = sources.select(key, F.col(text).alias("__t")).withColumn("__w", first(F.col("__t")))
+    n = F.length("__t") - F.length("prefix") - F.length("suffix")
+    met = t.join(s, "__w").where(F.col("__t").startswith(F.col("prefix")) & F.col("__t").endswith(F.col("suffix")) & (n > 0))
+    found = met.select(key, F.substring(F.col("__t"), F.length("prefix") + 1, n).alias("v"))
+    return found.groupBy(key).agg(F.when(F.countDistinct("v") == 1, F.min("v")).alias("value"))
+
+
+def mood(rows: DataFrame, group: str, order: str, stimulus: str, keep: float) -> DataFrame:
+    """group and mood: the last of an autoregression, mood = keep * mood + stimulus, folded in order over each group's short list."""
+    listed = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(stimulus).cast("double").alias("x")))).alias("l"))
+    return listed.select(group, F.round(F.aggregate("l", F.lit(0.0), lambda acc, r: acc * keep + r["x"]), 6).alias("mood"))
 
 
 STATE = "seen bigint, held bigint, weights array<double>, seqs array<bigint>, sizes array<bigint>"
