@@ -80,10 +80,11 @@ def overlapping(facts: DataFrame, spans: DataFrame, on: list[str], bucket_second
     return a.join(b, [*on, "__b"]).where((F.col("valid_from") < F.col("high")) & (F.col("low") < F.col("valid_to")) & (later == F.col("__b"))).drop("__b")
 
 
-def within_days(items: DataFrame, group: list[str], day: str, days: int, what: Column) -> DataFrame:
-    """Adds earlier: what was collected on the `days` days before each item's day (not on it)."""
+def within_days(items: DataFrame, group: list[str], day: str, days: int, kind: str) -> DataFrame:
+    """Adds earlier and kinds: how many items stand on the `days` days before each item's day (not on it), and of which kinds (a set: as many
+    as there are kinds, not items)."""
     w = Window.partitionBy(*group).orderBy(day).rangeBetween(-days, -1)
-    return items.withColumn("earlier", F.collect_list(what).over(w))
+    return items.withColumns({"earlier": F.count("*").over(w), "kinds": F.collect_set(kind).over(w)})
 
 
 def timeline(log: DataFrame, order: list[str], limit: int, kinds: tuple[str, ...] = ()) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def running(rows: DataFrame, order: str, sums: dict[str, Column], tie: str | None = None, descending: bool = False) -> DataFrame:
-    """Adds running sums over all rows in order, without one task that holds them all.
+def running(rows: DataFrame, order: str, sums: dict[str, Column], tie: str | None = None, descending: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds running sums over all rows (of each group `by`) in order, without one task that holds them all.
 
     Rows are dealt by ranges of the order's value (equal values stay together), summed within their range, and moved by what the ranges
-    before hold. The driver holds the ranges' bounds, two to a shuffle partition; the ranges' sums are so many rows. Nulls come last.
+    before hold. The driver holds the ranges' bounds, two to a shuffle partition; the ranges' sums are so many rows a group. Nulls come last.
     """
     spark = rows.sparkSession
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -18,13 +19,14 @@ def running(rows: DataFrame, order: str, sums: dict[str, Column], tie: str | Non
     place = F.size(F.filter(cuts, lambda b: b < F.col(order)))
     place = F.when(F.col(order).isNull(), parts).otherwise(-place if descending else place)
     dealt = rows.withColumn("__place", place).withColumns({f"__{k}": c for k, c in sums.items()})
-    offsets = dealt.groupBy("__place").agg(*[F.sum(f"__{k}").alias(f"__all_{k}") for k in sums])
-    before = Window.partitionBy(F.lit(0)).orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    offsets = offsets.select("__place", *[F.coalesce(F.sum(f"__all_{k}").over(before), F.lit(0)).alias(f"__before_{k}") for k in sums])
-    by = F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_last()
-    within = Window.partitionBy("__place").orderBy(by, *([tie] if tie else []))
+    offsets = dealt.groupBy(*by, "__place").agg(*[F.sum(f"__{k}").alias(f"__all_{k}") for k in sums])
+    before = Window.partitionBy(*(by or (F.lit(0),))).orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    offsets = offsets.select(*by, "__place", *[F.coalesce(F.sum(f"__all_{k}").over(before), F.lit(0)).alias(f"__before_{k}") for k in sums])
+    first = F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_last()
+    within = Window.partitionBy(*by, "__place").orderBy(first, *([tie] if tie else []))
     within = within.rowsBetween(Window.unboundedPreceding, Window.currentRow) if tie else within
-    joined = dealt.withColumns({f"__sum_{k}": F.sum(f"__{k}").over(within) for k in sums}).join(F.broadcast(offsets), "__place")  # one row a range
+    offsets = offsets if by else F.broadcast(offsets)  # one row a range
+    joined = dealt.withColumns({f"__sum_{k}": F.sum(f"__{k}").over(within) for k in sums}).join(offsets, [*by, "__place"])
     return joined.select(*rows.columns, *[(F.col(f"__sum_{k}") + F.col(f"__before_{k}")).alias(k) for k in sums])
 
 
@@ -110,14 +112,15 @@ def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, group: str, value: str, p: float) -> DataFrame:
-    """group, linear, nearest_rank (ceil(p n)), index_rule (floor(p n), held in range): three rules for one percentile."""
-    w = Window.partitionBy(group).orderBy(value)
-    ranked = rows.select(group, value).withColumns({"i": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy(group))})
-    at = lambda place: F.max(F.when(F.col("i") == place, F.col(value)))
-    return ranked.groupBy(group).agg(
-        F.round(F.expr(f"percentile({value}, {p})"), 6).alias("linear"), at(F.greatest(F.lit(1), F.ceil(F.round(F.lit(p) * F.col("n"), 9)))).alias("nearest_rank"),
-        at(F.least(F.col("n"), F.floor(F.round(F.lit(p) * F.col("n"), 9)) + 1)).alias("index_rule"),
-    )
+    """group, linear, nearest_rank (ceil(p n)), index_rule (floor(p n), held in range): three rules for one percentile. Places are running
+    counts of a group's distinct values, so a hot group is no one task."""
+    known = rows.where(F.col(group).isNotNull() & F.col(value).isNotNull())
+    each = known.groupBy(group, value).agg(F.count("*").alias("c"))
+    ranked = running(each, value, {"upto": F.col("c")}, by=(group,)).join(each.groupBy(group).agg(F.sum("c").alias("n")), group)
+    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col(value)))
+    pn = F.round(F.lit(p) * F.col("n"), 9)
+    places = ranked.groupBy(group).agg(at(F.greatest(F.lit(1), F.ceil(pn))).alias("nearest_rank"), at(F.least(F.col("n"), F.floor(pn) + 1)).alias("index_rule"))
+    return known.groupBy(group).agg(F.round(F.expr(f"percentile({value}, {p})"), 6).alias("linear")).join(places, group)
 
 
 def risk_coverage(rows: DataFrame, score: str, wrong: str) -> DataFrame:
@@ -202,12 +205,23 @@ def first_wins(rows: DataFrame, key: Column, order: list[str], labels: str) -> D
 
 
 def expanding_percentile(rows: DataFrame, channel: str, order: str, value: str) -> DataFrame:
-    """Adds percentile: the mid-rank of each reading among the earlier ones of its channel; null for the first.
-
-    Channels are short streams; each is one sorted list.
-    """
-    w = Window.partitionBy(channel).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.collect_list(value).over(w)
-    marked = rows.withColumn("__e", earlier)
-    low, same = F.size(F.filter("__e", lambda x: x < F.col(value))), F.size(F.filter("__e", lambda x: x == F.col(value)))
-    return marked.withColumn("percentile", F.round(ratio(low + same / 2, F.size("__e")), 6)).drop("__e")
+    """Adds percentile: the mid-rank of each reading among the earlier ones of its channel; null for the first. Channels come sorted, batch by
+    batch; a task holds the sorted readings of the channel that it reads."""
+    import bisect
+
+    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != order]
+    dealt = rows.repartition(channel).sortWithinPartitions(channel, order).drop(order)
+
+    def run(frames):
+        last, seen = None, []
+        for pdf in frames:
+            out = []
+            for name, x in zip(pdf[channel].tolist(), pdf[value].tolist()):
+                if name != last:
+                    last, seen = name, []
+                low, high = bisect.bisect_left(seen, x), bisect.bisect_right(seen, x)
+                out.append(round((low + (high - low) / 2) / len(seen), 6) if seen else None)
+                seen.insert(high, x)
+            yield pdf.assign(percentile=pd.array(out, dtype="Float64"))
+
+    return dealt.mapInPandas(run, ", ".join([*names, "percentile double"]))

@@ -307,8 +307,8 @@ def timeline(spark, sf):
 @query("WITH d AS (SELECT event_id, user_id, event_type, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day FROM events) SELECT event_id, count(*) OVER w AS earlier, count(DISTINCT event_type) OVER w AS kinds FROM d WINDOW w AS (PARTITION BY user_id ORDER BY day RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING)")
 def look_back_days(spark, sf):
     rows = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).alias("day"))
-    seen = fx.within_days(rows, ["user_id"], "day", 7, F.col("event_type"))
-    return seen.select("event_id", F.size("earlier").cast("bigint").alias("earlier"), F.size(F.array_distinct("earlier")).cast("bigint").alias("kinds"))
+    seen = fx.within_days(rows, ["user_id"], "day", 7, "event_type")
+    return seen.select("event_id", "earlier", F.size("kinds").cast("bigint").alias("kinds"))
 
 
 @query(f"SELECT id FROM (SELECT *, lag(recorded) OVER (PARTITION BY user_id ORDER BY id) AS b FROM ({FACTS_SQL})) WHERE recorded < b")
