@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.functions import text as tx
-from quillon.operators import controls, graphs, integrity, packing, policies, ranking, samples
-from quillon.plans.catalogue import BM25_SQL, RANKED_SQL, bm25_topk, jaccard_topk, query
+from quillon.functions import numeric, text as tx
+from quillon.operators import controls, graphs, integrity, packing, policies, probe, ranking, samples
+from quillon.plans.catalogue import BM25_SQL, RANKED_SQL, _scored, bm25_topk, jaccard_topk, query
 from quillon.plans.tables import FACTS_SQL, TOKENS_SQL, facts, lexical, table
 from quillon.sources import index, worlds
 from quillon.streaming import streams
@@ -176,3 +176,30 @@ def published_numbers(spark, sf):
     computed = table(spark, sf, "events").groupBy("event_type").agg(F.avg("value").alias("value"))
     published = computed.withColumn("value", F.round("value", 2) + F.when(F.col("event_type") == "view", 0.5).otherwise(0.0))
     return integrity.checked_numbers(published, computed, "event_type", 2).select("event_type", F.round("published", 6).alias("published"), F.round("computed", 6).alias("computed"), "holds")
+
+
+@query("SELECT event_id, round(1 / (1 + exp(-(0.02 * value - 1 + CASE WHEN event_type = 'error' THEN 0.5 ELSE 0 END))), 6) AS appraisal, round(tanh(value / 100), 6) AS arousal FROM events")
+def appraisal(spark, sf):
+    features = {"value": F.col("value"), "error": (F.col("event_type") == "error").cast("int"), "share": F.col("value") / 100}
+    return table(spark, sf, "events").select("event_id", numeric.appraised(features, {"value": 0.02, "error": 0.5}, -1.0).alias("appraisal"), numeric.appraised(features, {"share": 1.0}, link="tanh").alias("arousal"))
+
+
+@query("WITH t AS (SELECT sum(1 / i) AS t FROM range(1, 26) r(i)) SELECT n_nationkey, round(1 / (n_nationkey + 1) / t, 9) AS share FROM nation, t")
+def zipf_shares(spark, sf):
+    return table(spark, sf, "nation").select("n_nationkey", F.round(numeric.zipf(F.col("n_nationkey") + 1, 25), 9).alias("share"))
+
+
+_TOP1 = f"{_TOP5}, q2 AS (SELECT DISTINCT item_id, term FROM r JOIN posts USING (doc_id) WHERE rank = 1), s2 AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q2 JOIN posts USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st GROUP BY ALL), h2 AS ({RANKED_SQL.format(k=10).replace('FROM scored', 'FROM s2')}), u AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY rank, doc_id) AS i FROM h2 WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.item_id = h2.item_id AND r.doc_id = h2.doc_id))"
+
+
+@query(f"WITH {_TOP1} SELECT item_id, doc_id, 0 AS round FROM r UNION ALL SELECT item_id, doc_id, 1 FROM u WHERE i = 1")
+def iterative_search(spark, sf):
+    ix = lexical(spark, sf)[1]
+    search = lambda terms: ranking.top(ranking.bm25(terms, ix, "item_id", "doc_id"), 10, "item_id", "doc_id")  # noqa: E731  (whole texts ask: bounds would spare little)
+    return probe.iterative_search(bm25_topk(spark, sf), search, table(spark, sf, "documents").select("doc_id", "text"), "item_id", "doc_id", rounds=1)
+
+
+@query()
+def leak_probe(spark, sf):
+    rows = _scored(spark, sf)
+    return probe.leak_probe(rows, [F.col("s"), (F.col("lang") == "en").cast("int")], F.col("quality"), F.col("doc_id") % 3)

@@ -9,14 +9,15 @@ import math
 import os
 import random
 import shutil
+import time
 
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.functions import parse, text as tx
-from quillon.operators import audit, controls, evidence, inference, measures, packing, ranking, samples
+from quillon.functions import numeric, parse, text as tx
+from quillon.operators import audit, controls, evidence, inference, measures, packing, probe, ranking, samples
 from quillon.sources import index, worlds
 from quillon.streaming import streams
 
@@ -335,3 +336,31 @@ def test_shifted(spark):
     assert [r["v"] for r in samples.shifted(rows, "g", "o", "v", 1).orderBy("o").collect()] == [None, 0, 10, 20]
 
 
+
+
+def test_logistic_probe_against_numpy(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 2))
+    y = (rng.random(300) < 1 / (1 + np.exp(-(0.5 + 2 * x[:, 0])))).astype(int)
+    rows = spark.createDataFrame([(i, float(a), float(b), int(c)) for i, ((a, b), c) in enumerate(zip(x, y))], "i int, a double, b double, y int")
+    got = probe.logistic_fit(rows, [F.col("a"), F.col("b")], F.col("y"), ridge=0.5)
+    full, w = np.column_stack([np.ones(300), x]), np.zeros(3)
+    for _ in range(4000):  # plain descent
+        w += 0.01 * (full.T @ (y - 1 / (1 + np.exp(-full @ w))) - 0.5 * np.array([0, 1, 1]) * w)
+    assert got == pytest.approx(w, abs=1e-4)
+    leaks = probe.leak_probe(rows, [F.col("a"), F.col("b")], F.col("y"), F.col("i") % 2).collect()
+    assert len(leaks) == 2 and all(r["auroc"] > 0.8 for r in leaks)
+    assert probe.logistic_fit(rows.limit(0), [F.col("a")], F.col("y")).tolist() == [0, 0]
+
+
+def test_numeric(spark):
+    rows = spark.createDataFrame([(0.5,), (0.975,), (0.0,), (None,)], "p double").select(numeric.normal_quantile("p").alias("z"), numeric.quantised(F.lit(-0.0000001)).alias("q")).collect()
+    assert rows[0]["z"] == 0 and rows[1]["z"] == pytest.approx(1.959964, abs=1e-6) and rows[2]["z"] is None and rows[3]["z"] is None
+    assert math.copysign(1, rows[0]["q"]) == 1
+    assert spark.range(1, 6).select(F.sum(numeric.zipf(F.col("id"), 5))).first()[0] == pytest.approx(1)
+
+
+def test_deadlines(spark):
+    assert probe.within_time(spark.range(3), 60)[0] == "ok"
+    slow = spark.range(4).select(F.udf(lambda x: time.sleep(15), "int")("id").alias("x"))
+    assert probe.within_time(slow, 1.0) == ("timeout", [])
