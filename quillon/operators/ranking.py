@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quillon.sources.index import Index, index_of, postings  # noqa: F401
+from quillon.sources.index import Index, cut, index_of, postings  # noqa: F401
 
 from .measures import running
 
@@ -51,11 +51,11 @@ def best(terms: DataFrame, impacts: DataFrame, query: str, doc: str, k: int, dig
     ranked = early.withColumn("r", F.row_number().over(Window.partitionBy(query).orderBy(F.col("part").desc()))).where(F.col("r") <= k)
     floor = ranked.groupBy(query).agg(F.when(F.count("*") == k, F.min("part")).otherwise(0.0).alias("floor"))
     slack = 10.0 ** -digits * 2  # scores are compared rounded
-    split = placed.join(floor, query, "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)) - slack).withColumn("leads", F.col("tail") >= F.col("floor"))
+    split = cut(placed.join(floor, query, "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)) - slack).withColumn("leads", F.col("tail") >= F.col("floor")), "terms")
     later = split.where("not leads")
     rest = split.groupBy(query).agg(F.max(F.when(~F.col("leads"), F.col("tail"))).alias("rest"), F.first("floor").alias("floor"))
     found = impacts.join(split.where("leads").select(query, "term", "w"), "term").select(query, doc, part).groupBy(query, doc).agg(F.sum("part").alias("part"))
-    live = found.join(rest, query).where(F.col("part") + F.coalesce("rest", F.lit(0.0)) >= F.col("floor")).select(query, doc, "part")
+    live = cut(found.join(rest, query).where(F.col("part") + F.coalesce("rest", F.lit(0.0)) >= F.col("floor")).select(query, doc, "part"), "candidates")
     wanted = live.select(query, doc).join(later.select(query, "term", "w"), query)
     more = wanted.join(impacts, [doc, "term"]).select(query, doc, part)
     return live.unionByName(more).groupBy(query, doc).agg(F.round(F.sum("part"), digits).alias("score"))
@@ -150,11 +150,11 @@ def jaccard_top(query_terms: DataFrame, posts: DataFrame | Index, query: str, do
     early = posts_.join(q.where(F.col("i") <= first), "term").groupBy(query, doc).agg(F.count("*").alias("both"), F.first("qn").alias("qn")).join(sizes, doc).withColumn("low", share)
     ranked = early.withColumn("r", F.row_number().over(Window.partitionBy(query).orderBy(F.col("low").desc()))).where(F.col("r") <= k)
     floor = ranked.groupBy(query).agg(F.when(F.count("*") == k, F.min("low")).otherwise(0.0).alias("t"))
-    asked = q.join(floor, query, "left").withColumn("t", F.greatest(F.coalesce("t", F.lit(0.0)) - 2e-6, F.lit(0.0))).withColumn("leads", F.col("i") <= F.col("qn") - F.ceil(F.col("t") * F.col("qn")) + 1)
+    asked = cut(q.join(floor, query, "left").withColumn("t", F.greatest(F.coalesce("t", F.lit(0.0)) - 2e-6, F.lit(0.0))).withColumn("leads", F.col("i") <= F.col("qn") - F.ceil(F.col("t") * F.col("qn")) + 1), "terms")
     found = posts_.join(asked.where("leads").select(query, "term", "qn", "t"), "term").groupBy(query, doc).agg(F.count("*").alias("both"), F.first("qn").alias("qn"), F.first("t").alias("t"))
     rest = asked.where("not leads").groupBy(query).agg(F.count("*").alias("rest"))
     live = found.join(sizes, doc).join(rest, query, "left").withColumn("high", F.least(F.col("both") + F.coalesce("rest", F.lit(0)), "dn"))
-    live = live.where(F.col("high") >= F.col("t") * (F.col("qn") + F.col("dn") - F.col("high"))).select(query, doc, "both", "qn", "dn")
+    live = cut(live.where(F.col("high") >= F.col("t") * (F.col("qn") + F.col("dn") - F.col("high"))).select(query, doc, "both", "qn", "dn"), "candidates")
     more = live.select(query, doc).join(asked.where("not leads").select(query, "term"), query).join(posts_, [doc, "term"]).groupBy(query, doc).agg(F.count("*").alias("more"))
     full = live.join(more, [query, doc], "left").withColumn("both", F.col("both") + F.coalesce("more", F.lit(0)))
     return top(full.select(query, doc, F.round(share, 6).alias("score")), k, query, doc)

@@ -342,12 +342,16 @@ def byte_prefix_pack(spark, sf):
     return packing.byte_prefix(_ranked_docs(spark, sf), "item_id", "rank", "text", 8192).select("item_id", "doc_id", "rank", "spent")
 
 
-@query()
+_COSTS = f"{TOKENS_SQL}, {BM25_SQL.format(dl='dl')}, r AS ({RANKED_SQL.format(k=20)}), c AS (SELECT item_id, doc_id, rank, CAST(n_chars AS BIGINT) AS cost FROM r JOIN documents USING (doc_id))"
+
+
+@query(f"WITH RECURSIVE {_COSTS}, f AS (SELECT DISTINCT item_id, CAST(0 AS BIGINT) AS rank, CAST(0 AS BIGINT) AS spent, '' AS taken FROM c UNION ALL SELECT f.item_id, c.rank, CASE WHEN spent + cost <= 8000 THEN spent + cost ELSE spent END, CASE WHEN spent + cost <= 8000 THEN CASE WHEN taken = '' THEN '' ELSE taken || ',' END || doc_id ELSE taken END FROM f JOIN c ON c.item_id = f.item_id AND c.rank = f.rank + 1) SELECT item_id, taken, spent FROM f QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY rank DESC) = 1")
 def skip_fill(spark, sf):
-    return packing.skip_fill(_ranked_docs(spark, sf), "item_id", "rank", "doc_id", "n_chars", 8000)
+    filled = packing.skip_fill(_ranked_docs(spark, sf), "item_id", "rank", "doc_id", "n_chars", 8000)
+    return filled.select("item_id", F.array_join(F.col("taken").cast("array<string>"), ",").alias("taken"), "spent")
 
 
-@query()
+@query(f"WITH {_COSTS}, l AS (SELECT item_id, max(l) AS l FROM (SELECT item_id, l, sum(least(cost, l)) AS s FROM c, range(0, 8001) t(l) GROUP BY ALL) WHERE s <= 8000 GROUP BY 1), g AS (SELECT *, 8000 - sum(least(cost, l)) OVER (PARTITION BY item_id) AS rest, row_number() OVER (PARTITION BY item_id, cost > l ORDER BY rank) AS turn FROM c JOIN l USING (item_id)) SELECT item_id, doc_id, rank, cost AS n_chars, CAST(least(cost, l) + CASE WHEN cost > l AND turn <= rest THEN 1 ELSE 0 END AS BIGINT) AS share FROM g")
 def fair_share(spark, sf):
     return packing.fair_share(_ranked_docs(spark, sf).select("item_id", "doc_id", "rank", "n_chars"), "item_id", "rank", "n_chars", 8000)
 
@@ -473,9 +477,28 @@ def prefix_counts(spark, sf):
     return streams.prefix_counts(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), "user_id", "ts", "ts", "event_id")
 
 
+_STREAMS = "d AS (SELECT CAST('0x' || substr(sha256(coalesce(source, 'none')), 1, 8) AS BIGINT) AS stream, doc_id AS seq, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS words, doc_id * 37 % 101 AS value, CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) AS draw, CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS needed FROM documents WHERE text IS NOT NULL)"
+_WEIGHTS = {"recent": "seq", "first": "-seq", "long": "words", "short": "-words", "value": "value", "low_value": "-value", "random": "draw", "dense": "value / greatest(1, words)", "oracle": "needed"}
+
+
+def _retention_sql(policy: str) -> str | None:
+    """The gate as a recursion over the rows of all streams at once: of what is held and the new row, the heaviest that fit stay."""
+    if policy == "all":
+        return f"WITH {_STREAMS} SELECT stream, seq, CAST(words AS BIGINT) AS words FROM d"
+    if policy not in _WEIGHTS:
+        return None
+    fits = "list_filter(h, lambda x, i: list_sum(list_transform(h[1:i], lambda y: y.n)) <= floor(0.2 * seen + 1e-9))"
+    return (
+        f"WITH RECURSIVE {_STREAMS}, n AS (SELECT stream, row_number() OVER (PARTITION BY stream ORDER BY seq) AS i, {{'w': CAST({_WEIGHTS[policy]} AS DOUBLE), 'q': seq, 'n': CAST(words AS BIGINT)}} AS x, sum(words) OVER (PARTITION BY stream ORDER BY seq) AS seen FROM d), "
+        f"s AS (SELECT stream, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(w DOUBLE, q BIGINT, n BIGINT)[]) AS held FROM n WHERE i = 1 UNION ALL SELECT stream, i, {fits} FROM (SELECT s.stream, n.i, n.seen, list_reverse_sort(list_append(s.held, n.x)) AS h FROM s JOIN n ON n.stream = s.stream AND n.i = s.i + 1)), "
+        "z AS (SELECT stream, unnest(held) AS x FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY stream ORDER BY i DESC) = 1)) SELECT stream, x.q AS seq, x.n AS words FROM z"
+    )
+
+
 def _gate(policy):
     def run(spark, sf):
-        docs = table(spark, sf, "documents").select(F.abs(F.hash("source")).cast("bigint").alias("stream"), F.col("doc_id").alias("seq"), tx.word_count(F.col("text")).cast("bigint").alias("words"), (F.col("doc_id") * 37 % 101).alias("value"), F.abs(F.xxhash64("doc_id")).alias("draw"), (F.col("doc_id") % 7).alias("topic"), (F.col("doc_id") % 4 == 0).cast("int").alias("needed"))
+        hexed = lambda c, n: F.conv(F.substring(F.sha2(c, 256), 1, n), 16, 10).cast("bigint")
+        docs = table(spark, sf, "documents").where("text is not null").select(hexed(F.coalesce("source", F.lit("none")), 8).alias("stream"), F.col("doc_id").alias("seq"), tx.word_count(F.col("text")).cast("bigint").alias("words"), (F.col("doc_id") * 37 % 101).alias("value"), hexed(F.col("doc_id").cast("string"), 12).alias("draw"), (F.col("doc_id") % 7).alias("topic"), (F.col("doc_id") % 4 == 0).cast("int").alias("needed"))
         return streams.retained(docs, policy, 0.2)
 
     run.__name__ = f"retention_{policy}"
@@ -483,7 +506,7 @@ def _gate(policy):
 
 
 for _policy in streams.POLICIES:
-    query()(_gate(_policy))
+    query(_retention_sql(_policy))(_gate(_policy))
 
 
 _CONV = "t AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM conversations), g AS (SELECT DISTINCT conv_id, turn, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS gram FROM t WHERE len(w) >= 3)"

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -28,6 +29,15 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """The table, written once to the shared folder: what several branches of a plan read is computed once, and a lost executor costs a
+    reread."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/quillon-cuts/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 @dataclass
 class Index:
     """posts: key, term, tf, dl and df; docs: key and dl; terms: term and df; stats: one row, n and avgdl (documents that have a term)."""
