@@ -76,17 +76,23 @@ def splitmix(seed: int, n: int) -> np.ndarray:
 POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975, 0.99999887)
 
 
-def uniform(*parts: Column | str | int) -> Column:
-    """A number from 0 (inclusive) to 1 by the first eight hex digits of SHA-256 of the parts, joined by bars: the same in every run."""
+def drawn(*parts: Column | str | int) -> Column:
+    """The first eight hex digits of SHA-256 of the parts, joined by bars: a number below 2**32 that is the same in every run. Of equal length,
+    such strings compare as their numbers do, so none is converted."""
     joined = F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
-    return F.conv(F.substring(F.sha2(joined, 256), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return F.substring(F.sha2(joined, 256), 1, 8)
+
+
+def uniform(*parts: Column | str | int) -> Column:
+    """drawn() as a number from 0 (inclusive) to 1."""
+    return F.conv(drawn(*parts), 16, 10).cast("double") / 4294967296.0
 
 
-def times(u: Column) -> Column:
-    """How often a resample takes a unit: Poisson of mean 1, from a uniform number."""
+def times(draw: str) -> Column:
+    """How often a resample takes a unit, from a column of drawn(): Poisson of mean 1."""
     out = F.lit(0)
     for t in POISSON:
-        out = out + (u >= t).cast("int")
+        out = out + (F.col(draw) >= f"{math.ceil(t * (1 << 32)):08x}").cast("int")
     return out
 
 
@@ -97,9 +103,9 @@ def resampled(units: DataFrame, by: list[str], unit: str, num: Column, den: Colu
     draw; no group is gathered.
     """
     rows = units.select(*by, F.col(unit).alias("__u"), num.alias("__n"), den.alias("__d")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    weighed = rows.withColumn("__t", times(uniform(seed, F.col("draw"), F.col("__u")))).where("__t > 0")
+    weighed = rows.withColumn("__h", drawn(seed, F.col("draw"), F.col("__u"))).withColumn("__t", times("__h"))
     sums = weighed.groupBy(*by, "draw").agg(F.sum(F.col("__t") * F.col("__n")).alias("__n"), F.sum(F.col("__t") * F.col("__d")).alias("__d"))
-    return sums.select(*by, "draw", F.when(F.col("__d") != 0, F.col("__n") / F.col("__d")).alias("value"))
+    return sums.select(*by, "draw", F.when(F.col("__d") != 0, F.col("__n") / F.col("__d")).alias("value")).where("value is not null")
 
 
 def interval(values: DataFrame, by: list[str], level: float = 0.95) -> DataFrame:
@@ -144,11 +150,11 @@ def fired_difference(scores: DataFrame, unit: str, a: str, b: str, hit: str, q:
     """One row: diff, low and high of the hits of a's fired share q less those of b's, the fire sets being found anew in each resample: a
     unit taken k times stands k times in the order."""
     rows = scores.select(unit, a, b, F.col(hit).cast("int").alias("hit")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws))))
-    drawn = rows.withColumn("t", F.when(F.col("draw") == draws, 1).otherwise(times(uniform(seed, F.col("draw"), F.col(unit))))).where("t > 0")  # the last draw is the sample itself
+    taken = rows.withColumn("__h", drawn(seed, F.col("draw"), F.col(unit))).withColumn("t", F.when(F.col("draw") == draws, 1).otherwise(times("__h"))).where("t > 0")  # the last draw is the sample itself
 
     def hits(score: str) -> DataFrame:
         w = Window.partitionBy("draw").orderBy(F.col(score).desc(), unit)
-        placed = drawn.withColumns({"before": F.sum("t").over(w) - F.col("t"), "most": F.ceil(F.round(F.lit(q) * F.sum("t").over(Window.partitionBy("draw")), 9))})
+        placed = taken.withColumns({"before": F.sum("t").over(w) - F.col("t"), "most": F.ceil(F.round(F.lit(q) * F.sum("t").over(Window.partitionBy("draw")), 9))})
         fired = F.greatest(F.lit(0), F.least("t", F.col("most") - F.col("before")))
         return placed.groupBy("draw").agg((F.sum(fired * F.col("hit")) / F.sum("t")).alias(f"hits_{score}"))
 
@@ -162,7 +168,7 @@ def sign_flips(pairs: DataFrame, unit: str, draws: int = 2000, seed: int = 3) ->
     d = (F.col("b") - F.col("a")).cast("double")
     seen = pairs.agg(F.avg(d).alias("m"), F.count("*").alias("n"))
     rows = pairs.select(F.col(unit).alias("__u"), d.alias("d")).where("d <> 0").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    flipped = rows.groupBy("draw").agg(F.sum(F.when(uniform(seed, F.col("draw"), F.col("__u")) < 0.5, F.col("d")).otherwise(-F.col("d"))).alias("s"))
+    flipped = rows.groupBy("draw").agg(F.sum(F.when(drawn(seed, F.col("draw"), F.col("__u")) < "80000000", F.col("d")).otherwise(-F.col("d"))).alias("s"))
     extreme = flipped.crossJoin(F.broadcast(seen)).agg(F.sum((F.abs(F.col("s") / F.col("n")) >= F.abs("m") - 1e-12).cast("int")).alias("k"))  # one row
     counted = seen.crossJoin(F.broadcast(extreme))  # one row
     # Without any difference every draw is as extreme as the sample.
