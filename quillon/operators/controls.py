@@ -25,7 +25,7 @@ def field_weighted(fields: dict[str, tuple[DataFrame, float]], query: str, doc:
     for scored, weight in fields.values():
         part = scored.select(query, doc, (F.col("score") * weight).alias("part"))
         every = part if every is None else every.unionByName(part)
-    return every.groupBy(query, doc).agg(F.round(F.sum("part"), 5).alias("score"))
+    return every.groupBy(query, doc).agg(F.round(F.sum("part"), 6).alias("score"))
 
 
 def max_ratio(a: DataFrame, b: DataFrame, query: str, doc: str, tau_a: float, tau_b: float) -> DataFrame:

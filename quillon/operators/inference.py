@@ -250,7 +250,7 @@ def rolling_origin(rows: DataFrame, key: str, published: str, known: str, kind:
     share = F.col("kn") / (F.col("kn") + shrink)
     base = F.col("s") / F.col("n")
     guess = F.when(F.col("n") > 0, F.when(F.col("kn") > 0, share * F.col("ks") / F.col("kn") + (1 - share) * base).otherwise(base))
-    return joined.select(F.col("key").alias(key), F.col("n").cast("bigint").alias("n"), F.round(guess, 6).alias("guess"), F.round(F.abs(guess - F.col("outcome")), 6).alias("error"))
+    return joined.select(F.col("key").alias(key), F.col("n").cast("bigint").alias("n"), F.round(guess, 9).alias("guess"), F.round(F.abs(guess - F.col("outcome")), 9).alias("error"))
 
 
 def simulate_rule(n_sims: DataFrame, clusters: int, size: int, base: float, effect: float, spread: float, rule, seed: int = 23) -> DataFrame:

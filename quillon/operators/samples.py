@@ -58,38 +58,41 @@ def shifted(rows: DataFrame, group: str, order: str, value: str, by: int) -> Dat
     return rows.withColumn(value, F.lag(value, by).over(Window.partitionBy(group).orderBy(order)))
 
 
-def pair_percentiles(vectors: DataFrame, pairs: DataFrame, key: str, vector: str, block: int = 512) -> DataFrame:
-    """x, y, sim and below: the cosine of each given pair, and the share of all pairs of the stated set that are less alike.
+def pair_percentiles(queries: DataFrame, vectors: DataFrame, pairs: DataFrame, key: str, vector: str, block: int = 1024) -> DataFrame:
+    """x, y, sim and below: the cosine of each given pair, and the share of the likenesses of a stated query set to all other vectors that are
+    less.
 
-    Block pairs of vectors are matrix products; each sends on how many of its likenesses have each value (six digits), so what is
-    shuffled is at most 2e6 counts a block pair, not its pairs.
+    Blocks of queries and vectors are matrix products; each sends on how many of its likenesses have each value (six digits), so what is
+    shuffled are at most 2e6 counts a block pair, not its pairs.
     """
-    n = max(1, -(-vectors.count() // block))
-    own = vectors.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("b"))
-    dealt = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("k", "v", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+    from .measures import running
+
+    size = lambda df: max(1, -(-df.count() // block))
+    nq, nv = size(queries), size(vectors)
+    narrow = lambda df, name, n: df.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.lit(name == "q").alias("asks"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("b"))
+    q = narrow(queries, "q", nq).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(nv - 1)))).withColumnRenamed("b", "i")
+    d = narrow(vectors, "d", nv).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).withColumnRenamed("b", "j")
 
     def unit(s) -> np.ndarray:
         m = np.stack(s.to_numpy()).astype(np.float64)
         return m / np.linalg.norm(m, axis=1, keepdims=True)
 
     def counts(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        a, b = pdf[pdf["b"] == i], pdf[pdf["b"] == j]
+        a, b = pdf[pdf["asks"]], pdf[~pdf["asks"]]
         if not len(a) or not len(b):
             return pd.DataFrame({"sim": [], "n": []}).astype({"sim": "float64", "n": "int64"})
         sims = np.round(unit(a["v"]) @ unit(b["v"]).T, 6)
-        sims = sims[np.triu_indices(len(a), 1)] if i == j else sims.ravel()
-        values, n_ = np.unique(sims + 0.0, return_counts=True)
+        values, n_ = np.unique(sims[a["k"].to_numpy()[:, None] != b["k"].to_numpy()[None]] + 0.0, return_counts=True)
         return pd.DataFrame({"sim": values, "n": n_.astype("int64")})
 
-    from .measures import running
-
-    every = dealt.groupBy("i", "j").applyInPandas(counts, "sim double, n bigint").groupBy("sim").agg(F.sum("n").alias("n"))
+    every = q.unionByName(d).groupBy("i", "j").applyInPandas(counts, "sim double, n bigint").groupBy("sim").agg(F.sum("n").alias("n"))
     total = every.agg(F.sum("n").alias("t"))
-    below = running(every, "sim", {"upto": F.col("n")}).select("sim", (F.col("upto") - F.col("n")).alias("less"))
-    x, y = (own.select(F.col("k").alias(name), F.transform("v", lambda e: e.cast("double")).alias(f"v{name}")) for name in ("x", "y"))
+    x, y = (vectors.select(F.col(key).alias(name), F.transform(vector, lambda e: e.cast("double")).alias(f"v{name}")) for name in ("x", "y"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda acc, e: acc + e)
-    given = pairs.select("x", "y").join(x, "x").join(y, "y").select("x", "y", F.round(dot("vx", "vy") / F.sqrt(dot("vx", "vx") * dot("vy", "vy")), 6).alias("sim"))
+    given = pairs.select("x", "y").join(x, "x").join(y, "y").select("x", "y", (F.round(dot("vx", "vy") / F.sqrt(dot("vx", "vx") * dot("vy", "vy")), 6) + 0.0).alias("sim"))
+    # Likenesses and given pairs are one order; equal values stand before what is counted of them.
+    marks = every.select("sim", "n").unionByName(given.groupBy("sim").agg(F.lit(0).cast("bigint").alias("n"))).groupBy("sim").agg(F.sum("n").alias("n"))
+    below = running(marks, "sim", {"upto": F.col("n")}).select("sim", (F.col("upto") - F.col("n")).alias("less"))
     return given.join(below, "sim").crossJoin(F.broadcast(total)).select("x", "y", "sim", F.round(F.col("less") / F.col("t"), 6).alias("below"))  # one row
 
 

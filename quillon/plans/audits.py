@@ -236,11 +236,11 @@ def zero_failure_bound(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n")).withColumn("bound", inference.zero_failure_bound(F.col("n")))
 
 
-@query(f"WITH r AS (SELECT id, event_type AS kind, valid_from AS p, recorded AS k, value AS y FROM ({FACTS_SQL}) WHERE id % 4 <> 3), n AS (SELECT q.id, count(f.id) AS n, avg(f.y) AS m, count(f.id) FILTER (WHERE f.kind = q.kind) AS kn, sum(f.y) FILTER (WHERE f.kind = q.kind) AS ks, any_value(q.y) AS y FROM r q LEFT JOIN r f ON f.k < q.p GROUP BY 1), g AS (SELECT *, CASE WHEN n > 0 THEN CASE WHEN kn > 0 THEN kn / (kn + 5.0) * ks / kn + (1 - kn / (kn + 5.0)) * m ELSE m END END AS g FROM n) SELECT id, n, round(g, 6) AS guess, round(abs(g - y), 6) AS error FROM g")
+@query(f"WITH r AS (SELECT id, event_type AS kind, valid_from AS p, recorded AS k, value AS y FROM ({FACTS_SQL})), n AS (SELECT q.id, count(f.id) AS n, avg(f.y) AS m, count(f.id) FILTER (WHERE f.kind = q.kind) AS kn, sum(f.y) FILTER (WHERE f.kind = q.kind) AS ks, any_value(q.y) AS y FROM r q LEFT JOIN r f ON f.k < q.p GROUP BY 1), g AS (SELECT *, CASE WHEN n > 0 THEN CASE WHEN kn > 0 THEN kn / (kn + 5.0) * ks / kn + (1 - kn / (kn + 5.0)) * m ELSE m END END AS g FROM n) SELECT id, n, round(g, 9) AS guess, round(abs(g - y), 9) AS error FROM g")
 def rolling_origin(spark, sf):
     from quillon.plans.tables import facts
 
-    return inference.rolling_origin(facts(spark, sf).where("id % 4 <> 3"), "id", "valid_from", "recorded", "event_type", "value")
+    return inference.rolling_origin(facts(spark, sf), "id", "valid_from", "recorded", "event_type", "value")
 
 
 @query(f"WITH c AS (SELECT sim, cluster, least(1.0, greatest(0.0, 0.6 + 0.2 * (2 * {_U.format(parts=chr(39) + '23' + chr(39) + ', ' + chr(39) + 'c' + chr(39) + ', sim, cluster')} - 1))) AS p FROM range(0, 200) s(sim), range(0, 6) k(cluster)), h AS (SELECT sim, sum(CASE WHEN {_U.format(parts=chr(39) + '23' + chr(39) + ', ' + chr(39) + 't' + chr(39) + ', sim, cluster, trial')} < p THEN 1 ELSE 0 END) AS k FROM c, range(0, 10) t(trial) GROUP BY 1) SELECT sim, CAST(k AS BIGINT) AS successes, k >= 0.55 * 60 AS fires FROM h")
@@ -296,9 +296,9 @@ def stratified_sample(spark, sf):
     return samples.per_label(rows, decisive, "doc_id", "quality", 10, 5)
 
 
-@query("WITH RECURSIVE u AS (SELECT event_id, event_type, row_number() OVER (ORDER BY sha256('9|' || event_id)) AS pos FROM events WHERE event_id < 400), s AS (SELECT 0 AS turn, list(event_id ORDER BY pos) AS kept FROM u UNION ALL SELECT turn + 1, (SELECT list(event_id ORDER BY pos) FROM (SELECT u.*, row_number() OVER (PARTITION BY event_type ORDER BY pos) AS k FROM u WHERE list_contains(s.kept, event_id)) WHERE k <= floor(0.21 * len(s.kept))) FROM s WHERE turn < 12) SELECT unnest(kept) AS event_id FROM s WHERE turn = 12")
+@query("WITH RECURSIVE c AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1), s AS (SELECT 0 AS turn, CAST(floor(0.21 * sum(n)) AS BIGINT) AS most FROM c UNION ALL SELECT turn + 1, CAST(floor(0.21 * sum(least(n, most))) AS BIGINT) FROM s, c WHERE turn < 60 GROUP BY turn), r AS (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY sha256('9|' || event_id)) AS k FROM events) SELECT event_id FROM r WHERE k <= (SELECT most FROM s WHERE turn = 60)")
 def capped_selection(spark, sf):
-    rows = table(spark, sf, "events").where("event_id < 400").select("event_id", "event_type", F.sha2(F.concat(F.lit("9|"), F.col("event_id").cast("string")), 256).alias("pos"))
+    rows = table(spark, sf, "events").select("event_id", "event_type", F.sha2(F.concat(F.lit("9|"), F.col("event_id").cast("string")), 256).alias("pos"))
     return samples.capped(rows, "event_type", "pos", 0.21).select("event_id")
 
 
@@ -316,13 +316,16 @@ def shuffle_in_groups(spark, sf):
     return samples.permuted(table(spark, sf, "events"), "event_type", "event_id", "value", 4).select("event_id", "value")
 
 
-@query("WITH l AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id < 300), s AS (SELECT a.vec_id AS x, b.vec_id AS y, a.label = b.label AND b.vec_id = (SELECT min(vec_id) FROM l c WHERE c.label = a.label AND c.vec_id > a.vec_id) AS pair, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 6) AS sim FROM l a JOIN l b ON a.vec_id < b.vec_id) SELECT p.x, p.y, p.sim, round((SELECT count(*) FROM s WHERE s.sim < p.sim) / (SELECT count(*) FROM s), 6) AS below FROM s p WHERE pair")
+_COS = "round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 6) + 0.0"
+
+
+@query(f"WITH s AS (SELECT {_COS} AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), c AS (SELECT sim, sum(n) OVER (ORDER BY sim) AS upto, sum(n) OVER () AS t FROM (SELECT sim, count(*) AS n FROM s GROUP BY 1)), n AS (SELECT vec_id AS x, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS y FROM embeddings), p AS (SELECT x, y, {_COS} AS sim FROM n JOIN embeddings a ON a.vec_id = x JOIN embeddings b ON b.vec_id = y) SELECT x, y, p.sim, round(coalesce(c.upto, 0) / (SELECT max(t) FROM c), 6) AS below FROM p LEFT JOIN c ON c.sim = (SELECT max(sim) FROM c WHERE c.sim < p.sim)")
 def similarity_percentile(spark, sf):
-    """Where the likeness of a vector to the next of its label stands among all pairs of the stated set (the first 300 vectors)."""
-    vectors = table(spark, sf, "embeddings").where("vec_id < 300")
+    """Where the likeness of each vector to the next of its label stands among the likenesses of the stated query set to all others."""
+    vectors = table(spark, sf, "embeddings")
     successor = F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id"))
     pairs = vectors.select(F.col("vec_id").alias("x"), successor.alias("y")).where("y is not null")
-    return samples.pair_percentiles(vectors, pairs, "vec_id", "embedding")
+    return samples.pair_percentiles(vectors.where("vec_id % 20 = 0"), vectors, pairs, "vec_id", "embedding")
 
 
 @query("WITH r AS (SELECT event_id, user_id, event_type, value, list(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM events) SELECT event_id, round(list_median(e), 6) AS median FROM r")
@@ -366,10 +369,11 @@ def answer_parser(spark, sf):
     return audit.conf_fields(table(spark, sf, "events").withColumn("said", said), "event_id", "said")
 
 
-@query("WITH p AS (SELECT b.item_id, d.doc_id, trim(regexp_replace(lower(substr(b.text, 1, 30)), '[^a-z0-9]+', ' ', 'g')) AS x, trim(regexp_replace(lower(substr(d.text, 1, 30)), '[^a-z0-9]+', ' ', 'g')) AS y FROM benchmark b JOIN documents d ON d.doc_id = b.item_id) SELECT item_id, CASE WHEN greatest(length(x), length(y)) = 0 THEN 1.0 ELSE round(1 - levenshtein(x, y) / greatest(length(x), length(y)), 6) END AS likeness FROM p")
+@query("WITH p AS (SELECT a.p_partkey, lower(a.p_name) AS x, lower(b.p_name) AS y FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1) SELECT p_partkey, CASE WHEN greatest(length(x), length(y)) = 0 THEN 1.0 ELSE round(1 - levenshtein(x, y) / greatest(length(x), length(y)), 6) END AS likeness FROM p")
 def title_similarity(spark, sf):
-    head = lambda t, key: table(spark, sf, t).select(F.col(key).alias("item_id"), F.substring("text", 1, 30).alias(t))
-    return head("benchmark", "item_id").join(head("documents", "doc_id"), "item_id").select("item_id", parse.title_likeness(F.col("benchmark"), F.col("documents")).alias("likeness"))
+    parts = table(spark, sf, "part").select("p_partkey", "p_name")
+    after = parts.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other"))
+    return parts.join(after, "p_partkey").select("p_partkey", parse.title_likeness(F.col("p_name"), F.col("other")).alias("likeness"))
 
 
 @query(f"SELECT doc_id, CAST(CAST(('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 2 AS INTEGER) AS fold, sha256('key' || doc_id) AS sealed_id FROM documents")

@@ -96,9 +96,7 @@ def template_fill(spark, sf):
     return table(spark, sf, "events").select("event_id", parse.filled("Event {event} of user {user}: {kind}", event=F.col("event_id"), user=F.col("user_id"), kind=F.col("event_type")).alias("sentence"))
 
 
-@query("WITH u AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS body FROM documents WHERE NOT regexp_matches(text, '(^|\\n)\\s*([-*+] |#{1,6} |\\d+\\. |```)')) SELECT doc_id, count(*) AS units FROM u GROUP BY 1")
+@query(r"WITH m AS (SELECT doc_id, regexp_replace(text, '(?m)^(#{1,6} .*|\s*[-*+] .*|\s*\d+\. .*)$', chr(10) || chr(10) || '\1' || chr(10) || chr(10), 'g') AS t FROM documents), u AS (SELECT doc_id, list_filter(list_transform(string_split_regex(t, '\n[ \t]*\n'), lambda x: trim(regexp_replace(x, '^\n+|\n+$', '', 'g'))), lambda x: x <> '') AS u FROM m) SELECT doc_id, len(u) AS units, len(list_filter(u, lambda x: regexp_matches(x, '^([-*+]|\d+\.) '))) AS items FROM u")
 def markdown_units(spark, sf):
-    """Documents with each line as a paragraph of its own; those with Markdown marks are left to the tests."""
-    plain = table(spark, sf, "documents").where(~F.col("text").rlike(r"(^|\n)\s*([-*+] |#{1,6} |\d+\. |```)"))
-    units = parse.markdown_units(F.replace("text", F.lit("\n"), F.lit("\n\n")))
-    return plain.select("doc_id", F.size(units).cast("bigint").alias("units")).where("units > 0")
+    units = table(spark, sf, "documents").select("doc_id", parse.markdown_units(F.col("text")).alias("u"))
+    return units.select("doc_id", F.size("u").cast("bigint").alias("units"), F.size(F.filter("u", lambda x: x["kind"] == "item")).cast("bigint").alias("items"))

@@ -16,14 +16,14 @@ def term_scorer(spark, sf):
     return controls.term_scorer(asked, posts, "item_id", "doc_id", 5).select("item_id", "doc_id", "score", "rank")
 
 
-_HEAD = "ht AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(substr(text, 1, 200)), '[a-z0-9]+')) AS term FROM documents) GROUP BY ALL), hl AS (SELECT doc_id, sum(tf) AS dl FROM ht GROUP BY 1), hs AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM hl), hf AS (SELECT term, count(*) AS df FROM ht GROUP BY 1)"
+_HEAD = "ht AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z0-9]+')) AS term FROM documents) GROUP BY ALL), hl AS (SELECT doc_id, sum(tf) AS dl FROM ht GROUP BY 1), hs AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM hl), hf AS (SELECT term, count(*) AS df FROM ht GROUP BY 1)"
 
 
-@query(f"WITH {TOKENS_SQL}, {_HEAD}, {BM25_SQL.format(dl='dl').replace('scored AS', 'body AS')}, head AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM qt JOIN ht USING (term) JOIN hf USING (term) JOIN hl USING (doc_id), hs GROUP BY ALL), scored AS (SELECT item_id, doc_id, round(sum(s), 5) AS score FROM (SELECT item_id, doc_id, 4.0 * score AS s FROM head UNION ALL SELECT item_id, doc_id, score FROM body) GROUP BY ALL) {RANKED_SQL.format(k=5)}")
+@query(f"WITH {TOKENS_SQL}, {_HEAD}, {BM25_SQL.format(dl='dl').replace('scored AS', 'body AS')}, head AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM qt JOIN ht USING (term) JOIN hf USING (term) JOIN hl USING (doc_id), hs GROUP BY ALL), scored AS (SELECT item_id, doc_id, round(sum(s), 6) AS score FROM (SELECT item_id, doc_id, 4.0 * score AS s FROM head UNION ALL SELECT item_id, doc_id, score FROM body) GROUP BY ALL) {RANKED_SQL.format(k=5)}")
 def fts_weighted(spark, sf):
-    """BM25 over two fields: a document's opening (a title's stand-in, weight 4) and its whole text (weight 1)."""
+    """BM25 over two fields: a document's first line (its title, weight 4) and its whole text (weight 1)."""
     asked, posts = lexical(spark, sf)
-    opening = ranking.postings(table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 200).alias("text")), "doc_id")
+    opening = ranking.postings(table(spark, sf, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("text")), "doc_id")
     fields = {"title": (ranking.bm25(asked, opening, "item_id", "doc_id"), 4.0), "body": (ranking.bm25(asked, posts, "item_id", "doc_id"), 1.0)}
     return ranking.top(controls.field_weighted(fields, "item_id", "doc_id"), 5, "item_id", "doc_id").select("item_id", "doc_id", "score", "rank")
 
