@@ -25,6 +25,28 @@ l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE
 r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.c = l.x)
 SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id"""
 
+MIDDLE = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || doc_id) AS s FROM documents),
+h AS (SELECT *, len(u) AS n, CAST('0x' || s[1:8] AS BIGINT) % (len(u) + 1) AS x, CAST('0x' || s[9:16] AS BIGINT) % (len(u) + 1) AS y, CAST('0x' || s[17:24] AS BIGINT) % 100 AS r, CAST('0x' || s[25:32] AS BIGINT) % 100 AS f FROM t),
+c AS (SELECT *, coalesce(array_to_string(u[1:least(x, y)], ''), '') AS p, coalesce(array_to_string(u[least(x, y) + 1:greatest(x, y)], ''), '') AS m, coalesce(array_to_string(u[greatest(x, y) + 1:], ''), '') AS q, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r >= 100 THEN 'plain' WHEN f < 50 THEN 'spm' ELSE 'psm' END AS form FROM h)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CAST(CASE WHEN form <> 'plain' THEN length(p) END AS BIGINT) AS prefix_chars, CAST(CASE WHEN form <> 'plain' THEN length(m) END AS BIGINT) AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || q || '<M>' || m ELSE '<S>' || q || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM c"""
+
+#: crc32 bit by bit: eight shifts for each character of the decimal id.
+_CRC = "xor(list_reduce(list_transform(string_split(CAST({c} AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT)), lambda acc, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)), xor(acc, b)), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"
+
+TRIE = rf"""WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC.format(c='conv_id')} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS part, pos, role, text FROM c JOIN t ON t.conv_id = c.base AND pos <= h UNION ALL SELECT conv_id, 1, pos, role, text FROM c JOIN t USING (conv_id) WHERE pos > h),
+d AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth, sha256(role || chr(0) || text) AS x, length(text) AS tokens FROM r),
+o AS (SELECT conv_id, depth, string_agg(x, '') OVER (PARTITION BY conv_id ORDER BY depth) AS node, string_agg(x, '') OVER (PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS up, tokens FROM d UNION ALL SELECT conv_id, 0, '', NULL, 0 FROM c),
+p AS (SELECT conv_id, depth, node, CASE WHEN depth > 0 THEN coalesce(up, '') END AS up, tokens, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM o),
+v AS (SELECT node, any_value(up) AS up, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, any_value(tokens) AS tokens, sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM p GROUP BY node),
+k AS (SELECT up AS node, count(*) AS n FROM v WHERE up IS NOT NULL GROUP BY 1),
+s AS (SELECT DISTINCT a.node, b.node AS below FROM p a JOIN p b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+w AS (SELECT s.node, sum((v.n_convs - 1) * v.tokens) AS saved, count(*) FILTER (k.n IS NULL) AS leaves FROM s JOIN v ON v.node = s.below LEFT JOIN k ON k.node = s.below GROUP BY 1)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, v.n_convs, coalesce(k.n, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN w USING (node) LEFT JOIN k USING (node) LEFT JOIN v u ON u.node = v.up"""
+
 
 def quality_sql(risk: float = 0.02, delta: float = 0.05) -> str:
     tests = [(rule, cutoff) for rule, grid in RULES.items() for cutoff in grid]

@@ -1,4 +1,4 @@
-"""The ten operators' queries over the driver tables, and their SQL where SQL can express them."""
+"""The operators' queries over the driver tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, html, jaccard, mixing, oracle, prefixhash, quality, secrets, toxicity, warc
+from . import bpe, chat, html, jaccard, langid, middle, mixing, oracle, prefixhash, quality, secrets, toxicity, trie, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from the documents that are not held out."""
+    return langid.identify(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut into prefix, middle and suffix by its seed, and put together again."""
+    cut = middle.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = middle.restored(F.col("form"), F.col("output"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of conversations that begin with turns of the one that opens their hundred."""
+    return trie.grafted_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_byte_bpe": op2_byte_bpe,
@@ -94,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    "op11_language_id": op11_language_id,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -101,4 +121,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_chat_format": oracle.CHAT,
     "op6_jaccard_join": oracle.JACCARD,
     "op10_quality_rules": oracle.quality_sql(),
+    "op12_fill_in_middle": oracle.MIDDLE,
+    "op13_prefix_trie": oracle.TRIE,
 }
