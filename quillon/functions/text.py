@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -29,30 +30,67 @@ def content_tokens(text: Column, stop_words: tuple[str, ...]) -> Column:
     return F.array_except(ascii_tokens(text), F.array(*map(F.lit, stop_words)))
 
 
+# The suffix tables of M. F. Porter, "An algorithm for suffix stripping" (Program 14, 1980), by step, and the
+# condition on what stands before a suffix: a measure (how often a run of vowels is followed by one of consonants) or a vowel.
+MEASURE = ["", "^y?[^aeiouy]*[aeiouy]+[^aeiouy]", "^y?[^aeiouy]*[aeiouy]+[^aeiouy]+[aeiouy]+[^aeiouy]"]
+HAS_VOWEL = "^[aeiou]|^.+[aeiouy]"
+PLURAL_STEP = {"sses": "ss", "ies": "i", "ss": "ss", "s": ""}
+LONG_SUFFIXES = {
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate",
+    "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble",
+}
+MIDDLE_SUFFIXES = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+LAST_SUFFIXES = {**dict.fromkeys(("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ou", "ism", "ate", "iti", "ous", "ive", "ize"), ""), "sion": "s", "tion": "t"}
+DOUBLED = "(" + "|".join(2 * c for c in "bcdfghjkmnpqrtvwx") + ")$"
+LAST_E = MEASURE[2] + "|^y?[^aeiouy]*([aeiouy]{2,}[^aeiouy]|[aeiouy]+[^aeiouy]{2,}|[aeiouy][wx]|[aeiouy]+[^aeiouy]+[aeiouy]+)$|^[aeiou][^aeiouy]$"
+SHORT = "^y?[^aeiouy]+[aeiouy][^aeiouwxy]$"
+
+
+def suffix_pattern(rules: dict[str, str]) -> str:
+    """What stands before the longest suffix of a word, and the suffix."""
+    return "^(.*?)(" + "|".join(sorted(rules, key=lambda x: (-len(x), x))) + ")$"
+
+
+def _split(rules: dict[str, str], fn) -> Callable[[Column], Column]:
+    """word -> fn(word, what stands before its longest suffix of the table, the suffix); each computed once, as a lambda's argument."""
+    parts = lambda w: F.struct(w.alias("w"), *[F.regexp_extract(w, suffix_pattern(rules), k).alias(n) for k, n in ((1, "head"), (2, "tail"))])
+    return lambda word: F.transform(F.transform(F.array(word), parts), lambda p: fn(p["w"], p["head"], p["tail"]))[0]
+
+
+def _replaced(rules: dict[str, str], needs: str, after: bool = False) -> Callable[[Column], Column]:
+    """A step: the longest suffix of the table replaced, if what stands before it (after: the new word) fulfils `needs`."""
+    new = F.create_map(*[F.lit(x) for rule in rules.items() for x in rule])
+    made = lambda head, tail: F.concat(head, new[tail])
+    return _split(rules, lambda word, head, tail: F.when((tail != "") & (made(head, tail) if after else head).rlike(needs), made(head, tail)).otherwise(word))
+
+
+def _past(word: Column, head: Column, tail: Column) -> Column:
+    """-eed, -ed and -ing; a stem left without its e, or with a doubled consonant, is mended."""
+    mended = F.when(head.rlike("(at|bl|iz)$") | head.rlike(SHORT), F.concat(head, F.lit("e"))).when(head.rlike(DOUBLED), F.substring(head, F.lit(1), F.length(head) - 1)).otherwise(head)
+    return F.when(tail == "eed", F.when(head.rlike(MEASURE[1]), F.concat(head, F.lit("ee"))).otherwise(word)).when((tail != "") & head.rlike(HAS_VOWEL), mended).otherwise(word)
+
+
 def stem(token: Column) -> Column:
-    """A crude stemmer: plural, then one of -ing, -ed, -ly where more than two letters stay, then a last -e."""
-    n = F.length
-    one = F.when((n(token) > 4) & token.endswith("ies"), F.regexp_replace(token, "ies$", "y")).when((n(token) > 3) & token.rlike("[^s]s$"), F.regexp_replace(token, "s$", "")).otherwise(token)
-    two = F.when((n(one) > 5) & one.endswith("ing"), F.regexp_replace(one, "ing$", "")).when((n(one) > 4) & one.endswith("ed"), F.regexp_replace(one, "ed$", "")).when((n(one) > 4) & one.endswith("ly"), F.regexp_replace(one, "ly$", "")).otherwise(one)
-    return F.when((n(two) > 3) & two.endswith("e"), F.regexp_replace(two, "e$", "")).otherwise(two)
+    """Porter's stem of a lower-case word (y counts as a vowel but at the start of a word); words of up to two letters stay."""
+    steps = [
+        _replaced(PLURAL_STEP, ""), _split({"eed": "", "ed": "", "ing": ""}, _past), _replaced({"y": "i"}, HAS_VOWEL), _replaced(LONG_SUFFIXES, MEASURE[1]), _replaced(MIDDLE_SUFFIXES, MEASURE[1]),
+        _replaced(LAST_SUFFIXES, MEASURE[2], after=True), _replaced({"e": ""}, LAST_E),
+    ]
+    word = token
+    for step in steps:
+        word = step(word)
+    return F.when(F.length(token) > 2, word).otherwise(token)
 
 
-# Plurals without a rule, and singulars that end in s.
-IRREGULAR = {"men": "man", "women": "woman", "children": "child", "people": "person", "mice": "mouse", "feet": "foot", "teeth": "tooth", "geese": "goose", "lives": "life", "wives": "wife"}
-S_SINGULAR = ("this", "bus", "gas", "news", "bias", "always", "lens", "series", "species", "basis", "analysis", "status")
+# Plurals without a rule, endings of plurals with what they stand for, endings in s that are no plural.
+IRREGULAR = {"men": "man", "women": "woman", "children": "child", "people": "person", "feet": "foot", "oxen": "ox", "dice": "die", "knives": "knife", "wolves": "wolf", "halves": "half", "shelves": "shelf", "criteria": "criterion", "indices": "index"}
+PLURAL_ENDINGS = {"ies": "y", "sses": "ss", "shes": "sh", "ches": "ch", "xes": "x", "ases": "as", "oes": "o", "ss": "ss", "us": "us", "is": "is", "as": "as", "ews": "ews", "s": ""}
 
 
 def plural_folded(token: Column) -> Column:
-    """A lower-case plural to its singular: irregular ones by a list, then by their endings; singulars in s stay."""
-    cut = lambda k: F.substring(token, F.lit(1), F.length(token) - k)
-    known = None
-    for plural, single in IRREGULAR.items():
-        known = F.when(token == plural, single) if known is None else known.when(token == plural, single)
-    return (
-        known.when((F.length(token) < 4) | ~token.endswith("s") | token.isin(*S_SINGULAR) | token.rlike("(ss|ous)$"), token)
-        .when(token.endswith("ies"), F.when(F.length(token) > 4, F.concat(cut(3), F.lit("y"))).otherwise(cut(1)))
-        .when(token.rlike("(sses|shes|ches|xes|zzes)$"), cut(2)).when(token.endswith("ses") & cut(2).isin(*S_SINGULAR), cut(2)).otherwise(cut(1))
-    )
+    """The singular of a lower-case plural: by a list, else by the longest ending of a table where a vowel or two letters stand before it."""
+    known = F.create_map(*[F.lit(x) for pair in IRREGULAR.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, token), _replaced(PLURAL_ENDINGS, "[aeiouy]|..")(token))
 
 
 def analysed(text: Column) -> Column:

@@ -12,12 +12,28 @@ from quillon.sources import index, worlds
 from quillon.streaming import streams
 
 _TOP5 = f"{TOKENS_SQL}, {BM25_SQL.format(dl='dl')}, r AS ({RANKED_SQL.format(k=5)})"
-_ONE = "CASE WHEN length(term) > 4 AND term LIKE '%ies' THEN left(term, -3) || 'y' WHEN length(term) > 3 AND regexp_matches(term, '[^s]s$') THEN left(term, -1) ELSE term END"
-_TWO = "CASE WHEN length(a) > 5 AND a LIKE '%ing' THEN left(a, -3) WHEN length(a) > 4 AND a LIKE '%ed' THEN left(a, -2) WHEN length(a) > 4 AND a LIKE '%ly' THEN left(a, -2) ELSE a END"
-_FOLD = " ".join(f"WHEN term = '{k}' THEN '{v}'" for k, v in tx.IRREGULAR.items())
 
 
-@query(f"WITH {TOKENS_SQL}, s AS (SELECT term, {_ONE} AS a FROM df), u AS (SELECT term, {_TWO} AS b FROM s) SELECT term, CASE WHEN length(b) > 3 AND b LIKE '%e' THEN left(b, -1) ELSE b END AS stem, CASE {_FOLD} WHEN length(term) < 4 OR term NOT LIKE '%s' OR term IN {tx.S_SINGULAR} OR regexp_matches(term, '(ss|ous)$') THEN term WHEN term LIKE '%ies' THEN CASE WHEN length(term) > 4 THEN left(term, -3) || 'y' ELSE left(term, -1) END WHEN regexp_matches(term, '(sses|shes|ches|xes|zzes)$') THEN left(term, -2) WHEN term LIKE '%ses' AND left(term, -2) IN {tx.S_SINGULAR} THEN left(term, -2) ELSE left(term, -1) END AS singular FROM u")
+def _step_sql(source: str, rules: dict[str, str], needs: str, tested: str = "head") -> str:
+    """A suffix step of functions.text over the column `word` of a table."""
+    new = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.items())
+    parts = ", ".join(f"regexp_extract(word, '{tx.suffix_pattern(rules)}', {k}) AS {name}" for k, name in ((1, "head"), (2, "tail")))
+    return f"SELECT term, CASE WHEN tail <> '' AND regexp_matches({tested}, '{needs}') THEN head || new ELSE word END AS word FROM (SELECT *, CASE tail {new} ELSE '' END AS new FROM (SELECT *, {parts} FROM {source}))"
+
+
+_PAST = tx.suffix_pattern({"eed": "", "ed": "", "ing": ""})
+_STEMS = ", ".join([
+    "w0 AS (SELECT term, term AS word FROM df)", f"w1 AS ({_step_sql('w0', tx.PLURAL_STEP, '')})",
+    f"""w2 AS (SELECT term, CASE WHEN tail = 'eed' THEN CASE WHEN regexp_matches(head, '{tx.MEASURE[1]}') THEN head || 'ee' ELSE word END WHEN tail <> '' AND regexp_matches(head, '{tx.HAS_VOWEL}')
+THEN CASE WHEN regexp_matches(head, '(at|bl|iz)$') OR regexp_matches(head, '{tx.SHORT}') THEN head || 'e' WHEN regexp_matches(head, '{tx.DOUBLED}') THEN left(head, -1) ELSE head END ELSE word END AS word
+FROM (SELECT *, regexp_extract(word, '{_PAST}', 1) AS head, regexp_extract(word, '{_PAST}', 2) AS tail FROM w1))""",
+    f"w3 AS ({_step_sql('w2', {'y': 'i'}, tx.HAS_VOWEL)})", f"w4 AS ({_step_sql('w3', tx.LONG_SUFFIXES, tx.MEASURE[1])})", f"w5 AS ({_step_sql('w4', tx.MIDDLE_SUFFIXES, tx.MEASURE[1])})",
+    f"w6 AS ({_step_sql('w5', tx.LAST_SUFFIXES, tx.MEASURE[2], 'head || new')})", f"w7 AS ({_step_sql('w6', {'e': ''}, tx.LAST_E)})", f"p AS ({_step_sql('w0', tx.PLURAL_ENDINGS, '[aeiouy]|..')})",
+])
+_FOLD = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in tx.IRREGULAR.items())
+
+
+@query(f"WITH {TOKENS_SQL}, {_STEMS} SELECT term, CASE WHEN length(term) > 2 THEN w7.word ELSE term END AS stem, CASE term {_FOLD} ELSE p.word END AS singular FROM w7 JOIN p USING (term)")
 def stems(spark, sf):
     return lexical(spark, sf)[1].terms.select("term", tx.stem(F.col("term")).alias("stem"), tx.plural_folded(F.col("term")).alias("singular"))
 
