@@ -3,7 +3,8 @@
 Base spans are the leftmost non-overlapping matches of three patterns (assign, access, hex), each kept if long enough.
 Candidates of base64 and hex are then decoded, and what they hold is parsed before it is reported: nested DER lengths of
 keys and certificates, the length-prefixed strings of SSH keys, PEM bodies (whose headers may say that they are sealed: then the cipher's block
-size), base64 in either alphabet over one line or several, and the JSON headers of signed tokens. Base
+size), base64 in either alphabet over one line or several (from every line's start, feeds also as the two characters of a JSON string), hex
+with colons, and the JSON headers of signed tokens. Base
 spans are never taken away; each says in `confirmed` what its value decodes to.
 
 Null texts count as empty and have no spans; texts are scanned whole; repeated rows give repeated results; equal spans of
@@ -31,8 +32,18 @@ LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 KINDS = ("assign", "access", "hex", "token", "pem", "der", "ssh")
 
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----\s*((?:[A-Za-z0-9-]{1,40}: [^\n]*\n)*)([A-Za-z0-9+/=\s]*)-----END \1-----")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+# A PEM block is found by its marks and parsed between them: each in time linear in the text, whatever lies between.
+BEGIN = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{1,40})-----")
+HEADER = re.compile(r"[A-Za-z0-9-]{1,40}: [^\n]*\n")
+BODY = re.compile(r"[A-Za-z0-9+/=\s]*")
+#: Lines go on after a line feed, or after one that is written as two characters, as in JSON strings.
+FEED = r"(?:\r?\n|(?:\\r)?\\n)"
+BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{40,}}(?:{FEED}[A-Za-z0-9+/_-]+)*={{0,2}}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+COLONS = re.compile(r"(?:[0-9A-Fa-f]{2}:(?:\r?\n[ \t]{0,16})?){19,}[0-9A-Fa-f]{2}")
+#: Strings of a public key by its type, the type included. A key has at most LONGEST_KEY bytes.
+SSH_FIELDS = {"ssh-rsa": 3, "ssh-dss": 5, "ssh-ed25519": 2}
+LONGEST_KEY = 1 << 16
 HEX_ANY = re.compile(r"(?:[0-9a-f]{40,}|[0-9A-F]{40,})")
 SSH_TYPES = ("ssh-rsa", "ssh-dss", "ssh-ed25519", "ecdsa-sha2-nistp256", "ecdsa-sha2-nistp384", "ecdsa-sha2-nistp521")
 _SSH_NAMES = {x.encode() for x in SSH_TYPES}
@@ -127,24 +138,87 @@ def is_openssh_key(raw: bytes) -> bool:
     return at == len(raw) and all(p and len(p) >= 2 and p[0] in _SSH_NAMES for p in public) and len(parts[-1]) >= 8
 
 
-def unwrapped(found: str) -> tuple[str, int] | None:
-    """(kind, characters) of a key that base64 over one line or several begins with. DER says its own length, so what follows it on
-    later lines is not taken; the others must fill the first line or all lines."""
-    body = "".join(found.split())
-    if (head := unbase64(body[:12])) and head[0] == 0x30 and (outer := der_length(head, 1)):
-        chars = -(-(outer[0] + outer[1]) * 4 // 3)
-        if chars <= len(body) and structure(unbase64(body[:chars])):
-            at = taken = 0
-            while taken < chars:
-                taken += not found[at].isspace()
-                at += 1
-            while at < len(found) and found[at] == "=":
-                at += 1
-            return "der", at
-    for part in dict.fromkeys((found, found.split("\n", 1)[0].rstrip("\r"))):
-        if what := structure(unbase64("".join(part.split()))):
-            return what, len(part)
-    return None
+def peek(body: str, at: int, start: int, size: int) -> bytes:
+    """Some bytes of what base64 from body[at] on decodes to; fewer at its end."""
+    first, last = start // 3 * 4, -(-(start + size) // 3) * 4
+    return (unbase64(body[at + first : at + last]) or b"")[start % 3 : start % 3 + size]
+
+
+def ssh_length(body: str, at: int) -> int | None:
+    """How many bytes a public or private key that begins there says it has."""
+    if peek(body, at, 0, 15) == b"openssh-key-v1\0":
+        done, strings, counted = 15, 3, False
+    elif (size := int.from_bytes(peek(body, at, 0, 4))) <= 32 and (kind := peek(body, at, 4, size)) in _SSH_NAMES:
+        done, strings, counted = 4 + size, SSH_FIELDS.get(kind.decode(), 3) - 1, True
+    else:
+        return None
+    while strings:
+        if len(size := peek(body, at, done, 4)) < 4:
+            return None
+        done, strings = done + 4 + int.from_bytes(size), strings - 1
+        if not strings and not counted:
+            keys = int.from_bytes(peek(body, at, done, 4))
+            if not 1 <= keys <= 64:
+                return None
+            done, strings, counted = done + 4, keys + 1, True
+        if done > LONGEST_KEY:
+            return None
+    return done
+
+
+def unwrapped(found: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the keys in base64 over one line or several. A key begins at a line's start and says its own length, so what
+    follows it is searched further; what tells no length must fill its line."""
+    lines = [(m.start(), m[0]) for m in LINE.finditer(found)]
+    if "\\" in found:  # the n of a written line feed is no character of the line after it
+        lines = [(at + (at > 0 and found[at - 1] == "\\"), line[at > 0 and found[at - 1] == "\\" :]) for at, line in lines]
+        lines = [(at, line) for at, line in lines if line]
+    body, out, k = "".join(line for _, line in lines), [], 0
+    offsets = [0]
+    for _, line in lines:
+        offsets.append(offsets[-1] + len(line))
+    while k < len(lines):
+        at, size = offsets[k], None
+        head = peek(body, at, 0, 6)
+        if head[:1] == b"\x30" and (outer := der_length(head, 1)):
+            size = outer[0] + outer[1]
+        elif head[:2] == b"\0\0" or head == b"openss":
+            size = ssh_length(body, at)
+        chars = -(-(size or 0) * 4 // 3)
+        what = structure(unbase64(body[at : at + chars])) if size and size <= LONGEST_KEY and at + chars <= len(body) else None
+        if what is None and len(lines[k][1]) >= 40 and (what := structure(unbase64(lines[k][1]))):
+            chars = len(lines[k][1])
+        if what is None:
+            k += 1
+            continue
+        last = k
+        while offsets[last + 1] < at + chars:
+            last += 1
+        end = lines[last][0] + at + chars - offsets[last]
+        while end < len(found) and found[end] == "=":
+            end += 1
+        out.append((what, lines[k][0], end))
+        k = last + 1
+    return out
+
+
+def pem_blocks(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, what) of the PEM blocks: from a BEGIN mark to the next mark, which must be the END of the same name."""
+    marks, out = list(BEGIN.finditer(text)), []
+    for m, n in zip(marks, marks[1:]):
+        if m[1] != "BEGIN" or n[1] != "END" or m[2] != n[2]:
+            continue
+        inner = text[m.end() : n.start()].replace("\\r", "").replace("\\n", "\n").lstrip()
+        at, heads = 0, []
+        while h := HEADER.match(inner, at):
+            heads.append(h[0])
+            at = h.end()
+        if BODY.fullmatch(inner, at):
+            raw, named = unbase64("".join(inner[at:].split())), "".join(heads)
+            sealed = "ENCRYPTED" in named and "DEK-Info: " in named and raw is not None and len(raw) >= 32 and len(raw) % 8 == 0
+            if what := "encrypted" if sealed else structure(raw):
+                out.append((m.start(), n.end(), what))
+    return out
 
 
 def structure(raw: bytes | None) -> str | None:
@@ -193,14 +267,14 @@ def scan(text: str) -> list[tuple[str, int, int, str | None]]:
             if is_signed_header(m[1]) and unbase64(m[2]) is not None:
                 found["token", m.start(), m.end()] = "token"
     if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            raw = unbase64("".join(m[3].split()))
-            sealed = "ENCRYPTED" in m[2] and "DEK-Info: " in m[2] and raw is not None and len(raw) >= 32 and len(raw) % 8 == 0
-            if what := "encrypted" if sealed else structure(raw):
-                found["pem", m.start(), m.end()] = what
+        for start, end, what in pem_blocks(text):
+            found["pem", start, end] = what
     for m in BASE64.finditer(text):
-        if what := unwrapped(m[0]):
-            found[what[0], m.start(), m.start() + what[1]] = what[0]
+        for what, start, end in unwrapped(m[0]):
+            found[what, m.start() + start, m.start() + end] = what
+    for m in COLONS.finditer(text):
+        if what := structure(bytes.fromhex("".join(m[0].replace(":", " ").split()))):
+            found[what, m.start(), m.end()] = what
     for m in HEX_ANY.finditer(text):
         if len(m[0]) % 2 == 0 and (what := structure(bytes.fromhex(m[0]))):
             found[what, m.start(), m.end()] = what
