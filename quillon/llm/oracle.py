@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import LEAST_WORDS, REPEAT_PERCENT, RULES, SYMBOLS, UPPER
+from .quality import LEAST_WORDS, REPEAT_PERCENT, RULES, STEPS, SYMBOLS, UPPER
 
 BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -49,12 +49,10 @@ FROM v JOIN w USING (node) LEFT JOIN k USING (node) LEFT JOIN v u ON u.node = v.
 
 
 def quality_sql(risk: float = 0.02, delta: float = 0.05) -> str:
-    tests = [(rule, cutoff) for rule, grid in RULES.items() for cutoff in grid]
-    granted = risk / len(RULES)
     failed = f"n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words"
     share = lambda a, b: f"CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0 END"
     values = {"symbol_share": share("n_symbols", "word_chars"), "dup_line_share": share("n_dup_lines", "n_lines"), "repeat_share": share("n_repeat_words", "n_words"), "shout_share": share("n_shouts", "n_words"), "upper_share": share("n_upper", "word_chars")}
-    grid = " UNION ALL ".join(f"SELECT '{rule}' AS rule, CAST({cutoff} AS DOUBLE) AS cutoff" for rule, cutoff in tests)
+    grid = " UNION ALL ".join(f"SELECT {i} AS i, '{rule}' AS rule, CAST({cutoff} AS DOUBLE) AS cutoff" for i, (rule, cutoff) in enumerate(STEPS))
     long = " UNION ALL ".join(f"SELECT doc_id, lang, '{rule}' AS rule, {rule} AS v FROM v" for rule in RULES)
     return rf"""WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
@@ -64,7 +62,12 @@ lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_
 f AS (SELECT doc_id, lang, len(w) AS n_words, length(translate(t, {BLANKS}, '')) AS word_chars, length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, length(t) - length(replace(t, '!', '')) AS n_shouts, length(t) - length(translate(t, '{UPPER}', '')) AS n_upper FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN lines USING (doc_id)),
 v AS (SELECT *, {failed} AS base_failed, {', '.join(f'{x} AS {k}' for k, x in values.items())} FROM f),
 long AS ({long}), good AS (SELECT doc_id FROM labels GROUP BY 1 HAVING min(quality) = 1),
-tests AS (SELECT lang, rule, cutoff, count(*) AS n, sum(CASE WHEN v > cutoff THEN 1 ELSE 0 END) AS k FROM long JOIN good USING (doc_id) JOIN ({grid}) USING (rule) WHERE doc_id IN (SELECT doc_id FROM v WHERE NOT base_failed) GROUP BY ALL),
-cuts AS (SELECT lang, rule, min(cutoff) AS cutoff FROM tests WHERE k < n * {granted} AND list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({granted}) + (n - j) * ln(1 - {granted})))) <= {delta / len(tests)} / (SELECT count(DISTINCT lang) FROM tests) GROUP BY ALL),
+held AS (SELECT * FROM long JOIN good USING (doc_id) WHERE doc_id IN (SELECT doc_id FROM v WHERE NOT base_failed)),
+sizes AS (SELECT lang, count(DISTINCT doc_id) AS n FROM held GROUP BY 1), grid AS ({grid}),
+broken AS (SELECT lang, doc_id, min(i) AS i FROM held JOIN grid USING (rule) WHERE v > cutoff GROUP BY ALL),
+tests AS (SELECT s.lang, s.n, n / sum(n) OVER (PARTITION BY g.i) AS share, g.*, (SELECT count(*) FROM broken b WHERE b.lang IS NOT DISTINCT FROM s.lang AND b.i <= g.i) AS k FROM sizes s, grid g),
+holds AS (SELECT *, k < n * {risk} AND list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({risk}) + (n - j) * ln(1 - {risk})))) <= {delta} * share AS ok FROM tests),
+walked AS (SELECT *, bool_and(ok) OVER (PARTITION BY lang ORDER BY i) AS passed FROM holds),
+cuts AS (SELECT lang, rule, min(cutoff) AS cutoff FROM walked WHERE passed GROUP BY ALL),
 gone AS (SELECT DISTINCT doc_id FROM long JOIN cuts ON long.rule = cuts.rule AND long.lang IS NOT DISTINCT FROM cuts.lang WHERE v > cutoff)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM gone) AS kept FROM v"""

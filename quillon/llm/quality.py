@@ -1,11 +1,13 @@
 """Quality rules with risk-controlled thresholds (DataFrame functions only).
 
 The base rules are fixed counts. On top of them every rule of RULES rejects documents whose value exceeds a cutoff, and the
-cutoffs are chosen on labelled documents: in each stratum, a cutoff is admissible if the exact (Clopper-Pearson) upper
-bound on the share of good documents that it rejects is at most the risk granted to the rule. A cutoff's bound holds at
-confidence 1 - delta / m for m tests (Bonferroni over strata, rules and cutoffs), so all selected cutoffs hold together
-with probability 1 - delta, and a stratum's good documents are rejected at most at the rate `risk`, which the rules share
-equally. Among the admissible cutoffs the lowest is taken; where none is, the rule is idle.
+cutoffs are chosen on labelled documents. In each stratum a fixed sequence of rule sets is walked, each a step stricter than the one
+before: the grids of the rules one after the other, from the rule that clean prose breaks least to the one that it breaks most, and each
+from its loosest cutoff to its tightest. A step is tested jointly: it holds if the exact (Clopper-Pearson) upper bound on the share of
+good documents that any rule of the set rejects is at most `risk`. The walk ends at the first step that does not hold, so no
+correction is due for the number of steps; over strata the confidence is split by their good documents (weighted Bonferroni), so that with
+probability 1 - delta no stratum's good documents are rejected at more than the rate `risk`. Where the first step does not hold, the rules are
+idle: a stratum needs ln(delta * its share) / ln(1 - risk) good documents for it, 149 if it is the only one.
 
 Defined results: null and empty texts have no words and fail the base rules; a null stratum is a stratum of its own; a
 document with several labels is good only if all say so; labels without a document are ignored; without labels, or with an
@@ -21,26 +23,27 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import WORD, persist
 
-# The symbols, the base limits, and the grid of each rule's cutoffs.
+# The symbols, the base limits, and the grid of each rule's cutoffs, in the order of the walk.
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 RULES = {
-    "symbol_share": (0.02, 0.05, 0.1, 0.15, 0.2),
-    "dup_line_share": (0.1, 0.2, 0.3, 0.5),
-    "repeat_share": (0.02, 0.05, 0.1, 0.15),
-    "shout_share": (0.1, 0.2, 0.4, 0.6),
-    "upper_share": (0.2, 0.3, 0.5, 0.7),
+    "symbol_share": (0.2, 0.15, 0.1, 0.05, 0.02),
+    "shout_share": (0.6, 0.4, 0.2, 0.1),
+    "upper_share": (0.7, 0.5, 0.3, 0.2),
+    "dup_line_share": (0.5, 0.3, 0.2, 0.1),
+    "repeat_share": (0.15, 0.1, 0.05, 0.02),
 }
+STEPS = [(rule, cutoff) for rule, grid in RULES.items() for cutoff in grid]
 UPPER = "".join(chr(c) for c in range(0x41, 0x5B)) + "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouts", "n_upper")
 
 
 def repeated_words(words: Column, width: int = WINDOW):
-    """(pairs, covered): the (hash, place) of every window of `width` words, and the function from them to the number of words
+    """(pairs, covered): of the hashes of words, the (hash, place) of every window of `width` of them, and the function from them to the number of words
     that lie in a window that occurs twice or more."""
     hashes = F.when(
         F.size(words) > width,
-        F.transform(F.sequence(F.lit(1), F.size(words) - (width - 1)), lambda i: F.struct(F.xxhash64(F.slice(words, i, F.lit(width))).alias("h"), i.alias("i"))),
+        F.transform(F.sequence(F.lit(1), F.size(words) - (width - 1)), lambda i: F.struct(F.xxhash64(*[F.get(words, i + (j - 1)) for j in range(width)]).alias("h"), i.alias("i"))),
     )
 
     def covered(pairs: Column) -> Column:
@@ -64,8 +67,8 @@ def count_features(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     without = lambda chars: F.length(F.translate(t, chars, ""))
     rows = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumns({"__t": t, "__words": F.regexp_extract_all(t, F.lit(f"({WORD})"), F.lit(1))})
-    pairs, covered = repeated_words(F.col("__words"))
-    rows = rows.withColumn("__pairs", pairs)
+    pairs, covered = repeated_words(F.col("__hashes"))
+    rows = rows.withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w))).withColumn("__pairs", pairs)
     distinct = F.size(F.array_distinct(F.transform("__pairs", lambda x: x["h"])))
     lines = F.filter(F.split("__t", "\n", -1), lambda x: F.translate(x, " \t\n\x0b\f\r", "") != "")
     rows = rows.withColumn("__lines", lines)
@@ -110,21 +113,29 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     )
 
 
+def first_step() -> Column:
+    """The first step of the walk whose rule set rejects a document, from its rules' values; null if none does."""
+    begins, each = 0, []
+    for rule, grid in RULES.items():
+        passed = reduce(lambda x, y: x + y, [(F.col(rule) <= cutoff).cast("int") for cutoff in grid])
+        each.append(F.when(F.col(rule) > grid[-1], begins + passed))
+        begins += len(grid)
+    return F.least(*each)  # nulls are passed over
+
+
 def select_cutoffs(features: DataFrame, labels: DataFrame, stratum: str = "lang", doc_id: str = "doc_id", label: str = "quality", risk: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """stratum, rule and cutoff of the admissible cutoffs, the lowest of each rule and stratum. One row of counts a stratum."""
+    """stratum, rule and cutoff: the tightest cutoff of each rule in the steps that hold. One row of counts a stratum."""
     good = labels.groupBy(F.col(f"`{doc_id}`").alias("__id")).agg(F.min(F.col(f"`{label}`")).alias("__good")).where("__good = 1")
-    values = rule_values()
-    held = features.where(~base_failed()).join(good, features[doc_id] == F.col("__id")).select(F.col(f"`{stratum}`").alias("stratum"), *[v.alias(k) for k, v in values.items()])
-    tests = [(rule, cutoff) for rule, grid in RULES.items() for cutoff in grid]
-    counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *[F.sum((F.col(rule) > cutoff).cast("bigint")).alias(f"k{i}") for i, (rule, cutoff) in enumerate(tests)])
-    each = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(float(cutoff)).alias("cutoff"), F.col(f"k{i}").alias("k")) for i, (rule, cutoff) in enumerate(tests)])
-    granted = risk / len(RULES)
-    strata = F.count("*").over(Window.partitionBy(F.lit(0)))  # one row a stratum; counted before the tests are exploded, which would count each stratum once a test
-    counts = counts.select("stratum", "n", strata.alias("strata"), each.alias("tests"))
-    flat = counts.select("stratum", "n", "strata", F.explode("tests").alias("test")).select("stratum", "n", "strata", "test.*")
-    tail = F.when(F.col("k") < F.col("n") * granted, binomial_tail(F.col("k"), F.col("n"), granted)).otherwise(1.0)
-    admissible = flat.where(tail <= F.lit(delta / len(tests)) / F.col("strata"))
-    return admissible.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    held = features.where(~base_failed()).join(good, features[doc_id] == F.col("__id")).select(F.col(f"`{stratum}`").alias("stratum"), *[v.alias(k) for k, v in rule_values().items()])
+    stepped = held.select("stratum", first_step().alias("step"))
+    counts = stepped.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("step") <= i, 1)).alias(f"k{i}") for i in range(len(STEPS))])
+    each = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(float(cutoff)).alias("cutoff"), F.col(f"k{i}").alias("k")) for i, (rule, cutoff) in enumerate(STEPS)])
+    share = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))  # one row a stratum; taken before the steps are exploded, which would count each stratum once a step
+    counts = counts.select("stratum", "n", share.alias("share"), each.alias("steps"))
+    flat = counts.select("stratum", "n", "share", F.explode("steps").alias("step")).select("stratum", "n", "share", "step.*")
+    # The counts grow along the walk, and the bounds with them: the steps that hold are those before the first that does not.
+    tail = F.when(F.col("k") < F.col("n") * risk, binomial_tail(F.col("k"), F.col("n"), risk)).otherwise(1.0)
+    return flat.where(tail <= delta * F.col("share")).groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
 def verdicts(features: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:

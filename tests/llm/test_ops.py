@@ -427,13 +427,55 @@ def test_quality_thresholds(spark):
     assert quality.keep_good(df.limit(0), df.select("doc_id", "quality")).count() == 0
 
 
-def test_quality_strata_count_once(spark):
-    """1,900 good documents suffice for a cutoff in 4 strata (1,853 do), not if each stratum counts once a test."""
+@pytest.mark.parametrize("n, rejects", [(148, False), (149, True)])
+def test_quality_needs_enough_good_documents(spark, n, rejects):
+    """0.98 ** 149 < 0.05 <= 0.98 ** 148: from 149 good documents on, one stratum's rules act."""
     clean, junk = "the quick brown fox jumps over a lazy dog near my old house now", "a # b # c # d # e # f # g # h # i # j # k"
-    rows = [(i, f"{clean} {i} {i + 1}", "en", 1) for i in range(1900)] + [(3000 + i, f"{clean} {i}", ("de", "es", "fr")[i % 3], 1) for i in range(30)] + [(5000 + i, f"{junk} {i}", "en", 0) for i in range(50)]
+    rows = [(i, f"{clean} {i} {i + 1}", "en", 1) for i in range(n)] + [(5000 + i, f"{junk} {i}", "en", 0) for i in range(9)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, quality int")
     got = {r["doc_id"]: r["kept"] for r in quality.judge(df.drop("quality"), df.select("doc_id", "quality")).collect()}
-    assert all(got[i] for i in [*range(1900), *range(3000, 3030)]) and not any(got[5000 + i] for i in range(50))
+    assert all(got[i] for i in range(n)) and not any(rejects and got[5000 + i] or not rejects and not got[5000 + i] for i in range(9))
+
+
+def test_quality_walk_is_that_of_a_loop(spark):
+    from math import comb
+
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a", "a", "b", None]), *[rng.choice([0.0] * 2000 + [0.03, 0.12, 0.25, 0.45, 0.8]) for _ in quality.RULES]) for i in range(1500)]
+    counts = lambda r: (r[0], r[1], 20, 100, round(r[2] * 100), round(r[5] * 20), round(r[6] * 20), 20, round(r[3] * 20), round(r[4] * 100))
+    rows = [counts(r) for r in rows]
+    features = spark.createDataFrame(rows, "doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint, n_shouts bigint, n_upper bigint")
+    labels = features.select("doc_id", F.lit(1).alias("quality"))
+    got = {(r["stratum"], r["rule"]): r["cutoff"] for r in quality.select_cutoffs(features, labels).collect()}
+    rows = [r for r in rows if 100 * r[6] <= 20 * r[2]]
+    value = {"symbol_share": lambda r: r[4] / r[3], "shout_share": lambda r: r[8] / r[2], "upper_share": lambda r: r[9] / r[3], "dup_line_share": lambda r: r[5] / r[7], "repeat_share": lambda r: r[6] / r[2]}
+    want = {}
+    for stratum in ("a", "b", None):
+        mine, rules = [r for r in rows if r[1] == stratum], {}
+        for rule, cutoff in quality.STEPS:
+            now = rules | {rule: cutoff}
+            k, n = sum(any(value[x](r) > c for x, c in now.items()) for r in mine), len(mine)
+            if k >= n * 0.02 or sum(comb(n, j) * 0.02**j * 0.98 ** (n - j) for j in range(k + 1)) > 0.05 * n / len(rows):
+                break
+            rules = now
+        want |= {(stratum, rule): c for rule, c in rules.items()}
+    assert got == want and 0 < len(want) < 15
+
+
+def test_fingerprints_compare_across_lengths():
+    rng = random.Random(11)
+    for n in [8, 9, 12, 23, 24, 25, 31, 32, 100, 127, 128, 129, 200, 255, 256, 257, 400, 511, 512, 513, 900]:
+        for alphabet in ("ab", "abcdefghijklmnopqrstuvwxyz é"):
+            for _ in range(12):
+                text = "".join(rng.choice(alphabet) for _ in range(n)) if n < 512 or len(alphabet) > 2 else "".join(rng.choice("abcdefgh") for _ in range(n))
+                k = rng.choice([0, n // 2, n - 1, rng.randrange(n)])
+                whole, less = prefixhash.fingerprints([text, text[:k] + text[k + 1 :]])
+                assert prefixhash.likeness(whole, less) >= 0.5, (n, text, k)
+                assert prefixhash.likeness(whole, less) == prefixhash.likeness(less, whole) < 1
+    odd = "a" * 3 + "b" + "a" * 300
+    assert prefixhash.likeness(*prefixhash.fingerprints([odd, odd.replace("b", "")])) >= 0.5
+    one, other = ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(100)) for _ in range(2))
+    assert prefixhash.likeness(*prefixhash.fingerprints([one, other])) < 0.4
 
 
 def test_binomial_tail(spark):
