@@ -53,3 +53,20 @@ def test_stages_of_odd_tables(spark, tmp_path):
     assert mixed.columns == docs.columns and mixed.count() == 7  # one source: its target is its size
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, here.limit(0), str(tmp_path)).count() == 0
+
+
+def test_row_numbers_do_not_depend_on_partitions(spark, tmp_path):
+    spark.range(4000).selectExpr("id AS doc_id", "concat('text ', id) AS text").repartition(5).write.parquet(f"{tmp_path}/rows")
+    seen = []
+    for size, least in (("1k", "16"), ("128m", "1"), ("7k", "3")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.minPartitionNum", least)
+        try:
+            rows = corpus_pipeline._numbered(spark.read.parquet(f"{tmp_path}/rows")).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.minPartitionNum")
+        seen.append({r["doc_id"]: r["__row"] for r in rows})
+    assert seen[0] == seen[1] == seen[2] and len(set(seen[0].values())) == 4000
+    made = corpus_pipeline._numbered(spark.createDataFrame([(1, "a"), (1, "a")], "doc_id bigint, text string"))
+    assert len({r["__row"] for r in made.collect()}) == 2 and made.columns == ["doc_id", "text", "__row"]
