@@ -8,6 +8,7 @@ of documents are kept as they are.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillon.llm import bpe, jaccard, mixing, quality, secrets
@@ -24,8 +25,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with `__row`, the row's number: the same in every scan of a written table."""
-    return docs.withColumn("__row", F.monotonically_increasing_id())
+    """docs with `__row`, a number of each row that is the same in every scan, whatever the partitions: the row's place in its file, after
+    the file's place among all files. Rows that come from no file are written first. The driver holds the names of the files,
+    which it lists for any scan, and the numbers of files are broadcast: 16 bytes a file."""
+    spark = docs.sparkSession
+    try:
+        place = docs.metadataColumn("_metadata")
+        placed = docs.select("*", F.xxhash64(place["file_path"]).alias("__file"), place["row_index"].alias("__at"))
+    except AnalysisException:
+        return _numbered(persist(docs, "rows"))
+    files = sorted((r["p"], r["f"]) for r in docs.select(place["file_path"].alias("p")).distinct().select("p", F.xxhash64("p").alias("f")).collect())
+    if len({f for _, f in files}) < len(files):
+        raise ValueError("two files have the same hash of their names")
+    numbers = spark.createDataFrame([(f, k << 40) for k, (_, f) in enumerate(files)], "__file bigint, __base bigint")
+    return placed.join(F.broadcast(numbers), "__file").withColumn("__row", F.col("__base") + F.col("__at")).drop("__file", "__at", "__base")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
