@@ -488,6 +488,59 @@ def test_binomial_tail(spark):
 
 # --- 1: main text ---
 
+
+def wide(prefix: str, n: int) -> "html.Outline":
+    return html.Outline([-1] + [0] * n, ["body"] + [f"div {prefix}{k:05d}q" for k in range(n)], [False] * (n + 1))
+
+
+def test_wide_pages_are_aligned_in_seconds():
+    began = time.time()
+    same = html.tree_matching(wide("a", 20_000), wide("a", 20_000))
+    assert same == {i: i for i in range(20_001)}
+    other = html.tree_matching(wide("a", 5_000), wide("b", 6_000))
+    assert len(other) == 5_001 and sorted(other.values()) == [other[i] for i in sorted(other)]  # order kept, each in the shorter list matched
+    assert time.time() - began < 30
+
+
+def brute_matching(a, b) -> float:
+    """The greatest worth of a mapping that keeps tags, parents and order."""
+    ca, cb = a.children(), b.children()
+
+    def worth(i, j):
+        if a.keys[i].split()[0] != b.keys[j].split()[0]:
+            return 0.0
+        table = [[0.0] * (len(cb[j]) + 1)]
+        for x in ca[i]:
+            row = [0.0]
+            for m, y in enumerate(cb[j]):
+                row.append(max(table[-1][m + 1], row[m], table[-1][m] + worth(x, y)))
+            table.append(row)
+        return table[-1][-1] + html.affinity(a.keys[i], b.keys[j])
+
+    return worth(0, 0)
+
+
+def test_matching_is_the_best_where_no_siblings_have_the_same_key():
+    rng = random.Random(4)
+
+    def tree(mark):
+        parents, keys = [-1], ["body"]
+        for k in range(rng.randint(1, 9)):
+            parents.append(rng.randrange(len(parents)))
+            keys.append(f"{rng.choice(['div', 'p'])} {mark}{k} {rng.choice('xyz')}")
+        return html.Outline(parents, keys, [False] * len(parents))
+
+    for _ in range(200):
+        a, b = tree("l"), tree("r")
+        got = html.tree_matching(a, b)
+        assert all(a.keys[i].split()[0] == b.keys[j].split()[0] and (i == 0 or got[a.parents[i]] == b.parents[j]) for i, j in got.items())
+        assert sum(html.affinity(a.keys[i], b.keys[j]) for i, j in got.items()) == pytest.approx(brute_matching(a, b))
+
+
+def test_zero_width_space_is_no_white_space():
+    assert html.main_text("<p>foo\u200bbar  baz</p>") == "foo\u200bbar baz"
+
+
 PAGE = '<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body><nav><a href=/>Home</a></nav>{ad}<article><h1>Title {i}</h1><p>First&nbsp;&amp; <b>bold<br>line {i}<p>Second\n\n line &eacute;{x}</article><footer>&copy; host</footer></body></html>'
 
 
@@ -555,9 +608,9 @@ def test_wrapper_counts_exactly(spark):
     wrapper, reference = html.wrapper_of(pages + pages[:50])
     assert [html.main_text(page, wrapper, reference) for page in pages] == want
     rows = spark.createDataFrame([(f"http://h/{i}", p) for i, p in enumerate(pages + pages[:50])], "url string, html string")
-    _, wrappers = html.induce(html._parsed(rows, [], "url", "html"))
-    got = wrappers.first()
-    assert set(got["known"]) == wrapper.known and set(got["area"]) == wrapper.area
+    maps, wrappers = html.induce(html._parsed(rows, [], "url", "html"))
+    known = {html._hash(str(s), str(h)) for r in maps.collect() for s, h in zip(r["known_slots"], r["known_hashes"])}
+    assert known == wrapper.known and set(wrappers.first()["area"]) == wrapper.area
     assert extracted(spark, [pages[0]] * 20) == ["\n".join([*(f"Entry {k}" for k in range(7)), "All rights are ours", want[0]])] * 20  # copies of a page are no template
     assert extracted(spark, [pages[0]] * 20 + pages[1:9]) == [want[0]] * 20 + want[1:9]
 
