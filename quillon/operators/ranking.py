@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quillon.sources.index import Index, cut, index_of, postings  # noqa: F401
+from quillon.sources.index import Index, cut, flat, index_of, postings  # noqa: F401
 
 from .measures import running
 
@@ -35,51 +35,66 @@ def _one_row(df: DataFrame, one: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(one))  # one row
 
 
-def best(terms: DataFrame, impacts: DataFrame, query: str, doc: str, k: int, digits: int = 6, first: int = 4) -> DataFrame:
-    """query, doc and score of at least the k best documents of each query, by score and then id, in full.
+def _live(bounds: DataFrame, exact, query: str, k: int, digits: int) -> DataFrame:
+    """query, range: the ranges of documents that may hold one of a query's k best.
 
-    terms: query, term, w and most (the greatest impact of the term); impacts: doc, term, impact. A document's score is the sum of
-    w * impact over the query's terms that it has. The rarest `first` terms give each query k documents and thereby a
-    score that the k-th best one has at least. Terms that together cannot reach it make no candidate: documents that hold nothing but
-    common words are never paired with a query. Candidates whose bound is too low go before the common terms are looked up for them.
+    bounds: query, range and bound (no document of the range scores more). The range of the greatest bound is scored in full; its k-th best
+    score is one that the k-th best of all has at least, so ranges with a lesser bound are out. exact(ranges) scores the documents of ranges.
     """
-    bound = F.col("w") * F.col("most")
-    by_bound = Window.partitionBy(query).orderBy(bound.desc(), "term")
-    placed = terms.select(query, "term", "w", bound.alias("bound"), F.row_number().over(by_bound).alias("i"), F.sum(bound).over(by_bound.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("tail"))
-    part = (F.col("w") * F.col("impact")).alias("part")
-    early = impacts.join(placed.where(F.col("i") <= first), "term").select(query, doc, part).groupBy(query, doc).agg(F.sum("part").alias("part"))
-    ranked = early.withColumn("r", F.row_number().over(Window.partitionBy(query).orderBy(F.col("part").desc()))).where(F.col("r") <= k)
-    floor = ranked.groupBy(query).agg(F.when(F.count("*") == k, F.min("part")).otherwise(0.0).alias("floor"))
+    bounds = cut(bounds, "bounds")
+    first = bounds.groupBy(query).agg(F.max_by("range", F.struct("bound", "range")).alias("range"))
+    placed = exact(first).where("score is not null").withColumn("r", F.row_number().over(Window.partitionBy(query).orderBy(F.col("score").desc()))).where(F.col("r") <= k)
+    floor = placed.groupBy(query).agg(F.when(F.count("*") == k, F.min("score")).otherwise(0.0).alias("floor"))
     slack = 10.0 ** -digits * 2  # scores are compared rounded
-    split = cut(placed.join(floor, query, "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)) - slack).withColumn("leads", F.col("tail") >= F.col("floor")), "terms")
-    later = split.where("not leads")
-    rest = split.groupBy(query).agg(F.max(F.when(~F.col("leads"), F.col("tail"))).alias("rest"), F.first("floor").alias("floor"))
-    found = impacts.join(split.where("leads").select(query, "term", "w"), "term").select(query, doc, part).groupBy(query, doc).agg(F.sum("part").alias("part"))
-    live = cut(found.join(rest, query).where(F.col("part") + F.coalesce("rest", F.lit(0.0)) >= F.col("floor")).select(query, doc, "part"), "candidates")
-    wanted = live.select(query, doc).join(later.select(query, "term", "w"), query)
-    more = wanted.join(impacts, [doc, "term"]).select(query, doc, part)
-    return live.unionByName(more).groupBy(query, doc).agg(F.round(F.sum("part"), digits).alias("score"))
-
-
-def _bm25_parts(query_terms: DataFrame, ix: Index, query: str, doc: str, k1: float, b: float, cap: float | None) -> tuple[DataFrame, DataFrame]:
-    """(terms, impacts) of BM25: a term weighs its idf ln(1 + (n - df + .5) / (df + .5)) times k1 + 1; its impact is below 1."""
+    return bounds.join(floor, query, "left").where(F.col("bound") >= F.coalesce("floor", F.lit(0.0)) - slack).select(query, "range")
+
+
+#: Postings that a set of queries may ask for before ranges are bounded first; below it, reading them all at once is as good. The results are the same.
+AT_ONCE = 50_000_000
+
+
+def best(weights: DataFrame, ix: Index, impact: Column, bound: Column, query: str, k: int, digits: int = 6, at_once: int | None = None) -> DataFrame:
+    """query, doc and score of at least the k best documents of each query, by score and then id, in full.
+
+    weights: query, term, w, and what impact needs besides. A document's score is the sum of w * impact over the query's terms that it has;
+    impact is an expression over a posting (tf, dl, dn, unit), bound one over a block that no posting of it exceeds. Only the index's partitions of the
+    queries' terms are read; where they hold many postings, blocks are first summed up by their bounds, and ranges that cannot
+    hold one of the k best are never unpacked.
+    """
+    part = F.sum(F.col("w") * impact)
+    if ix.blocks is None:
+        return ix.posts.join(weights.drop("df"), "term").groupBy(query, ix.key).agg(F.round(part, digits).alias("score"))
+    blocks = ix.asked(weights).join(weights.drop("df"), "term")
+    scored = lambda rows: flat(rows, ix.key, *[c for c in weights.columns if c not in ("term", "df")]).groupBy(query, ix.key).agg(F.round(part, digits).alias("score"))
+    asked = weights.join(ix.terms.select("term", F.col("df").alias("__df")), "term").agg(F.sum("__df")).first()[0] or 0
+    if asked <= (AT_ONCE if at_once is None else at_once):
+        return scored(blocks)
+    exact = lambda ranges: scored(blocks.join(ranges, [query, "range"], "left_semi"))
+    return exact(_live(blocks.groupBy(query, "range").agg(F.sum(F.col("w") * bound).alias("bound")), exact, query, k, digits))
+
+
+def _bm25_weights(query_terms: DataFrame, ix: Index, query: str) -> DataFrame:
+    """query, term, w (idf ln(1 + (n - df + .5) / (df + .5))) and avgdl."""
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = _one_row(query_terms.select(query, "term").distinct().join(ix.terms, "term"), ix.stats)
-    dl = F.col("dl") if cap is None else F.least(F.col("dl").cast("double"), cap * F.col("avgdl"))
-    impact = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * dl / F.col("avgdl")))
-    return asked.select(query, "term", (idf * (k1 + 1)).alias("w"), F.lit(1.0).alias("most")), _one_row(ix.posts, ix.stats).select(doc, "term", impact.alias("impact"))
+    return _one_row(query_terms.select(query, "term").distinct().join(ix.terms, "term"), ix.stats).select(query, "term", idf.alias("w"), "avgdl")
+
+
+def _bm25_impact(k1: float, b: float, cap: float | None, tf: str = "tf", dl: str = "dl") -> Column:
+    length = F.col(dl) if cap is None else F.least(F.col(dl).cast("double"), cap * F.col("avgdl"))
+    return F.col(tf) * (k1 + 1) / (F.col(tf) + k1 * (1 - b + b * length / F.col("avgdl")))
 
 
 def bm25(query_terms: DataFrame, posts: DataFrame | Index, query: str, doc: str, k1: float = 1.2, b: float = 0.75, cap: float | None = None, digits: int = 6) -> DataFrame:
     """query, doc and score of every pair with a common term. cap: document lengths count as at most cap * avgdl."""
-    terms, impacts = _bm25_parts(query_terms, index_of(posts, doc), query, doc, k1, b, cap)
-    return impacts.join(terms, "term").groupBy(query, doc).agg(F.round(F.sum(F.col("w") * F.col("impact")), digits).alias("score"))
+    ix = index_of(posts, doc)
+    weights = _bm25_weights(query_terms, ix, query)
+    return ix.of(weights).join(weights, "term").groupBy(query, doc).agg(F.round(F.sum(F.col("w") * _bm25_impact(k1, b, cap)), digits).alias("score"))
 
 
-def bm25_top(query_terms: DataFrame, posts: DataFrame | Index, query: str, doc: str, k: int, k1: float = 1.2, b: float = 0.75, cap: float | None = None, digits: int = 6) -> DataFrame:
-    """query, doc, score and rank: the k best of bm25(), without scoring the documents that cannot be among them."""
-    terms, impacts = _bm25_parts(query_terms, index_of(posts, doc), query, doc, k1, b, cap)
-    return top(best(terms, impacts, query, doc, k, digits), k, query, doc)
+def bm25_top(query_terms: DataFrame, posts: DataFrame | Index, query: str, doc: str, k: int, k1: float = 1.2, b: float = 0.75, cap: float | None = None, digits: int = 6, at_once: int | None = None) -> DataFrame:
+    """query, doc, score and rank: the k best of bm25(), without unpacking the postings of documents that cannot be among them."""
+    ix = index_of(posts, doc)
+    return top(best(_bm25_weights(query_terms, ix, query), ix, _bm25_impact(k1, b, cap), _bm25_impact(k1, b, cap, "most_tf", "least_dl"), query, k, digits, at_once), k, query, doc)
 
 
 def _coverage_weights(query_terms: DataFrame, ix: Index, query: str) -> DataFrame:
@@ -87,77 +102,72 @@ def _coverage_weights(query_terms: DataFrame, ix: Index, query: str) -> DataFram
     df = F.coalesce("df", F.lit(0))
     idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
     weighted = _one_row(query_terms.select(query, "term").distinct().join(ix.terms, "term", "left"), ix.stats).select(query, "term", idf.alias("idf"))
-    return weighted.withColumn("w", F.col("idf") / F.sum("idf").over(Window.partitionBy(query)))
+    return weighted.withColumn("w", F.col("idf") / F.sum("idf").over(Window.partitionBy(query))).drop("idf")
 
 
 def idf_coverage(query_terms: DataFrame, posts: DataFrame | Index, query: str, doc: str) -> DataFrame:
     """The idf mass of the query's terms found in the document, over that of all its terms."""
     ix = index_of(posts, doc)
-    return ix.posts.join(_coverage_weights(query_terms, ix, query), "term").groupBy(query, doc).agg(F.round(F.sum("w"), 6).alias("score"))
+    weights = _coverage_weights(query_terms, ix, query)
+    return ix.of(weights).join(weights, "term").groupBy(query, doc).agg(F.round(F.sum("w"), 6).alias("score"))
 
 
-def idf_coverage_top(query_terms: DataFrame, posts: DataFrame | Index, query: str, doc: str, k: int) -> DataFrame:
+def idf_coverage_top(query_terms: DataFrame, posts: DataFrame | Index, query: str, doc: str, k: int, at_once: int | None = None) -> DataFrame:
     ix = index_of(posts, doc)
-    terms = _coverage_weights(query_terms, ix, query).withColumn("most", F.lit(1.0))
-    return top(best(terms, ix.posts.select(doc, "term", F.lit(1.0).alias("impact")), query, doc, k), k, query, doc)
+    return top(best(_coverage_weights(query_terms, ix, query), ix, F.lit(1.0), F.lit(1.0), query, k, at_once=at_once), k, query, doc)
 
 
-def _tfidf_parts(query_terms: DataFrame, ix: Index, query: str, doc: str) -> tuple[DataFrame, DataFrame]:
-    """(terms, impacts): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1) over the norm of its vector."""
-    weight = (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    unit = lambda rows, key: rows.withColumn("x", weight).withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") ** 2).over(Window.partitionBy(key))))
-    q = unit(_one_row(query_terms.join(ix.terms, "term"), ix.stats), query).select(query, "term", F.col("x").alias("w"))
-    weighed = _one_row(ix.posts, ix.stats).withColumn("x", weight)
-    norms = weighed.groupBy(doc).agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("norm"))
-    impacts = weighed.join(norms, doc).select(doc, "term", (F.col("x") / F.col("norm")).alias("impact"))
-    return q, impacts
+def _tfidf_weights(query_terms: DataFrame, ix: Index, query: str) -> DataFrame:
+    """query, term and w: the query's vector of (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), of length 1."""
+    x = (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
+    rows = _one_row(query_terms.join(ix.terms, "term"), ix.stats).withColumn("x", x)
+    return rows.select(query, "term", (F.col("x") / F.sqrt(F.sum(F.col("x") ** 2).over(Window.partitionBy(query)))).alias("w"))
 
 
 def tfidf_cosine(query_terms: DataFrame, posts: DataFrame | Index, query: str, doc: str) -> DataFrame:
     """Cosine of (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1) vectors."""
-    q, impacts = _tfidf_parts(query_terms, index_of(posts, doc), query, doc)
-    return impacts.join(q, "term").groupBy(query, doc).agg(F.round(F.sum(F.col("w") * F.col("impact")), 6).alias("score"))
+    ix = index_of(posts, doc)
+    weights = _tfidf_weights(query_terms, ix, query)
+    return ix.of(weights).join(weights, "term").groupBy(query, doc).agg(F.round(F.sum(F.col("w") * F.col("unit")), 6).alias("score"))
+
+
+def tfidf_top(query_terms: DataFrame, posts: DataFrame | Index, query: str, doc: str, k: int, at_once: int | None = None) -> DataFrame:
+    ix = index_of(posts, doc)
+    return top(best(_tfidf_weights(query_terms, ix, query), ix, F.col("unit"), F.col("most_unit"), query, k, at_once=at_once), k, query, doc)
+
 
+def _set_weights(query_terms: DataFrame, query: str) -> DataFrame:
+    """query, term, w (1) and qn, the query's terms."""
+    return query_terms.select(query, "term").distinct().select(query, "term", F.lit(1).alias("w"), F.count("*").over(Window.partitionBy(query)).alias("qn"))
 
-def tfidf_top(query_terms: DataFrame, posts: DataFrame | Index, query: str, doc: str, k: int) -> DataFrame:
-    q, impacts = _tfidf_parts(query_terms, index_of(posts, doc), query, doc)
-    most = impacts.join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.max("impact").alias("most"))
-    return top(best(q.join(most, "term"), impacts, query, doc, k), k, query, doc)
+
+def _set_share(both: Column, dn: Column) -> Column:
+    return both / (F.col("qn") + dn - both)
 
 
 def jaccard(query_terms: DataFrame, posts: DataFrame | Index, query: str, doc: str) -> DataFrame:
     """Set Jaccard of terms."""
-    ix = index_of(posts, doc)
-    q, d = query_terms.select(query, "term").distinct(), ix.posts.select(doc, "term").distinct()
-    both = q.join(d, "term").groupBy(query, doc).agg(F.count("*").alias("both"))
-    qn, dn = q.groupBy(query).agg(F.count("*").alias("qn")), d.groupBy(doc).agg(F.count("*").alias("dn"))
-    return both.join(qn, query).join(dn, doc).select(query, doc, F.round(F.col("both") / (F.col("qn") + F.col("dn") - F.col("both")), 6).alias("score"))
+    ix, weights = index_of(posts, doc), _set_weights(query_terms, query)
+    both = ix.of(weights).join(weights, "term").groupBy(query, doc).agg(F.count("*").alias("both"), F.first("qn").alias("qn"), F.first("dn").alias("dn"))
+    return both.select(query, doc, F.round(_set_share(F.col("both"), F.col("dn")), 6).alias("score"))
 
 
-def jaccard_top(query_terms: DataFrame, posts: DataFrame | Index, query: str, doc: str, k: int, first: int = 4) -> DataFrame:
-    """query, doc, score and rank: the k best of jaccard().
+def jaccard_top(query_terms: DataFrame, posts: DataFrame | Index, query: str, doc: str, k: int, at_once: int | None = None) -> DataFrame:
+    """query, doc, score and rank: the k best of jaccard(). A range of documents with m of the query's terms, the shortest of them of d different
+    terms, has no document beyond m / (|q| + max(d, m) - m)."""
+    ix, weights = index_of(posts, doc), _set_weights(query_terms, query)
+    asked = (weights.join(ix.terms, "term").agg(F.sum("df")).first()[0] or 0) if ix.blocks is not None else 0
+    if ix.blocks is None or asked <= (AT_ONCE if at_once is None else at_once):
+        return top(jaccard(query_terms, ix, query, doc), k, query, doc)
+    blocks = ix.asked(weights).join(weights, "term")
 
-    The documents that share the most of the `first` rarest terms give a likeness t that the k-th best has at least. A better one
-    has at most |q| / t terms and shares at least t * |q| of the query's, hence one of the |q| - ceil(t |q|) + 1 rarest.
-    """
-    ix = index_of(posts, doc)
-    q = query_terms.select(query, "term").distinct().join(ix.terms, "term", "left")
-    by_rarity = Window.partitionBy(query).orderBy(F.coalesce("df", F.lit(0)), "term")
-    q = q.select(query, "term", F.row_number().over(by_rarity).alias("i"), F.count("*").over(Window.partitionBy(query)).alias("qn"))
-    sizes = ix.posts.groupBy(doc).agg(F.count("*").alias("dn"))
-    posts_ = ix.posts.select(doc, "term")
-    share = F.col("both") / (F.col("qn") + F.col("dn") - F.col("both"))
-    early = posts_.join(q.where(F.col("i") <= first), "term").groupBy(query, doc).agg(F.count("*").alias("both"), F.first("qn").alias("qn")).join(sizes, doc).withColumn("low", share)
-    ranked = early.withColumn("r", F.row_number().over(Window.partitionBy(query).orderBy(F.col("low").desc()))).where(F.col("r") <= k)
-    floor = ranked.groupBy(query).agg(F.when(F.count("*") == k, F.min("low")).otherwise(0.0).alias("t"))
-    asked = cut(q.join(floor, query, "left").withColumn("t", F.greatest(F.coalesce("t", F.lit(0.0)) - 2e-6, F.lit(0.0))).withColumn("leads", F.col("i") <= F.col("qn") - F.ceil(F.col("t") * F.col("qn")) + 1), "terms")
-    found = posts_.join(asked.where("leads").select(query, "term", "qn", "t"), "term").groupBy(query, doc).agg(F.count("*").alias("both"), F.first("qn").alias("qn"), F.first("t").alias("t"))
-    rest = asked.where("not leads").groupBy(query).agg(F.count("*").alias("rest"))
-    live = found.join(sizes, doc).join(rest, query, "left").withColumn("high", F.least(F.col("both") + F.coalesce("rest", F.lit(0)), "dn"))
-    live = cut(live.where(F.col("high") >= F.col("t") * (F.col("qn") + F.col("dn") - F.col("high"))).select(query, doc, "both", "qn", "dn"), "candidates")
-    more = live.select(query, doc).join(asked.where("not leads").select(query, "term"), query).join(posts_, [doc, "term"]).groupBy(query, doc).agg(F.count("*").alias("more"))
-    full = live.join(more, [query, doc], "left").withColumn("both", F.col("both") + F.coalesce("more", F.lit(0)))
-    return top(full.select(query, doc, F.round(share, 6).alias("score")), k, query, doc)
+    def exact(ranges: DataFrame) -> DataFrame:
+        rows = flat(blocks.join(ranges, [query, "range"], "left_semi"), doc, query, "qn").groupBy(query, doc).agg(F.count("*").alias("both"), F.first("qn").alias("qn"), F.first("dn").alias("dn"))
+        return rows.select(query, doc, F.round(_set_share(F.col("both"), F.col("dn")), 6).alias("score"))
+
+    sums = blocks.groupBy(query, "range").agg(F.count("*").alias("m"), F.first("qn").alias("qn"), F.min("least_dn").alias("d"))
+    bounds = sums.select(query, "range", _set_share(F.col("m"), F.greatest("d", "m")).alias("bound"))
+    return top(exact(_live(bounds, exact, query, k, 6)), k, query, doc)
 
 
 def dense_top(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, earlier_only: bool = False, block: int = 2048) -> DataFrame:
@@ -232,6 +242,52 @@ def visible_bm25_counts(posts: DataFrame, doc: str, order: str) -> DataFrame:
     return posts.withColumn("df_before", F.count("*").over(Window.partitionBy("term").orderBy(order).rangeBetween(Window.unboundedPreceding, -1)))
 
 
+def sums_before(rows: DataFrame, probes: DataFrame, keys: list[str], at: str, sums: dict[str, Column], segment: Column) -> DataFrame:
+    """The probes with, for each of `sums`, its sum over the rows of the same keys that lie strictly before the probe's `at`.
+
+    Sums are kept by segment of `at` (an expression over it that grows with it): a probe reads the sum of all earlier segments, one row each, and
+    merges with the rows of its own segment alone. So no window holds more than a segment, and no probe is paired with rows.
+    """
+    events = rows.select(*keys, at, F.lit(1).alias("__row"), *[v.cast("double").alias(f"__{k}") for k, v in sums.items()], F.lit(None).cast("bigint").alias("__probe"))
+    asked = probes.withColumn("__probe", F.xxhash64(*keys, at))
+    marks = asked.select(*keys, at, F.lit(0).alias("__row"), *[F.lit(0.0).alias(f"__{k}") for k in sums], "__probe").distinct()
+    every = events.unionByName(marks).withColumn("__segment", segment)
+    inside = Window.partitionBy(*keys, "__segment").orderBy(at, "__row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = every.withColumns({f"__in_{k}": F.sum(f"__{k}").over(inside) for k in sums}).where("__probe is not null")
+    whole = every.groupBy(*keys, "__segment").agg(*[F.sum(f"__{k}").alias(f"__{k}") for k in sums])
+    before = Window.partitionBy(*keys).orderBy("__segment").rowsBetween(Window.unboundedPreceding, -1)  # a row a segment
+    earlier = whole.select(*keys, "__segment", *[F.coalesce(F.sum(f"__{k}").over(before), F.lit(0.0)).alias(f"__to_{k}") for k in sums])
+    found = within.join(earlier, [*keys, "__segment"]).select(*keys, at, *[(F.col(f"__in_{k}") + F.col(f"__to_{k}")).alias(k) for k in sums])
+    return probes.join(found, [*keys, at])
+
+
+def visible_statistics(asked: DataFrame, posts: DataFrame | Index, query: str, doc: str, segments: int = 256) -> DataFrame:
+    """query, term, cutoff, n, avgdl and df: the statistics of the documents with a lesser key than the query's cutoff, those that it may see.
+
+    asked: query, term, cutoff. Keys are whole numbers that grow with time; segments of them only steer the work.
+    """
+    ix = index_of(posts, doc)
+    asked = asked.select(query, "term", F.col("cutoff").cast("bigint").alias("cutoff")).distinct()
+    low, high = ix.docs.agg(F.min(doc), F.max(doc)).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // segments))
+    segment = F.floor((F.least("cutoff", F.lit((high or 0) + 1)) - F.lit(low or 0)) / width)
+    at = F.col(doc).cast("bigint").alias("cutoff")
+    times = asked.select(query, "cutoff").distinct()
+    corpus = sums_before(ix.docs.select(at, "dl", F.lit(0).alias("__all")), times.withColumn("__all", F.lit(0)), ["__all"], "cutoff", {"n": F.lit(1), "total": F.col("dl")}, segment).drop("__all")
+    terms = sums_before(ix.of(asked).select("term", at), asked, ["term"], "cutoff", {"df": F.lit(1)}, segment)
+    return terms.join(corpus, [query, "cutoff"]).select(query, "term", "cutoff", "n", (F.col("total") / F.col("n")).alias("avgdl"), "df")
+
+
+def visible_bm25_top(asked: DataFrame, posts: DataFrame | Index, query: str, doc: str, k: int, k1: float = 1.2, b: float = 0.75, segments: int = 256, at_once: int | None = None) -> DataFrame:
+    """query, doc, score and rank: BM25 over the documents that a query may see (a lesser key than its cutoff), with their statistics alone."""
+    ix = index_of(posts, doc)
+    seen = visible_statistics(asked, ix, query, doc, segments).where("df > 0")
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = cut(seen.select(query, "term", "cutoff", "avgdl", idf.alias("w")), "visible")
+    impact = F.when(F.col(doc) < F.col("cutoff"), _bm25_impact(k1, b, None))
+    return top(best(weights, ix, impact, _bm25_impact(k1, b, None, "most_tf", "least_dl"), query, k, at_once=at_once), k, query, doc)
+
+
 def hashed_embedding(tokens: Column, dims: int = 64) -> Column:
     """Bucket weights of unigrams (1.0) and bigrams (0.5) by a hash; map bucket -> weight."""
     bucket = lambda x: F.pmod(F.xxhash64(x), F.lit(dims)).cast("int")

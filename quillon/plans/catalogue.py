@@ -132,6 +132,17 @@ def visible_document_counts(spark, sf):
     return ranking.visible_bm25_counts(lexical(spark, sf)[1].posts.select("doc_id", "term", "tf"), "doc_id", "doc_id")
 
 
+_SEEN = "v AS (SELECT DISTINCT item_id, 20 * (item_id + 1) AS cutoff FROM benchmark), vn AS (SELECT item_id, cutoff, count(*) AS n, avg(dl) AS avgdl FROM v JOIN dl ON doc_id < cutoff GROUP BY ALL), vd AS (SELECT item_id, term, count(*) AS df FROM v JOIN qt USING (item_id) JOIN posts USING (term) WHERE doc_id < cutoff GROUP BY ALL)"
+
+
+@query(f"WITH {TOKENS_SQL}, {_SEEN}, scored AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM vn JOIN vd USING (item_id) JOIN posts USING (term) JOIN dl USING (doc_id) WHERE doc_id < cutoff GROUP BY ALL) {RANKED_SQL.format(k=5)}")
+def bm25_visible(spark, sf):
+    """BM25 top 5 over the documents that came before each item, by the statistics of those documents alone: item i asks when 20 (i + 1) ids are out."""
+    asked, index = lexical(spark, sf)
+    timed = asked.withColumn("cutoff", 20 * (F.col("item_id") + 1))
+    return ranking.visible_bm25_top(timed, index, "item_id", "doc_id", 5).select("item_id", "doc_id", "score", "rank")
+
+
 # --- Measures ------------------------------------------------------------------------------------------------------
 
 

@@ -172,7 +172,7 @@ def interleaved_candidates(spark, sf):
     asked, index = lexical(spark, sf)
     rarest = Window.partitionBy("item_id").orderBy("df", "term")
     anchors = asked.join(index.terms, "term").withColumn("i", F.row_number().over(rarest)).where("i <= 2").select("item_id", F.col("term").alias("anchor"))
-    hits = anchors.join(index.posts.select(F.col("term").alias("anchor"), "doc_id", "tf"), "anchor")
+    hits = anchors.join(index.of(anchors.select(F.col("anchor").alias("term"))).select(F.col("term").alias("anchor"), "doc_id", "tf"), "anchor")
     by = lambda n, *order: hits.withColumn("rank", F.row_number().over(Window.partitionBy("item_id", "anchor").orderBy(*order))).where("rank <= 4").select("item_id", "anchor", F.lit(n).alias("list"), "rank", "doc_id")
     return ev.interleaved(by(1, F.col("tf").desc(), "doc_id").unionByName(by(2, F.col("doc_id").desc())), "item_id", "anchor", "doc_id")
 

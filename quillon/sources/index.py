@@ -1,8 +1,13 @@
-"""A written full-text index: postings with lengths and document counts, terms, documents, corpus statistics.
+"""A written full-text index: blocks of postings by term bucket, terms, documents, corpus statistics.
 
 The index of a table is built once and read by every lexical query; its manifest holds a mark of the source (names, sizes and times
 of its files), and an index whose mark differs from the source's is stale and built anew. A built index is never changed: each mark
 has a folder of its own, and the manifest is written last, so a half-written folder is no index.
+
+Postings lie in blocks: a term and a range of documents (by hash, about RANGE documents to a range) are a row, with the postings as an array and
+what bounds their impacts: the most occurrences, the shortest document, the greatest cosine weight. Blocks are partitioned by a hash
+bucket of the term, so a query reads the partitions of its terms and no other, and can tell from the bounds, without the
+arrays, which ranges may hold one of its best documents.
 """
 
 from __future__ import annotations
@@ -38,15 +43,46 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The layout of the folders: an index of another one is not read.
+LAYOUT = "blocks"
+#: Documents to a range, postings to a bucket, and the least and most buckets. At most MOST_BUCKETS numbers reach the driver for a query.
+RANGE, POSTINGS, LEAST_BUCKETS, MOST_BUCKETS = 1024, 1 << 16, 16, 4096
+
+
 @dataclass
 class Index:
-    """posts: key, term, tf, dl and df; docs: key and dl; terms: term and df; stats: one row, n and avgdl (documents that have a term)."""
+    """posts: key, term, tf, dl, df, dn (different terms of the document) and unit (the posting's share of its document's tf-idf
+    vector of length 1); docs: key, dl, dn; terms: term and df; stats: one row, n and avgdl (documents that have a term).
+
+    blocks, of written indexes: bucket, term, df, range, postings (array of key, tf, dl, dn, unit), most_tf, least_dl, least_dn and most_unit."""
 
     key: str
     posts: DataFrame
     docs: DataFrame
     terms: DataFrame
     stats: DataFrame
+    blocks: DataFrame | None = None
+    buckets: int = 1
+
+    def bucket(self, term: Column | str) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
+
+    def asked(self, terms: DataFrame) -> DataFrame:
+        """The blocks of some terms: the partitions of their buckets alone are read. terms: a column term, among others."""
+        numbers = [r[0] for r in terms.select(self.bucket("term").alias("b")).distinct().collect()]  # at most MOST_BUCKETS
+        return self.blocks.where(F.col("bucket").isin(numbers)) if len(numbers) < self.buckets else self.blocks
+
+    def of(self, terms: DataFrame) -> DataFrame:
+        """The postings (as in posts) of some terms."""
+        wanted = terms.select("term").distinct()
+        if self.blocks is None:
+            return self.posts.join(wanted, "term", "left_semi")
+        return flat(self.asked(wanted).join(wanted, "term", "left_semi"), self.key)
+
+
+def flat(blocks: DataFrame, key: str, *more: str) -> DataFrame:
+    """The postings of blocks, with further columns of theirs."""
+    return blocks.select("term", "df", *more, F.explode("postings").alias("p")).select(F.col(f"p.{key}").alias(key), "term", "p.tf", "p.dl", "df", "p.dn", "p.unit", *more)
 
 
 def postings(docs: DataFrame, key: str, text: str = "text", tokens=ascii_tokens) -> DataFrame:
@@ -54,12 +90,20 @@ def postings(docs: DataFrame, key: str, text: str = "text", tokens=ascii_tokens)
     return docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+def _weighed(posts: DataFrame, key: str, terms: DataFrame, n: Column) -> DataFrame:
+    """posts with df and the unscaled tf-idf weight: (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1)."""
+    return posts.join(terms, "term").withColumn("weight", (1 + F.log("tf")) * (F.log((1 + n) / (1 + F.col("df"))) + 1))
+
+
 def index_of(posts: "DataFrame | Index", key: str) -> Index:
     """The index of postings at hand, not written; an index as it is."""
     if isinstance(posts, Index):
         return posts
-    docs, terms = posts.groupBy(key).agg(F.sum("tf").alias("dl")), posts.groupBy("term").agg(F.count("*").alias("df"))
-    return Index(key, posts.join(docs, key).join(terms, "term"), docs, terms, docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+    terms, stats = posts.groupBy("term").agg(F.count("*").alias("df")), posts.groupBy(key).agg(F.sum("tf").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    weighed = _weighed(posts.crossJoin(F.broadcast(stats.select("n"))), key, terms, F.col("n"))  # one row
+    docs = weighed.groupBy(key).agg(F.sum("tf").alias("dl"), F.count("*").alias("dn"), F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
+    rows = weighed.join(docs, key).select(key, "term", "tf", "dl", "df", "dn", (F.col("weight") / F.col("norm")).alias("unit"))
+    return Index(key, rows, docs.drop("norm"), terms, stats)
 
 
 def _status(spark: SparkSession, name: str):
@@ -80,22 +124,36 @@ def source_mark(docs: DataFrame) -> str:
 
 
 def build_index(docs: DataFrame, key: str, path: str, text: str = "text", tokens=ascii_tokens, name: str = "index") -> str:
-    """Writes the index of a table below path and returns its folder. Postings lie sorted by term, so that a query reads the row groups
-    of its terms. The texts are tokenised once."""
+    """Writes the index of a table below path and returns its folder. The texts are tokenised once."""
     spark, mark = docs.sparkSession, source_mark(docs)
-    folder = f"{path}/{name}-{mark}"
+    folder = f"{path}/{name}-{LAYOUT}-{mark}"
     if is_written(spark, folder):
         return folder
-    raw = f"{folder}/raw"
-    postings(docs, key, text, tokens).write.mode("overwrite").parquet(raw)
-    posts = spark.read.parquet(raw)
-    posts.groupBy(key).agg(F.sum("tf").alias("dl")).write.mode("overwrite").parquet(f"{folder}/docs")
-    posts.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{folder}/terms")
-    lengths, terms = spark.read.parquet(f"{folder}/docs"), spark.read.parquet(f"{folder}/terms")
-    posts.join(lengths, key).join(terms, "term").sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{folder}/posts")
-    lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).withColumn("mark", F.lit(mark)).write.mode("overwrite").parquet(f"{folder}/manifest")
-    gone = spark._jvm.org.apache.hadoop.fs.Path(raw)
-    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+    put = lambda df, part: df.write.mode("overwrite").parquet(f"{folder}/{part}")
+    put(postings(docs, key, text, tokens), "raw")
+    raw = spark.read.parquet(f"{folder}/raw")
+    put(raw.groupBy("term").agg(F.count("*").alias("df")), "terms")
+    terms = spark.read.parquet(f"{folder}/terms")
+    put(raw.groupBy(key).agg(F.sum("tf").alias("dl"), F.count("*").alias("dn")), "lengths")
+    lengths = spark.read.parquet(f"{folder}/lengths")
+    size = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.coalesce(F.sum("dn"), F.lit(0)).alias("postings")).first()
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << int(size["postings"] // POSTINGS).bit_length()))
+    ranges = max(1, -(-size["n"] // RANGE))
+    weighed = _weighed(raw, key, terms, F.lit(size["n"]))
+    put(weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm")).join(lengths, key), "docs")
+    whole = weighed.join(spark.read.parquet(f"{folder}/docs"), key).withColumn("unit", F.col("weight") / F.col("norm"))
+    posting = F.struct(key, F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"), F.col("dn").cast("int").alias("dn"), "unit")
+    blocks = whole.groupBy("term", F.pmod(F.xxhash64(key), F.lit(ranges)).alias("range")).agg(
+        F.first("df").alias("df"), F.sort_array(F.collect_list(posting)).alias("postings"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), F.min("dn").alias("least_dn"), F.max("unit").alias("most_unit")
+    )  # a block has about RANGE postings at most
+    blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    groups = -(-size["postings"] // (buckets * POSTINGS * 64)) or 1  # a bucket is dealt to so many files
+    dealt = blocks.repartition("bucket", F.pmod("range", F.lit(groups))).sortWithinPartitions("bucket", "term", "range")
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/blocks")
+    put(spark.createDataFrame([(size["n"], size["avgdl"], mark, buckets)], "n bigint, avgdl double, mark string, buckets int"), "manifest")
+    for part in ("raw", "lengths"):
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{part}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
     return folder
 
 
@@ -106,7 +164,10 @@ def is_written(spark: SparkSession, folder: str) -> bool:
 
 def read_index(spark: SparkSession, folder: str, key: str) -> Index:
     read = lambda name: spark.read.parquet(f"{folder}/{name}")
-    return Index(key, read("posts"), read("docs"), read("terms"), read("manifest").select("n", "avgdl"))
+    manifest, docs = read("manifest"), read("docs").select(key, "dl", "dn")
+    kind = docs.schema[key].dataType.simpleString()
+    blocks = spark.read.schema(f"term string, range bigint, df bigint, postings array<struct<`{key}`:{kind},tf:int,dl:int,dn:int,unit:double>>, most_tf bigint, least_dl bigint, least_dn bigint, most_unit double, bucket int").parquet(f"{folder}/blocks")
+    return Index(key, flat(blocks, key), docs, read("terms"), manifest.select("n", "avgdl"), blocks, manifest.first()["buckets"])
 
 
 def open_index(docs: DataFrame, key: str, text: str = "text", tokens=ascii_tokens, name: str = "index") -> Index:
