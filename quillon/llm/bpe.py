@@ -138,7 +138,7 @@ class Merger(dict):
     """Piece -> its ids as little-endian 32-bit integers. learn() merges the new pieces of a batch together; the cache is
     emptied when it holds `most` pieces, so memory is bounded."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 200_000):
         super().__init__()
         self.ranks, self.most = ranks, most
         self.of_byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
