@@ -9,7 +9,7 @@ from quillon.operators import controls, graphs, integrity, packing, policies, pr
 from quillon.plans.catalogue import BM25_SQL, RANKED_SQL, _scored, bm25_topk, jaccard_topk, query
 from quillon.plans.tables import FACTS_SQL, TOKENS_SQL, facts, lexical, table
 from quillon.sources import index, worlds
-from quillon.streaming import streams
+from quillon.streaming import memories, streams
 
 _TOP5 = f"{TOKENS_SQL}, {BM25_SQL.format(dl='dl')}, r AS ({RANKED_SQL.format(k=5)})"
 
@@ -219,3 +219,35 @@ def iterative_search(spark, sf):
 def leak_probe(spark, sf):
     rows = _scored(spark, sf)
     return probe.leak_probe(rows, [F.col("s"), (F.col("lang") == "en").cast("int")], F.col("quality"), F.col("doc_id") % 3)
+
+
+def _asked_and_entered(spark, sf):
+    """Events as a stream a user: purchases ask, all others are entries; their words are type, key, hour and tens of the value."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    words = F.array(
+        F.concat(F.lit("k"), F.get_json_object("props", "$.k")), F.concat(F.lit("h"), F.hour(F.col("ts").cast("timestamp")).cast("string")),
+        F.concat(F.lit("v"), F.floor(F.col("value") / 10).cast("string")), F.concat(F.lit("d"), F.dayofweek(F.col("ts").cast("date")).cast("string")),
+    )
+    return table(spark, sf, "events").select(F.col("user_id").alias("stream"), F.col("event_id").alias("id"), at.alias("at"), (F.col("event_type") == "purchase").alias("asks"), words.alias("words"))
+
+
+_MEMORY_SQL = """WITH e AS (SELECT user_id AS stream, event_id AS id, ts AS t, event_type = 'purchase' AS asks, list_distinct(['k' || json_extract_string(props, '$.k'), 'h' || hour(ts), 'v' || CAST(floor(value / 10) AS BIGINT), 'd' || (dayofweek(ts) + 1)]) AS words FROM events),
+n AS (SELECT q.id, count(o.id) AS n FROM e q LEFT JOIN e o ON o.stream = q.stream AND NOT o.asks AND o.t < q.t WHERE q.asks GROUP BY 1),
+w AS (SELECT stream, id, t, asks, unnest(words) AS word FROM e),
+h AS (SELECT q.id, q.word, o.id AS entry FROM w q JOIN w o ON o.stream = q.stream AND o.word = q.word AND NOT o.asks AND o.t < q.t WHERE q.asks),
+s AS (SELECT h.id, entry, round(sum(ln(1 + n / df)), 6) AS score FROM h JOIN (SELECT id, word, count(*) AS df FROM h GROUP BY ALL) USING (id, word) JOIN n USING (id) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, entry) AS rank FROM s)
+SELECT e.stream, n.id, n.n AS entries, coalesce(string_agg(CAST(entry AS VARCHAR), ',' ORDER BY rank), '') AS answer FROM n JOIN e USING (id) LEFT JOIN r ON r.id = n.id AND rank <= 2 GROUP BY ALL"""
+
+
+@query(_MEMORY_SQL)
+def interleaved_answers(spark, sf):
+    """Entries and questions of each user in one order; a question is answered from the entries before it."""
+    return memories.replayed(_asked_and_entered(spark, sf), feedback=False)
+
+
+@query()
+def arm_memory(spark, sf):
+    """The same with feedback: what was shown is used, and edges bring along what was shown with it. Each answer depends on the ones before, which SQL has no
+    way to say; tests hold it against a loop, and the live form against this."""
+    return memories.replayed(_asked_and_entered(spark, sf), feedback=True)
