@@ -88,24 +88,41 @@ def uniform(*parts: Column | str | int) -> Column:
     return F.conv(drawn(*parts), 16, 10).cast("double") / 4294967296.0
 
 
-def times(draw: str) -> Column:
-    """How often a resample takes a unit, from a column of drawn(): Poisson of mean 1."""
-    out = F.lit(0)
-    for t in POISSON:
-        out = out + (F.col(draw) >= f"{math.ceil(t * (1 << 32)):08x}").cast("int")
-    return out
+def times(draw: Column) -> Column:
+    """How often a resample takes a unit, from eight hex digits of a digest: Poisson of mean 1."""
+    limits = [f"{math.ceil(t * (1 << 32)):08x}" for t in POISSON]
+    out = F.when(draw < limits[0], 0)
+    for k, limit in enumerate(limits[1:], 1):
+        out = out.when(draw < limit, k)
+    return out.otherwise(len(limits))
+
+
+#: Draws that one digest of 64 hex digits decides: eight of eight digits each, or a sign for each of its bits.
+EIGHT, SIGNS = 8, 256
+
+
+def dealt(units: DataFrame, unit: str, draws: int, seed: int) -> DataFrame:
+    """units with a row for each block of eight draws: block, and t0 to t7, how often each of them takes the unit. One digest a block."""
+    blocks = units.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // EIGHT))))
+    hashed = blocks.withColumn("__x", F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("block").cast("string"), F.col(unit).cast("string")), 256))
+    return hashed.select(*units.columns, "block", *[times(F.substring("__x", EIGHT * j + 1, 8)).alias(f"t{j}") for j in range(EIGHT)])
+
+
+def by_draw(sums: DataFrame, keys: list[str], names: list[str], draws: int) -> DataFrame:
+    """keys, draw and names from a row a block, with columns <name>0 to <name>7."""
+    each = F.explode(F.array(*[F.struct((F.col("block") * EIGHT + j).alias("draw"), *[F.col(f"{n}{j}").alias(n) for n in names]) for j in range(EIGHT)])).alias("x")
+    return sums.select(*keys, each).select(*keys, "x.*").where(F.col("draw") < draws)
 
 
 def resampled(units: DataFrame, by: list[str], unit: str, num: Column, den: Column, draws: int, seed: int) -> DataFrame:
     """by, draw and value: sum(times * num) / sum(times * den) of each draw.
 
     Each unit decides by its own hash how often a draw takes it, so every task resamples its rows alone and sends on two sums a group and
-    draw; no group is gathered.
+    draw; no group is gathered. A digest serves eight draws, whose sums stand side by side in a row.
     """
-    rows = units.select(*by, F.col(unit).alias("__u"), num.alias("__n"), den.alias("__d")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    weighed = rows.withColumn("__h", drawn(seed, F.col("draw"), F.col("__u"))).withColumn("__t", times("__h"))
-    sums = weighed.groupBy(*by, "draw").agg(F.sum(F.col("__t") * F.col("__n")).alias("__n"), F.sum(F.col("__t") * F.col("__d")).alias("__d"))
-    return sums.select(*by, "draw", F.when(F.col("__d") != 0, F.col("__n") / F.col("__d")).alias("value")).where("value is not null")
+    rows = dealt(units.select(*by, F.col(unit).alias("__u"), num.alias("__n"), den.alias("__d")), "__u", draws, seed)
+    sums = rows.groupBy(*by, "block").agg(*[F.sum(F.col(f"t{j}") * F.col(c)).alias(f"{n}{j}") for j in range(EIGHT) for n, c in (("n", "__n"), ("d", "__d"))])
+    return by_draw(sums, by, ["n", "d"], draws).select(*by, "draw", F.when(F.col("d") != 0, F.col("n") / F.col("d")).alias("value")).where("value is not null")
 
 
 def interval(values: DataFrame, by: list[str], level: float = 0.95) -> DataFrame:
@@ -146,17 +163,36 @@ def stratified_bootstrap(pairs: DataFrame, stratum: str, unit: str, draws: int =
     return diff.crossJoin(F.broadcast(interval(values, ["__all"]).drop("__all")))  # one row
 
 
+#: Rows of an order to a chunk, in which places are told one by one.
+CHUNK = 4096
+
+
 def fired_difference(scores: DataFrame, unit: str, a: str, b: str, hit: str, q: float, draws: int = 200, seed: int = 17) -> DataFrame:
     """One row: diff, low and high of the hits of a's fired share q less those of b's, the fire sets being found anew in each resample: a
-    unit taken k times stands k times in the order."""
-    rows = scores.select(unit, a, b, F.col(hit).cast("int").alias("hit")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws))))
-    taken = rows.withColumn("__h", drawn(seed, F.col("draw"), F.col(unit))).withColumn("t", F.when(F.col("draw") == draws, 1).otherwise(times("__h"))).where("t > 0")  # the last draw is the sample itself
+    unit taken k times stands k times in the order.
+
+    The units are put in order once, by ranges. A draw sums up chunks of the order; where its fire set ends inside a chunk, that chunk alone is
+    gone through, so no task orders a sample.
+    """
+    from .measures import running
 
     def hits(score: str) -> DataFrame:
-        w = Window.partitionBy("draw").orderBy(F.col(score).desc(), unit)
-        placed = taken.withColumns({"before": F.sum("t").over(w) - F.col("t"), "most": F.ceil(F.round(F.lit(q) * F.sum("t").over(Window.partitionBy("draw")), 9))})
-        fired = F.greatest(F.lit(0), F.least("t", F.col("most") - F.col("before")))
-        return placed.groupBy("draw").agg((F.sum(fired * F.col("hit")) / F.sum("t")).alias(f"hits_{score}"))
+        placed = running(scores.select(unit, score, F.col(hit).cast("int").alias("hit")), score, {"place": F.lit(1)}, tie=unit, descending=True)
+        placed = placed.select(F.col(unit).alias("__u"), "hit", "place", F.floor((F.col("place") - 1) / CHUNK).alias("chunk"))
+        rows = dealt(placed, "__u", draws, seed)
+        sums = rows.groupBy("chunk", "block").agg(*[x for j in range(EIGHT) for x in (F.sum(f"t{j}").alias(f"t{j}"), F.sum(F.col(f"t{j}") * F.col("hit")).alias(f"h{j}"))])
+        own = placed.groupBy("chunk").agg(F.count("*").alias("t"), F.sum("hit").alias("h")).select("chunk", F.lit(draws).alias("draw"), "t", "h")  # the last draw is the sample itself
+        chunks = by_draw(sums, ["chunk"], ["t", "h"], draws).select("chunk", "draw", "t", "h").unionByName(own)
+        along, whole = Window.partitionBy("draw").orderBy("chunk"), Window.partitionBy("draw")  # a row a chunk
+        ends = chunks.withColumns({"total": F.sum("t").over(whole), "upto": F.sum("t").over(along)}).withColumn("most", F.ceil(F.round(F.lit(q) * F.col("total"), 9))).withColumn("before", F.col("upto") - F.col("t"))
+        inside = ends.where("upto <= most").groupBy("draw").agg(F.sum("h").alias("h"))
+        cut = ends.where("before < most and upto > most").select("draw", "chunk", "before", "most")
+        last = by_draw(rows.select("chunk", "place", "hit", "block", *[f"t{j}" for j in range(EIGHT)]), ["chunk", "place", "hit"], ["t"], draws).select("chunk", "place", "hit", "draw", "t").unionByName(placed.select("chunk", "place", "hit", F.lit(draws).alias("draw"), F.lit(1).alias("t")))
+        last = last.join(cut, ["draw", "chunk"]).where("t > 0").withColumn("at", F.col("before") + F.sum("t").over(Window.partitionBy("draw", "chunk").orderBy("place")) - F.col("t"))
+        rest = last.groupBy("draw").agg(F.sum(F.greatest(F.lit(0), F.least(F.col("t"), F.col("most") - F.col("at"))) * F.col("hit")).alias("h"))
+        sizes = chunks.groupBy("draw").agg(F.sum("t").alias("t")).where("t > 0")
+        every = inside.unionByName(rest).groupBy("draw").agg(F.sum("h").alias("h"))
+        return sizes.join(every, "draw", "left").select("draw", (F.coalesce("h", F.lit(0)) / F.col("t")).alias(f"hits_{score}"))
 
     both = hits(a).join(hits(b), "draw").withColumn("value", F.col(f"hits_{a}") - F.col(f"hits_{b}")).withColumn("__all", F.lit(0))
     diff = both.where(F.col("draw") == draws).select(F.round("value", 6).alias("diff"))
@@ -167,8 +203,11 @@ def sign_flips(pairs: DataFrame, unit: str, draws: int = 2000, seed: int = 3) ->
     """One row: diff and p of the mean difference under random signs (two-sided, the sample counted)."""
     d = (F.col("b") - F.col("a")).cast("double")
     seen = pairs.agg(F.avg(d).alias("m"), F.count("*").alias("n"))
-    rows = pairs.select(F.col(unit).alias("__u"), d.alias("d")).where("d <> 0").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    flipped = rows.groupBy("draw").agg(F.sum(F.when(drawn(seed, F.col("draw"), F.col("__u")) < "80000000", F.col("d")).otherwise(-F.col("d"))).alias("s"))
+    blocks = pairs.select(F.col(unit).alias("__u"), d.alias("d")).where("d <> 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // SIGNS))))
+    hashed = blocks.withColumn("__x", F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("block").cast("string"), F.col("__u").cast("string")), 256))
+    digits = hashed.select("d", "block", F.posexplode(F.split("__x", "")).alias("digit", "c")).select("d", "block", "digit", (F.expr("locate(c, '0123456789abcdef')") - 1).alias("v"))
+    signed = digits.groupBy("block", "digit").agg(*[F.sum(F.when(F.col("v").bitwiseAND(1 << k) != 0, F.col("d")).otherwise(-F.col("d"))).alias(f"s{k}") for k in range(4)])
+    flipped = signed.select(F.explode(F.array(*[F.struct((F.col("block") * SIGNS + F.col("digit") * 4 + k).alias("draw"), F.col(f"s{k}").alias("s")) for k in range(4)])).alias("x")).select("x.*").where(F.col("draw") < draws)
     extreme = flipped.crossJoin(F.broadcast(seen)).agg(F.sum((F.abs(F.col("s") / F.col("n")) >= F.abs("m") - 1e-12).cast("int")).alias("k"))  # one row
     counted = seen.crossJoin(F.broadcast(extreme))  # one row
     # Without any difference every draw is as extreme as the sample.
@@ -253,10 +292,10 @@ def rolling_origin(rows: DataFrame, key: str, published: str, known: str, kind:
     return joined.select(F.col("key").alias(key), F.col("n").cast("bigint").alias("n"), F.round(guess, 9).alias("guess"), F.round(F.abs(guess - F.col("outcome")), 9).alias("error"))
 
 
-def simulate_rule(n_sims: DataFrame, clusters: int, size: int, base: float, effect: float, spread: float, rule, seed: int = 23) -> DataFrame:
+def simulate_rule(n_sims: DataFrame, clusters: int, size: int, base: Column, effect: float, spread: float, rule, seed: int = 23) -> DataFrame:
     """sim, successes and fires: simulated programs of `clusters` clusters of `size` trials whose chances are spread around base + effect,
-    and whether a rule (a Column of successes and trials) fires. n_sims: a column sim. Every number is a hash of its place."""
+    and whether a rule (a Column of successes and trials) fires. n_sims: a column sim, and what base is made of. Every number is a hash of its place."""
     cells = n_sims.withColumn("cluster", F.explode(F.sequence(F.lit(0), F.lit(clusters - 1)))).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-    chance = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(base + effect) + F.lit(spread) * (2 * uniform(seed, "c", F.col("sim"), F.col("cluster")) - 1)))
+    chance = F.least(F.lit(1.0), F.greatest(F.lit(0.0), base + effect + F.lit(spread) * (2 * uniform(seed, "c", F.col("sim"), F.col("cluster")) - 1)))
     hits = cells.groupBy("sim").agg(F.sum((uniform(seed, "t", F.col("sim"), F.col("cluster"), F.col("trial")) < chance).cast("bigint")).alias("successes"))
     return hits.withColumn("fires", rule(F.col("successes"), F.lit(clusters * size)))

@@ -186,32 +186,34 @@ def tool_call_errors(spark, sf):
 
 # --- Resampling --------------------------------------------------------------------------------------------------------
 
-_U = "CAST(('0x' || substr(sha256(concat_ws('|', {parts})), 1, 8)) AS BIGINT) / 4294967296.0"
+# One digest has the numbers of eight draws, or the signs of 256.
+_U = "CAST(('0x' || substr(sha256(concat_ws('|', {seed}, draw // 8, {unit})), 8 * (draw % 8) + 1, 8)) AS BIGINT) / 4294967296.0"
+_SIGN = "(((strpos('0123456789abcdef', substr(sha256(concat_ws('|', {seed}, draw // 256, {unit})), CAST((draw % 256) // 4 AS INTEGER) + 1, 1)) - 1) >> CAST(draw % 4 AS INTEGER)) & 1) = 1"
 _TIMES = "(" + " + ".join(f"CAST(u >= {t} AS INTEGER)" for t in inference.POISSON) + ")"
 _CI = "round(quantile_cont({v}, 0.025), 6) AS low, round(quantile_cont({v}, 0.975), 6) AS high"
 
 
-@query(f"WITH d AS (SELECT event_type, value, draw, {_U.format(parts='7, draw, event_id')} AS u FROM events, range(0, 200) t(draw)), m AS (SELECT event_type, draw, sum({_TIMES} * value) / sum({_TIMES}) AS v FROM d GROUP BY ALL), i AS (SELECT event_type, {_CI.format(v='v')} FROM m GROUP BY 1), a AS (SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1) SELECT * FROM a JOIN i USING (event_type)")
+@query(f"WITH d AS (SELECT event_type, value, draw, {_U.format(seed=7, unit='event_id')} AS u FROM events, range(0, 200) t(draw)), m AS (SELECT event_type, draw, sum({_TIMES} * value) / sum({_TIMES}) AS v FROM d GROUP BY ALL), i AS (SELECT event_type, {_CI.format(v='v')} FROM m GROUP BY 1), a AS (SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1) SELECT * FROM a JOIN i USING (event_type)")
 def bootstrap_ci(spark, sf):
     return inference.bootstrap(table(spark, sf, "events").select("event_type", "event_id", "value"), "event_type", "event_id", "value", 200)
 
 
-@query(f"WITH b AS (SELECT event_type, event_id, sum(value) OVER w AS s, count(*) OVER w AS c FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING)), d AS (SELECT event_type, s, c, draw, {_U.format(parts='7, draw, event_id')} AS u FROM b, range(0, 200) t(draw)), m AS (SELECT event_type, draw, sum({_TIMES} * s) / sum({_TIMES} * c) AS v FROM d GROUP BY ALL), i AS (SELECT event_type, {_CI.format(v='v')} FROM m GROUP BY 1), a AS (SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1) SELECT * FROM a JOIN i USING (event_type)")
+@query(f"WITH b AS (SELECT event_type, event_id, sum(value) OVER w AS s, count(*) OVER w AS c FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING)), d AS (SELECT event_type, s, c, draw, {_U.format(seed=7, unit='event_id')} AS u FROM b, range(0, 200) t(draw)), m AS (SELECT event_type, draw, sum({_TIMES} * s) / sum({_TIMES} * c) AS v FROM d GROUP BY ALL), i AS (SELECT event_type, {_CI.format(v='v')} FROM m GROUP BY 1), a AS (SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1) SELECT * FROM a JOIN i USING (event_type)")
 def block_bootstrap(spark, sf):
     return inference.bootstrap(table(spark, sf, "events").select("event_type", "event_id", "value"), "event_type", "event_id", "value", 200, block=24)
 
 
-@query(f"WITH {_ARMS}, s AS (SELECT avg(b - a) AS m, count(*) AS n FROM p), f AS (SELECT draw, sum(CASE WHEN {_U.format(parts='3, draw, unit')} < 0.5 THEN b - a ELSE a - b END) AS t FROM p, range(0, 2000) x(draw) WHERE a <> b GROUP BY 1) SELECT round(any_value(m), 6) AS diff, round((1 + sum(CASE WHEN abs(t / n) >= abs(m) - 1e-12 THEN 1 ELSE 0 END)) / 2001, 6) AS p FROM f, s")
+@query(f"WITH {_ARMS}, s AS (SELECT avg(b - a) AS m, count(*) AS n FROM p), f AS (SELECT draw, sum(CASE WHEN {_SIGN.format(seed=3, unit='unit')} THEN b - a ELSE a - b END) AS t FROM p, range(0, 2000) x(draw) WHERE a <> b GROUP BY 1) SELECT round(any_value(m), 6) AS diff, round((1 + sum(CASE WHEN abs(t / n) >= abs(m) - 1e-12 THEN 1 ELSE 0 END)) / 2001, 6) AS p FROM f, s")
 def sign_flip_test(spark, sf):
     return inference.sign_flips(_arms(spark, sf), "unit")
 
 
-@query(f"WITH c AS (SELECT user_id, avg(value) AS m FROM events GROUP BY 1), d AS (SELECT m, draw, {_U.format(parts='11, draw, user_id')} AS u FROM c, range(0, 200) t(draw)), v AS (SELECT draw, sum({_TIMES} * m) / sum({_TIMES}) AS v FROM d GROUP BY 1 HAVING sum({_TIMES}) > 0) SELECT (SELECT count(*) FROM c) AS clusters, (SELECT round(avg(m), 6) FROM c) AS mean, {_CI.format(v='v')} FROM v")
+@query(f"WITH c AS (SELECT user_id, avg(value) AS m FROM events GROUP BY 1), d AS (SELECT m, draw, {_U.format(seed=11, unit='user_id')} AS u FROM c, range(0, 200) t(draw)), v AS (SELECT draw, sum({_TIMES} * m) / sum({_TIMES}) AS v FROM d GROUP BY 1 HAVING sum({_TIMES}) > 0) SELECT (SELECT count(*) FROM c) AS clusters, (SELECT round(avg(m), 6) FROM c) AS mean, {_CI.format(v='v')} FROM v")
 def cluster_bootstrap(spark, sf):
     return inference.cluster_bootstrap(table(spark, sf, "events"), "user_id", "value")
 
 
-@query(f"WITH {_ARMS}, z AS (SELECT *, c_mktsegment AS s FROM p JOIN customer ON c_custkey = unit), d AS (SELECT s, CAST(b - a AS DOUBLE) AS x, draw, {_U.format(parts='13, draw, unit')} AS u FROM z, range(0, 200) t(draw)), m AS (SELECT s, draw, sum({_TIMES} * x) / sum({_TIMES}) AS v FROM d GROUP BY ALL HAVING sum({_TIMES}) > 0), v AS (SELECT draw, avg(v) AS v FROM m GROUP BY 1) SELECT (SELECT round(avg(m), 6) FROM (SELECT avg(b - a) AS m FROM z GROUP BY s)) AS diff, {_CI.format(v='v')} FROM v")
+@query(f"WITH {_ARMS}, z AS (SELECT *, c_mktsegment AS s FROM p JOIN customer ON c_custkey = unit), d AS (SELECT s, CAST(b - a AS DOUBLE) AS x, draw, {_U.format(seed=13, unit='unit')} AS u FROM z, range(0, 200) t(draw)), m AS (SELECT s, draw, sum({_TIMES} * x) / sum({_TIMES}) AS v FROM d GROUP BY ALL HAVING sum({_TIMES}) > 0), v AS (SELECT draw, avg(v) AS v FROM m GROUP BY 1) SELECT (SELECT round(avg(m), 6) FROM (SELECT avg(b - a) AS m FROM z GROUP BY s)) AS diff, {_CI.format(v='v')} FROM v")
 def stratified_bootstrap(spark, sf):
     pairs = _arms(spark, sf).join(table(spark, sf, "customer").select(F.col("c_custkey").alias("unit"), "c_mktsegment"), "unit")
     return inference.stratified_bootstrap(pairs, "c_mktsegment", "unit")
@@ -220,7 +222,7 @@ def stratified_bootstrap(spark, sf):
 _FIRED = "(SELECT draw, sum(greatest(0, least(t, mx - before)) * hit) / sum(t) AS h FROM (SELECT *, sum(t) OVER (PARTITION BY draw ORDER BY {c} DESC, doc_id) - t AS before, ceil(round(0.25 * sum(t) OVER (PARTITION BY draw), 9)) AS mx FROM w) GROUP BY 1)"
 
 
-@query(f"WITH s AS (SELECT doc_id, n_chars AS a, doc_id % 101 AS b, quality AS hit FROM documents JOIN labels USING (doc_id)), d AS (SELECT s.*, draw, {_U.format(parts='17, draw, doc_id')} AS u FROM s, range(0, 101) t(draw)), w AS (SELECT * FROM (SELECT *, CASE WHEN draw = 100 THEN 1 ELSE {_TIMES} END AS t FROM d) WHERE t > 0), v AS (SELECT draw, x.h - y.h AS v FROM {_FIRED.format(c='a')} x JOIN {_FIRED.format(c='b')} y USING (draw)) SELECT (SELECT round(v, 6) FROM v WHERE draw = 100) AS diff, {_CI.format(v='v')} FROM v WHERE draw < 100")
+@query(f"WITH s AS (SELECT doc_id, n_chars AS a, doc_id % 101 AS b, quality AS hit FROM documents JOIN labels USING (doc_id)), d AS (SELECT s.*, draw, {_U.format(seed=17, unit='doc_id')} AS u FROM s, range(0, 101) t(draw)), w AS (SELECT * FROM (SELECT *, CASE WHEN draw = 100 THEN 1 ELSE {_TIMES} END AS t FROM d) WHERE t > 0), v AS (SELECT draw, x.h - y.h AS v FROM {_FIRED.format(c='a')} x JOIN {_FIRED.format(c='b')} y USING (draw)) SELECT (SELECT round(v, 6) FROM v WHERE draw = 100) AS diff, {_CI.format(v='v')} FROM v WHERE draw < 100")
 def fired_difference(spark, sf):
     rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select("doc_id", F.col("n_chars").alias("a"), (F.col("doc_id") % 101).alias("b"), "quality")
     return inference.fired_difference(rows, "doc_id", "a", "b", "quality", 0.25, draws=100)
@@ -243,9 +245,14 @@ def rolling_origin(spark, sf):
     return inference.rolling_origin(facts(spark, sf), "id", "valid_from", "recorded", "event_type", "value")
 
 
-@query(f"WITH c AS (SELECT sim, cluster, least(1.0, greatest(0.0, 0.6 + 0.2 * (2 * {_U.format(parts=chr(39) + '23' + chr(39) + ', ' + chr(39) + 'c' + chr(39) + ', sim, cluster')} - 1))) AS p FROM range(0, 200) s(sim), range(0, 6) k(cluster)), h AS (SELECT sim, sum(CASE WHEN {_U.format(parts=chr(39) + '23' + chr(39) + ', ' + chr(39) + 't' + chr(39) + ', sim, cluster, trial')} < p THEN 1 ELSE 0 END) AS k FROM c, range(0, 10) t(trial) GROUP BY 1) SELECT sim, CAST(k AS BIGINT) AS successes, k >= 0.55 * 60 AS fires FROM h")
+_LOT = "CAST(('0x' || substr(sha256(concat_ws('|', {parts})), 1, 8)) AS BIGINT) / 4294967296.0"
+
+
+@query(f"WITH s AS (SELECT user_id, avg(value) / 100 AS base FROM events GROUP BY 1), c AS (SELECT user_id, cluster, least(1.0, greatest(0.0, base + 0.1 + 0.2 * (2 * {_LOT.format(parts="'23', 'c', user_id, cluster")} - 1))) AS p FROM s, range(0, 6) k(cluster)), h AS (SELECT user_id, sum(CASE WHEN {_LOT.format(parts="'23', 't', user_id, cluster, trial")} < p THEN 1 ELSE 0 END) AS k FROM c, range(0, 10) t(trial) GROUP BY 1) SELECT user_id AS sim, CAST(k AS BIGINT) AS successes, k >= 0.55 * 60 AS fires FROM h")
 def rule_characteristics(spark, sf):
-    return inference.simulate_rule(spark.range(200).withColumnRenamed("id", "sim"), 6, 10, 0.5, 0.1, 0.2, lambda k, n: k >= 0.55 * n)
+    """For each user, whether the rule fires in a program of six clusters of ten trials around the user's own mean."""
+    programs = table(spark, sf, "events").groupBy(F.col("user_id").alias("sim")).agg((F.avg("value") / 100).alias("base"))
+    return inference.simulate_rule(programs, 6, 10, F.col("base"), 0.1, 0.2, lambda k, n: k >= 0.55 * n)
 
 
 # --- Measures ----------------------------------------------------------------------------------------------------------
