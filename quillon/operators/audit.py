@@ -8,6 +8,7 @@ import hmac
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillon.functions import parse
+from quillon.sources.index import cut
 
 from .measures import ratio, running
 
@@ -244,18 +245,22 @@ def conf_fields(rows: DataFrame, key: str, text: str) -> DataFrame:
 def greedy_match(gold: DataFrame, predicted: DataFrame, case: str, node: str, terms: str) -> DataFrame:
     """case, gold, predicted and overlap: nodes of a case matched one to one, the pairs of the greatest Jaccard first (ties by name).
 
-    Pairs meet on shared terms; a case's candidate pairs are folded in order, each taken if both its ends are free.
+    Pairs meet on shared terms. In rounds, each node proposes to its best free partner and mutual proposals are taken: the same pairs as one after the
+    other in order, as the best pair left is always mutual, and no node's best partner can be lost to a lesser pair. No case is gathered.
     """
     g = gold.select(case, F.col(node).alias("g"), F.array_distinct(F.col(terms)).alias("gt"))
     p = predicted.select(case, F.col(node).alias("p"), F.array_distinct(F.col(terms)).alias("pt"))
-    meet = g.select(case, "g", "gt", F.explode("gt").alias("x")).join(p.select(case, "p", "pt", F.explode("pt").alias("x")), [case, "x"])
-    both = meet.groupBy(case, "g", "p").agg((F.count("*") / (F.size(F.first("gt")) + F.size(F.first("pt")) - F.count("*"))).alias("o"))
-    listed = both.groupBy(case).agg(F.array_sort(F.collect_list(F.struct((-F.round("o", 6)).alias("o"), "g", "p"))).alias("l"))
-    kind = both.schema["g"].dataType.simpleString()
-    start = F.array().cast(f"array<struct<o:double,g:{kind},p:{kind}>>")
-    free = lambda acc, x: ~F.exists(acc, lambda y: (y["g"] == x["g"]) | (y["p"] == x["p"]))
-    taken = F.aggregate("l", start, lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-    return listed.select(case, F.explode(taken).alias("m")).select(case, F.col("m.g").alias("gold"), F.col("m.p").alias("predicted"), (-F.col("m.o")).alias("overlap"))
+    meet = g.select(case, "g", F.size("gt").alias("gn"), F.explode("gt").alias("x")).join(p.select(case, "p", F.size("pt").alias("pn"), F.explode("pt").alias("x")), [case, "x"])
+    both = meet.groupBy(case, "g", "p").agg((F.count("*") / (F.first("gn") + F.first("pn") - F.count("*"))).alias("o"))
+    free = cut(both.select(case, "g", "p", (-F.round("o", 6)).alias("o")), "pairs")
+    taken = None
+    while True:
+        best = lambda end: free.groupBy(case, end).agg(F.min(F.struct("o", "g", "p")).alias("m")).select(case, "m.*")  # noqa: B023, E731
+        mutual = cut(best("g").join(best("p"), [case, "o", "g", "p"]), "matched")
+        taken = mutual if taken is None else taken.unionByName(mutual)
+        if mutual.isEmpty():
+            return taken.select(case, F.col("g").alias("gold"), F.col("p").alias("predicted"), (-F.col("o")).alias("overlap"))
+        free = cut(free.join(mutual.select(case, "g"), [case, "g"], "left_anti").join(mutual.select(case, "p"), [case, "p"], "left_anti"), "pairs")
 
 
 def violations_between(rows: DataFrame, other: DataFrame) -> DataFrame:

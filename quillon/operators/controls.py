@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillon.sources.index import Index, index_of
@@ -16,7 +17,7 @@ def term_scorer(query_terms: DataFrame, posts: DataFrame | Index, query: str, do
     ix = index_of(posts, doc)
     rows = query_terms.select(query, "term").distinct().join(ix.terms, "term").crossJoin(F.broadcast(ix.stats))  # one row
     weight = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
-    return top(best(rows.select(query, "term", weight.alias("w")), ix, F.lit(1.0), F.lit(1.0), query, k), k, query, doc)
+    return top(best(rows.select(query, "term", weight.alias("__w")), ix, F.lit(1.0), F.lit(1.0), query, k), k, query, doc)
 
 
 def field_weighted(fields: dict[str, tuple[DataFrame, float]], query: str, doc: str) -> DataFrame:
@@ -95,6 +96,43 @@ def over_dispersion(rows: DataFrame, group: str, label: str) -> DataFrame:
     return parts.agg(F.round(ratio(F.sum("x"), F.count("*") - 1), 6).alias("d"))
 
 
+def dispersion_p(rows: DataFrame, group: str, label: str, draws: int = 500, seed: int = 29) -> DataFrame:
+    """One row: d, groups and p: over_dispersion() and how often it is as great under one binomial, by `draws` exact draws (the sample counted).
+
+    A group's k in a draw is the inverse of its binomial's distribution function at a number hashed from seed, draw and group, so draws need no
+    order and are the same in every run. A group is a row; what goes on is a partial sum a draw. Distribution functions are summed up around the mean, so
+    far that what lies beyond is below 1e-30.
+    """
+    import hashlib
+
+    each = rows.where(F.col(group).isNotNull()).groupBy(F.col(group).cast("string").alias("g")).agg(F.count(label).alias("n"), F.sum(label).cast("bigint").alias("k")).where("n > 0")
+    total = each.agg(F.sum("n").alias("all_n"), F.sum("k").alias("all_k"), F.count("*").alias("groups"))
+    parts = each.crossJoin(F.broadcast(total)).select("g", "n", "k", (F.col("all_k") / F.col("all_n")).alias("p"))  # one row
+
+    def drawn(frames):
+        for pdf in frames:
+            out = []
+            for g, n, k, p in pdf.itertuples(index=False):
+                var = n * p * (1 - p)
+                if var <= 0:
+                    continue
+                low, high = max(0, int(n * p - 13 * var**0.5 - 60)), min(n, int(n * p + 13 * var**0.5 + 60))
+                j = np.arange(low, high, dtype=np.float64)
+                logs = np.concatenate([[0.0], np.cumsum(np.log((n - j) / (j + 1)) + np.log(p / (1 - p)))])
+                mass = np.exp(logs - logs.max())
+                upto = np.cumsum(mass / mass.sum())
+                us = np.array([int(hashlib.sha256(f"{seed}|{d}|{g}".encode()).hexdigest()[:8], 16) / 4294967296.0 for d in range(draws)])
+                ks = np.append(low + np.minimum(np.searchsorted(upto, us, "right"), high - low), k)  # the last is the sample
+                out.append(pd.DataFrame({"draw": np.arange(draws + 1), "x": (ks - n * p) ** 2 / var}))
+            if out:
+                yield pd.concat(out).groupby("draw", as_index=False)["x"].sum()
+
+    sums = parts.mapInPandas(drawn, "draw bigint, x double").groupBy("draw").agg(F.sum("x").alias("x"))
+    seen = sums.where(F.col("draw") == draws).select(F.col("x").alias("seen"))
+    extreme = sums.where(F.col("draw") < draws).crossJoin(F.broadcast(seen)).agg(F.sum((F.col("x") >= F.col("seen") - 1e-9).cast("int")).alias("k"), F.max("seen").alias("seen"))  # one row
+    return total.crossJoin(F.broadcast(extreme)).select(F.round(ratio(F.col("seen"), F.col("groups") - 1), 6).alias("d"), "groups", F.round((1 + F.col("k")) / (draws + 1), 6).alias("p"))  # one row each
+
+
 def krippendorff(votes: DataFrame, unit: str, value: str) -> DataFrame:
     """One row: alpha of nominal values of units with two votes or more."""
     cells = votes.where(F.col(value).isNotNull()).groupBy(unit, value).agg(F.count("*").alias("c"))

@@ -73,6 +73,38 @@ def quota_counts(supply: DataFrame, group: str, weight: str, n: int) -> DataFram
     return rows.select(*supply.columns, (F.col("__f") + F.when(F.col("__r") <= F.col("__left"), 1).otherwise(0)).cast("bigint").alias("quota"))
 
 
+def moved_shortfall(wanted: list[int], supply: list[int]) -> list[int]:
+    """Wanted counts of a row of bins, cut to their supply; what a bin lacks moves to the nearest bins that have more (ties to the lower)."""
+    out = [min(w, s) for w, s in zip(wanted, supply)]
+    for i, (w, s) in enumerate(zip(wanted, supply)):
+        lacks = max(0, w - s)
+        for j in sorted(range(len(out)), key=lambda j: (abs(i - j), j)):
+            more = min(lacks, max(0, supply[j] - max(wanted[j], out[j])))
+            out[j], lacks = out[j] + more, lacks - more
+    return out
+
+
+def decile_sample(rows: DataFrame, key: str, value: str, n: int, bins: int = 10, seed: int = 31) -> DataFrame:
+    """rows' key and value, bin and place of n rows, as many of each tenth of the value's order as of any other (largest remainders, first bins first;
+    a short bin's rest moves to the nearest ones). The order by place mixes the bins: in any prefix each has its share, to less than one row.
+
+    Rows are put in order by ranges; within a bin they are taken by a hash of the key. The driver holds a count a bin.
+    """
+    from .measures import running
+
+    known = rows.where(F.col(value).isNotNull()).select(key, value)
+    total = known.count()
+    placed = running(known, value, {"__place": F.lit(1)}, tie=key).withColumn("bin", F.floor((F.col("__place") - 1) * bins / F.lit(max(total, 1))).cast("int"))
+    counts = dict(placed.groupBy("bin").agg(F.count("*")).collect())  # a row a bin
+    supply = [counts.get(b, 0) for b in range(bins)]
+    wanted = moved_shortfall([n // bins + (b < n % bins) for b in range(bins)], supply)
+    mark = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")), 256)
+    ordered = running(placed.withColumn("__h", F.conv(F.substring(mark, 1, 8), 16, 10).cast("bigint")), "__h", {"__i": F.lit(1)}, tie=key, by=("bin",))
+    quota = F.element_at(F.array(*[F.lit(w) for w in wanted]), F.col("bin") + 1)
+    taken = ordered.where(F.col("__i") <= quota).withColumn("__spot", (F.col("__i") - 0.5) / quota)
+    return taken.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.round("__spot", 9), "bin"))).select(key, value, "bin", "place")  # n rows
+
+
 def token_drop(items: DataFrame, group: str, rank: str, tokens: Column, overhead: int, budget: int) -> DataFrame:
     """The items that stay when whole ones are dropped, lowest ranked first, until the block (overhead and items) fits; adds block."""
     w = Window.partitionBy(group).orderBy(rank)

@@ -56,12 +56,12 @@ AT_ONCE = 50_000_000
 def best(weights: DataFrame, ix: Index, impact: Column, bound: Column, query: str, k: int, digits: int = 6, at_once: int | None = None) -> DataFrame:
     """query, doc and score of at least the k best documents of each query, by score and then id, in full.
 
-    weights: query, term, w, and what impact needs besides. A document's score is the sum of w * impact over the query's terms that it has;
+    weights: query, term, __w, and what impact needs besides. A document's score is the sum of __w * impact over the query's terms that it has;
     impact is an expression over a posting (tf, dl, dn, unit), bound one over a block that no posting of it exceeds. Only the index's partitions of the
     queries' terms are read; where they hold many postings, blocks are first summed up by their bounds, and ranges that cannot
     hold one of the k best are never unpacked.
     """
-    part = F.sum(F.col("w") * impact)
+    part = F.sum(F.col("__w") * impact)
     if ix.blocks is None:
         return ix.posts.join(weights.drop("df"), "term").groupBy(query, ix.key).agg(F.round(part, digits).alias("score"))
     blocks = ix.asked(weights).join(weights.drop("df"), "term")
@@ -70,13 +70,13 @@ def best(weights: DataFrame, ix: Index, impact: Column, bound: Column, query: st
     if asked <= (AT_ONCE if at_once is None else at_once):
         return scored(blocks)
     exact = lambda ranges: scored(blocks.join(ranges, [query, "range"], "left_semi"))
-    return exact(_live(blocks.groupBy(query, "range").agg(F.sum(F.col("w") * bound).alias("bound")), exact, query, k, digits))
+    return exact(_live(blocks.groupBy(query, "range").agg(F.sum(F.col("__w") * bound).alias("bound")), exact, query, k, digits))
 
 
 def _bm25_weights(query_terms: DataFrame, ix: Index, query: str) -> DataFrame:
     """query, term, w (idf ln(1 + (n - df + .5) / (df + .5))) and avgdl."""
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return _one_row(query_terms.select(query, "term").distinct().join(ix.terms, "term"), ix.stats).select(query, "term", idf.alias("w"), "avgdl")
+    return _one_row(query_terms.select(query, "term").distinct().join(ix.terms, "term"), ix.stats).select(query, "term", idf.alias("__w"), "avgdl")
 
 
 def _bm25_impact(k1: float, b: float, cap: float | None, tf: str = "tf", dl: str = "dl") -> Column:
@@ -88,7 +88,7 @@ def bm25(query_terms: DataFrame, posts: DataFrame | Index, query: str, doc: str,
     """query, doc and score of every pair with a common term. cap: document lengths count as at most cap * avgdl."""
     ix = index_of(posts, doc)
     weights = _bm25_weights(query_terms, ix, query)
-    return ix.of(weights).join(weights, "term").groupBy(query, doc).agg(F.round(F.sum(F.col("w") * _bm25_impact(k1, b, cap)), digits).alias("score"))
+    return ix.of(weights).join(weights, "term").groupBy(query, doc).agg(F.round(F.sum(F.col("__w") * _bm25_impact(k1, b, cap)), digits).alias("score"))
 
 
 def bm25_top(query_terms: DataFrame, posts: DataFrame | Index, query: str, doc: str, k: int, k1: float = 1.2, b: float = 0.75, cap: float | None = None, digits: int = 6, at_once: int | None = None) -> DataFrame:
@@ -102,14 +102,14 @@ def _coverage_weights(query_terms: DataFrame, ix: Index, query: str) -> DataFram
     df = F.coalesce("df", F.lit(0))
     idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
     weighted = _one_row(query_terms.select(query, "term").distinct().join(ix.terms, "term", "left"), ix.stats).select(query, "term", idf.alias("idf"))
-    return weighted.withColumn("w", F.col("idf") / F.sum("idf").over(Window.partitionBy(query))).drop("idf")
+    return weighted.withColumn("__w", F.col("idf") / F.sum("idf").over(Window.partitionBy(query))).drop("idf")
 
 
 def idf_coverage(query_terms: DataFrame, posts: DataFrame | Index, query: str, doc: str) -> DataFrame:
     """The idf mass of the query's terms found in the document, over that of all its terms."""
     ix = index_of(posts, doc)
     weights = _coverage_weights(query_terms, ix, query)
-    return ix.of(weights).join(weights, "term").groupBy(query, doc).agg(F.round(F.sum("w"), 6).alias("score"))
+    return ix.of(weights).join(weights, "term").groupBy(query, doc).agg(F.round(F.sum("__w"), 6).alias("score"))
 
 
 def idf_coverage_top(query_terms: DataFrame, posts: DataFrame | Index, query: str, doc: str, k: int, at_once: int | None = None) -> DataFrame:
@@ -121,14 +121,14 @@ def _tfidf_weights(query_terms: DataFrame, ix: Index, query: str) -> DataFrame:
     """query, term and w: the query's vector of (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), of length 1."""
     x = (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
     rows = _one_row(query_terms.join(ix.terms, "term"), ix.stats).withColumn("x", x)
-    return rows.select(query, "term", (F.col("x") / F.sqrt(F.sum(F.col("x") ** 2).over(Window.partitionBy(query)))).alias("w"))
+    return rows.select(query, "term", (F.col("x") / F.sqrt(F.sum(F.col("x") ** 2).over(Window.partitionBy(query)))).alias("__w"))
 
 
 def tfidf_cosine(query_terms: DataFrame, posts: DataFrame | Index, query: str, doc: str) -> DataFrame:
     """Cosine of (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1) vectors."""
     ix = index_of(posts, doc)
     weights = _tfidf_weights(query_terms, ix, query)
-    return ix.of(weights).join(weights, "term").groupBy(query, doc).agg(F.round(F.sum(F.col("w") * F.col("unit")), 6).alias("score"))
+    return ix.of(weights).join(weights, "term").groupBy(query, doc).agg(F.round(F.sum(F.col("__w") * F.col("unit")), 6).alias("score"))
 
 
 def tfidf_top(query_terms: DataFrame, posts: DataFrame | Index, query: str, doc: str, k: int, at_once: int | None = None) -> DataFrame:
@@ -138,7 +138,7 @@ def tfidf_top(query_terms: DataFrame, posts: DataFrame | Index, query: str, doc:
 
 def _set_weights(query_terms: DataFrame, query: str) -> DataFrame:
     """query, term, w (1) and qn, the query's terms."""
-    return query_terms.select(query, "term").distinct().select(query, "term", F.lit(1).alias("w"), F.count("*").over(Window.partitionBy(query)).alias("qn"))
+    return query_terms.select(query, "term").distinct().select(query, "term", F.lit(1).alias("__w"), F.count("*").over(Window.partitionBy(query)).alias("qn"))
 
 
 def _set_share(both: Column, dn: Column) -> Column:
@@ -283,7 +283,7 @@ def visible_bm25_top(asked: DataFrame, posts: DataFrame | Index, query: str, doc
     ix = index_of(posts, doc)
     seen = visible_statistics(asked, ix, query, doc, segments).where("df > 0")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = cut(seen.select(query, "term", "cutoff", "avgdl", idf.alias("w")), "visible")
+    weights = cut(seen.select(query, "term", "cutoff", "avgdl", idf.alias("__w")), "visible")
     impact = F.when(F.col(doc) < F.col("cutoff"), _bm25_impact(k1, b, None))
     return top(best(weights, ix, impact, _bm25_impact(k1, b, None, "most_tf", "least_dl"), query, k, at_once=at_once), k, query, doc)
 
@@ -291,7 +291,7 @@ def visible_bm25_top(asked: DataFrame, posts: DataFrame | Index, query: str, doc
 def hashed_embedding(tokens: Column, dims: int = 64) -> Column:
     """Bucket weights of unigrams (1.0) and bigrams (0.5) by a hash; map bucket -> weight."""
     bucket = lambda x: F.pmod(F.xxhash64(x), F.lit(dims)).cast("int")
-    singles = F.transform(tokens, lambda t: F.struct(bucket(t).alias("k"), F.lit(1.0).alias("w")))
-    doubles = F.when(F.size(tokens) > 1, F.transform(F.sequence(F.lit(1), F.size(tokens) - 1), lambda i: F.struct(bucket(F.array_join(F.slice(tokens, i, F.lit(2)), " ")).alias("k"), F.lit(0.5).alias("w")))).otherwise(F.array().cast("array<struct<k:int,w:double>>"))
+    singles = F.transform(tokens, lambda t: F.struct(bucket(t).alias("k"), F.lit(1.0).alias("__w")))
+    doubles = F.when(F.size(tokens) > 1, F.transform(F.sequence(F.lit(1), F.size(tokens) - 1), lambda i: F.struct(bucket(F.array_join(F.slice(tokens, i, F.lit(2)), " ")).alias("k"), F.lit(0.5).alias("__w")))).otherwise(F.array().cast("array<struct<k:int,w:double>>"))
     every = F.concat(singles, doubles)
     return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.aggregate(every, F.lit(0.0), lambda acc, x: acc + F.when(x["k"] == d, x["w"]).otherwise(0.0)))

@@ -135,11 +135,18 @@ def balanced_selection(spark, sf):
     return packing.balanced(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id", F.col("n_chars"), F.col("doc_id"), "salt", 30).select("doc_id", "why")
 
 
-@query("SELECT conv_id, count(*) AS turns FROM (SELECT DISTINCT conv_id, turn FROM conversations) GROUP BY 1")
+_LEADERS = """WITH RECURSIVE t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+r AS (SELECT conv_id, i, turn, turn AS leader, [struct_pack(k := turn, t := t)] AS heads FROM t WHERE i = 1
+UNION ALL SELECT conv_id, i, turn, CASE WHEN best.c >= 0.3 THEN best.k ELSE turn END, CASE WHEN best.c >= 0.3 THEN heads ELSE list_append(heads, struct_pack(k := turn, t := t)) END
+FROM (SELECT t.conv_id, t.i, t.turn, t.t, heads, list_sort(list_transform(heads, lambda h, j: struct_pack(c := CASE WHEN len(h.t) > 0 AND len(t.t) > 0 THEN len(list_intersect(h.t, t.t)) / sqrt(CAST(len(h.t) * len(t.t) AS DOUBLE)) ELSE 0.0 END, j := -j, k := h.k)), 'DESC')[1] AS best FROM r JOIN t ON t.conv_id = r.conv_id AND t.i = r.i + 1))
+SELECT conv_id, turn, leader FROM r"""
+
+
+@query(_LEADERS)
 def leader_clusters(spark, sf):
-    """Turns of a conversation clustered by their words: how many stand in some cluster (all; the tests say which)."""
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", tx.ascii_tokens(F.col("text")).alias("t"))
-    return samples.leaders(rows, "conv_id", "turn", "turn", "t", 0.3).groupBy("conv_id").agg(F.count("leader").alias("turns"))
+    """Turns of a conversation clustered by their words: each turn's leader."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", tx.ascii_tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    return samples.leaders(rows, "conv_id", "turn", "turn", "t", 0.3).select("conv_id", F.col("turn").cast("bigint").alias("turn"), F.col("leader").cast("bigint").alias("leader"))
 
 
 @query("SELECT event_id, event_type, value FROM events")
