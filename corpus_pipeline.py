@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillon.llm import bpe, jaccard, mixing, quality, secrets
-from quillon.llm.common import persist
+from quillon.llm.common import bounded_batches, persist
 from quillon.llm.queries import rank_file
 
 #: Near duplicates: shingles of five words, likeness of 0.8 or more.
@@ -43,6 +43,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies one document stays, the first in the table."""
+    bounded_batches(spark)
     rows = _numbered(docs)
     groups = jaccard.jaccard_components(rows.select("__row", "text"), words=SHINGLE_WORDS, percent=LIKE_PERCENT, doc_id="__row")
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__row"))
@@ -51,12 +52,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret in a text becomes a marker; n_chars follows."""
+    bounded_batches(spark)
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, none to three times."""
+    bounded_batches(spark)
     rows = _numbered(docs)
     copies = mixing.mix_sources(rows.select("doc_id", "source", "text", "__row"), carry=("__row",)).where("copies > 0").select("__row", F.col("copies").alias("__copies"))
     taken = rows.join(copies, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies"))))
@@ -65,6 +68,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every text (packed unsigned 32-bit integers), with where tokens end in its bytes, and whether they decode to it."""
+    bounded_batches(spark)
     encoded = bpe.encode(docs.select("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "text"), rank_file(), decode_back=True)
     return encoded.select(
         "doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", "token_ends",
