@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 # Words of numbers, of agreement, and the slots that words ask for, in the order in which they are tried.
@@ -20,20 +22,57 @@ def slot(question: Column, slots: tuple = SLOTS) -> Column:
     return out.otherwise("none")
 
 
+# What is a date or a time of day, and no number; how often, in words; minutes of an hour, in words.
+_HOURS = "|".join(sorted(UNITS[1:13], key=len, reverse=True))
+DATE_FORMS = (r"\b\d{4}-\d{2}-\d{2}\b", rf"\b(?:{'|'.join(MONTHS)})\s+\d{{1,2}}(?:st|nd|rd|th)?(?:,?\s+\d{{4}})?\b", rf"\b\d{{1,2}}(?:st|nd|rd|th)?\s+(?:{'|'.join(MONTHS)})(?:\s+\d{{4}})?\b")
+HOW_OFTEN = {"once": 1.0, "twice": 2.0, "thrice": 3.0}
+PARTS = {"half": 30, "quarter": 15, "five": 5, "ten": 10, "twenty": 20, "twenty-five": 25}
+PHRASE = rf"\b({'|'.join(sorted(PARTS, key=len, reverse=True))}|\d{{1,2}})(?:\s+minutes?)?\s+(past|to)\s+(\d{{1,2}}|{_HOURS})\b(?:\s*([ap])\.?m\b)?"
+CLOCK, BARE = r"\b(\d{1,2}):(\d{2})(?:\s*([ap])\.?m\b)?", r"\b(\d{1,2})\s*([ap])\.?m\b"
+
+
+def _plain(pattern: str) -> str:
+    """The pattern with its groups as groups that capture nothing."""
+    return re.sub(r"\((?!\?)", "(?:", pattern)
+
+
+TIME_FORMS = (_plain(PHRASE), _plain(CLOCK), _plain(BARE), r"\bnoon\b", r"\bmidnight\b")
+
+
 def numbers(text: Column) -> Column:
-    """All numbers in order: digits (with sign, thousands separators and decimals) and words from zero to ninety-nine."""
-    words = "|".join([*(f"(?:{t})(?:[- ](?:{'|'.join(UNITS[1:10])}))?" for t in TENS), *sorted(UNITS, key=len, reverse=True)])
-    found = F.regexp_extract_all(F.lower(text), F.lit(rf"(-?\b\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?\b|-?\b\d+(?:\.\d+)?\b|\b(?:{words})\b)"), F.lit(1))
-    value = F.create_map(*[F.lit(x) for pair in [*((w, float(i)) for i, w in enumerate(UNITS)), *((k, float(v)) for k, v in TENS.items())] for x in pair])
+    """All numbers in order: digits (with sign, thousands separators and decimals), words from zero to ninety-nine, once, twice and thrice. Those of
+    dates and times of day are none."""
+    words = "|".join([*(f"(?:{t})(?:[- ](?:{'|'.join(UNITS[1:10])}))?" for t in TENS), *sorted([*UNITS, *HOW_OFTEN], key=len, reverse=True)])
+    rest = F.regexp_replace(F.lower(text), "|".join([*DATE_FORMS, *TIME_FORMS]), " ")
+    found = F.regexp_extract_all(rest, F.lit(rf"(-?\b\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?\b|-?\b\d+(?:\.\d+)?\b|\b(?:{words})\b)"), F.lit(1))
+    value = F.create_map(*[F.lit(x) for pair in [*((w, float(i)) for i, w in enumerate(UNITS)), *((k, float(v)) for k, v in TENS.items()), *HOW_OFTEN.items()] for x in pair])
     of_word = lambda x: F.aggregate(F.split(x, "[- ]"), F.lit(0.0), lambda acc, w: acc + F.coalesce(value[w], F.lit(0.0)))
     return F.transform(found, lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, ",", "").cast("double")).otherwise(of_word(x)))
 
 
+def clock_times(text: Column) -> Column:
+    """All times of day in order, as minutes: those of minutes(), and 'half past six', 'quarter to 7 pm', '10 minutes past two'. Those out of
+    range are left out; dates are none."""
+    rest = F.regexp_replace(F.lower(text), "|".join(DATE_FORMS), " ")
+    found = F.regexp_extract_all(rest, F.lit("(" + "|".join(TIME_FORMS) + ")"), F.lit(1))
+    part = F.create_map(*[F.lit(x) for pair in PARTS.items() for x in pair])
+    hours = F.create_map(*[F.lit(x) for i, w in enumerate(UNITS[1:13], 1) for x in (w, i)])
+
+    def of_phrase(x: Column) -> Column:
+        a, way, b, half = (F.regexp_extract(x, PHRASE, k) for k in (1, 2, 3, 4))
+        m, h = F.coalesce(part[a], a.try_cast("int")), F.coalesce(hours[b], b.try_cast("int"))
+        hour = F.when(half == "", h).when(half == "p", h % 12 + 12).otherwise(h % 12)
+        fits = (m < 60) & F.when(half == "", h < 24).otherwise(h.between(1, 12))
+        return F.when(fits, F.pmod(hour * 60 + F.when(way == "to", -m).otherwise(m), F.lit(1440)))
+
+    return F.filter(F.transform(found, lambda x: F.when(x.rlike(r"\b(past|to)\b"), of_phrase(x)).otherwise(minutes(x))), lambda x: x.isNotNull())
+
+
 def minutes(text: Column) -> Column:
     """The first clock time as minutes of the day: 14:05, 2:05 pm, 2 pm, noon, midnight; null without one or out of range."""
     lower = F.lower(text)
     at = lambda p, g: F.regexp_extract(lower, p, g)
-    clock, bare = r"\b(\d{1,2}):(\d{2})(?:\s*([ap])\.?m\b)?", r"\b(\d{1,2})\s*([ap])\.?m\b"
+    clock, bare = CLOCK, BARE
     hour = lambda h, half: F.when(half == "", h).when(half == "p", h % 12 + 12).otherwise(h % 12)
     h, m, half = at(clock, 1).try_cast("int"), at(clock, 2).try_cast("int"), at(clock, 3)
     bh, bhalf = at(bare, 1).try_cast("int"), at(bare, 2)

@@ -358,10 +358,22 @@ def candidate_pools(spark, sf):
 
 @query("SELECT doc_id, list_transform(list_filter(regexp_extract_all(text, '-?\\b[0-9]+(?:\\.[0-9]+)?\\b'), lambda x: x <> ''), lambda x: CAST(x AS DOUBLE))[1] AS first, len(regexp_extract_all(text, '-?\\b[0-9]+(?:\\.[0-9]+)?\\b')) AS n FROM (SELECT doc_id, 'value ' || (doc_id * 7 % 1000) || ' and -' || (doc_id % 13) || '.5 of ' || n_chars AS text FROM documents)")
 def number_parser(spark, sf):
-    text = F.concat(F.lit("value "), (F.col("doc_id") * 7 % 1000).cast("string"), F.lit(" and -"), (F.col("doc_id") % 13).cast("string"), F.lit(".5 of "), F.col("n_chars").cast("string"))
+    """The SQL has the texts without their dates and times, which are no numbers."""
+    text = F.concat(F.lit("value "), (F.col("doc_id") * 7 % 1000).cast("string"), F.lit(" at 18:05 on 2024-03-05 and -"), (F.col("doc_id") % 13).cast("string"), F.lit(".5, half past six, of "), F.col("n_chars").cast("string"))
     return table(spark, sf, "documents").withColumn("x", parse.numbers(text)).select("doc_id", F.col("x")[0].alias("first"), F.size("x").cast("bigint").alias("n"))
 
 
+@query("SELECT doc_id, list_filter([CASE WHEN h < 24 THEN h * 60 + m END, (w * 60 + 30) % 1440, (w + 12 * (w < 12)::INT) * 60 - 15, (w % 12) * 60, 720], lambda x: x IS NOT NULL)::VARCHAR AS times FROM (SELECT doc_id, doc_id % 26 AS h, doc_id % 60 AS m, doc_id % 12 + 1 AS w FROM documents)")
+def clock_time_parser(spark, sf):
+    """All times of texts made of each document's id: one maybe out of range, two in words, one with a half of the day, one by name."""
+    word = F.element_at(F.array(*[F.lit(w) for w in parse.UNITS[1:13]]), (F.col("doc_id") % 12 + 1).cast("int"))
+    pad = lambda c: F.lpad(c.cast("string"), 2, "0")
+    w = (F.col("doc_id") % 12 + 1).cast("string")
+    text = F.concat(F.lit("On 2024-03-05 at "), pad(F.col("doc_id") % 26), F.lit(":"), pad(F.col("doc_id") % 60), F.lit(" or half past "), word, F.lit(", quarter to "), w, F.lit(" pm, "), w, F.lit(" am and noon of May 5"))
+    return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("["), F.array_join(F.transform(parse.clock_times(text), lambda x: x.cast("string")), ", "), F.lit("]")).alias("times"))
+
+
+
 @query(f"SELECT id, hour(valid_from) * 60 + minute(valid_from) AS minutes, CAST(CAST(valid_from AS DATE) AS VARCHAR) AS day FROM ({FACTS_SQL})")
 def clock_parser(spark, sf):
     """Times and dates written out in words and read back."""

@@ -186,7 +186,7 @@ def test_seals(spark):
         audit.revealed(rows.limit(59), "id", key, published)
 
 
-@pytest.mark.parametrize(("text", "want"), [("twenty-three and 1,234.5 minus -4", [23.0, 1234.5, -4.0]), ("no number", []), ("Nineteen, forty", [19.0, 40.0]), (None, None)])
+@pytest.mark.parametrize(("text", "want"), [("twenty-three and 1,234.5 minus -4", [23.0, 1234.5, -4.0]), ("no number", []), ("Nineteen, forty", [19.0, 40.0]), (None, None), ("2027-03-14 at 18:00", []), ("twice, once and 3 pm", [2.0, 1.0]), ("March 5, 2024: 7 of 12", [7.0, 12.0]), ("half past six is 1", [1.0])])
 def test_numbers(spark, text, want):
     assert one(spark, parse.numbers, text) == want
 
@@ -196,6 +196,14 @@ def test_clock_times(spark, text, want):
     assert one(spark, parse.minutes, text) == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("at 14:05 and 2 pm", [845, 840]), ("Half past six, quarter to 7 pm, 10 minutes past two", [390, 1125, 130]), ("twenty-five to one", [35]), ("ten to 12 am", [1430]), ("25:00 or 13 pm", []), ("noon, then midnight", [720, 0]), ("on May 5, 2024", []), ("", []), (None, None)],
+)
+def test_all_clock_times(spark, text, want):
+    assert one(spark, parse.clock_times, text) == want
+
+
 @pytest.mark.parametrize(("text", "want"), [("on 2024-02-29", "2024-02-29"), ("2023-02-29", None), ("March 5th, 2024", "2024-03-05"), ("5 march 2024", "2024-03-05"), ("soon", None)])
 def test_dates(spark, text, want):
     got = one(spark, parse.date_of, text)
