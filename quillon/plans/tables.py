@@ -41,7 +41,9 @@ def lexical(spark: SparkSession, sf_dir: str):
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id, doc_id: documents that hold a benchmark passage as it stands.
 
-    Pairs meet on the passage's first five tokens as a gram, then the text is searched, so no document is compared with all items.
+    Pairs meet on the passage's second to sixth tokens as a gram (passages of three to six tokens: on their second), then the text is searched, so no
+    document is compared with all items. A passage may begin or end inside a document's token; those of one or two tokens, of which none need be whole, meet
+    every document.
     """
     from quillon.functions.text import ascii_tokens
 
@@ -54,6 +56,14 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
         return df.select(key, F.explode(F.array(inner) if only_first else F.array_distinct(every)).alias("gram"))
 
     items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    pairs = grams(docs, "doc_id", False).join(grams(items, "item_id", True), "gram").select("item_id", "doc_id").distinct()
+    size = F.size(ascii_tokens(F.col("text")))
+    pairs = grams(docs, "doc_id", False).join(grams(items.where(size > 6), "item_id", True), "gram").select("item_id", "doc_id").distinct()
+    short = items.where(size.between(3, 6)).select("item_id", ascii_tokens(F.col("text"))[1].alias("term"))
+    if not short.isEmpty():
+        terms = docs.select("doc_id", F.explode(F.array_distinct(ascii_tokens(F.col("text")))).alias("term"))
+        pairs = pairs.unionByName(terms.join(short, "term").select("item_id", "doc_id"))
+    tiny = items.where(size < 3).select("item_id")
+    if not tiny.isEmpty():
+        pairs = pairs.unionByName(tiny.crossJoin(docs.select("doc_id")))
     full = pairs.join(items.withColumnRenamed("text", "passage"), "item_id").join(docs.select("doc_id", "text"), "doc_id")
     return full.where(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")

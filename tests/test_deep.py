@@ -115,3 +115,14 @@ def test_inverted_file_finds_nine_in_ten(spark):
     every = vectors.inverted_top(asked, found, "k", "v", 5, probes=27, wider=40).collect()
     assert {(r["query"], r["doc"]) for r in every} == truth
     assert vectors.inverted_top(asked, vectors.inverted_file(table.limit(0), "k", "v", 3), "k", "v", 5, 1).count() == 0
+
+
+def test_gold_finds_passages_of_any_length(spark, tmp_path):
+    from quillon.plans.tables import gold
+
+    docs = [(1, "the quick brown fox jumps over the lazy dog"), (2, "a quick brown foxes"), (3, "jumps"), (4, None), (5, "xquick brown foxy jumps over the lazy dogs")]
+    items = [(1, "quick brown fox"), (2, "jumps"), (3, "quick brown fox jumps over the lazy dog"), (4, "brown foxy jumps over the l"), (5, "lazy do"), (6, "nothing at all here")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r["item_id"], r["doc_id"]) for r in gold(spark, str(tmp_path)).collect()}
+    assert got == {(i, d) for i, p in items for d, t in docs if t and p in t}
