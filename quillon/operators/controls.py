@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quillon.sources.index import Index, index_of
+from quillon.sources.index import Index, cut, index_of
 
 from .measures import ratio
 from .ranking import best, top
@@ -133,6 +133,25 @@ def dispersion_p(rows: DataFrame, group: str, label: str, draws: int = 500, seed
     return total.crossJoin(F.broadcast(extreme)).select(F.round(ratio(F.col("seen"), F.col("groups") - 1), 6).alias("d"), "groups", F.round((1 + F.col("k")) / (draws + 1), 6).alias("p"))  # one row each
 
 
+def solved_noise(rows: DataFrame, channel: str, signal: str, noise: Column, target: float, observe=lambda x, e, sigma: x + sigma * e, high: float = 64.0, grid: int = 24, passes: int = 6) -> DataFrame:
+    """channel, sigma and correlation: the noise of each channel at which what is observed correlates with the signal to `target`.
+
+    Each pass is one aggregation of all channels, which tells the correlations at `grid` noises side by side; the interval between the two around the
+    target is the next pass's. observe is any function of signal, noise and sigma for which the correlation falls as sigma grows; target may be
+    out of reach (sigma is then 0 or `high`). Bounds are a row a channel.
+    """
+    known = cut(rows.where(F.col(signal).isNotNull()).select(channel, F.col(signal).cast("double").alias("__x"), noise.alias("__e")), "signals")
+    bounds = known.select(channel).distinct().select(channel, F.lit(0.0).alias("__low"), F.lit(float(high)).alias("__high"))
+    at = lambda j: F.col("__low") + (F.col("__high") - F.col("__low")) * j / (grid + 1)
+    for _ in range(passes):
+        seen = known.join(F.broadcast(bounds), channel).groupBy(channel, "__low", "__high").agg(*[F.corr("__x", observe(F.col("__x"), F.col("__e"), at(j))).alias(f"c{j}") for j in range(1, grid + 1)])
+        above = sum((F.when(F.coalesce(F.col(f"c{j}"), F.lit(0.0)) >= target, 1).otherwise(0) for j in range(1, grid + 1)), F.lit(0))
+        bounds = cut(seen.select(channel, at(above).alias("__low"), at(above + 1).alias("__high")), "bounds")
+    middle = (F.col("__low") + F.col("__high")) / 2
+    solved = known.join(F.broadcast(bounds), channel).groupBy(channel).agg(F.first(middle).alias("sigma"), F.corr("__x", observe(F.col("__x"), F.col("__e"), middle)).alias("correlation"))
+    return solved.select(channel, F.round("sigma", 5).alias("sigma"), F.round("correlation", 6).alias("correlation"))
+
+
 def krippendorff(votes: DataFrame, unit: str, value: str) -> DataFrame:
     """One row: alpha of nominal values of units with two votes or more."""
     cells = votes.where(F.col(value).isNotNull()).groupBy(unit, value).agg(F.count("*").alias("c"))

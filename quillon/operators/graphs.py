@@ -57,3 +57,24 @@ def fold_edges(edges: DataFrame, folds: int) -> DataFrame:
     """Adds fold: a hash of the pair, so that both directions are held out together."""
     pair: Column = F.concat_ws("|", F.least("a", "b").cast("string"), F.greatest("a", "b").cast("string"))
     return edges.withColumn("fold", F.pmod(F.conv(F.substring(F.sha2(pair, 256), 1, 8), 16, 10).cast("bigint"), F.lit(folds)).cast("int"))
+
+
+def left_out_recall(edges: DataFrame, folds: int, k: int) -> DataFrame:
+    """fold, held, hits and recall: for each fold of pairs, how many of its edges stand among the k best guesses of their first end when the fold is taken
+    away. A guess for a is a node two hops away that a is not linked to otherwise; its score is the sum over paths of the products of supports.
+
+    All folds come from one pass over the two-hop paths: a path counts for every fold but those of its two edges, so a pair's score without a fold
+    is its whole score less what the fold's edges gave, and the folds are columns of one aggregation.
+    """
+    marked = fold_edges(edges, folds)
+    way = marked.select("a", "b", "support", "fold").unionByName(marked.select(F.col("b").alias("a"), F.col("a").alias("b"), "support", "fold"))
+    first, second = way.select(F.col("a").alias("x"), F.col("b").alias("c"), F.col("support").alias("s"), F.col("fold").alias("f")), way.select(F.col("a").alias("c"), F.col("b").alias("y"), F.col("support").alias("t"), F.col("fold").alias("g"))
+    product = F.col("s") * F.col("t")
+    scores = first.join(second, "c").where("x <> y").groupBy("x", "y").agg(F.sum(product).alias("whole"), *[F.sum(F.when((F.col("f") == i) | (F.col("g") == i), product).otherwise(0)).alias(f"less{i}") for i in range(folds)])
+    own = way.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("fold").alias("own"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("fold"), (F.col("whole") - F.col(f"less{i}")).alias("score")) for i in range(folds)])).alias("z")
+    guesses = scores.join(own, ["x", "y"], "left").select("x", "y", "own", each).select("x", "y", "own", "z.*").where("score > 0 and (own is null or own = fold)")
+    ranked = guesses.withColumn("rank", F.row_number().over(Window.partitionBy("x", "fold").orderBy(F.col("score").desc(), "y")))
+    hits = ranked.where((F.col("own") == F.col("fold")) & (F.col("rank") <= k)).groupBy("fold").agg(F.count("*").alias("hits"))
+    held = way.groupBy("fold").agg(F.count("*").alias("held"))
+    return held.join(hits, "fold", "left").select("fold", "held", F.coalesce("hits", F.lit(0)).alias("hits"), F.round(F.coalesce("hits", F.lit(0)) / F.col("held"), 6).alias("recall"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.functions import text as tx
-from quillon.operators import audit, controls, packing, vectors, windows
-from quillon.plans.catalogue import _scored, query
+from quillon.functions import numeric, text as tx
+from quillon.operators import audit, controls, graphs, packing, vectors, windows
+from quillon.plans.catalogue import _EDGES, _edges, _scored, query
 from quillon.plans.tables import table
 
 _PAIRS = """gt AS (SELECT item_id AS g, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark), pt AS (SELECT doc_id AS p, lang, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS t FROM documents),
@@ -63,3 +63,40 @@ def cosine_topk_inverted(spark, sf):
     return vectors.inverted_top(rows.where("vec_id % 20 = 0"), found, "vec_id", "embedding", 5, max(1, -(-lists // 3)))  # the stated query set, against all rows
 
 
+
+
+_NORMAL = "((" + " + ".join(f"CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT) / 4294967296.0" for k in range(8)) + ") - 4) / sqrt(8 / 12)"
+
+
+@query(f"""WITH n AS (SELECT event_type, value AS x, {_NORMAL} AS e FROM (SELECT event_type, value, sha256('37|' || event_id) AS h FROM events)),
+s AS (SELECT event_type, var_pop(x) AS xx, covar_pop(x, e) AS xe, var_pop(e) AS ee FROM n GROUP BY 1),
+q AS (SELECT event_type, xe * xe - 0.64 * xx * ee AS a, 2 * xx * xe * (1 - 0.64) AS b, xx * xx * (1 - 0.64) AS c FROM s)
+SELECT event_type, round((-b - sqrt(b * b - 4 * a * c)) / (2 * a), 5) AS sigma, 0.8 AS correlation FROM q""")
+def channel_noise(spark, sf):
+    """The noise of each kind of event at which values are seen with a correlation of 0.8; the SQL solves the equation of second moments."""
+    rows = table(spark, sf, "events")
+    return controls.solved_noise(rows, "event_type", "value", numeric.hashed_normal(37, F.col("event_id")), 0.8)
+
+
+_SPARSE = f"{_EDGES}, k AS (SELECT a, b, support, CAST('0x' || substr(sha256(least(a, b) || '|' || greatest(a, b)), 1, 8) AS BIGINT) % 5 AS fold FROM e WHERE support >= 2), v AS (SELECT a, b, support, fold FROM k UNION ALL SELECT b, a, support, fold FROM k)"
+
+
+@query(f"""WITH {_SPARSE}, f AS (SELECT * FROM range(0, 5) t(fold)),
+g AS (SELECT f.fold, x.a AS x, y.b AS y, sum(x.support * y.support) AS score FROM f, v x JOIN v y ON x.b = y.a WHERE x.a <> y.b AND x.fold <> f.fold AND y.fold <> f.fold GROUP BY ALL),
+r AS (SELECT g.*, row_number() OVER (PARTITION BY g.x, g.fold ORDER BY score DESC, g.y) AS rank FROM g WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.a = g.x AND v.b = g.y AND v.fold <> g.fold)),
+h AS (SELECT r.fold, count(*) AS hits FROM r JOIN v ON v.a = r.x AND v.b = r.y AND v.fold = r.fold WHERE rank <= 10 GROUP BY 1)
+SELECT CAST(fold AS INTEGER) AS fold, count(*) AS held, coalesce(any_value(hits), 0) AS hits, round(coalesce(any_value(hits), 0) / count(*), 6) AS recall FROM v LEFT JOIN h USING (fold) GROUP BY fold""")
+def left_out_edges(spark, sf):
+    """Pairs of parts that are ordered together twice or more, guessed from the others: recall at ten, by fold."""
+    return graphs.left_out_recall(_edges(spark, sf).where("support >= 2"), 5, 10)
+
+
+@query("""WITH c AS (SELECT source, lang, quality, count(*) AS o FROM documents JOIN labels USING (doc_id) GROUP BY ALL), e AS (SELECT source, o, sum(o) OVER (PARTITION BY source, lang) * sum(o) OVER (PARTITION BY source, quality) / sum(o) OVER (PARTITION BY source) AS e, sum(o) OVER (PARTITION BY source) AS n, lang, quality FROM c),
+s AS (SELECT source, sum(o * o / e) - any_value(n) AS x, (count(DISTINCT lang) - 1) * (count(DISTINCT quality) - 1) AS dof FROM e GROUP BY 1)
+SELECT source, round(x, 6) AS chi2, dof, CASE WHEN dof > 0 THEN round(CASE WHEN x <= 0 THEN 1.0 ELSE 1 - list_sum(list_transform(range(0, 400), lambda i: exp((dof / 2 + i) * ln(x / 2) - x / 2 - lgamma(dof / 2 + i + 1)))) END, 6) END AS p FROM s""")
+def chi_square_gate(spark, sf):
+    """For each source, whether quality depends on the language: chi-square with its chance."""
+    rows = _scored(spark, sf).groupBy("source", "lang", "quality").agg(F.count("*").alias("o"))
+    both = rows.join(rows.groupBy("source", "lang").agg(F.sum("o").alias("r")), ["source", "lang"]).join(rows.groupBy("source", "quality").agg(F.sum("o").alias("c")), ["source", "quality"])
+    sums = both.join(rows.groupBy("source").agg(F.sum("o").alias("n")), "source").groupBy("source").agg((F.sum(F.col("o") ** 2 * F.col("n") / (F.col("r") * F.col("c"))) - F.first("n")).alias("x"), ((F.countDistinct("lang") - 1) * (F.countDistinct("quality") - 1)).alias("dof"))
+    return sums.select("source", F.round("x", 6).alias("chi2"), "dof", F.when(F.col("dof") > 0, F.round(numeric.chi_square_p(F.col("x"), F.col("dof")), 6)).alias("p"))

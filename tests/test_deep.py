@@ -126,3 +126,52 @@ def test_gold_finds_passages_of_any_length(spark, tmp_path):
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {(r["item_id"], r["doc_id"]) for r in gold(spark, str(tmp_path)).collect()}
     assert got == {(i, d) for i, p in items for d, t in docs if t and p in t}
+
+
+def test_noise_is_solved_for_each_channel_and_any_observation(spark):
+    from quillon.functions import numeric
+
+    rows = spark.createDataFrame([(i, f"c{i % 2}", float((i * 37) % 101) * (1 + i % 2)) for i in range(2000)] + [(9999, "c0", None)], "k bigint, channel string, x double")
+    e = numeric.hashed_normal("t", F.col("k"))
+    clipped = lambda x, noise, sigma: F.greatest(F.lit(0.0), F.least(F.lit(200.0), F.round(x + sigma * noise)))
+    for observe, target in ((lambda x, noise, sigma: x + sigma * noise, 0.6), (clipped, 0.9)):
+        got = controls.solved_noise(rows, "channel", "x", e, target, observe, high=200.0).collect()
+        assert len(got) == 2 and all(r["correlation"] == pytest.approx(target, abs=1e-6 if observe is not clipped else 2e-3) for r in got)
+        again = rows.where("x is not null").join(spark.createDataFrame([(r["channel"], r["sigma"]) for r in got], "channel string, s double"), "channel").groupBy("channel").agg(F.corr("x", observe(F.col("x"), e, F.col("s"))).alias("c"))
+        assert all(r["c"] == pytest.approx(target, abs=2e-3) for r in again.collect())
+
+
+def test_left_out_recall_is_that_of_each_fold_alone(spark):
+    from quillon.operators import graphs
+
+    rng = random.Random(9)
+    pairs = {tuple(sorted(rng.sample(range(40), 2))) for _ in range(160)}
+    edges = spark.createDataFrame([(a, b, rng.randint(1, 5)) for a, b in pairs], "a bigint, b bigint, support bigint")
+    fold = {(r["a"], r["b"]): (r["support"], r["fold"]) for r in graphs.fold_edges(edges, 4).collect()}
+    want = {}
+    for f in range(4):
+        near = {}
+        for (a, b), (s, g) in fold.items():
+            if g != f:
+                near.setdefault(a, {})[b] = s
+                near.setdefault(b, {})[a] = s
+        held = [p for (a, b), (_, g) in fold.items() if g == f for p in ((a, b), (b, a))]
+        hits = 0
+        for a, b in held:
+            scores = {}
+            for c, s in near.get(a, {}).items():
+                for y, t in near.get(c, {}).items():
+                    if y != a and y not in near.get(a, {}):
+                        scores[y] = scores.get(y, 0) + s * t
+            hits += b in sorted(scores, key=lambda y: (-scores[y], y))[:3]
+        want[f] = (len(held), hits)
+    got = {r["fold"]: (r["held"], r["hits"]) for r in graphs.left_out_recall(edges, 4, 3).collect()}
+    assert got == want and sum(h for _, h in want.values()) > 0
+
+
+@pytest.mark.parametrize(("x", "dof", "p"), [(3.841459, 1, 0.05), (5.991465, 2, 0.05), (18.307038, 10, 0.05), (0.0, 3, 1.0), (2.0, 4, 0.735759), (37.0, 7, 4.6e-6), (500.0, 5, 0.0)])
+def test_chi_square_chances(spark, x, dof, p):
+    from quillon.functions import numeric
+
+    got = spark.createDataFrame([(x, dof)], "x double, d int").select(numeric.chi_square_p(F.col("x"), F.col("d"))).first()[0]
+    assert got == pytest.approx(p, abs=2e-6)
