@@ -152,6 +152,24 @@ def solved_noise(rows: DataFrame, channel: str, signal: str, noise: Column, targ
     return solved.select(channel, F.round("sigma", 5).alias("sigma"), F.round("correlation", 6).alias("correlation"))
 
 
+def _arm(rows: DataFrame, name: str, group: str, item: str, k: int, *order: Column) -> DataFrame:
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("place") <= k)
+    return placed.select(F.lit(name).alias("arm"), group, item, "place")
+
+
+def frequency_arm(rows: DataFrame, group: str, item: str, key: str, k: int) -> DataFrame:
+    """arm, group, item and place: the k items of each group whose key it has most often, the latest of equals first. Uses are counted before any
+    item is placed, so a hot key is one row a task."""
+    uses = rows.groupBy(group, key).agg(F.count("*").alias("__uses"))
+    joined = rows.alias("r").join(uses.alias("u"), F.col(f"r.{group}").eqNullSafe(F.col(f"u.{group}")) & F.col(f"r.{key}").eqNullSafe(F.col(f"u.{key}"))).select("r.*", "u.__uses")
+    return _arm(joined, "frequency", group, item, k, F.col("__uses").desc(), F.col(item).desc())
+
+
+def random_arm(rows: DataFrame, group: str, item: str, k: int, seed: int) -> DataFrame:
+    """arm, group, item and place: k items of each group by a lot that is the same in every run."""
+    return _arm(rows, "random", group, item, k, F.sha2(F.concat(F.lit(f"{seed}|"), F.col(item).cast("string")), 256))
+
+
 def krippendorff(votes: DataFrame, unit: str, value: str) -> DataFrame:
     """One row: alpha of nominal values of units with two votes or more."""
     cells = votes.where(F.col(value).isNotNull()).groupBy(unit, value).agg(F.count("*").alias("c"))

@@ -98,12 +98,17 @@ def headroom_gate(spark, sf):
     return audit.headroom(rows, "o_orderstatus", "o_orderpriority", "v", "F", 0.5, 20)
 
 
-@query("SELECT count(*) AS n, true AS alike FROM nation")
+_DIGEST = "sha256(concat_ws('|', " + ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 15 * k}, 15) AS HUGEINT)) AS VARCHAR)" for k in range(4)) + "))"
+
+
+@query(f"""WITH j AS (SELECT sha256('{{"doc_id":' || doc_id || ',"lang":' || coalesce('"' || lang || '"', 'null') || ',"source":' || coalesce('"' || source || '"', 'null') || '}}') AS h FROM documents) SELECT count(*) AS n, {_DIGEST} AS digest, true AS alike, true AS changed FROM j""")
 def determinism_gate(spark, sf):
-    """Two builds of a table in different orders and partitions have one digest."""
-    rows = table(spark, sf, "nation")
-    one, two = audit.digest_of_rows(rows), audit.digest_of_rows(rows.orderBy(F.desc("n_name")).repartition(3)).withColumnRenamed("digest", "other").drop("n")
-    return one.crossJoin(two).select("n", (F.col("digest") == F.col("other")).alias("alike"))  # one row each
+    """The digest of a table's rows; that another order and other partitions have the same, and the table without one row another."""
+    rows = table(spark, sf, "documents").select("doc_id", "lang", "source")
+    one = audit.digest_of_rows(rows)
+    other = audit.digest_of_rows(rows.orderBy(F.desc("doc_id")).repartition(7, "source")).select(F.col("digest").alias("other"))
+    less = audit.digest_of_rows(rows.where(F.col("doc_id") != rows.agg(F.max("doc_id")).first()[0])).select(F.col("digest").alias("less"))
+    return one.crossJoin(other).crossJoin(less).select("n", "digest", (F.col("digest") == F.col("other")).alias("alike"), (F.col("digest") != F.col("less")).alias("changed"))  # one row each
 
 
 @query(f"WITH {TOKENS_SQL}, {BM25_SQL.format(dl='dl')}, r AS ({RANKED_SQL.format(k=5)}), {GOLD_SQL}, h AS (SELECT g.item_id, min(rank) AS r FROM gold g LEFT JOIN r USING (item_id, doc_id) GROUP BY 1), t AS (SELECT item_id, h.item_id IS NOT NULL AS known, h.r IS NOT NULL AS found, h.r = 1 AS first, length(text) > 200 AS long FROM benchmark LEFT JOIN h USING (item_id)) SELECT item_id, CASE WHEN NOT known THEN 'F0' WHEN NOT found THEN 'F1' WHEN NOT coalesce(first, false) THEN 'F2' WHEN NOT long THEN 'F3' ELSE 'none' END AS stage FROM t")

@@ -8,6 +8,7 @@ from quillon.functions import numeric, text as tx
 from quillon.operators import audit, controls, graphs, packing, vectors, windows
 from quillon.plans.catalogue import _EDGES, _edges, _scored, query
 from quillon.plans.tables import table
+from quillon.sources import index, logs
 
 _PAIRS = """gt AS (SELECT item_id AS g, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark), pt AS (SELECT doc_id AS p, lang, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS t FROM documents),
 gx AS (SELECT g, len(t) AS n, unnest(t) AS x FROM gt), px AS (SELECT p, lang, len(t) AS n, unnest(t) AS x FROM pt),
@@ -100,3 +101,44 @@ def chi_square_gate(spark, sf):
     both = rows.join(rows.groupBy("source", "lang").agg(F.sum("o").alias("r")), ["source", "lang"]).join(rows.groupBy("source", "quality").agg(F.sum("o").alias("c")), ["source", "quality"])
     sums = both.join(rows.groupBy("source").agg(F.sum("o").alias("n")), "source").groupBy("source").agg((F.sum(F.col("o") ** 2 * F.col("n") / (F.col("r") * F.col("c"))) - F.first("n")).alias("x"), ((F.countDistinct("lang") - 1) * (F.countDistinct("quality") - 1)).alias("dof"))
     return sums.select("source", F.round("x", 6).alias("chi2"), "dof", F.when(F.col("dof") > 0, F.round(numeric.chi_square_p(F.col("x"), F.col("dof")), 6)).alias("p"))
+
+
+# --- Sources: tables written in another form and scanned back ---------------------------------------------------------------
+
+
+@query("SELECT event_type AS cycle, CAST(user_id AS VARCHAR) AS unit, CAST(event_id % 3 AS VARCHAR) AS arm, CAST(event_id % 2 AS INTEGER) AS seed, round(avg(value), 6) AS score, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY ALL")
+def unit_scan(spark, sf):
+    """Results by unit, written as CSV and read back with typed keys and numbers."""
+    rows = table(spark, sf, "events")
+    units = rows.groupBy(F.col("event_type").alias("cycle"), F.col("user_id").alias("unit"), (F.col("event_id") % 3).alias("arm"), (F.col("event_id") % 2).alias("seed")).agg(F.round(F.avg("value"), 6).alias("score"), F.count("*").alias("n"))
+    path = f"{index.shared_folder(spark)}/quillon-units/{index.source_mark(rows)}"
+    units.write.mode("overwrite").option("header", True).csv(path)
+    return logs.read_units(spark, path)
+
+
+@query("SELECT CAST(part AS BIGINT) AS part, 'Part ' || part AS title, sha256('# Part ' || part || chr(10) || string_agg(doc_id || ' ' || coalesce(lang, '-') || chr(10), '' ORDER BY doc_id)) AS digest FROM (SELECT *, doc_id // 1000 AS part FROM documents) GROUP BY part")
+def text_tree_scan(spark, sf):
+    """Documents listed in text files of a thousand ids under a tree of folders, scanned back: file, title and content."""
+    rows = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 1000).alias("part"), "doc_id", F.concat_ws(" ", F.col("doc_id").cast("string"), F.coalesce("lang", F.lit("-"))).alias("value"))
+    heads = rows.select("part").distinct().select("part", F.lit(-1).cast("bigint").alias("doc_id"), F.concat(F.lit("# Part "), F.col("part").cast("string")).alias("value"))
+    path = f"{index.shared_folder(spark)}/quillon-trees/{index.source_mark(table(spark, sf, 'documents'))}"
+    rows.unionByName(heads).repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value").write.mode("overwrite").partitionBy("part").text(path)
+    found = logs.read_text_tree(spark, path)
+    return found.select(F.regexp_extract("path", "part=([0-9]+)", 1).cast("bigint").alias("part"), "title", F.sha2("text", 256).alias("digest"))
+
+
+@query("SELECT item_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') AS text FROM benchmark WHERE regexp_matches(lower(text), '[a-z0-9]')")
+def inverted_texts(spark, sf):
+    """Texts put together again from their maps of words to places."""
+    places = table(spark, sf, "benchmark").select("item_id", F.posexplode(tx.ascii_tokens(F.col("text"))).alias("p", "w")).groupBy("item_id", "w").agg(F.collect_list("p").alias("ps"))
+    maps = places.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("places"))
+    return logs.inverted_text(maps, "item_id", "places")
+
+
+@query("""WITH c AS (SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id, json_extract_string(props, '$.k')) AS uses, sha256('41|' || event_id) AS h FROM events)
+SELECT 'frequency' AS arm, user_id, event_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY uses DESC, event_id DESC) AS place FROM c) WHERE place <= 3
+UNION ALL SELECT 'random', user_id, event_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY h) AS place FROM c) WHERE place <= 3""")
+def frequency_and_random_arms(spark, sf):
+    """Three entries of each user: those whose key the user has most often (the newest first), and three by a seeded lot."""
+    rows = table(spark, sf, "events").select("user_id", "event_id", F.get_json_object("props", "$.k").alias("k"))
+    return controls.frequency_arm(rows, "user_id", "event_id", "k", 3).unionByName(controls.random_arm(rows, "user_id", "event_id", 3, 41))

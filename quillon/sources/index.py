@@ -43,6 +43,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_cuts(spark: SparkSession) -> None:
+    """Deletes the tables that cut() wrote for this application; results that read them must have been written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/quillon-cuts/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: The layout of the folders: an index of another one is not read.
 LAYOUT = "blocks"
 #: Documents to a range, postings to a bucket, and the least and most buckets. At most MOST_BUCKETS numbers reach the driver for a query.
