@@ -210,3 +210,22 @@ def pool(lists: dict[str, DataFrame], query: str, doc: str, m: int) -> DataFrame
 def look_ahead(ranked: DataFrame, task: str, candidate: str) -> DataFrame:
     """The rows whose candidate does not lie before its task: there must be none."""
     return ranked.where(F.col(candidate) >= F.col(task))
+
+
+def resolved_aliases(texts: DataFrame, aliases: DataFrame, key: str, tokens: str, alias: str, entity: str, most: int = 5) -> DataFrame:
+    """key, start (a token's place, from 1), length, alias, entity and entities: the aliases in each text, leftmost first and of those the longest, without
+    overlaps. An alias of several entities is ambiguous: entity is null, entities says how many.
+
+    texts: an array of tokens a row; aliases: tokens joined by blanks, at most `most` of them. Runs of tokens meet aliases on the phrase itself, so no text is
+    compared with all aliases; only the spans found are folded, in order, a text at a time.
+    """
+    known = aliases.where(F.col(alias).isNotNull() & F.col(entity).isNotNull()).groupBy(F.col(alias).alias("__a")).agg(F.countDistinct(entity).alias("entities"), F.min(entity).alias("__e"))
+    rows = texts.select(key, F.col(tokens).alias("__t"))
+    runs = rows.withColumn("__n", F.explode(F.sequence(F.lit(1), F.lit(most)))).where(F.size("__t") >= F.col("__n"))
+    phrases = runs.select(key, "__n", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("__t") - F.col("__n") + 1), lambda i: F.array_join(F.slice(F.col("__t"), i, F.col("__n")), " "))).alias("__p", "__a"))
+    spans = phrases.join(known, "__a").groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("__p").alias("p"), (-F.col("__n")).alias("n"), F.col("__a").alias("a"), F.col("entities").alias("k"), F.col("__e").alias("e")))).alias("l"))
+    kind = spans.schema["l"].dataType.elementType
+    start = F.struct(F.lit(0).alias("upto"), F.array().cast(f"array<{kind.simpleString()}>").alias("out"))
+    step = lambda acc, x: F.when(x["p"] >= acc["upto"], F.struct((x["p"] - x["n"]).alias("upto"), F.concat(acc["out"], F.array(x)).alias("out"))).otherwise(acc)
+    taken = spans.select(key, F.explode(F.aggregate("l", start, step, lambda acc: acc["out"])).alias("s"))
+    return taken.select(key, (F.col("s.p") + 1).alias("start"), (-F.col("s.n")).alias("length"), F.col("s.a").alias("alias"), F.when(F.col("s.k") == 1, F.col("s.e")).alias("entity"), F.col("s.k").alias("entities"))

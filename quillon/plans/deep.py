@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import numeric, text as tx
-from quillon.operators import audit, controls, graphs, packing, vectors, windows
+from quillon.operators import audit, controls, evidence, graphs, packing, vectors, windows
 from quillon.plans.catalogue import _EDGES, _edges, _scored, query
 from quillon.plans.tables import table
-from quillon.sources import index, logs
+from quillon.sources import index, logs, worlds
 
 _PAIRS = """gt AS (SELECT item_id AS g, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark), pt AS (SELECT doc_id AS p, lang, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS t FROM documents),
 gx AS (SELECT g, len(t) AS n, unnest(t) AS x FROM gt), px AS (SELECT p, lang, len(t) AS n, unnest(t) AS x FROM pt),
@@ -142,3 +142,33 @@ def frequency_and_random_arms(spark, sf):
     """Three entries of each user: those whose key the user has most often (the newest first), and three by a seeded lot."""
     rows = table(spark, sf, "events").select("user_id", "event_id", F.get_json_object("props", "$.k").alias("k"))
     return controls.frequency_arm(rows, "user_id", "event_id", "k", 3).unionByName(controls.random_arm(rows, "user_id", "event_id", 3, 41))
+
+
+@query(r"""WITH RECURSIVE w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM benchmark), a AS (SELECT DISTINCT item_id, array_to_string(t[1:n], ' ') AS alias FROM w, range(2, 4) r(n) WHERE len(t) >= n),
+k AS (SELECT alias, count(DISTINCT item_id) AS entities, min(item_id) AS e FROM a GROUP BY 1),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS t FROM documents), x AS (SELECT doc_id, p, n, array_to_string(t[p:p + n - 1], ' ') AS alias FROM (SELECT doc_id, t, n, unnest(range(1, len(t) - n + 2)) AS p FROM d, range(2, 4) r(n))),
+s AS (SELECT doc_id, p, n, alias, entities, e FROM x JOIN k USING (alias)),
+m AS (SELECT doc_id, CAST(0 AS BIGINT) AS p, CAST(0 AS BIGINT) AS n, '' AS alias, CAST(0 AS BIGINT) AS entities, CAST(NULL AS BIGINT) AS e FROM (SELECT DISTINCT doc_id FROM s)
+UNION ALL SELECT * FROM (SELECT s.doc_id, s.p, s.n, s.alias, s.entities, s.e FROM m JOIN s ON s.doc_id = m.doc_id AND s.p >= m.p + m.n QUALIFY row_number() OVER (PARTITION BY s.doc_id ORDER BY s.p, s.n DESC) = 1))
+SELECT doc_id, CAST(p AS INTEGER) AS start, CAST(n AS INTEGER) AS length, alias, CASE WHEN entities = 1 THEN e END AS entity, entities FROM m WHERE n > 0""")
+def alias_resolution(spark, sf):
+    """The first two and three words of benchmark items as their aliases, found in all documents."""
+    items = table(spark, sf, "benchmark").select("item_id", tx.ascii_tokens(F.col("text")).alias("t"))
+    aliases = items.withColumn("n", F.explode(F.array(F.lit(2), F.lit(3)))).where("size(t) >= n").select("item_id", F.array_join(F.slice("t", F.lit(1), F.col("n")), " ").alias("alias"))
+    texts = table(spark, sf, "documents").select("doc_id", tx.ascii_tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    return evidence.resolved_aliases(texts, aliases, "doc_id", "t", "alias", "item_id", 3)
+
+
+@query("SELECT event_id AS id, event_type || ' ' || coalesce(json_extract_string(props, '$.k'), '') AS text, epoch_us(ts) AS at, CAST(user_id AS VARCHAR) AS channel, CASE WHEN event_id % 7 <> 0 THEN 'feed' || event_id % 3 ELSE '' END AS source, CASE WHEN event_type = 'purchase' THEN value END AS heartbeat FROM events")
+def world_records(spark, sf):
+    """Events as observations, six of seven with a specified source, purchases with a channel value."""
+    rows = table(spark, sf, "events")
+    observed = rows.select("event_id", F.concat_ws(" ", "event_type", F.coalesce(F.get_json_object("props", "$.k"), F.lit(""))).alias("text"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("user_id").cast("string").alias("channel"))
+    specs = rows.where("event_id % 7 <> 0").select("event_id", F.concat(F.lit("feed"), (F.col("event_id") % 3).cast("string")).alias("source"))
+    return worlds.records(observed, specs, "event_id", rows.where("event_type = 'purchase'").select("event_id", "value"))
+
+
+@query("SELECT (SELECT count(*) FROM events WHERE event_id % 7 = 0) AS unspecified, 0 AS unobserved, 0 AS repeated")
+def world_specification_audit(spark, sf):
+    rows = table(spark, sf, "events")
+    return worlds.spec_audit(rows, rows.where("event_id % 7 <> 0"), "event_id")

@@ -133,3 +133,22 @@ def set_pointer(value: Any, pointer: str, replacement: Any) -> Any:
 def normalised_struct(json_text: Column, schema: str) -> Column:
     """A JSON object as a struct of a schema, and from there canonical JSON: missing fields are null, others go, types are the schema's."""
     return F.to_json(F.from_json(json_text, schema), {"ignoreNullFields": "false"})
+
+
+def records(observed: DataFrame, specs: DataFrame, key: str, channel: DataFrame | None = None, provenance: bool = True) -> DataFrame:
+    """id, text, at, channel, source and heartbeat: what a memory may see of a world's observations (key, text, at, channel). Of its specification only the
+    source is shown, and that only with provenance (else it is empty); heartbeat is the channel's value of the observation, null without one. Rows
+    are as they were observed; specifications without an observation, and the reverse, are what spec_audit() tells.
+    """
+    out = observed.join(specs.select(key, F.col("source").alias("__source")), key, "left")
+    out = out.join(channel.select(key, F.col("value").alias("heartbeat")), key, "left") if channel is not None else out.withColumn("heartbeat", F.lit(None).cast("double"))
+    source = F.coalesce("__source", F.lit("")) if provenance else F.lit("")
+    return out.select(F.col(key).alias("id"), "text", "at", "channel", source.alias("source"), "heartbeat")
+
+
+def spec_audit(observed: DataFrame, specs: DataFrame, key: str) -> DataFrame:
+    """One row: unspecified (observations without a specification), unobserved (the reverse) and repeated keys of either."""
+    seen, told = observed.groupBy(key).agg(F.count("*").alias("a")), specs.groupBy(key).agg(F.count("*").alias("b"))
+    both = seen.join(told, key, "full_outer")
+    count = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
+    return both.agg(count(F.col("b").isNull()).alias("unspecified"), count(F.col("a").isNull()).alias("unobserved"), count((F.coalesce("a", F.lit(0)) > 1) | (F.coalesce("b", F.lit(0)) > 1)).alias("repeated"))

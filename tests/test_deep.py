@@ -175,3 +175,35 @@ def test_chi_square_chances(spark, x, dof, p):
 
     got = spark.createDataFrame([(x, dof)], "x double, d int").select(numeric.chi_square_p(F.col("x"), F.col("d"))).first()[0]
     assert got == pytest.approx(p, abs=2e-6)
+
+
+def test_aliases_are_leftmost_longest_and_ambiguous_ones_have_no_entity(spark):
+    from quillon.operators import evidence
+
+    rng = random.Random(12)
+    aliases = [(1, "a b"), (2, "a b c"), (3, "b"), (4, "c d"), (5, "c d"), (6, "e"), (6, "e"), (None, "a"), (7, None)]
+    texts = [(i, [rng.choice("abcdef") for _ in range(rng.randint(0, 12))]) for i in range(60)] + [(99, None)]
+    got = evidence.resolved_aliases(spark.createDataFrame(texts, "k bigint, t array<string>"), spark.createDataFrame(aliases, "e bigint, alias string"), "k", "t", "alias", "e").collect()
+    known = {"a b": {1}, "a b c": {2}, "b": {3}, "c d": {4, 5}, "e": {6}}
+    want = set()
+    for k, t in texts:
+        at = 0
+        while at < len(t or []):
+            for n in (3, 2, 1):
+                phrase = " ".join(t[at : at + n])
+                if at + n <= len(t) and phrase in known:
+                    want.add((k, at + 1, n, phrase, min(known[phrase]) if len(known[phrase]) == 1 else None, len(known[phrase])))
+                    at += n - 1
+                    break
+            at += 1
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 50
+
+
+def test_world_records_show_no_source_without_provenance(spark):
+    from quillon.sources import worlds
+
+    observed = spark.createDataFrame([(1, "t", 5, "c"), (2, None, 6, "c")], "k bigint, text string, at bigint, channel string")
+    specs = spark.createDataFrame([(1, "s"), (3, "x"), (3, "x")], "k bigint, source string")
+    assert [r["source"] for r in worlds.records(observed, specs, "k", provenance=False).collect()] == ["", ""]
+    assert sorted((r["id"], r["source"], r["heartbeat"]) for r in worlds.records(observed, specs.where("k < 3"), "k", spark.createDataFrame([(2, 0.5)], "k bigint, value double")).collect()) == [(1, "s", None), (2, "", 0.5)]
+    assert worlds.spec_audit(observed, specs, "k").first().asDict() == {"unspecified": 1, "unobserved": 1, "repeated": 1}
