@@ -58,8 +58,9 @@ def drop_scratch(spark: SparkSession) -> None:
 def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
     """Arrow batches of at most `most` bytes, where the session has Spark's default of 64 MB: a task holds several at once, its own and its
     Python worker's in both directions, and rows with whole texts fill them."""
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "") in ("67108864b", "67108864", "64m", "64MB"):
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "64m", "64MB"):
+        spark.conf.set(name, most)
 
 
 def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
