@@ -15,9 +15,11 @@ from .ranking import top
 
 @dataclass
 class InvertedFile:
-    """centers (lists x dimensions, unit length); rows: k, list, part (a long list is dealt into parts), code (a byte a dimension), scale, v."""
+    """centers (lists x dimensions, unit length); probes: how many lists a query needs for the recall that was asked; rows: k, list, part (a long
+    list is dealt into parts), code (a byte a dimension), scale, v."""
 
     centers: np.ndarray
+    probes: int
     rows: DataFrame
 
 
@@ -30,12 +32,8 @@ def _usable(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[pdf["v"].map(lambda v: v is not None and len(v) > 0 and bool(np.linalg.norm(v) > 0))]
 
 
-def fit_centers(vectors: DataFrame, key: str, vector: str, lists: int, most: int = 20_000, rounds: int = 10) -> np.ndarray:
-    """Spherical k-means on the `most` vectors of least key hash, which are what reaches the driver; the result is the same in every run."""
-    sample = _usable(vectors.select(F.col(key).alias("k"), F.col(vector).alias("v")).orderBy(F.xxhash64("k"), "k").limit(most).toPandas())
-    if not len(sample):
-        return np.zeros((0, 0))
-    points = _unit(sample["v"])
+def fit_centers(points: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
+    """Spherical k-means of unit vectors, the same in every run."""
     centers = points[np.linspace(0, len(points) - 1, min(lists, len(points))).astype(int)].copy()
     for _ in range(rounds):
         nearest = (points @ centers.T).argmax(1)
@@ -46,9 +44,30 @@ def fit_centers(vectors: DataFrame, key: str, vector: str, lists: int, most: int
     return centers
 
 
-def inverted_file(vectors: DataFrame, key: str, vector: str, lists: int, most: int = 20_000, part: int = 4096) -> InvertedFile:
-    """Every vector in the list of its nearest center, as its residual's code. Null and zero vectors are in no list."""
-    centers = fit_centers(vectors, key, vector, lists, most)
+def probes_for(points: np.ndarray, centers: np.ndarray, k: int, goal: float, asked: int = 256) -> int:
+    """The fewest lists in which `asked` of the points find a share `goal` of their k nearest others."""
+    if len(points) < 2:
+        return 1
+    some = points[np.linspace(0, len(points) - 1, min(asked, len(points))).astype(int)]
+    scores = some @ points.T
+    scores[scores > 1 - 1e-9] = -np.inf  # itself, and copies, which lie in its own list
+    near = np.argsort(-scores, axis=1)[:, : min(k, len(points) - 1)]
+    order = np.argsort(np.argsort(-(some @ centers.T), axis=1), axis=1)  # each list's place for each query
+    lists = (points @ centers.T).argmax(1)
+    needed = np.sort(np.take_along_axis(order, lists[near], axis=1).ravel()) + 1
+    return int(needed[min(len(needed) - 1, int(np.ceil(goal * len(needed))) - 1)])
+
+
+def inverted_file(vectors: DataFrame, key: str, vector: str, lists: int, k: int = 5, goal: float = 0.96, most: int = 20_000, part: int = 4096) -> InvertedFile:
+    """Every vector in the list of its nearest center, as its residual's code. Null and zero vectors are in no list.
+
+    Centers, and the lists that a query needs to find a share `goal` of its k nearest, come from the `most` vectors of least key hash, which are what
+    reaches the driver.
+    """
+    sample = _usable(vectors.select(F.col(key).alias("k"), F.col(vector).alias("v")).orderBy(F.xxhash64("k"), "k").limit(most).toPandas())
+    points = _unit(sample["v"]) if len(sample) else np.zeros((0, 0))
+    centers = fit_centers(points, lists) if len(points) else points
+    probes = probes_for(points, centers, k, goal) if len(points) else 1
 
     def coded(frames):
         for pdf in frames:
@@ -66,16 +85,16 @@ def inverted_file(vectors: DataFrame, key: str, vector: str, lists: int, most: i
     placed = cut(rows.mapInPandas(coded, "k bigint, list int, code binary, scale double, v array<double>"), "lists")
     sizes = placed.groupBy("list").agg(F.count("*").alias("n"))
     parts = placed.join(F.broadcast(sizes), "list").withColumn("part", F.pmod(F.xxhash64("k"), F.ceil(F.col("n") / part)).cast("int")).drop("n")  # a row a list
-    return InvertedFile(centers, parts)
+    return InvertedFile(centers, probes, parts)
 
 
-def inverted_top(queries: DataFrame, found: InvertedFile, key: str, vector: str, k: int, probes: int, wider: int = 8) -> DataFrame:
-    """query, doc, score and rank: the k vectors of greatest cosine, other than itself, among the `probes` lists nearest to each query.
+def inverted_top(queries: DataFrame, found: InvertedFile, key: str, vector: str, k: int, probes: int | None = None, wider: int = 8) -> DataFrame:
+    """query, doc, score and rank: the k vectors of greatest cosine, other than itself, among the `probes` lists (found.probes) nearest to each query.
 
     A part of a list meets the queries that probe it, once: codes give the `wider` * k best of each pair, of which the wider * k best of a query are scored
     again by their vectors.
     """
-    centers = found.centers
+    centers, probes = found.centers, probes or found.probes
     if not len(centers):
         return queries.sparkSession.createDataFrame([], "query bigint, doc bigint, score double, rank int")
 

@@ -125,10 +125,13 @@ def plan_execution(spark, sf):
     return ev.execute_plan(_graph(spark, sf), starts, [("lives_in", "out"), ("based_in", "in")])
 
 
-@query("SELECT * FROM (VALUES ('o0', 'placed_by'), ('o0', 'placed_by>lives_in'), ('o0', 'placed_by>lives_in>part_of'), ('s0', 'based_in'), ('s0', 'based_in>part_of')) t(start, plan), (SELECT false AS truncated)")
+@query("""WITH RECURSIVE f AS (SELECT 'o' || o_orderkey AS subject, 'placed_by' AS predicate, 'c' || o_custkey AS object FROM orders UNION SELECT 'c' || c_custkey, 'lives_in', 'n' || c_nationkey FROM customer UNION SELECT 's' || s_suppkey, 'based_in', 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'part_of', 'r' || n_regionkey FROM nation),
+p AS (SELECT subject AS start, object AS at_, [subject, object] AS seen, predicate AS plan, 1 AS hops FROM f UNION ALL SELECT start, f.object, list_append(seen, f.object), plan || '>' || predicate, hops + 1 FROM p JOIN f ON f.subject = p.at_ WHERE hops < 6 AND NOT list_contains(seen, f.object))
+SELECT DISTINCT start, plan, false AS truncated FROM p""")
 def plan_enumeration(spark, sf):
-    starts = spark.createDataFrame([("o0",), ("s0",), ("r0",)], "start string")
-    return ev.plans_from(_graph(spark, sf), starts)
+    """The plans that lead somewhere from each order, customer, supplier and nation."""
+    graph = _graph(spark, sf)
+    return ev.plans_from(graph, graph.select(F.col("subject").alias("start")).distinct())
 
 
 _NEXT = f"n AS (SELECT id AS src, nxt AS dst FROM {_CHAINED})"
