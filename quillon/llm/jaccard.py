@@ -21,7 +21,7 @@ component already known need no proof.
 
 Defined results: null and empty texts, and texts without a word, have an empty set, size 0, and link with nothing; texts of
 fewer words than n have one shingle, the whole sequence; null ids are rows of their own whose component is the least
-non-null id reachable, else null; repeated rows are equal sets; other columns are dropped; an empty table gives an empty one.
+non-null id reachable, else null; repeated rows are equal sets; very long texts are read whole, and their sets are compared whole; other columns are dropped, so none can clash; an empty table gives an empty one.
 Hashes have 48 bits for intersections and 64 for sets: the chance of a wrong decision is below 1e-6 a pair of 10,000 words each.
 """
 

@@ -11,8 +11,8 @@ idle: a stratum needs ln(delta * its share) / ln(1 - risk) good documents for it
 
 Defined results: null and empty texts have no words and fail the base rules; a null stratum is a stratum of its own; a
 document with several labels is good only if all say so; labels without a document are ignored; without labels, or with an
-empty table, no rule beyond the base acts; columns that clash with the added ones are replaced; repeated rows are judged
-alike.
+empty table, no rule beyond the base acts; columns that clash with the added ones are replaced; very long texts are counted whole;
+repeated rows are judged alike.
 """
 
 from __future__ import annotations

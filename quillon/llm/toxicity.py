@@ -10,7 +10,8 @@ text's function words, and a text with none of them has the threshold of all; la
 Sample: at most `most` rows and `most_bytes` bytes of whole texts of each label, by the order of their ids' hashes (a documented bound of
 the fit alone, and of what reaches the driver: every row of the table is scored, over its whole text). Null texts count as empty; empty texts get the score of no evidence; where only one
 label is known every score is that label's share; labels without a document or value are ignored, a document with several labels counts
-as toxic if one says so; repeated rows get equal scores; an empty table gives an empty one.
+as toxic if one says so; very long texts are scored whole; repeated rows get equal scores; an empty table gives an empty one; only id and text of the
+documents are read, so no other column can clash.
 """
 
 from __future__ import annotations
