@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import binary_parts, chunks
+from .common import binary_parts, chunks, give_back
 
 # States and symbols.
 FREE, LETTERS, NUMBERS, OTHERS, SPACES, PREFIX, ONE_MORE, TWO_MORE = range(8)
@@ -315,6 +315,8 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", decode_back: bool
                 if decode_back:
                     out.append([own.decode(x) for x in arrays])
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(x, pa.binary()) for x in out]], names=[*keep, *[k for k, _ in added]])
+        own.merger.clear()  # a worker may serve other stages next
+        give_back()
 
     return source.mapInArrow(run, schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -63,6 +64,15 @@ def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
         spark.conf.set(name, most)
 
 
+def give_back() -> None:
+    """Returns what a task has freed to the system, so that an idle Python worker does not hold it beside its executor's next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library: it keeps what it keeps
+
+
 def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a binary column, nulls as empty, without copying the values where possible."""
     if column.null_count:

@@ -22,6 +22,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import give_back
+
 # The base patterns (letters of the names in either case), their least lengths, and the order of the kinds.
 NAMES = ("password", "passwd", "secret", "token", "api_?key")
 _CASE = lambda name: re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", name)
@@ -323,5 +325,6 @@ def redact(df: DataFrame, text: str = "text", marker: str = "[secret]") -> DataF
             columns = batch.columns
             columns[at] = pa.array([clean(x) for x in columns[at].to_pylist()], columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+        give_back()
 
     return source.mapInArrow(run, source.schema)
