@@ -139,7 +139,10 @@ def test_running_sums(spark):
 
 
 def test_resampling_against_loops(spark):
-    u = lambda *p: int(hashlib.sha256("|".join(map(str, p)).encode()).hexdigest()[:8], 16) / 2**32
+    def u(seed, draw, unit):  # a digest serves eight draws
+        digest = hashlib.sha256(f"{seed}|{draw // 8}|{unit}".encode()).hexdigest()
+        return int(digest[8 * (draw % 8) : 8 * (draw % 8) + 8], 16) / 2**32
+
     times = lambda x: sum(x >= t for t in inference.POISSON)
     values = [float(i * i % 17) for i in range(40)]
     rows = spark.createDataFrame([("g", i, v) for i, v in enumerate(values)], "g string, o int, v double")

@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from quillon.plans import added, audits, catalogue, evidence, packs, studies  # noqa: F401
+from quillon.plans import added, audits, catalogue, deep, evidence, packs, studies  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver tables are not here")
@@ -81,4 +81,4 @@ def test_leak_probe_is_a_chance(spark):
 
 
 def test_every_query_has_sql_or_a_test_here():
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"retention_mention", "vocabulary_scan", "leak_probe"}
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"retention_mention", "vocabulary_scan", "leak_probe", "arm_memory", "window_search", "cosine_topk_inverted"}
