@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import clock, text as tx
-from quillon.operators import facts, inference, integrity, packing, policies
+from quillon.operators import evidence, facts, inference, integrity, packing, policies
 from quillon.sources import logs
 from quillon.streaming.streams import Gate, retained, retention_stream
 
@@ -136,3 +136,11 @@ def test_rules_on_empty_and_cyclic_logs(spark):
 def test_json_leaves(spark):
     row = spark.createDataFrame([(1, json.dumps({"a": {"b": [1, "x"]}, "c": None}))], "k int, j string")
     assert {(r["path"], r["value"]) for r in logs.json_leaves(row, "k", "j").collect()} == {("a.b[0]", "1"), ("a.b[1]", "x"), ("c", None)}
+
+
+def test_fair_share_gives_the_rest_to_larger_pieces_only(spark):
+    """Pieces of just the level take no turn of what does not divide."""
+    rows = [(1, 1, 3), (1, 2, 9), (2, 1, 3), (2, 2, 3), (2, 3, 3), (2, 4, 9)]
+    df = spark.createDataFrame(rows, "g int, r int, n int")
+    got = lambda g, budget: [x["share"] for x in packing.fair_share(df.where(f"g = {g}"), "g", "r", "n", budget).orderBy("r").collect()]
+    assert got(1, 7) == [3, 4] and got(2, 15) == [3, 3, 3, 6]
