@@ -144,3 +144,8 @@ def test_fair_share_gives_the_rest_to_larger_pieces_only(spark):
     df = spark.createDataFrame(rows, "g int, r int, n int")
     got = lambda g, budget: [x["share"] for x in packing.fair_share(df.where(f"g = {g}"), "g", "r", "n", budget).orderBy("r").collect()]
     assert got(1, 7) == [3, 4] and got(2, 15) == [3, 3, 3, 6]
+
+
+def test_words_of_negation_beside_letters_beyond_ascii(spark):
+    said = spark.createDataFrame([("éno",), ("ano",), ("canntß n'té",), ("no",)], "t string")
+    assert [r[0] for r in said.select(tx.is_negated(F.col("t"))).collect()] == [True, False, True, True]
