@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quillon.functions.text import ascii_tokens
+from quillon.functions.text import ascii_tokens, lower_each
 
 
 def lookup(rows: DataFrame, ids: DataFrame, key: str, supersedes: str) -> DataFrame:
@@ -111,7 +111,7 @@ def catalog(facts: DataFrame, scope: str, predicate: str, recorded: str, known_a
 
 def grounded(proposals: DataFrame, text: str, span: str) -> DataFrame:
     """Adds actual (the span as it stands in the text: itself, or its first occurrence in another case) and grounded."""
-    exact, folded = F.expr(f"locate(`{span}`, `{text}`)"), F.expr(f"locate(lower(`{span}`), lower(`{text}`))")
+    exact, folded = F.expr(f"locate(`{span}`, `{text}`)"), F.position(lower_each(F.col(span)), lower_each(F.col(text)))
     actual = F.when(exact > 0, F.col(span)).when(folded > 0, F.substring(F.col(text), folded, F.length(F.col(span))))
     return proposals.withColumn("actual", F.when(F.length(F.col(span)) > 0, actual)).withColumn("grounded", F.col("actual").isNotNull())
 

@@ -99,7 +99,7 @@ def visible_catalog(spark, sf):
 @query(f"WITH {GOLD_SQL}, p AS (SELECT item_id, doc_id, d.text, CASE WHEN item_id % 3 = 0 THEN substr(b.text, 1, 20) WHEN item_id % 3 = 1 THEN upper(substr(b.text, 1, 20)) ELSE 'no such words 0' END AS span FROM gold JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id)) SELECT item_id, doc_id, CASE WHEN instr(text, span) > 0 THEN span WHEN instr(lower(text), lower(span)) > 0 THEN substr(text, instr(lower(text), lower(span)), length(span)) END AS actual, instr(lower(text), lower(span)) > 0 AS grounded FROM p")
 def grounded_metadata(spark, sf):
     head = F.substring("passage", 1, 20)
-    span = F.when(F.col("item_id") % 3 == 0, head).when(F.col("item_id") % 3 == 1, F.upper(head)).otherwise("no such words 0")
+    span = F.when(F.col("item_id") % 3 == 0, head).when(F.col("item_id") % 3 == 1, tx.upper_each(head)).otherwise("no such words 0")
     rows = gold(spark, sf).join(table(spark, sf, "benchmark").withColumnRenamed("text", "passage"), "item_id").join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return ev.grounded(rows.withColumn("span", span), "text", "span").select("item_id", "doc_id", "actual", "grounded")
 

@@ -149,3 +149,9 @@ def test_fair_share_gives_the_rest_to_larger_pieces_only(spark):
 def test_words_of_negation_beside_letters_beyond_ascii(spark):
     said = spark.createDataFrame([("éno",), ("ano",), ("canntß n'té",), ("no",)], "t string")
     assert [r[0] for r in said.select(tx.is_negated(F.col("t"))).collect()] == [True, False, True, True]
+
+
+def test_capitals_beyond_ascii(spark):
+    df = spark.createDataFrame([("Xe Erßie da", "Erßie"), ("İx Οδός ab", "AB")], "t string, s string")
+    rows = evidence.grounded(df.withColumn("s", tx.upper_each(F.col("s"))), "t", "s").select("actual", "grounded").collect()
+    assert [tuple(r) for r in rows] == [("Erßie", True), ("ab", True)]
