@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillon.functions.text import ascii_tokens, lower_each
+from quillon.sources.index import cut
 
 
 def lookup(rows: DataFrame, ids: DataFrame, key: str, supersedes: str) -> DataFrame:
@@ -116,25 +117,33 @@ def grounded(proposals: DataFrame, text: str, span: str) -> DataFrame:
     return proposals.withColumn("actual", F.when(F.length(F.col(span)) > 0, actual)).withColumn("grounded", F.col("actual").isNotNull())
 
 
-def execute_plan(facts: DataFrame, starts: DataFrame, plan: list[tuple[str, str]], start: str = "start", branch_limit: int = 2000) -> DataFrame:
+def execute_plan(facts: DataFrame, starts: DataFrame, plan: list[tuple[str, str]], start: str = "start", branch_limit: int | None = 2000) -> DataFrame:
     """start, status, answers: what a plan of at most six steps (predicate, out or in) reaches from each start.
 
-    facts: subject, predicate, object. Status is none, found, ambiguous, or branch_limit where a step reaches more than so many. A start
+    facts: subject, predicate, object. Status is none, found, ambiguous, or branch_limit where a step reaches more than so many (None: no limit). A start
     that has passed the limit goes no further.
+
+    Starts that stand at the same nodes after a step are one class from there on, named by the digest of its nodes: a class takes the next step once,
+    however many starts it has.
     """
     if not 1 <= len(plan) <= 6 or any(way not in ("out", "in") for _, way in plan):
         raise ValueError("a plan has one to six steps, each out or in")
-    here = starts.select(start, F.col(start).alias("at"), F.lit(False).alias("over")).distinct()
+    placed = starts.select(start, F.col(start).cast("string").alias("class"), F.lit(False).alias("over")).where(F.col(start).isNotNull()).distinct()
+    here = starts.select(F.col(start).cast("string").alias("class"), F.col(start).alias("at")).where("at is not null").distinct()
     for predicate, way in plan:
         source, target = ("subject", "object") if way == "out" else ("object", "subject")
         edges = facts.where(F.col("predicate") == predicate).select(F.col(source).alias("at"), F.col(target).alias("next")).distinct()
-        live = here.where("not over").join(edges, "at").select(start, F.col("next").alias("at")).distinct()
-        counted = live.withColumn("__n", F.count("*").over(Window.partitionBy(start)))
-        stopped = counted.where(F.col("__n") > branch_limit).select(start, F.lit(None).cast(live.schema["at"].dataType).alias("at"), F.lit(True).alias("over")).distinct()
-        here = counted.where(F.col("__n") <= branch_limit).select(start, "at", F.lit(False).alias("over")).unionByName(stopped).unionByName(here.where("over"))
-    reached = here.groupBy(start).agg(F.max("over").alias("over"), F.array_join(F.array_sort(F.collect_set("at")), ",").alias("answers"), F.count("at").alias("n"))
+        sets = here.join(edges, "at").groupBy("class").agg(F.sort_array(F.collect_set("next")).alias("nodes")).where(F.size("nodes") > 0)
+        over = F.lit(False) if branch_limit is None else F.size("nodes") > branch_limit
+        sets = cut(sets.select("class", F.sha2(F.to_json("nodes"), 256).alias("to"), over.alias("past"), F.when(~over, F.col("nodes")).alias("nodes")), "plan")
+        moved = placed.where("not over").join(sets.select("class", "to", "past"), "class").select(start, F.col("to").alias("class"), F.col("past").alias("over"))
+        placed = moved.unionByName(placed.where("over"))
+        ends = sets.where("not past").groupBy(F.col("to").alias("class")).agg(F.first("nodes").alias("nodes"))
+        here = ends.select("class", F.explode("nodes").alias("at"))
+    told = ends.select("class", F.array_join("nodes", ",").alias("answers"), F.size("nodes").alias("n"))
+    reached = starts.select(start).distinct().join(placed, start, "left").join(told, "class", "left")  # the answers come last: they are long
     status = F.when(F.col("over"), "branch_limit").when(F.coalesce("n", F.lit(0)) == 0, "none").when(F.col("n") == 1, "found").otherwise("ambiguous")
-    return starts.select(start).distinct().join(reached, start, "left").select(start, status.alias("status"), F.coalesce("answers", F.lit("")).alias("answers"))
+    return reached.select(start, status.alias("status"), F.coalesce("answers", F.lit("")).alias("answers"))
 
 
 def plans_from(facts: DataFrame, starts: DataFrame, start: str = "start", hops: int = 6, most: int = 96) -> DataFrame:

@@ -122,7 +122,7 @@ _GRAPH_SQL = "g AS (SELECT 'o' || o_orderkey AS s, 'placed_by' AS p, 'c' || o_cu
 def plan_execution(spark, sf):
     """Which suppliers are based where a customer lives: out along lives_in, in along based_in."""
     starts = table(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("start"))
-    return ev.execute_plan(_graph(spark, sf), starts, [("lives_in", "out"), ("based_in", "in")])
+    return ev.execute_plan(_graph(spark, sf), starts, [("lives_in", "out"), ("based_in", "in")], branch_limit=None)
 
 
 @query("""WITH RECURSIVE f AS (SELECT 'o' || o_orderkey AS subject, 'placed_by' AS predicate, 'c' || o_custkey AS object FROM orders UNION SELECT 'c' || c_custkey, 'lives_in', 'n' || c_nationkey FROM customer UNION SELECT 's' || s_suppkey, 'based_in', 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'part_of', 'r' || n_regionkey FROM nation),

@@ -155,3 +155,14 @@ def test_capitals_beyond_ascii(spark):
     df = spark.createDataFrame([("Xe Erßie da", "Erßie"), ("İx Οδός ab", "AB")], "t string, s string")
     rows = evidence.grounded(df.withColumn("s", tx.upper_each(F.col("s"))), "t", "s").select("actual", "grounded").collect()
     assert [tuple(r) for r in rows] == [("Erßie", True), ("ab", True)]
+
+
+def test_plans_take_a_step_once_a_class(spark):
+    """Starts at the same node share what follows, over the limit of branches or without one."""
+    facts = [(f"c{i}", "in", "n0") for i in range(30)] + [(f"s{i:03}", "at", "n0") for i in range(40)]
+    df, starts = spark.createDataFrame(facts, "subject string, predicate string, object string"), spark.createDataFrame([(f"c{i}",) for i in range(31)], "start string")
+    steps = [("in", "out"), ("at", "in")]
+    got = {r["start"]: (r["status"], r["answers"]) for r in evidence.execute_plan(df, starts, steps, branch_limit=None).collect()}
+    assert got["c30"] == ("none", "") and {got[f"c{i}"] for i in range(30)} == {("ambiguous", ",".join(f"s{i:03}" for i in range(40)))}
+    limited = {r["start"]: (r["status"], r["answers"]) for r in evidence.execute_plan(df, starts, steps, branch_limit=39).collect()}
+    assert limited["c3"] == ("branch_limit", "") and limited["c30"] == ("none", "")
