@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from quillon.functions import parse, text as tx
 from quillon.operators import evidence as ev, facts as fx, ranking
-from quillon.plans.catalogue import _TWO_LISTS, BM25_SQL, CHAIN, NOON, ORDER, RANKED_SQL, _log, _now, _two_lists, bm25_topk, cosine_topk_earlier, query
+from quillon.plans.catalogue import _TWO_LISTS, BM25_SQL, CHAIN, NOON, ORDER, RANKED_SQL, _log, _now, _two_lists, _top5, cosine_topk_earlier, query
 from quillon.plans.tables import FACTS_SQL, GOLD_SQL, TOKENS_SQL, facts, gold, lexical, table
 
 _CHAINED = f"(SELECT *, lead(id) OVER (PARTITION BY user_id, event_type ORDER BY valid_from, id) AS nxt, lead(valid_from) OVER (PARTITION BY user_id, event_type ORDER BY valid_from, id) AS valid_to FROM ({FACTS_SQL}))"
@@ -29,13 +29,13 @@ def candidate_visibility(spark, sf):
 def trusted_valid_filter(spark, sf):
     trust = table(spark, sf, "labels").groupBy("doc_id").agg(F.min("quality").alias("q"))
     records = table(spark, sf, "documents").select("doc_id", "n_chars").join(trust, "doc_id", "left")
-    return ev.trusted_valid(bm25_topk(spark, sf), records, "doc_id", F.coalesce("q", F.lit(1)) == 1, F.col("n_chars") >= 200).select("item_id", "doc_id", "rank")
+    return ev.trusted_valid(_top5(spark, sf), records, "doc_id", F.coalesce("q", F.lit(1)) == 1, F.col("n_chars") >= 200).select("item_id", "doc_id", "rank")
 
 
 @query(f"WITH {_TOP5} SELECT item_id, doc_id, rank FROM r WHERE item_id % 4 <> doc_id % 4 AND CAST(('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 5 <> 0")
 def leakage_filter(spark, sf):
     held = table(spark, sf, "documents").where(tx.fold_of(F.col("doc_id"), 5) == 0).select("doc_id")
-    return ev.without_held_out(bm25_topk(spark, sf), held, "doc_id", F.col("item_id") % 4 == F.col("doc_id") % 4).select("item_id", "doc_id", "rank")
+    return ev.without_held_out(_top5(spark, sf), held, "doc_id", F.col("item_id") % 4 == F.col("doc_id") % 4).select("item_id", "doc_id", "rank")
 
 
 @query("WITH n AS (SELECT DISTINCT lower(name) AS name FROM (SELECT regexp_extract(text, '^[A-Za-z]+') AS name FROM benchmark UNION ALL SELECT regexp_extract(text, '^[A-Za-z]+ [A-Za-z]+') FROM benchmark) WHERE name <> ''), t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents), p AS (SELECT DISTINCT doc_id, name FROM (SELECT doc_id, unnest(t) AS name FROM t UNION ALL SELECT doc_id, t[i] || ' ' || t[i + 1] FROM (SELECT doc_id, t, unnest(range(1, len(t))) AS i FROM t)) JOIN n USING (name)), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(name) DESC, name) AS i FROM p) SELECT doc_id, string_agg(name, ',' ORDER BY i) AS anchors FROM r WHERE i <= 16 GROUP BY 1")
@@ -55,7 +55,7 @@ def privacy_scan(spark, sf):
 @query(f"WITH {_TOP5}, q AS (SELECT item_id, list(term) AS q FROM qt GROUP BY 1), x AS (SELECT item_id, doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t, q FROM r JOIN documents USING (doc_id) JOIN q USING (item_id) WHERE rank = 1), y AS (SELECT *, list_transform(range(1, greatest(len(t) - 24 + 1, 1) + 1), lambda i: len(list_filter(t[i:i + 23], lambda w: list_contains(q, w)))) AS n FROM x), z AS (SELECT *, list_position(n, list_max(n)) AS i FROM y) SELECT item_id, doc_id, array_to_string(list_transform(t[i:i + 23], lambda w: CASE WHEN list_contains(q, w) THEN '[' || w || ']' ELSE w END), ' ') AS snippet, CAST(list_max(n) AS BIGINT) AS hits FROM z")
 def snippet_extraction(spark, sf):
     terms = lexical(spark, sf)[0].groupBy("item_id").agg(F.collect_set("term").alias("q"))
-    pairs = bm25_topk(spark, sf).where("rank = 1").join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").join(terms, "item_id")
+    pairs = _top5(spark, sf).where("rank = 1").join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").join(terms, "item_id")
     return ev.snippets(pairs, "item_id", "doc_id", "text", "q")
 
 
@@ -157,13 +157,13 @@ _HOP2 = f"{_TOP5}, q2 AS (SELECT DISTINCT item_id, term FROM r JOIN posts USING
 @query(f"WITH {_HOP2} SELECT item_id, doc_id, rank, 1 AS hop FROM r UNION ALL SELECT item_id, u.doc_id, m + 1, 2 FROM u JOIN (SELECT item_id, max(rank) AS m FROM r GROUP BY 1) USING (item_id) WHERE i = 1")
 def second_hop(spark, sf):
     index = lexical(spark, sf)[1]
-    search = lambda terms: ranking.top(ranking.bm25(terms, index, "item_id", "doc_id"), 10, "item_id", "doc_id")  # noqa: E731  (whole texts ask: bounds would spare little)
-    return ev.second_hop(bm25_topk(spark, sf), search, table(spark, sf, "documents").select("doc_id", "text"), "item_id", "doc_id")
+    search = lambda terms: ranking.bm25_top(terms, index, "item_id", "doc_id", 10)
+    return ev.second_hop(_top5(spark, sf), search, table(spark, sf, "documents").select("doc_id", "text"), "item_id", "doc_id")
 
 
 @query(f"WITH {_TOP5} SELECT item_id, lang, string_agg(DISTINCT source, ',' ORDER BY source) AS entities FROM r JOIN documents USING (doc_id) WHERE source IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT source) >= 2")
 def sibling_enumeration(spark, sf):
-    context = bm25_topk(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id").where("source is not null")
+    context = _top5(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id").where("source is not null")
     return ev.siblings(context, "item_id", "lang", "source")
 
 

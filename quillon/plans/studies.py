@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from quillon.functions import text as tx
 from quillon.operators import controls, graphs, ranking
-from quillon.plans.catalogue import BM25_SQL, RANKED_SQL, _arms, _edges, _events, _scored, _EDGES, bm25_topk, query, session_windows  # noqa: F401
+from quillon.plans.catalogue import BM25_SQL, RANKED_SQL, _arms, _edges, _events, _scored, _EDGES, _top5, query, session_windows  # noqa: F401
 from quillon.plans.tables import GOLD_SQL, TOKENS_SQL, gold, lexical, table
 
 
@@ -40,7 +40,7 @@ def mode_so_far(spark, sf):
 
 @query(f"WITH {TOKENS_SQL}, {BM25_SQL.format(dl='dl')}, r AS ({RANKED_SQL.format(k=5)}), {GOLD_SQL}, h AS (SELECT g.item_id, min(rank) AS r FROM gold g LEFT JOIN r USING (item_id, doc_id) GROUP BY 1) SELECT count(*) AS queries, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END), 6) AS top1, round(avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0.0 END), 6) AS top3 FROM h")
 def self_retrieval(spark, sf):
-    return controls.self_retrieval(bm25_topk(spark, sf), gold(spark, sf), "item_id", "doc_id")
+    return controls.self_retrieval(_top5(spark, sf), gold(spark, sf), "item_id", "doc_id")
 
 
 @query(f"WITH {TOKENS_SQL}, {BM25_SQL.format(dl='dl')}, t AS (SELECT item_id, max(score) AS score FROM scored GROUP BY 1), c AS (SELECT quantile_disc(score, 0.75) AS threshold FROM t) SELECT threshold, CAST(sum(CASE WHEN score >= threshold THEN 1 ELSE 0 END) AS BIGINT) AS fires FROM t, c GROUP BY 1")

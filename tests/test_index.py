@@ -88,3 +88,11 @@ def test_a_tiny_and_an_empty_table(spark, tmp_path):
         asked = spark.createDataFrame([(1, "a"), (1, "zz")], "q bigint, term string")
         assert ranking.bm25_top(asked, ix, "q", "doc", 5).count() == (1 if len(rows) == 1 else 0)
         assert ranking.visible_bm25_top(asked.withColumn("cutoff", F.lit(5)), ix, "q", "doc", 5).count() == (1 if len(rows) == 1 else 0)
+
+
+def test_blocks_move_once_and_pairs_never(corpus):
+    """A block goes to its range of documents, whichever queries ask for it; scores are summed there."""
+    _, _, _, ix, asked = corpus
+    for scored in (ranking.bm25(asked, ix, "q", "doc"), ranking.jaccard(asked, ix, "q", "doc"), ranking.idf_coverage(asked, ix, "q", "doc")):
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(range" in plan and plan.count("Exchange hashpartitioning") == 1, plan
