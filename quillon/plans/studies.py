@@ -8,6 +8,7 @@ from quillon.functions import text as tx
 from quillon.operators import controls, graphs, ranking
 from quillon.plans.catalogue import BM25_SQL, RANKED_SQL, _arms, _edges, _events, _scored, _EDGES, _top5, query, session_windows  # noqa: F401
 from quillon.plans.tables import GOLD_SQL, TOKENS_SQL, gold, lexical, table
+from quillon.sources.index import open_index
 
 
 @query(f"WITH {TOKENS_SQL}, nn AS (SELECT count(DISTINCT doc_id) AS n FROM posts), scored AS (SELECT item_id, doc_id, round(sum(ln((nn.n + 1) / (df + 1)) + 1), 6) AS score FROM qt JOIN posts USING (term) JOIN df USING (term), nn GROUP BY ALL) {RANKED_SQL.format(k=5)}")
@@ -23,9 +24,9 @@ _HEAD = "ht AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(
 def fts_weighted(spark, sf):
     """BM25 over two fields: a document's first line (its title, weight 4) and its whole text (weight 1)."""
     asked, posts = lexical(spark, sf)
-    opening = ranking.postings(table(spark, sf, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("text")), "doc_id")
-    fields = {"title": (ranking.bm25(asked, opening, "item_id", "doc_id"), 4.0), "body": (ranking.bm25(asked, posts, "item_id", "doc_id"), 1.0)}
-    return ranking.top(controls.field_weighted(fields, "item_id", "doc_id"), 5, "item_id", "doc_id").select("item_id", "doc_id", "score", "rank")
+    titles = table(spark, sf, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("text"))
+    opening = open_index(titles, "doc_id", name="titles", ranges=posts.ranges)
+    return ranking.bm25_fields_top(asked, [(opening, 4.0), (posts, 1.0)], "item_id", "doc_id", 5).select("item_id", "doc_id", "score", "rank")
 
 
 @query("WITH q AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda x: regexp_full_match(x, '[A-Z][a-z]{2,}'))) AS name FROM benchmark), d AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda x: regexp_full_match(x, '[A-Z][a-z]{2,}'))) AS name FROM documents), r AS (SELECT name FROM d GROUP BY 1 HAVING count(*) <= 3) SELECT item_id, doc_id, count(*) AS hits FROM d JOIN r USING (name) JOIN q USING (name) GROUP BY ALL")

@@ -96,3 +96,13 @@ def test_blocks_move_once_and_pairs_never(corpus):
     for scored in (ranking.bm25(asked, ix, "q", "doc"), ranking.jaccard(asked, ix, "q", "doc"), ranking.idf_coverage(asked, ix, "q", "doc")):
         plan = scored._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(range" in plan and plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_fields_are_summed_where_their_document_is(spark, corpus, tmp_path_factory):
+    texts, _, docs, ix, asked = corpus
+    heads = docs.select("doc", F.expr("substring(text, 1, 12)").alias("text"))
+    other = index.read_index(spark, index.build_index(heads, "doc", f"file://{tmp_path_factory.mktemp('heads')}", ranges=ix.ranges), "doc")
+    body, head = (ranking.bm25(asked, x, "q", "doc").withColumnRenamed("score", n) for x, n in ((ix, "b"), (other, "h")))
+    whole = body.join(head, ["q", "doc"], "full").select("q", "doc", F.round(4 * F.coalesce("h", F.lit(0.0)) + F.coalesce("b", F.lit(0.0)), 6).alias("score"))
+    got = ranking.bm25_fields_top(asked, [(other, 4.0), (ix, 1.0)], "q", "doc", 5)
+    assert told(got) == told(ranking.top(whole, 5, "q", "doc"))
