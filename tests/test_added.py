@@ -9,6 +9,7 @@ import math
 import os
 import random
 import shutil
+import tracemalloc
 import time
 
 
@@ -51,6 +52,22 @@ def test_every_retention_policy_against_a_loop(spark, policy):
     assert got == set().union(*(loop_store([r for r in rows if r[0] == s], policy, 0.3) for s in range(3)))
 
 
+def test_mentions_grow_a_store_by_its_rows_and_not_by_their_pairs():
+    gate, rng, rows = streams.Gate(0.9), random.Random(5), []
+    tracemalloc.start()
+    for i in range(3000):
+        rows.append((0, i, rng.randint(1, 9), rng.randint(0, 9), 0, i % 2, 0))
+        gate.put(i, rows[-1][2], float(rows[-1][3]), rows[-1][5])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10_000_000  # a note for each row of the topic and mention would take more than 100 MB
+    assert len(gate.size) > 1500 and sum(map(len, gate.rows.values())) == len(gate.size)
+    gate, rows = streams.Gate(0.4), [(0, i, rng.randint(1, 9), rng.randint(-2, 9) / 4, 0, rng.randint(0, 12), 0) for i in range(300)]
+    for r in rows:
+        gate.put(r[1], r[2], r[3], r[5])
+    assert {(0, s) for s in gate.size} == loop_store(rows, "mention", 0.4)
+
+
 def test_event_time_windows_drop_late_rows_on_a_stream(spark, tmp_path):
     kind = "ts timestamp, k string, value double"
     for part, minutes in enumerate(([0, 5, 20], [61, 2], [240], [241], [3, 242])):  # 2 is late but within its time, 3 is too late
