@@ -73,6 +73,18 @@ def give_back() -> None:
         pass  # another C library: it keeps what it keeps
 
 
+def giving_back(run):
+    """A function of a task's batches that gives back what it freed when they end."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a binary column, nulls as empty, without copying the values where possible."""
     if column.null_count:

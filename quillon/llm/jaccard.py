@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import binary_parts, chunks, free, mix, persist, scan_words
+from .common import binary_parts, chunks, free, giving_back, mix, persist, scan_words
 from .graph import components, forest
 
 _LOW = np.uint64((1 << 56) - 1)
@@ -142,7 +142,7 @@ def shingle_ranks(docs: DataFrame, words: int, buckets: int, text: str) -> np.nd
         for i in range(0, len(at), 20_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 20_000], pa.int32()), pa.array(total[at[i : i + 20_000]], pa.int64())], names=["bucket", "n"])
 
-    table = docs.select(F.col(f"`{text}`").cast("string").cast("binary").alias("t")).mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    table = docs.select(F.col(f"`{text}`").cast("string").cast("binary").alias("t")).mapInArrow(giving_back(run), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     out = np.ones(buckets)
     out[table["bucket"].to_numpy(np.int64)] = table["n"].to_numpy(np.int64)
     return np.minimum(255, np.round(8 * np.log2(out))).astype(np.uint8)
@@ -174,7 +174,7 @@ def signatures(docs: DataFrame, words: int, percent: int, ranks, doc_id: str, te
                 bits = pa.array([x if first else None for x, first in zip(bitmaps(keys, ends), new.tolist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(node.view(np.int64)), bits, prefix], names=["doc_id", "n", "node", "bitmap", "prefix"])
 
-    return source.mapInArrow(run, "doc_id bigint, n bigint, node bigint, bitmap binary, prefix array<bigint>")
+    return source.mapInArrow(giving_back(run), "doc_id bigint, n bigint, node bigint, bitmap binary, prefix array<bigint>")
 
 
 TILES = "token bigint, node bigint, n bigint, mark bigint, m bigint, low bigint, low_n bigint, high bigint, high_n bigint"
@@ -248,7 +248,7 @@ def shared_tokens(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(columns[0]), blank, blank, *[pa.array(c) for c in columns[1:]]], names=NAMES)
 
     NAMES = [x.split()[0] for x in TILES.split(", ")]
-    return rows.select("token", "part", "node", "n").mapInArrow(run, TILES)
+    return rows.select("token", "part", "node", "n").mapInArrow(giving_back(run), TILES)
 
 
 def bounded(pairs: DataFrame, percent: int) -> DataFrame:
@@ -266,7 +266,7 @@ def bounded(pairs: DataFrame, percent: int) -> DataFrame:
             kept = pa.array(fits)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
 
-    return pairs.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(run, "a bigint, b bigint")
+    return pairs.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(giving_back(run), "a bigint, b bigint")
 
 
 def members(keys: DataFrame, bits: int = 1 << 24) -> np.ndarray:
@@ -311,7 +311,7 @@ def sets_of(nodes: DataFrame, docs: DataFrame, words: int, doc_id: str, text: st
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)[[i for i, _ in out]]), pa.array([k for _, k in out], pa.binary())], names=["node", "keys"])
 
-    return source.mapInArrow(run, "node bigint, keys binary")
+    return source.mapInArrow(giving_back(run), "node bigint, keys binary")
 
 
 def unpack(keys: bytes) -> np.ndarray:
@@ -347,7 +347,7 @@ def linking(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             kept = pa.array(link)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
 
-    return both.mapInArrow(run, "a bigint, b bigint").distinct()
+    return both.mapInArrow(giving_back(run), "a bigint, b bigint").distinct()
 
 
 def differing(bits: dict[int, np.ndarray], place: np.ndarray, width: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -464,7 +464,7 @@ def tile_links(rows: DataFrame, percent: int, most: int) -> DataFrame:
         if held is not None and held.num_rows > 1:
             yield from compare(held.combine_chunks())
 
-    return rows.select("token", "i", "j", "own", "n", "node", "root", "bitmap").mapInArrow(run, "a bigint, b bigint, token bigint")
+    return rows.select("token", "i", "j", "own", "n", "node", "root", "bitmap").mapInArrow(giving_back(run), "a bigint, b bigint, token bigint")
 
 
 def dealt_blocks(here: DataFrame, block: int) -> DataFrame:

@@ -786,3 +786,16 @@ def test_words_of_rows():
 
 def test_scratch_follows_the_session(spark):
     assert scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_tasks_of_the_join_give_back_what_they_freed(monkeypatch):
+    from quillon.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    task = common.giving_back(lambda batches: (2 * b for b in batches))
+    assert list(task([1, 2])) == [2, 4] and len(calls) == 1
+    stopped = task([1, 2])
+    next(stopped)
+    stopped.close()  # a task that ends early
+    assert len(calls) == 2
