@@ -106,3 +106,11 @@ def test_fields_are_summed_where_their_document_is(spark, corpus, tmp_path_facto
     whole = body.join(head, ["q", "doc"], "full").select("q", "doc", F.round(4 * F.coalesce("h", F.lit(0.0)) + F.coalesce("b", F.lit(0.0)), 6).alias("score"))
     got = ranking.bm25_fields_top(asked, [(other, 4.0), (ix, 1.0)], "q", "doc", 5)
     assert told(got) == told(ranking.top(whole, 5, "q", "doc"))
+
+
+def test_terms_and_documents_meet_the_postings_held_or_exchanged_alike(spark, corpus, tmp_path, monkeypatch):
+    docs = corpus[2].where("doc < 60")
+    rows = lambda name: sorted(map(tuple, index.read_index(spark, index.build_index(docs, "doc", f"file://{tmp_path}/{name}"), "doc").posts.select("doc", "term", "tf", "dl", "df", "dn", F.round("unit", 9)).collect()))
+    held = rows("held")
+    monkeypatch.setattr(index, "HELD", 0)
+    assert held and rows("exchanged") == held
