@@ -3,7 +3,7 @@
 Outlines. Each page's DOM is reduced to an outline: a tree of the block elements that hold text, like siblings folded into one node,
 named by tag and classes (digits in class names count as one sign). Pages of a host with equal outlines are aligned already.
 Alignment. The host's most frequent outline (exact counts of its different pages) is its wrapper; every other outline of the host is
-aligned with it once by simple tree matching: tags equal and order kept, by the greatest worth (very wide elements: siblings of the same classes first).
+aligned with it once by simple tree matching: tags equal and order kept, by the greatest worth.
 A matched node is the wrapper's slot; an unmatched one is a slot of its own path.
 Template. Exactly and over all its pages, a host counts how many pages have a slot, how many have a text in it, and how many have
 the same set of texts in it. A text that most pages with its slot have is template; a slot whose whole set of texts is the same on most pages is constant.
@@ -28,12 +28,13 @@ gives an empty one; other columns are kept, those that clash with text and n_cha
 
 from __future__ import annotations
 
-import bisect
 import collections
 import html as entities
 import re
+import tempfile
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -239,117 +240,115 @@ def affinity(a: str, b: str) -> float:
     return 1 + 0.5 * (len(x & y) / len(x | y) if x or y else 1.0)
 
 
-#: Siblings of at most FULL pairs are aligned exactly. Of more, those of the same key are partners first, and what lies between partners is aligned
-#: exactly up to FULL pairs, else in a band around the diagonal.
-FULL, BAND = 4096, 32
-
+#: Worths are counted in steps of 1 / STEPS, so that sums are exact.
+STEPS = 1 << 20
+#: Bytes of the choices of one alignment that stay in memory; what is more lies in a temporary file.
+CHOICES = 1 << 26
+
+
+class Level:
+    """The nodes of one depth of an outline, siblings side by side. first: the places of first siblings; shelf: for each node the number of its group of
+    siblings, times more than any alignment is worth; parents, lasts: the places, in the level above, of nodes with children, and here of their last children."""
+
+    def __init__(self, keys: list[str], above: list[int], most: int):
+        parents = np.array(above, dtype=np.int64)
+        first = np.ones(len(above), dtype=bool)
+        first[1:] = parents[1:] != parents[:-1]
+        self.first, self.shelf = np.flatnonzero(first), (np.cumsum(first) - 1) * most
+        self.parents, self.lasts = parents[self.first], np.append(self.first[1:], len(above)) - 1
+        self.tags, places = {}, collections.defaultdict(list)
+        classes = [set(k.split(" ")[1:]) for k in keys]
+        for tag in {k.split(" ", 1)[0] for k in keys}:
+            self.tags[tag] = np.array([k.split(" ", 1)[0] == tag for k in keys])
+        for i, names in enumerate(classes):
+            for name in names or {""}:
+                places[name].append(i)
+        self.places = {name: np.array(at, dtype=np.int64) for name, at in places.items()}
+        self.sizes = np.array([len(x) for x in classes], dtype=np.int64)
+
+    def worth(self, key: str) -> np.ndarray:
+        """The affinity() of a key to each node, in steps; 0 where tags differ."""
+        tag, *names = key.split(" ")
+        out = np.zeros(len(self.sizes), dtype=np.int64)
+        if (same := self.tags.get(tag)) is None:
+            return out
+        out[same] = STEPS
+        shared = [self.places[name] for name in set(names) or {""} if name in self.places]
+        if shared:
+            at, both = np.unique(np.concatenate(shared), return_counts=True)
+            at, both = at[same[at]], both[same[at]]
+            out[at] += np.rint(STEPS / 2 * (both / (len(set(names)) + self.sizes[at] - both) if names else 1.0)).astype(np.int64)
+        return out
 
-def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The longest part of pairs (first numbers ascending) whose second numbers ascend too."""
-    ends, last, before = [], [], []
-    for k, (_, y) in enumerate(pairs):
-        at = bisect.bisect_left(ends, y)
-        before.append(last[at - 1] if at else -1)
-        if at == len(ends):
-            ends.append(y)
-            last.append(k)
-        else:
-            ends[at], last[at] = y, k
-    out, k = [], last[-1] if last else -1
-    while k >= 0:
-        out.append(pairs[k])
-        k = before[k]
-    return out[::-1]
-
-
-class Gap:
-    """Siblings of two nodes between two partners: their alignment of the greatest worth, order kept."""
-
-    def __init__(self, xs: list[int], ys: list[int]):
-        self.xs, self.ys = xs, ys
-        full = len(xs) * len(ys) <= FULL
-        wide = len(ys) if full else BAND + len(ys) // len(xs)
-        middle = [r * len(ys) // len(xs) for r in range(len(xs) + 1)]
-        self.spans = [(max(0, m - wide), min(len(ys), m + wide)) for m in middle]
-
-    def pairs(self):
-        return ((x, y) for r, x in enumerate(self.xs, 1) for y in self.ys[max(0, self.spans[r][0] - 1) : self.spans[r][1]])
-
-    def solve(self, worth: dict[tuple[int, int], float]) -> float:
-        self.table = [[0.0] * (self.spans[0][1] - self.spans[0][0] + 1)]
-        for r, x in enumerate(self.xs, 1):
-            low, high = self.spans[r]
-            row: list[float] = []
-            for m in range(low, high + 1):
-                best = max(self.at(r - 1, m), row[-1] if row else 0.0)
-                if m:
-                    best = max(best, self.at(r - 1, m - 1) + worth.get((x, self.ys[m - 1]), 0.0))
-                row.append(best)
-            self.table.append(row)
-        return self.table[-1][-1]
-
-    def at(self, r: int, m: int) -> float:
-        """The worth of the first r and the first m siblings; beyond the band what is best within it."""
-        low, high = self.spans[r]
-        return -1.0 if m < low else self.table[r][min(m, high) - low]
-
-    def matches(self):
-        r, m = len(self.xs), len(self.ys)
-        while r and m:
-            here = self.at(r, m)
-            if here == self.at(r - 1, m):
-                r -= 1
-            elif m > self.spans[r][0] and here == self.at(r, m - 1):
-                m -= 1
-            else:
-                r, m = r - 1, m - 1
-                yield self.xs[r], self.ys[m]
-
-
-def siblings(xs: list[int], ys: list[int], keys_a: list[str], keys_b: list[str]) -> tuple[list[tuple[int, int]], list[Gap]]:
-    """(partners, gaps): up to FULL pairs one gap of all; else siblings of the same key in the same order, as many as can be (a key occurs once among siblings, as like ones are
-    folded), and what lies between them on both sides."""
-    if xs and ys and len(xs) * len(ys) <= FULL:
-        return [], [Gap(xs, ys)]
-    where = {keys_b[y]: k for k, y in enumerate(ys)}
-    same = rising([(k, where[keys_a[x]]) for k, x in enumerate(xs) if keys_a[x] in where])
-    gaps, i, j = [], 0, 0
-    for k, m in [*same, (len(xs), len(ys))]:
-        if k > i and m > j:
-            gaps.append(Gap(xs[i:k], ys[j:m]))
-        i, j = k + 1, m + 1
-    return [(xs[k], ys[m]) for k, m in same], gaps
+    def folded(self, table: np.ndarray, worth: np.ndarray) -> np.ndarray:
+        """The next row of the tables of all siblings at once: one more node of the other outline, worth so much with each node here."""
+        one = worth.copy()
+        one[1:] += table[:-1]
+        one[self.first] = worth[self.first]
+        return np.maximum.accumulate(np.maximum(table, one) + self.shelf) - self.shelf
 
 
 def tree_matching(a: Outline, b: Outline) -> dict[int, int]:
     """Simple tree matching: a mapping of nodes of a to nodes of b in which roots match, parents of matched nodes match, tags are equal and
-    the order of siblings is kept, of the greatest worth; among siblings of more than FULL pairs those of the same tag and classes are matched
-    first, the most that keep their order. Pairs of nodes are worked off a stack, children first."""
-    ca, cb = a.children(), b.children()
-    tag_a, tag_b = [k.split(" ", 1)[0] for k in a.keys], [k.split(" ", 1)[0] for k in b.keys]
-    worth: dict[tuple[int, int], float] = {}
-    plans: dict[tuple[int, int], tuple[list[tuple[int, int]], list[Gap]]] = {}
-    if not a.keys or not b.keys or tag_a[0] != tag_b[0]:
+    the order of siblings is kept, of the greatest worth, whatever the number of siblings. Nodes of a are taken depth first and each meets all nodes of b of its depth at once, so that memory grows with b;
+    what was chosen is two bits a pair of nodes of one depth, for the way back."""
+    if not a.keys or not b.keys or a.keys[0].split(" ", 1)[0] != b.keys[0].split(" ", 1)[0]:
         return {}
-    stack = [(0, 0, False)]
-    while stack:
-        i, j, ready = stack.pop()
-        if not ready:
-            partners, gaps = plans[i, j] = siblings(ca[i], cb[j], a.keys, b.keys)
-            stack.append((i, j, True))
-            stack += [(x, y, False) for x, y in partners]
-            stack += [(x, y, False) for g in gaps for x, y in g.pairs() if tag_a[x] == tag_b[y]]
-            continue
-        partners, gaps = plans[i, j]
-        worth[i, j] = affinity(a.keys[i], b.keys[j]) + sum(worth[p] for p in partners) + sum(g.solve(worth) for g in gaps)
-    out, walk = {}, [(0, 0)]
-    while walk:
-        i, j = walk.pop()
-        out[i] = j
-        partners, gaps = plans[i, j]
-        walk += partners
-        for g in gaps:
-            walk += g.matches()
+    ca, cb = a.children(), b.children()
+    nodes, levels, place = [[0]], [Level([b.keys[0]], [0], 0)], {0: 0}
+    most = 2 * STEPS * (min(len(a.keys), len(b.keys)) + 1)
+    while below := [(k, c) for k, j in enumerate(nodes[-1]) for c in cb[j]]:
+        nodes.append([c for _, c in below])
+        place.update((c, k) for k, c in enumerate(nodes[-1]))
+        levels.append(Level([b.keys[c] for c in nodes[-1]], [k for k, _ in below], most))
+    wide = [-(-len(x) // 8) for x in nodes]
+    offsets: dict[int, int] = {}
+    with tempfile.SpooledTemporaryFile(CHOICES) as choices:
+        # Of each open node of a: its children still to come, and the table of those before them with the children of every node of b of its depth.
+        open_ = [(0, iter(ca[0]), np.zeros(len(nodes[1]) if len(nodes) > 1 else 0, dtype=np.int64))]
+        while open_:
+            i, rest, table = open_[-1]
+            depth = len(open_)
+            c = next(rest, None) if depth < len(nodes) else None
+            if c is not None:
+                open_.append((c, iter(ca[c]), np.zeros(len(nodes[depth + 1]) if depth + 1 < len(nodes) else 0, dtype=np.int64)))
+                continue
+            open_.pop()
+            if not open_:
+                break
+            here = levels[depth - 1]
+            worth = here.worth(a.keys[i])
+            if ca[i] and depth < len(nodes):
+                deeper = levels[depth]
+                worth[deeper.parents] += np.where(worth[deeper.parents] > 0, table[deeper.lasts], 0)
+            up, more, before = open_[-1]
+            after = here.folded(before, worth)
+            left = np.zeros(len(after), dtype=bool)
+            left[1:] = after[1:] == after[:-1]
+            left[here.first] = after[here.first] == 0
+            offsets[i] = choices.tell()
+            choices.write(np.packbits(after == before).tobytes() + np.packbits(left).tobytes())
+            open_[-1] = (up, more, after)
+        out, walk = {}, [(0, 0, 0)]
+        while walk:
+            i, j, depth = walk.pop()
+            out[i] = j
+            r, m, low = len(ca[i]), len(cb[j]), place[cb[j][0]] if cb[j] else 0
+            while r and m:
+                c, k = ca[i][r - 1], low // 8
+                size = (low + m - 1) // 8 + 1 - k
+                choices.seek(offsets[c] + k)
+                skipped = choices.read(size)
+                choices.seek(offsets[c] + wide[depth + 1] + k)
+                behind, r = choices.read(size), r - 1
+                while m:
+                    byte, bit = divmod(low + m - 1 - 8 * k, 8)
+                    if skipped[byte] & (128 >> bit):
+                        break
+                    m -= 1
+                    if not behind[byte] & (128 >> bit):
+                        walk.append((c, cb[j][m], depth + 1))
+                        break
     return out
 
 

@@ -537,6 +537,25 @@ def test_matching_is_the_best_where_no_siblings_have_the_same_key():
         assert sum(html.affinity(a.keys[i], b.keys[j]) for i, j in got.items()) == pytest.approx(brute_matching(a, b))
 
 
+def test_matching_is_the_best_whatever_the_number_of_siblings():
+    """Siblings of the same key are no partners where all others are lost by it, on wide pages as on narrow ones."""
+    for n in (5, 70, 900):
+        a = html.Outline([-1] + [0] * (n + 1), ["body", "div same"] + [f"div a{k}" for k in range(n)], [False] * (n + 2))
+        b = html.Outline([-1] + [0] * (n + 1), ["body"] + [f"div b{k}" for k in range(n)] + ["div same"], [False] * (n + 2))
+        assert html.tree_matching(a, b) == {k: k for k in range(n + 2)}
+    rng = random.Random(9)
+
+    def tree(wide, deep):
+        parents = [-1] + [0] * wide + [rng.randint(1, wide) for _ in range(deep)]
+        return html.Outline(parents, ["body"] + [f"{rng.choice(['div', 'p'])} {rng.choice('abc')} k{k}" for k in rng.sample(range(2 * wide), wide)] + [f"p d{k} {rng.choice('xyz')}" for k in range(deep)], [False] * len(parents))
+
+    for _ in range(3):
+        a, b = tree(70, 120), tree(80, 120)
+        got = html.tree_matching(a, b)
+        assert all(a.keys[i].split()[0] == b.keys[j].split()[0] and (i == 0 or got[a.parents[i]] == b.parents[j]) for i, j in got.items())
+        assert sum(html.affinity(a.keys[i], b.keys[j]) for i, j in got.items()) == pytest.approx(brute_matching(a, b))
+
+
 def test_zero_width_space_is_no_white_space():
     assert html.main_text("<p>foo\u200bbar  baz</p>") == "foo\u200bbar baz"
 
