@@ -114,3 +114,33 @@ def test_terms_and_documents_meet_the_postings_held_or_exchanged_alike(spark, co
     held = rows("held")
     monkeypatch.setattr(index, "HELD", 0)
     assert held and rows("exchanged") == held
+
+
+def test_the_build_moves_texts_and_blocks_but_no_postings(spark, corpus, tmp_path):
+    docs, ix = corpus[2], corpus[3]
+
+    def moved():
+        store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = moved()
+    index.build_index(docs, "doc", f"file://{tmp_path}")
+    assert moved() - before < ix.posts.count() / 2
+
+
+def test_postings_of_odd_texts_and_keys(spark, tmp_path):
+    """Texts that touch, are empty or null, hold other scripts or capitals of theirs that become a-z; keys that are null or stand in several rows."""
+    texts = ["ab", "cd", "", "İx Klm Straße", None, "a-b_c\tA\n9", "é", "zz9", "ab AB aB", "\U0001f600a\U0001f600"]
+    rows = [(f"k{i % 7}" if i % 5 else None, t) for i, t in enumerate(texts * 3)]
+    docs = spark.createDataFrame(rows, "doc string, text string").repartition(3)
+    want = sorted((str(r["doc"]), r["term"], r["tf"]) for r in index.postings(docs, "doc").collect())
+    for k, tokens in enumerate((index.ascii_tokens, lambda text: index.ascii_tokens(text))):
+        ix = index.read_index(spark, index.build_index(docs, "doc", f"file://{tmp_path}/{k}", tokens=tokens, ranges=3), "doc")
+        got = ix.posts.collect()
+        assert sorted((str(r["doc"]), r["term"], r["tf"]) for r in got) == want
+        lengths = Counter()
+        for doc, _, tf in want:
+            lengths[doc] += tf
+        assert all(r["dl"] == lengths[str(r["doc"])] and r["dn"] == sum(d == str(r["doc"]) for d, _, _ in want) for r in got)
+        assert {(str(r["doc"]), r["dl"]) for r in ix.docs.collect()} == set(lengths.items())
