@@ -144,3 +144,28 @@ def test_postings_of_odd_texts_and_keys(spark, tmp_path):
             lengths[doc] += tf
         assert all(r["dl"] == lengths[str(r["doc"])] and r["dn"] == sum(d == str(r["doc"]) for d, _, _ in want) for r in got)
         assert {(str(r["doc"]), r["dl"]) for r in ix.docs.collect()} == set(lengths.items())
+
+
+def test_token_grams_are_equal_where_tokens_are(spark):
+    texts = ["a bb c dd e", "A-bb c, dd E f", "", None, "a bb c dd", "x a bb c dd e f g", "ab b c dd e", "e dd c bb a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc bigint, text string").repartition(1)
+    found = {}
+    for r in index.token_grams(docs, "doc", 5).collect():
+        found.setdefault(r["gram"], []).append(r["doc"])
+    assert sorted(sorted(v) for v in found.values()) == [[0, 1, 5], [1, 5], [5], [5], [6], [7]]
+    assert sorted(r["doc"] for r in index.token_grams(docs, "doc", 5, at=1).collect()) == [1, 5]
+    assert index.token_grams(docs.where("doc = 3"), "doc", 5).count() == 0
+
+
+def test_passages_are_found_without_exchanging_texts(spark, tmp_path):
+    """Also where a passage begins and ends inside tokens, and where it is short."""
+    from quillon.plans.tables import gold
+
+    words = "one two three four five six seven eight nine ten".split()
+    spark.createDataFrame([(k, f"d{k} " + " ".join(words[k % 3 :]) + " end") for k in range(300)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    passages = ["wo three four five six seven eig", "one two three four five six seven", "three four fi", "nine", "seven six five four three two one zero"]
+    spark.createDataFrame(list(enumerate(passages)), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = gold(spark, str(tmp_path))
+    texts = [f"d{k} " + " ".join(words[k % 3 :]) + " end" for k in range(300)]
+    assert sorted(map(tuple, found.collect())) == [(i, k) for i, p in enumerate(passages) for k in range(300) if p in texts[k]]
+    assert "hashpartitioning(doc_id" not in found._jdf.queryExecution().executedPlan().toString()
