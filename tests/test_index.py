@@ -169,3 +169,12 @@ def test_passages_are_found_without_exchanging_texts(spark, tmp_path):
     texts = [f"d{k} " + " ".join(words[k % 3 :]) + " end" for k in range(300)]
     assert sorted(map(tuple, found.collect())) == [(i, k) for i, p in enumerate(passages) for k in range(300) if p in texts[k]]
     assert "hashpartitioning(doc_id" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_belongs_to_a_document_is_written_once(corpus):
+    """Not beside each of its postings: blocks hold places and occurrences, and a range's row its documents' keys, lengths and norms."""
+    texts, _, _, ix, _ = corpus
+    assert [name for name, kind in ix.blocks.dtypes if kind.startswith("array")] == ["at", "tf"]
+    assert ix.rows.count() == ix.ranges and ix.rows.agg(F.sum(F.size("keys"))).first()[0] == sum(bool(t) for t in texts) == ix.n
+    held = {r["doc"]: r["length"] for r in ix.posts.groupBy("doc").agg(F.sum(F.col("unit") ** 2).alias("length")).collect()}
+    assert len(held) == ix.n and all(abs(v - 1) < 1e-9 for v in held.values())
