@@ -17,7 +17,7 @@ def term_scorer(query_terms: DataFrame, posts: DataFrame | Index, query: str, do
     ix = index_of(posts, doc)
     rows = query_terms.select(query, "term").distinct().join(ix.terms, "term").crossJoin(F.broadcast(ix.stats))  # one row
     weight = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
-    return top(best(rows.select(query, "term", weight.alias("__w")), ix, F.lit(1.0), F.lit(1.0), query, k, ()), k, query, doc)
+    return top(best(rows.select(query, "term", weight.alias("__w")), ix, lambda post, least: 1.0, F.lit(1.0), query, k, ()), k, query, doc)
 
 
 def field_weighted(fields: dict[str, tuple[DataFrame, float]], query: str, doc: str) -> DataFrame:

@@ -178,3 +178,23 @@ def test_what_belongs_to_a_document_is_written_once(corpus):
     assert ix.rows.count() == ix.ranges and ix.rows.agg(F.sum(F.size("keys"))).first()[0] == sum(bool(t) for t in texts) == ix.n
     held = {r["doc"]: r["length"] for r in ix.posts.groupBy("doc").agg(F.sum(F.col("unit") ** 2).alias("length")).collect()}
     assert len(held) == ix.n and all(abs(v - 1) < 1e-9 for v in held.values())
+
+
+@pytest.mark.parametrize("at_once", [None, 0])
+def test_scores_of_many_queries_are_summed_in_their_range(corpus, monkeypatch, at_once):
+    """No pair of a query and a document is a row before the best of a range are known, and more queries than go together are dealt in parts."""
+    texts, queries, docs, ix, asked = corpus
+    plan = ranking.bm25_top(asked, ix, "q", "doc", 5)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "posexplode" not in plan and "arrays_zip" not in plan
+    whole = told(ranking.top(ranking.bm25(asked, ix, "q", "doc", cap=1.5), 7, "q", "doc"))
+    monkeypatch.setattr(ranking, "TOGETHER", 4)
+    assert whole and told(ranking.bm25_top(asked, ix, "q", "doc", 7, cap=1.5, at_once=at_once)) == whole
+
+
+def test_ties_and_documents_of_other_kinds(spark, tmp_path):
+    """Copies rank by id, also where their range has more of them than are asked for; keys are strings, and a query asks twice or for nothing."""
+    docs = spark.createDataFrame([(f"d{k:02d}", "a b" if k % 3 else "a a c") for k in range(40)], "doc string, text string")
+    ix = index.read_index(spark, index.build_index(docs, "doc", f"file://{tmp_path}", ranges=3), "doc")
+    asked = spark.createDataFrame([("x", "b"), ("x", "b"), ("y", "zz"), ("z", "a")], "q string, term string")
+    got = ranking.bm25_top(asked, ix, "q", "doc", 4)
+    assert sorted((r["q"], r["rank"], r["doc"]) for r in got.collect()) == [("x", 1, "d01"), ("x", 2, "d02"), ("x", 3, "d04"), ("x", 4, "d05"), ("z", 1, "d00"), ("z", 2, "d03"), ("z", 3, "d06"), ("z", 4, "d09")]
