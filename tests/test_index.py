@@ -198,3 +198,10 @@ def test_ties_and_documents_of_other_kinds(spark, tmp_path):
     asked = spark.createDataFrame([("x", "b"), ("x", "b"), ("y", "zz"), ("z", "a")], "q string, term string")
     got = ranking.bm25_top(asked, ix, "q", "doc", 4)
     assert sorted((r["q"], r["rank"], r["doc"]) for r in got.collect()) == [("x", 1, "d01"), ("x", 2, "d02"), ("x", 3, "d04"), ("x", 4, "d05"), ("z", 1, "d00"), ("z", 2, "d03"), ("z", 3, "d06"), ("z", 4, "d09")]
+
+
+def test_fire_set_ranks_once(spark):
+    from quillon.plans import catalogue
+
+    plan = catalogue.QUERIES["fire_set"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "bucket" not in plan
