@@ -205,3 +205,16 @@ def test_fire_set_ranks_once(spark):
 
     plan = catalogue.QUERIES["fire_set"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "bucket" not in plan
+
+
+def test_parts_of_the_build_follow_the_data(spark, corpus, tmp_path, monkeypatch):
+    """What a task of the build reads does not grow with the table where a session has few shuffle partitions."""
+    monkeypatch.setattr(index, "POSTINGS", 1024)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        ix = index.read_index(spark, index.build_index(corpus[2], "doc", f"file://{tmp_path}", ranges=24), "doc")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    files = {r[0].rsplit("/", 1)[1].split("-")[1] for r in ix.blocks.select(F.input_file_name()).distinct().collect()}
+    assert len(files) > 1 and ix.posts.count() == corpus[3].posts.count()
