@@ -394,3 +394,30 @@ def test_deadlines(spark):
     assert probe.within_time(spark.range(3), 60)[0] == "ok"
     slow = spark.range(4).select(F.udf(lambda x: time.sleep(15), "int")("id").alias("x"))
     assert probe.within_time(slow, 1.0) == ("timeout", [])
+
+
+def test_searches_go_on_until_nothing_is_unseen(spark):
+    """Each text shares a word with the next; two queries that walk the same way search each text once."""
+    texts = spark.createDataFrame([(i, f"w{i} w{i + 1}") for i in range(7)], "doc_id bigint, text string")
+    ix, asked = index.index_of(index.postings(texts, "doc_id"), "doc_id"), []
+
+    def search(terms):
+        asked.extend(terms.select("term").collect())
+        return ranking.bm25_top(terms, ix, "item_id", "doc_id", 3)
+
+    first = spark.createDataFrame([(q, d, 1) for q, d in ((1, 0), (2, 0), (3, 5))], "item_id bigint, doc_id bigint, rank int")
+    walk = [(q, d, d) for q in (1, 2) for d in range(7)] + [(3, 5, 0), (3, 4, 1), *((3, d, 5 - d) for d in (3, 2, 1, 0))]
+    assert sorted(map(tuple, probe.iterative_search(first, search, texts, "item_id", "doc_id").collect())) == sorted(walk)
+    assert len(asked) == 14
+    assert sorted(map(tuple, probe.iterative_search(first, search, texts, "item_id", "doc_id", rounds=2).collect())) == sorted(w for w in walk if w[2] <= 2)
+
+
+def test_the_iterative_search_has_no_set_number_of_rounds(spark, monkeypatch):
+    from quillon.plans import added
+
+    given = {}
+    monkeypatch.setattr(added, "lexical", lambda *a: (None, None))
+    monkeypatch.setattr(added, "_top5", lambda *a: None)
+    monkeypatch.setattr(probe, "iterative_search", lambda *a, rounds=None, **more: given.update(rounds=rounds, **more))
+    added.iterative_search(spark, "/root/testdata/sf0.001")
+    assert given == {"rounds": None}
