@@ -39,9 +39,22 @@ def read_world(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return out
 
 
-def read_json_array(spark: SparkSession, path: str, schema=None, field: str | None = None) -> DataFrame:
-    """The elements of a JSON array (of an object's field, if named) as rows."""
-    reader = spark.read.option("multiLine", True)
+#: Rows of a key that write_json_arrays() puts into one array.
+ARRAY_ROWS = 10_000
+
+
+def write_json_arrays(df: DataFrame, path: str, by: str, field: str, most: int = ARRAY_ROWS) -> None:
+    """The rows without their key, as lines of JSON: an object with one array for each key, with several of about `most` rows for a key of more. The
+    files are those of the tasks, however many keys there are."""
+    large = df.groupBy(F.col(by).alias("__by")).agg(F.ceil(F.count("*") / most).alias("__parts")).where("__parts > 1")  # one row for `most` rows of the table at most
+    placed = df.withColumn("__at", F.monotonically_increasing_id()).join(F.broadcast(large), F.col(by).eqNullSafe(F.col("__by")), "left")
+    rows = placed.select(by, F.pmod("__at", F.coalesce("__parts", F.lit(1))).alias("__part"), F.struct(*[c for c in df.columns if c != by]).alias("__x"))
+    rows.groupBy(by, "__part").agg(F.to_json(F.struct(F.collect_list("__x").alias(field))).alias("value")).select("value").write.mode("overwrite").text(path)
+
+
+def read_json_array(spark: SparkSession, path: str, schema=None, field: str | None = None, lines: bool = False) -> DataFrame:
+    """The elements of a JSON array (of an object's field, if named) as rows. lines: each line is one, so that tasks share files."""
+    reader = spark.read.option("multiLine", not lines)
     df = (reader.schema(schema) if schema is not None else reader).json(path)
     return df.select(F.explode(field).alias("__x")).select("__x.*") if field else df
 

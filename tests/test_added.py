@@ -421,3 +421,23 @@ def test_the_iterative_search_has_no_set_number_of_rounds(spark, monkeypatch):
     monkeypatch.setattr(probe, "iterative_search", lambda *a, rounds=None, **more: given.update(rounds=rounds, **more))
     added.iterative_search(spark, "/root/testdata/sf0.001")
     assert given == {"rounds": None}
+
+
+def test_json_arrays_are_lines_of_few_files(spark, tmp_path):
+    """However many keys there are; a key of very many rows has several arrays, and none of its rows is lost."""
+    rows = [(k % 500, k, f"a\n{k}" if k % 7 else None, k / 3) for k in range(2000)] + [(None, 2000, "null", None), (7, None, None, float("inf"))] + [(500, k, "hot", 0.1) for k in range(3000, 4000)]
+    df = spark.createDataFrame(rows, "user_id bigint, event_id bigint, event_type string, value double").repartition(3)
+    worlds.write_json_arrays(df, f"{tmp_path}/arrays", "user_id", "rows", most=100)
+    files = glob.glob(f"{tmp_path}/arrays/part-*")
+    sizes = [r[0] for r in spark.read.schema("rows array<string>").json(f"{tmp_path}/arrays").select(F.size("rows")).collect()]
+    assert len(files) <= 4 and len(sizes) == 511 and max(sizes) <= 120
+    found = worlds.read_json_array(spark, f"{tmp_path}/arrays", "rows array<struct<event_id:bigint,event_type:string,value:double>>", "rows", lines=True).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted((r[1:] for r in rows), key=repr)
+
+
+def test_the_array_scan_writes_no_file_a_user(spark, tmp_path):
+    from quillon.plans import added
+
+    spark.createDataFrame([(k, k % 300, "x", 1.0) for k in range(600)], "event_id bigint, user_id bigint, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    found = added.json_array_scan(spark, str(tmp_path))
+    assert len(found.inputFiles()) <= 4 and found.count() == 600
