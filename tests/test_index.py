@@ -218,3 +218,24 @@ def test_parts_of_the_build_follow_the_data(spark, corpus, tmp_path, monkeypatch
         spark.conf.set("spark.sql.shuffle.partitions", parts)
     files = {r[0].rsplit("/", 1)[1].split("-")[1] for r in ix.blocks.select(F.input_file_name()).distinct().collect()}
     assert len(files) > 1 and ix.posts.count() == corpus[3].posts.count()
+
+
+@pytest.mark.parametrize("at_once", [None, 0])
+def test_documents_leave_a_written_index_by_marks(corpus, at_once):
+    """As an index of those left, also after a second removal, and no posting is a row of its own for it."""
+    _, _, docs, ix, asked = corpus
+    once = ranking.without(ix, docs.where("doc % 5 = 0").select("doc").unionByName(docs.sparkSession.createDataFrame([(5,), (10**6,)], "doc bigint")), "doc")
+    left = ranking.without(once, docs.where("doc % 7 = 0").select("doc"), "doc")
+    whole = index.index_of(index.postings(docs.where("doc % 5 <> 0 and doc % 7 <> 0"), "doc"), "doc")
+    assert left.blocks is not None and left.rows is ix.rows
+    rows = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    for part, names in (("docs", ["doc", "dl", "dn"]), ("terms", ["term", "df"]), ("stats", ["n", "avgdl"]), ("posts", ["doc", "term", "tf", "dl", "df", "dn", "unit"])):
+        assert rows(getattr(left, part).select(names)) == rows(getattr(whole, part).select(names)), part
+    terms = asked.groupBy("q", "term").agg(F.count("*").alias("tf"))
+    rounded = lambda df: sorted((r["q"], r["rank"], round(r["score"], 5)) for r in df.collect())
+    for best, every in ((ranking.bm25_top, ranking.bm25), (ranking.tfidf_top, ranking.tfidf_cosine), (ranking.jaccard_top, ranking.jaccard), (ranking.idf_coverage_top, ranking.idf_coverage)):
+        assert rounded(best(terms, left, "q", "doc", 5, at_once=at_once)) == rounded(ranking.top(every(terms, whole, "q", "doc"), 5, "q", "doc")), best
+    plan = ranking.bm25_top(asked, left, "q", "doc", 5, at_once=at_once)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(at" not in plan
+    nothing = ranking.without(ix, docs.select("doc"), "doc")
+    assert nothing.n == 0 and ranking.bm25_top(asked, nothing, "q", "doc", 5).count() == 0
